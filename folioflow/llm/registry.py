@@ -22,6 +22,12 @@ def op6_ga_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents")))
 
 
+def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import kd_shards
+
+    return kd_shards.documents_sharded(table(spark, sf_dir, "documents"), shards=40)
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
