@@ -28,6 +28,14 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards.documents_sharded(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op8_hd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import hd_language
+
+    docs = table(spark, sf_dir, "documents")
+    learned = hd_language.train(docs.filter(crc_bucket("doc_id", 3) != 1))
+    return hd_language.predict(docs, learned).select("doc_id", (crc_bucket("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
