@@ -50,9 +50,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     short = [r[0] for r in items.filter(F.size("iw") <= MASKS[0][-1]).select(F.size("iw")).distinct().collect()]  # five values at most
     masks = (*MASKS, *(tuple(range(n)) for n in sorted(short)))
     whole = len(MASKS)
-    item_seeds = items.select("item_id", F.size("iw").alias("n"), F.explode(F.concat(*(
-        F.transform(seeds_of(F.col("ih"), k, m), lambda s, k=k: s.withField("mask", F.lit(k))) for k, m in enumerate(masks)))).alias("s"))
-    item_seeds = item_seeds.filter((F.col("s.mask") < whole) | (F.col("n") <= MASKS[0][-1])).select("item_id", F.col("s.seed").alias("seed"), F.col("s.at").alias("item_at"))
+    # A whole-item mask is for the items of its own length.
+    of = [F.when(F.lit(k < whole) | (F.size("iw") == len(m)), seeds_of(F.col("ih"), k, m)).otherwise(F.array().cast("array<struct<seed:bigint,at:int>>")) for k, m in enumerate(masks)]
+    item_seeds = items.select("item_id", F.explode(F.concat(*of)).alias("s")).select("item_id", F.col("s.seed").alias("seed"), F.col("s.at").alias("item_at"))
     item_seeds = hold.keep(item_seeds, "seeds")
     few = item_seeds.count() <= broadcast_rows
     hashed = docs.select(F.col(key).alias("doc_id"), F.transform(words(F.col(text)), lambda w: F.xxhash64(w)).alias("h"))
