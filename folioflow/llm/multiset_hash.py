@@ -32,12 +32,9 @@ PAIR = (1 << 32) | 1
 
 def _shingles(text):
     """Hashes of the three-word shingles inside each paragraph."""
-
-    def of(paragraph):
-        return F.split(paragraph, " ")
-
-    grams = lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(1))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
-    return F.flatten(F.transform(F.split(text, "\n"), lambda p: grams(of(p))))
+    # The words are bound to a lambda's variable, so a paragraph is split once and not at every place.
+    words = F.transform(F.split(text, "\n"), lambda p: F.split(p, " "))
+    return F.flatten(F.transform(words, lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(1))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))))
 
 
 def _exact(text):
