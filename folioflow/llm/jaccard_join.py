@@ -7,15 +7,19 @@ Cells with the same members count once, and one of more than ``cell_rows`` membe
 of blocks, which are joined in parallel.
 
 In a cell (or pair of blocks) the sets are the leaves of a signature tree: nodes hold the OR of their
-sets' 2048-bit token bitmaps, the size range and the smallest number of set bits.  The dual traversal
+sets' 1024-bit token bitmaps, the size range and the smallest number of set bits.  The dual traversal
 drops a node pair when the sizes cannot meet the threshold or when the largest possible overlap,
 ``max size - (min bits - bits common to both ORs)``, is below the overlap that its smallest sizes need.
 Pairs of sets that remain are compared exactly.
 
-A large group of near copies must not be spelled out pair by pair.  So the trees are traversed twice:
-first each set keeps only its most promising partner before it; the confirmed links are closed to
-components; then all remaining pairs *between different components* are compared.  No link that could
-join two components is lost, and pairs inside one are not needed.
+Linked sets also share many of those first hashes: at least ``need - max(ceil(t n)) + 1`` of them.
+Small cells (``small`` members at most) give all pairs that the tree leaves, and the pairs' shared hashes are
+added up; what they may share in larger cells counts in full, so the test drops no link.
+
+A large group of near copies must not be spelled out pair by pair.  So the trees of larger cells are
+traversed twice: first each set keeps only its most promising partner before it; the confirmed links
+are closed to components; then all remaining pairs *between different components* are compared.  No
+link that could join two components is lost, and pairs inside one are not needed.
 
 Bounded memory: a task holds the bitmaps of two blocks; the broadcast id lists are size-checked.
 
@@ -34,7 +38,7 @@ from .common import Scratch
 from .components import components
 from .shingles import Shingler
 
-BITS = 2048
+BITS = 1024
 LEAF = 16
 FAN = 8
 
@@ -43,6 +47,19 @@ def least_common(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def shared_first(n, m, percent: int):
+    """How many of their first hashes linked sets of n and m elements share at least (numbers, arrays or columns)."""
+    need = -((-percent * (n + m)) // (100 + percent))
+    longest = -((-percent * np_max(n, m)) // 100)
+    return need - longest + 1
+
+
+def np_max(n, m):
+    import numpy as np
+
+    return np.maximum(n, m)
+
+
 def shingle_table(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
     def run(batches):
         import hashlib
@@ -69,10 +86,11 @@ def shingle_table(docs: DataFrame, key: str, text: str, size: int, percent: int)
 class SignatureTree:
     """Sets of a cell ordered by size; levels[0] are the sets themselves, the last level is the root."""
 
-    def __init__(self, sizes, bits, comps):
+    def __init__(self, sizes, bits, comps, hot):
         import numpy as np
 
         count = np.bitwise_count(bits).sum(1).astype(np.int64)
+        self.hot = hot  # the set's hashes in larger cells; a very large number switches the test off
         self.levels = [(bits, sizes, sizes, count, comps, comps)]
         width = LEAF
         while len(self.levels[-1][0]) > 1:
@@ -121,7 +139,9 @@ def traverse(a: SignatureTree, b: SignatureTree, percent: int, same: bool, chunk
             if not len(p):
                 continue
             if level == 0:
-                yield p, q, bound[ok] / (lo_i[ok] + lo_j[ok])
+                share = np.minimum(a.hot[p], b.hot[q]) >= shared_first(lo_i[ok], lo_j[ok], percent)
+                if share.any():
+                    yield p[share], q[share], (bound[ok] / (lo_i[ok] + lo_j[ok]))[share]
                 continue
             r, child = children(a, level, p)
             q = q[r]
@@ -130,7 +150,7 @@ def traverse(a: SignatureTree, b: SignatureTree, percent: int, same: bool, chunk
 
 
 def cell_pairs(cells: DataFrame, percent: int, spanning: bool) -> DataFrame:
-    """Candidate pairs of cells: rows with ``left`` and ``right`` arrays of (id, n, comp, bits); ``right`` null: a self join."""
+    """Candidate pairs (a, na, b, nb, w) of cells: rows with the weight ``w`` and ``left`` and ``right`` arrays of members; ``right`` null: a self join."""
 
     def run(batches):
         import numpy as np
@@ -139,15 +159,22 @@ def cell_pairs(cells: DataFrame, percent: int, spanning: bool) -> DataFrame:
         def tree(members):
 
             ids = np.asarray(members.field("id"), np.int64)
-            sizes, comps = np.asarray(members.field("n"), np.int64), np.asarray(members.field("comp"), np.int64)
+            sizes, comps, hot = (np.asarray(members.field(c), np.int64) for c in ("n", "comp", "hot"))
             bits = np.frombuffer(b"".join(members.field("bits").to_pylist()), np.uint64).reshape(len(ids), BITS // 64)
             order = np.lexsort((ids, sizes))
-            return ids[order], SignatureTree(sizes[order], bits[order], comps[order])
+            return ids[order], SignatureTree(sizes[order], bits[order], comps[order], hot[order])
 
         for batch in batches:
-            first, second = [], []
+            first, second, sizes, weights = [], [], [], []
+
+            def put(p, q):
+                first.append(ids[p])
+                second.append(jds[q])
+                sizes.append((a.levels[0][1][p], b.levels[0][1][q]))
+                weights.append(np.full(len(p), w, np.int64))
+
             lefts, rights = batch.column("left"), batch.column("right")
-            for k in range(batch.num_rows):
+            for k, w in enumerate(batch.column("w").to_pylist()):
                 ids, a = tree(lefts[k].values)
                 same = not rights[k].is_valid
                 jds, b = (ids, a) if same else tree(rights[k].values)
@@ -157,20 +184,20 @@ def cell_pairs(cells: DataFrame, percent: int, spanning: bool) -> DataFrame:
                         order = np.lexsort((p, -bound, q))
                         q, p, bound = q[order], p[order], bound[order]
                         head = np.concatenate([[True], q[1:] != q[:-1]])
-                        for x, y, w in zip(q[head].tolist(), p[head].tolist(), bound[head].tolist()):
-                            if x not in best or (w, -y) > (best[x][0], -best[x][1]):
-                                best[x] = (w, y)
+                        for x, y, g in zip(q[head].tolist(), p[head].tolist(), bound[head].tolist()):
+                            if x not in best or (g, -y) > (best[x][0], -best[x][1]):
+                                best[x] = (g, y)
                     else:
-                        first.append(ids[p])
-                        second.append(jds[q])
+                        put(p, q)
                 if best:
-                    first.append(ids[[y for _, y in best.values()]])
-                    second.append(jds[list(best)])
-            x = np.concatenate(first) if first else np.zeros(0, np.int64)
-            y = np.concatenate(second) if second else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+                    put(np.array([y for _, y in best.values()]), np.array(list(best)))
+            if first:
+                x, y, w = np.concatenate(first), np.concatenate(second), np.concatenate(weights)
+                nx, ny = (np.concatenate([s[j] for s in sizes]) for j in (0, 1))
+                turn = x > y
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.where(turn, y, x), np.where(turn, ny, nx), np.where(turn, x, y), np.where(turn, nx, ny), w)], names=["a", "na", "b", "nb", "w"])
 
-    return cells.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+    return cells.mapInArrow(run, "a long, na long, b long, nb long, w long").filter("a <> b")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, hold: Scratch, size: int, percent: int, name: str, broadcast_rows: int) -> DataFrame:
@@ -212,7 +239,7 @@ def verified(pairs: DataFrame, texts: DataFrame, hold: Scratch, size: int, perce
     return hold.keep(wide.mapInArrow(compare, "a long, b long"), f"{name}_links")
 
 
-def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85, cell_rows: int = 1024, broadcast_rows: int = 500_000) -> DataFrame:
+def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85, cell_rows: int = 1024, small: int = 48, broadcast_rows: int = 500_000) -> DataFrame:
     """doc_id, n_shingles, rep (smallest id with the same set) and component_id (smallest id reachable by links)."""
     spark = docs.sparkSession
     hold = Scratch(spark, "jaccard")
@@ -221,34 +248,46 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     member = hold.keep(made.select("id", "n", "digest").join(classes, "digest", "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "members")
     reps = member.filter("n > 0 and id = rep").select("id").distinct()
     rows = made.join(reps, "id", "left_semi").select("id", "n", F.explode("prefix").alias("token"))
+    shared = hold.keep(rows.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1"), "tokens")
+    met = hold.keep(rows.join(shared, "token"), "met")
+    # Cells with the same members are one cell, whose weight is their number.
     mark = F.xxhash64("id")
-    counts = rows.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(mark).alias("x"), F.sum(mark.bitwiseAND(F.lit((1 << 31) - 1))).alias("s"), F.min("id").alias("lo")).filter("m > 1")
-    counts = hold.keep(counts, "tokens")
-    cells = counts.groupBy("m", "x", "s", "lo").agg(F.min("token").alias("token"))
-    inside = hold.keep(rows.join(cells.select("token", "m"), "token").select("token", "m", "id", "n"), "inside")
-    hold.drop("tokens")
+    name = met.groupBy("token", "m").agg(F.bit_xor(mark).alias("x"), F.sum(mark.bitwiseAND(F.lit((1 << 31) - 1))).alias("s"), F.min("id").alias("lo"))
+    cells = name.groupBy("m", "x", "s", "lo").agg(F.min("token").alias("token"), F.count("*").alias("w")).select("token", "w")
+    heat = met.groupBy("id").agg(F.count_if(F.col("m") > small).alias("hot"))
+    inside = hold.keep(met.join(cells, "token").join(heat, "id"), "inside")
+    hold.drop("tokens", "met")
     bits = made.select("id", "bits")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
+    no_limit = F.lit(1 << 40)
 
     def paired(rows: DataFrame, spanning: bool) -> DataFrame:
-        """``rows``: token, m, id, n, comp."""
+        """``rows``: token, m, w, id, n, comp, hot."""
         full = rows.join(bits, "id").withColumn("blocks", F.ceil(F.col("m") / cell_rows).cast("int"))
-        one = F.struct("id", "n", "comp", "bits")
+        one = F.struct("id", "n", "comp", "hot", "bits")
         spot = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-        small = full.filter("blocks = 1").groupBy("token").agg(F.collect_list(one).alias("left")).select("left", F.lit(None).cast("array<struct<id:bigint,n:bigint,comp:bigint,bits:binary>>").alias("right"))
-        placed = full.filter("blocks > 1").withColumn("own", spot).select("token", "own", one.alias("member"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        alone = full.filter("blocks = 1").groupBy("token", "w").agg(F.collect_list(one).alias("left")).select("w", "left", F.lit(None).cast("array<struct<id:bigint,n:bigint,comp:bigint,hot:bigint,bits:binary>>").alias("right"))
+        placed = full.filter("blocks > 1").withColumn("own", spot).select("token", "w", "own", one.alias("member"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         placed = placed.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-        large = placed.groupBy("token", "lo", "hi").agg(F.collect_list(F.when(F.col("own") == F.col("lo"), F.col("member"))).alias("left"), F.collect_list(F.when((F.col("own") == F.col("hi")) & (F.col("lo") < F.col("hi")), F.col("member"))).alias("right"))
-        large = large.filter(F.size("left") > 0).select("left", F.when(F.col("lo") < F.col("hi"), F.col("right")).alias("right")).filter("right is null or size(right) > 0")
-        return cell_pairs(small.unionByName(large), percent, spanning)
-
-    # Every set its own component: the bounds alone decide, and each set keeps its most promising partner.
-    first = hold.keep(paired(inside.withColumn("comp", F.col("id")), True), "first")
+        large = placed.groupBy("token", "w", "lo", "hi").agg(F.collect_list(F.when(F.col("own") == F.col("lo"), F.col("member"))).alias("left"), F.collect_list(F.when((F.col("own") == F.col("hi")) & (F.col("lo") < F.col("hi")), F.col("member"))).alias("right"))
+        large = large.filter(F.size("left") > 0).select("w", "left", F.when(F.col("lo") < F.col("hi"), F.col("right")).alias("right")).filter("right is null or size(right) > 0")
+        return cell_pairs(alone.unionByName(large), percent, spanning)
+
+    longest = F.ceil(F.lit(percent) * F.greatest("na", "nb") / 100)
+    least = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent)) - longest + 1
+    single = inside.withColumn("comp", F.col("id"))
+    few = paired(single.filter(F.col("m") <= small).withColumn("hot", no_limit), False).groupBy("a", "na", "b", "nb").agg(F.sum("w").alias("w"))
+    heat = hold.keep(inside.select("id", "hot").distinct(), "heat")
+    allowance = [heat.select(F.col("id").alias(c), F.col("hot").alias(f"h{c}")) for c in "ab"]
+    close = few.join(allowance[0], "a").join(allowance[1], "b").filter(F.col("w") + F.least("ha", "hb") >= least).select("a", "b")
+    # Larger cells: every set its own component, and each keeps its most promising partner.
+    wide = single.filter(F.col("m") > small)
+    first = hold.keep(close.unionByName(paired(wide, True).select("a", "b")).distinct(), "first")
     links = verified(first, texts, hold, size, percent, "first", broadcast_rows)
     known = components(links, hold, "cc1")
-    labelled = hold.keep(inside.join(known.select(F.col("v").alias("id"), F.col("c")), "id", "left").select("token", "m", "id", "n", F.coalesce("c", "id").alias("comp")), "labelled")
+    labelled = hold.keep(wide.drop("comp").join(known.select(F.col("v").alias("id"), F.col("c")), "id", "left").select("token", "m", "w", "id", "n", "hot", F.coalesce("c", "id").alias("comp")), "labelled")
     mixed = labelled.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("token")
-    second = hold.keep(paired(labelled.join(mixed, "token", "left_semi"), False).join(first, ["a", "b"], "left_anti"), "second")
+    second = hold.keep(paired(labelled.join(mixed, "token", "left_semi"), False).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "second")
     more = verified(second, texts, hold, size, percent, "second", broadcast_rows)
     final = components(links.unionByName(more), hold, "cc2")
     out = member.join(final.select(F.col("v").alias("rep"), F.col("c")), "rep", "left")
