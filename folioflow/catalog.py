@@ -1,9 +1,379 @@
 """Registered queries of the document-structure engine."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from folioflow.functions import rules
+from folioflow.functions import text as T
+from folioflow.operators import anchors, candidates, evaluation, selection, state
+from folioflow.operators.matches import find_all
+from folioflow.plans import rule_pipeline
+from folioflow.plans.synthetic import filings
+from folioflow.sources import submissions
+
+QUERIES: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _index(spark, d):
+    return rule_pipeline.build_index(filings(spark, d))
+
+
+def _windows(f):
+    found, links = anchors.anchors(f), anchors.toc_links(f)
+    return anchors.windows(f, found), anchors.anchor_items(links)
+
+
+@query
+def page_sections(spark, d):
+    """Block tags of pages with their offsets, and the stripped length of what follows each."""
+    found = find_all(_t(spark, d, "pages").select("page_id", "html"), F.col("html"), r"(?i)<(h1|p|li|b)\b[^>]*>")
+    end = F.coalesce(F.lead("o").over(Window.partitionBy("page_id").orderBy("o")), F.length("html"))
+    return found.withColumn("end", end).select("page_id", "ord", F.col("o").cast("long").alias("o"), F.length(T.strip_html(F.expr("substring(html, o + 1, end - o)"))).cast("long").alias("chars"))
+
+
+@query
+def tag_offsets(spark, d):
+    return find_all(_t(spark, d, "pages").select("page_id", "html"), F.col("html"), "<[a-z][^>]*>").select("page_id", "ord", F.col("o").cast("long").alias("o"), "m")
+
+
+@query
+def page_text(spark, d):
+    return _t(spark, d, "pages").select("page_id", T.strip_html(F.col("html")).alias("text"))
+
+
+@query
+def page_text_entities(spark, d):
+    """With all entities decoded (Arrow); no SQL form."""
+    return _t(spark, d, "pages").select("page_id", T.strip_html(F.col("html"), True).alias("text"))
+
+
+QUERIES["filings"] = lambda spark, d: filings(spark, d).select("accession", F.length("html").cast("long").alias("chars"), F.md5("html").alias("digest"))
+
+
+@query
+def main_document(spark, d):
+    f = filings(spark, d)
+    raw = F.when(F.col("accession").cast("int") % 3 == 0, F.col("html")).otherwise(F.concat(F.lit("<SEC-HEADER>x\n<DOCUMENT>\n<TYPE>EX-1\n<TEXT>no</TEXT>\n</DOCUMENT>\n<DOCUMENT>\n<TYPE>10-K\n<TEXT>\n"), F.col("html"), F.lit("\n</TEXT>\n</DOCUMENT>")))
+    return f.select("accession", submissions.main_document(raw).alias("main"))
+
+
+@query
+def difficulty(spark, d):
+    return filings(spark, d).select("accession", submissions.difficulty(F.col("html")).alias("difficulty"))
+
+
+@query
+def toc_ids(spark, d):
+    return anchors.referenced_ids(filings(spark, d))
+
+
+@query
+def toc_links(spark, d):
+    return anchors.toc_links(filings(spark, d)).withColumn("o", F.col("o").cast("long"))
+
+
+@query
+def toc_first(spark, d):
+    return anchors.toc_first(anchors.toc_links(filings(spark, d)))
+
+
+@query
+def toc_link_records(spark, d):
+    return anchors.link_records(filings(spark, d))
+
+
+@query
+def anchors_last(spark, d):
+    return anchors.anchors(filings(spark, d)).withColumn("o", F.col("o").cast("long"))
+
+
+@query
+def anchor_items(spark, d):
+    return anchors.anchor_items(anchors.toc_links(filings(spark, d))).withColumn("items", F.concat_ws(",", "items"))
+
+
+@query
+def anchor_windows(spark, d):
+    f = filings(spark, d)
+    return anchors.windows(f, anchors.anchors(f)).select("accession", "anchor_id", F.col("o").cast("long").alias("o"), F.col("next_o").cast("long").alias("next_o"), "ahead", "behind")
+
+
+@query
+def part_boundaries(spark, d):
+    return anchors.part_boundaries(filings(spark, d)).select("accession", "part", F.col("o").cast("long").alias("o"), F.round("rel", 6).alias("rel"))
+
+
+@query
+def part_three(spark, d):
+    ix = _index(spark, d)
+    return ix.incorporated
+
+
+@query
+def tier_cascade(spark, d):
+    return candidates.cascade(*_windows(filings(spark, d))).withColumn("o", F.col("o").cast("long"))
+
+
+@query
+def candidates_all(spark, d):
+    return candidates.collect(*_windows(filings(spark, d))).withColumn("rel", F.round("rel", 6)).withColumn("o", F.col("o").cast("long"))
+
+
+def _rescored(spark, d):
+    f = filings(spark, d)
+    return candidates.rescored(candidates.collect(*_windows(f)), anchors.part_boundaries(f)).withColumn("o", F.col("o").cast("long"))
+
+
+@query
+def candidates_rescored(spark, d):
+    return _rescored(spark, d).select("accession", "item", "anchor_id", "o", "confidence", "source")
+
+
+@query
+def candidates_top3(spark, d):
+    return candidates.top(_rescored(spark, d)).select("accession", "item", "anchor_id", "confidence", "source", "rank")
+
+
+@query
+def found_items(spark, d):
+    return candidates.found_items(_rescored(spark, d))
+
+
+@query
+def filing_overview(spark, d):
+    return candidates.overview(_rescored(spark, d), anchors.toc_links(filings(spark, d))).select("accession", "links", "classified", "candidates", "items", "difficulty")
+
+
+def _chosen(spark, d):
+    return selection.select_ordered(candidates.cascade(*_windows(filings(spark, d))))
+
+
+@query
+def dp_select(spark, d):
+    return _chosen(spark, d)
+
+
+@query
+def greedy_select(spark, d):
+    return selection.select_greedy(candidates.cascade(*_windows(filings(spark, d)))).withColumn("o", F.col("o").cast("long"))
+
+
+@query
+def agent_slices(spark, d):
+    return selection.slices(filings(spark, d), _chosen(spark, d)).select("accession", "item", F.length("html").cast("long").alias("chars"), F.md5("html").alias("digest"))
+
+
+@query
+def rule_sections(spark, d):
+    """The whole rule engine; tested against a plain Python version."""
+    return rule_pipeline.extract(filings(spark, d))
+
+
+@query
+def policy_assignments(spark, d):
+    return rule_pipeline.assign_by_policy(_index(spark, d))
+
+
+@query
+def signature_fallback(spark, d):
+    f = filings(spark, d)
+    return anchors.signature_fallback(f, anchors.anchors(f))
+
+
+@query
+def heading_scan(spark, d):
+    f = filings(spark, d)
+    return anchors.heading_scan(f, "item2", anchors.anchors(f))
+
+
+@query
+def ambiguous_items(spark, d):
+    ix = _index(spark, d)
+    lengths = ix.filings.select("accession", F.length("html").alias("html_len"))
+    a = ix.chosen.select("accession", "item", "anchor_id", "o")
+    return candidates.ambiguous(ix.chosen, ix.candidates, state.issues(a, lengths), state.spans(a, lengths), lengths)
+
+
+@query
+def anchors_in_radius(spark, d):
+    return anchors.within(_chosen(spark, d).select("accession", "item", "o"), anchors.anchors(filings(spark, d)), 700).select("accession", "item", "anchor_id", F.col("delta").cast("long").alias("delta"))
+
+
+@query
+def nearest_anchor(spark, d):
+    f = filings(spark, d)
+    points = f.select("accession", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k")).withColumn("o", F.col("k") * 611)
+    return anchors.nearest(points, anchors.anchors(f), 500, ["accession", "k"]).select("accession", F.col("k").cast("long").alias("k"), "near_id", F.col("distance").cast("long").alias("distance"))
+
+
+def _events(spark, d):
+    e, k = _t(spark, d, "events"), F.col("event_id")
+    item = F.get(F.array(*map(F.lit, ("item1", "item1a", "item7", "item8", "item15", "item2", "item3", "item10"))), (k % 8).cast("int"))
+    action = F.when((F.col("event_type") == "purchase") | (k % 7 == 0), "unassign").otherwise("assign")
+    return e.select((F.col("user_id") % 97).cast("string").alias("accession"), k.cast("int").alias("turn"), F.lit(0).alias("ord"), action.alias("action"), item.alias("item"), F.concat(F.lit("a"), (k % 5).cast("string")).alias("anchor_id"), (k * 37 % 1300 - 60).alias("o"))
+
+
+def _lengths(events):
+    return events.select("accession").distinct().withColumn("html_len", F.lit(1200))
+
+
+@query
+def state_fold(spark, d):
+    return state.fold(_events(spark, d))
+
+
+@query
+def state_listed(spark, d):
+    return state.listed(state.fold(_events(spark, d))).select("accession", "item", "rank")
+
+
+@query
+def validate_issues(spark, d):
+    e = _events(spark, d)
+    return state.issues(state.fold(e), _lengths(e))
+
+
+@query
+def finalize_gate(spark, d):
+    e = _events(spark, d)
+    return state.finalizable(_lengths(e), state.issues(state.fold(e), _lengths(e)))
+
+
+@query
+def span_sizes(spark, d):
+    e = _events(spark, d)
+    return state.spans(state.fold(e), _lengths(e))
+
+
+@query
+def stall_runs(spark, d):
+    c = _t(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("accession"), "turn", (F.length("text") % 4).alias("n_issues"))
+    return state.stalls(c).withColumn("fired", F.concat_ws(",", F.transform("fired", lambda x: x.cast("string"))))
+
+
+@query
+def message_sizes(spark, d):
+    return state.message_sizes(_t(spark, d, "conversations"))
+
+
+@query
+def compaction_view(spark, d):
+    return state.compacted(_t(spark, d, "conversations"), 600, 2, 2).select("conv_id", "turn", "role")
+
+
+def _pairs(spark, d):
+    b, i = _t(spark, d, "benchmark").filter("item_id < 60"), F.col("item_id")
+    acc = (i % 13).cast("string").alias("accession")
+    gold = b.select(acc, F.concat(F.lit("item"), i.cast("string")).alias("item"), F.col("text").alias("html"))
+    text = F.when(i % 3 == 0, F.col("text")).when(i % 3 == 1, F.left("text", F.length("text") - 15)).otherwise(F.upper("text"))
+    pred = b.filter("item_id % 7 <> 3").select(acc, F.concat(F.lit("item"), (i + F.when(i % 11 == 0, 1000).otherwise(0)).cast("string")).alias("item"), text.alias("html"))
+    return gold, pred
+
+
+@query
+def eval_item(spark, d):
+    return evaluation.eval_items(*_pairs(spark, d)).select("accession", "item", "extracted", "exact_match", "char_f1", "pred_len", "truth_len", "overlap")
+
+
+@query
+def eval_doc(spark, d):
+    gold, pred = _pairs(spark, d)
+    out = evaluation.eval_docs(evaluation.eval_items(gold, pred), evaluation.false_positives(gold, pred))
+    return out.withColumn("false_positives", F.concat_ws(",", "false_positives")).withColumns({c: F.round(c, 6) for c in ("extraction_rate", "exact_match_rate", "mean_char_f1")})
+
+
+@query
+def eval_corpus(spark, d):
+    return evaluation.corpus(evaluation.eval_items(*_pairs(spark, d))).withColumns({c: F.round(c, 6) for c in ("mean_f1", "extraction_rate")})
+
+
+@query
+def false_positives(spark, d):
+    return evaluation.false_positives(*_pairs(spark, d))
+
+
+@query
+def missing_items(spark, d):
+    return evaluation.missing_items(*_pairs(spark, d))
+
+
+@query
+def worst_k(spark, d):
+    return evaluation.worst(evaluation.eval_items(*_pairs(spark, d))).select("accession", "item", "char_f1")
+
+
+@query
+def failure_types(spark, d):
+    bad = evaluation.eval_items(*_pairs(spark, d)).filter("char_f1 < 0.9")
+    return bad.groupBy(evaluation.failure_type(F.col("pred_len"), F.col("truth_len"), F.col("f1")).alias("type")).agg(F.count("*").alias("n"))
+
+
+@query
+def char_f1_docs(spark, d):
+    docs, b = _t(spark, d, "documents").select("doc_id", "text"), _t(spark, d, "benchmark").select("item_id", F.col("text").alias("truth"))
+    pairs = docs.join(b, docs.doc_id % 40 == b.item_id).select(F.col("doc_id").cast("string").alias("accession"), F.col("item_id").cast("string").alias("item"), F.col("text").alias("pred"), "truth")
+    return evaluation.char_f1(pairs, ["accession", "item"]).select("accession", "item", "overlap", F.round("f1", 6).alias("f1"))
+
+
+@query
+def noise_reasons(spark, d):
+    gold, pred = _pairs(spark, d)
+    items = evaluation.eval_items(gold, pred).filter("char_f1 < 0.9").join(gold, ["accession", "item"])
+    kind = F.when(F.col("extracted"), "boundary").otherwise("missing")
+    return evaluation.reasons(evaluation.noise(items.select("accession", "item", kind.alias("kind"), "pred_len", "truth_len", "f1", "html")))
+
+
+@query
+def resume_anti(spark, d):
+    return _t(spark, d, "documents").select("doc_id").join(_t(spark, d, "labels"), "doc_id", "left_anti")
+
+
+@query
+def set_intersect(spark, d):
+    return _t(spark, d, "documents").select("doc_id").intersect(_t(spark, d, "labels").select("doc_id"))
+
+
+@query
+def set_diff(spark, d):
+    return _t(spark, d, "documents").filter("n_chars > 1000").select("doc_id").subtract(_t(spark, d, "labels").filter("quality = 1").select("doc_id"))
+
+
+@query
+def hist_values(spark, d):
+    return evaluation.histogram(_t(spark, d, "events"), "value", 0, 200, 40)
+
+
+@query
+def median_value(spark, d):
+    return _t(spark, d, "events").groupBy("event_type").agg(F.round(F.median("value"), 6).alias("median"))
+
+
+@query
+def run_summary(spark, d):
+    j = _t(spark, d, "labels").join(_t(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    r = j.select(F.col("source").alias("set"), (F.col("quality") / 2 + 0.25).alias("f1"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("doc_retrieved"), (F.col("toxic") == 1).alias("finalized"), F.lit(1).alias("turns"), F.lit(1).alias("tokens"), F.lit(None).cast("string").alias("error"))
+    return evaluation.run_summary(r).select("set", "n", "retrieved", F.round("mean_f1", 6).alias("mean_f1"), "finalized_fail", "stalled")
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from folioflow import oracles
+
+    return oracles.oracle_sql()
+
+
+__all__ = ["oracle_sql", "queries", "rules"]
