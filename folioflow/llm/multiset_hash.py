@@ -3,8 +3,8 @@
 Paragraphs are the lines of a text.  Each one is hashed to a wide vector and a text's fingerprint is
 the sum of its paragraphs' vectors, lane by lane, modulo a power of two:
 
-* ``EXACT`` lanes of 32 random bits each, modulo 2^32: equal multisets of paragraphs have equal sums
-  in any order, different ones differ but for a chance of 2^-256;
+* ``EXACT`` lanes of 32 random bits each (from the paragraph's 64-bit hash), modulo 2^32: equal multisets of paragraphs have equal sums
+  in any order, different ones differ but for chance collisions of that hash;
 * 64 counting lanes modulo 2^32, kept two in a long: how many of the paragraph's word shingles have
   bit j of their hash set.  With the shingle count they are a linear sketch, whose cosine estimates
   that of the multisets (standard error 1/8);
@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 EXACT, PACKED = 8, 32
 LANES = EXACT + PACKED + 1
 LOW = (1 << 32) - 1
@@ -37,15 +39,14 @@ def _shingles(text):
     return F.flatten(F.transform(words, lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(1))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))))
 
 
-def _exact(text):
-    """The exact lanes, an array of sums below 2^32."""
-    start = F.array(*(F.lit(0).cast("long") for _ in range(EXACT)))
+def _paragraphs(text):
+    return F.transform(F.split(text, "\n"), lambda p: F.xxhash64(p))
 
-    def vector(p):
-        wide = [F.xxhash64(F.lit(k), p) for k in range(EXACT // 2)]
-        return F.array(*(x for h in wide for x in (h.bitwiseAND(F.lit(LOW)), F.shiftrightunsigned(h, 32))))
 
-    return F.aggregate(F.split(text, "\n"), start, lambda a, p: F.zip_with(a, vector(p), lambda x, y: (x + y).bitwiseAND(F.lit(LOW))))
+def _exact_lane(h, k: int):
+    """The k-th exact lane of a paragraph with hash ``h``: half of another hash."""
+    wide = F.xxhash64(F.lit(k // 2), h)
+    return wide.bitwiseAND(F.lit(LOW)) if k % 2 == 0 else F.shiftrightunsigned(wide, 32)
 
 
 def _fold(a, b, sign: int):
@@ -90,21 +91,22 @@ def text_form(lanes):
 
 def lanes_of(texts: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """``key`` and one array of lanes for each text column.  The key must be unique; one shuffle of sums, none of texts."""
-    def marked(j):
-        return F.transform(F.col(f"_h{j}"), lambda h: F.struct(F.lit(j).alias("of"), h.alias("h")))
 
-    sized = texts.select(key, *(_shingles(F.col(c)).alias(f"_h{j}") for j, c in enumerate(columns)), *(_exact(F.col(c)).alias(f"_e{j}") for j, c in enumerate(columns)))
-    marks = [marked(j) for j in range(len(columns))]
-    rows = sized.select(key, F.explode(F.concat(*marks)).alias("x")).select(key, F.col("x.of").alias("of"), F.col("x.h").alias("h"))
+    def marked(hashes, of):
+        return F.transform(hashes, lambda h: F.struct(F.lit(of).alias("of"), h.alias("h")))
+
+    marks = [m for j, c in enumerate(columns) for m in (marked(_shingles(F.col(c)), 2 * j), marked(_paragraphs(F.col(c)), 2 * j + 1))]
+    rows = texts.select(key, F.explode(F.concat(*marks)).alias("x")).select(key, F.col("x.of").alias("of"), F.col("x.h").alias("h"))
 
     def sums(j):
-        here = F.col("of") == j
-        return [*(F.sum(F.when(here, F.shiftrightunsigned(F.col("h"), b).bitwiseAND(F.lit(PAIR))).otherwise(0)).alias(f"_{j}_{b}") for b in range(PACKED)), F.sum(here.cast("long")).alias(f"_{j}_n")]
+        shingle, paragraph = F.col("of") == 2 * j, F.col("of") == 2 * j + 1
+        exact = [F.sum(F.when(paragraph, _exact_lane(F.col("h"), k)).otherwise(0)) for k in range(EXACT)]
+        packed = [F.sum(F.when(shingle, F.shiftrightunsigned(F.col("h"), b).bitwiseAND(F.lit(PAIR))).otherwise(0)) for b in range(PACKED)]
+        return [s.alias(f"_{j}_{k}") for k, s in enumerate([*exact, *packed, F.sum(shingle.cast("long"))])]
 
     counted = rows.groupBy(key).agg(*(s for j in range(len(columns)) for s in sums(j)))
-    exact = sized.select(key, *(f"_e{j}" for j in range(len(columns))))
-    both = exact.join(counted, key)
-    return both.select(key, *(F.concat(F.col(f"_e{j}"), F.array(*(f"_{j}_{b}" for b in range(PACKED)), f"_{j}_n")).alias(c) for j, c in enumerate(columns)))
+    lane = lambda j, k: F.col(f"_{j}_{k}").bitwiseAND(F.lit(LOW)) if k < EXACT else F.col(f"_{j}_{k}")
+    return counted.select(key, *(F.array(*(lane(j, k) for k in range(LANES))).alias(c) for j, c in enumerate(columns)))
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -139,11 +141,12 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     edited = F.concat(F.left(F.col("text"), F.col("n_chars").cast("int") - half), F.left(F.col("next_text"), half))
     rows = rows.select("doc_id", "n_chars", F.struct("bucket", "turn").alias("rid"), F.xxhash64("k", "text").alias("me"), F.xxhash64("next_k", "next_text").alias("next"), "text", edited.alias("edited"))
     lanes = lanes_of(rows, "rid", ["text", "edited"]).select("rid", F.col("text").alias("a"), F.col("edited").alias("b"))
-    info = rows.select("rid", "doc_id", "n_chars", "me", "next", F.sha2(F.col("edited"), 256).alias("edited_sha256"))
-    made = info.join(lanes, "rid")
-    following = made.groupBy(F.col("me").alias("next")).agg(F.first("a").alias("c"))
+    info = rows.select("rid", "doc_id", "n_chars", "me", "next", F.unhex(F.sha2(F.col("edited"), 256)).alias("sha"))
+    # Written once: its two uses below don't repeat the work on the texts.
+    made = Scratch(docs.sparkSession, "multiset").keep(info.join(lanes, "rid").drop("rid"), "lanes")
+    following = made.groupBy(F.col("me").alias("next")).agg(F.max("a").alias("c"))
     out = made.join(following, "next")
     return out.select(
-        "doc_id", "n_chars", "edited_sha256", text_form(F.col("a")).alias("fingerprint"), text_form(F.col("b")).alias("edited_fingerprint"),
+        "doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), text_form(F.col("a")).alias("fingerprint"), text_form(F.col("b")).alias("edited_fingerprint"),
         likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"),
     )
