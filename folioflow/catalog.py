@@ -276,7 +276,7 @@ def _pairs(spark, d):
     b, i = _t(spark, d, "benchmark").filter("item_id < 60"), F.col("item_id")
     acc = (i % 13).cast("string").alias("accession")
     gold = b.select(acc, F.concat(F.lit("item"), i.cast("string")).alias("item"), F.col("text").alias("html"))
-    text = F.when(i % 3 == 0, F.col("text")).when(i % 3 == 1, F.left("text", F.length("text") - 15)).otherwise(F.upper("text"))
+    text = F.when(i % 3 == 0, F.col("text")).when(i % 3 == 1, F.left("text", F.length("text") - 15)).otherwise(F.replace("text", F.lit("e"), F.lit("E")))
     pred = b.filter("item_id % 7 <> 3").select(acc, F.concat(F.lit("item"), (i + F.when(i % 11 == 0, 1000).otherwise(0)).cast("string")).alias("item"), text.alias("html"))
     return gold, pred
 

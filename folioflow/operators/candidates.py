@@ -12,11 +12,25 @@ from folioflow.operators.anchors import toc_like
 ROW = "array<struct<item:string,confidence:int,source:string>>"
 
 
-def cascade(windows: DataFrame, items: DataFrame) -> DataFrame:
-    """One winner for each anchor, by falling confidence; ``items``: the labels of its links."""
+def _labelled(windows: DataFrame, items: DataFrame) -> DataFrame:
+    """The windows with what each rule reads in them.
+
+    The labels are columns of their own, so that the many uses below don't repeat the rules.
+    """
     w = windows.join(items, ["accession", "anchor_id"], "left")
     head, both = F.left("ahead", F.lit(150)), F.concat_ws(" ", "behind", "ahead")
-    h, t = rules.earliest(head, rules.HEADINGS), rules.earliest(head, rules.TITLES)
+    texts = w.withColumns({"_head": head, "_both": both})
+    return texts.withColumns({
+        "_h": rules.earliest(F.col("_head"), rules.HEADINGS), "_t": rules.earliest(F.col("_head"), rules.TITLES),
+        "_hf": rules.heading_label(F.col("ahead")), "_tf": rules.title_label(F.col("ahead")), "_hb": rules.heading_label(F.col("_both")), "_tb": rules.title_label(F.col("_both")),
+        "_id": rules.id_label(F.col("anchor_id")), "_shared": rules.shared_label(F.col("items")), "_toc": toc_like(F.col("anchor_id"), F.col("tag"), F.col("ahead")),
+    })
+
+
+def cascade(windows: DataFrame, items: DataFrame) -> DataFrame:
+    """One winner for each anchor, by falling confidence; ``items``: the labels of its links."""
+    w = _labelled(windows, items)
+    h, t = F.col("_h"), F.col("_t")
     title_wins = h.isNull() & t.isNotNull() | (t.pos < h.pos) & (h.pos > 50)
 
     def pick(label, confidence):
@@ -25,25 +39,24 @@ def cascade(windows: DataFrame, items: DataFrame) -> DataFrame:
     listed = F.when(F.size("items") > 0, F.get(F.col("items"), F.lit(0)))
     early = F.when(title_wins, F.when(h.isNotNull(), pick(t.label, 6)).otherwise(pick(t.label, 3))).otherwise(pick(h.label, 6))
     best = F.coalesce(
-        pick(rules.shared_label(F.col("items")), 10), pick(rules.id_label(F.col("anchor_id")), 9), pick(listed, 8),
-        F.when(~toc_like(F.col("anchor_id"), F.col("tag"), F.col("ahead")), F.coalesce(early, pick(rules.heading_label(F.col("ahead")), 5), pick(rules.title_label(F.col("ahead")), 2), pick(rules.heading_label(both), 4), pick(rules.title_label(both), 1))),
+        pick(F.col("_shared"), 10), pick(F.col("_id"), 9), pick(listed, 8),
+        F.when(~F.col("_toc"), F.coalesce(early, pick(F.col("_hf"), 5), pick(F.col("_tf"), 2), pick(F.col("_hb"), 4), pick(F.col("_tb"), 1))),
     )
     return w.select("accession", "anchor_id", "o", best.alias("b")).filter("b is not null").select("accession", "anchor_id", "o", "b.item", "b.confidence")
 
 
 def collect(windows: DataFrame, items: DataFrame) -> DataFrame:
     """Every rule that matches gives a candidate; equal (item, anchor, source) count once."""
-    w = windows.join(items, ["accession", "anchor_id"], "left")
-    head, both = F.left("ahead", F.lit(150)), F.concat_ws(" ", "behind", "ahead")
+    w = _labelled(windows, items)
 
     def one(label, confidence, source, when=None):
         row = F.struct(label.alias("item"), F.lit(confidence).alias("confidence"), F.lit(source).alias("source"))
         return F.when(label.isNotNull() & (F.lit(True) if when is None else when), row)
 
-    h150, t150 = rules.heading_label(head), rules.title_label(head)
+    h150, t150 = F.col("_h.label"), F.col("_t.label")
     found = F.array_compact(F.array(
-        one(rules.id_label(F.col("anchor_id")), 9, "anchor_id"), one(h150, 6, "heading_150"), one(rules.heading_label(F.col("ahead")), 5, "heading_full", h150.isNull()),
-        one(t150, 3, "title_150"), one(rules.title_label(both), 1, "title_combined", ~rules.title_label(both).eqNullSafe(t150))))
+        one(F.col("_id"), 9, "anchor_id"), one(h150, 6, "heading_150"), one(F.col("_hf"), 5, "heading_full", h150.isNull()),
+        one(t150, 3, "title_150"), one(F.col("_tb"), 1, "title_combined", ~F.col("_tb").eqNullSafe(t150))))
     listed = F.transform(F.coalesce(F.col("items"), F.array().cast("array<string>")), lambda i: F.struct(i.alias("item"), F.lit(8).alias("confidence"), F.lit("toc_link").alias("source")))
     rel = T.relative_position(F.col("o"), F.col("html_len"))
     rows = w.select("accession", "anchor_id", "o", "tag", rel.alias("rel"), F.left("ahead", F.lit(200)).alias("nearby_text"), F.explode(F.concat(found.cast(ROW), listed.cast(ROW))).alias("c"))

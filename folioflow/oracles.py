@@ -127,7 +127,7 @@ issues AS MATERIALIZED (
   UNION ALL SELECT l.accession, 'missing_expected', d.item FROM len_ l, dim d WHERE d.expected AND NOT EXISTS (SELECT 1 FROM folded f WHERE f.accession = l.accession AND f.item = d.item))"""
 
 PAIRS = """gold AS (SELECT CAST(item_id % 13 AS VARCHAR) AS accession, 'item' || item_id AS item, text AS html FROM benchmark WHERE item_id < 60),
-pred AS (SELECT CAST(item_id % 13 AS VARCHAR) AS accession, 'item' || (item_id + CASE WHEN item_id % 11 = 0 THEN 1000 ELSE 0 END) AS item, CASE WHEN item_id % 3 = 0 THEN text WHEN item_id % 3 = 1 THEN substr(text, 1, CAST(length(text) - 15 AS INTEGER)) ELSE upper(text) END AS html FROM benchmark WHERE item_id % 7 <> 3 AND item_id < 60)"""
+pred AS (SELECT CAST(item_id % 13 AS VARCHAR) AS accession, 'item' || (item_id + CASE WHEN item_id % 11 = 0 THEN 1000 ELSE 0 END) AS item, CASE WHEN item_id % 3 = 0 THEN text WHEN item_id % 3 = 1 THEN substr(text, 1, CAST(length(text) - 15 AS INTEGER)) ELSE replace(text, 'e', 'E') END AS html FROM benchmark WHERE item_id % 7 <> 3 AND item_id < 60)"""
 
 
 def f1_sql(pairs: str) -> str:

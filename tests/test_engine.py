@@ -1,0 +1,144 @@
+"""The document-structure operators against DuckDB and against plain Python."""
+
+import glob
+import os
+from collections import Counter
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from folioflow import catalog
+from folioflow.functions import rules
+from folioflow.functions import text as T
+from folioflow.operators import evaluation, selection, state
+from folioflow.operators.matches import find_all
+from folioflow.sources import submissions
+
+SF = "/root/testdata/sf0.001"
+CHECKED = ["page_sections", "tag_offsets", "toc_ids", "anchors_last", "part_boundaries", "state_fold", "validate_issues", "span_sizes", "stall_runs", "eval_item", "eval_doc", "eval_corpus", "compaction_view", "run_summary"]
+
+
+def rows(names, table):
+    order = sorted(range(len(names)), key=lambda k: names[k])
+    return sorted(str(tuple(round(r[k], 6) if isinstance(r[k], float) else r[k] for k in order)) for r in table)
+
+
+@pytest.mark.parametrize("name", CHECKED)
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    for f in glob.glob(f"{SF}/*.parquet"):
+        con.execute(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
+    df = catalog.queries()[name](spark, SF)
+    got = con.execute(catalog.oracle_sql()[name])
+    assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows([c[0] for c in got.description], got.fetchall())
+
+
+def test_offsets_are_code_points(spark):
+    df = spark.createDataFrame([("a😀<b>x</b>",), ("",), (None,), ("<b>" * 3000,)], "h string")
+    got = find_all(df, F.col("h"), "<b>").groupBy("h").agg(F.min("o").alias("lo"), F.max("o").alias("hi"), F.count("*").alias("n")).collect()
+    assert {(r.lo, r.hi, r.n) for r in got} == {(2, 2, 1), (0, 8997, 3000)}
+
+
+def test_text_forms(spark):
+    df = spark.createDataFrame([("<p>A &amp;lt; B&nbsp;&#160; C</p>", "acc#x#y")], "h string, k string")
+    r = df.select(T.strip_html(F.col("h"), True).alias("s"), T.item_of_key(F.col("k")).alias("i")).first()
+    assert (r.s, r.i) == ("A &lt; B C", "x#y")
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [("item 1a. risk factors", "item1a"), ("item 1 business", None), ("item 1. business", "item1"), ("item 10", "item10"), ("item 9 changes", None), ("see item 7a and item 2", "item7a"), ("the signatures", "signatures"), ("", None)],
+)
+def test_heading_rules(spark, text, label):
+    assert spark.createDataFrame([(text,)], "t string").select(rules.heading_label(F.col("t"))).first()[0] == label
+
+
+def test_anchor_ids_and_shared_anchors(spark):
+    df = spark.createDataFrame([("ITEM1ARISK", ["item7", "item7a"]), ("item_7a", ["item10", "item1"]), ("x", ["item10", "item14", "item11"])], "a string, i array<string>")
+    got = [tuple(r) for r in df.select(rules.id_label(F.col("a")), rules.shared_label(F.col("i"))).collect()]
+    assert got == [("item1", "item7a"), ("item7a", None), (None, "item14")]
+
+
+def test_main_document(spark):
+    raw = ["<DOCUMENT>\n<TYPE>EX-1\n<TEXT>no</DOCUMENT><DOCUMENT>\n<TYPE>10-K/A\n<TEXT>yes</TEXT></DOCUMENT>", "<DOCUMENT>\n<TYPE>10-K405\n<TEXT>no</DOCUMENT>", ""]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in raw], "c string").select(submissions.main_document(F.col("c"))).collect()]
+    assert got == ["yes</TEXT></DOCUMENT>", raw[1], ""]
+
+
+def best_chain(cands):
+    c = sorted(cands, key=lambda r: (r[0], rules.SEQ[r[1]], -r[2]))
+    top = max(r[0] for r in c)
+    best = []
+    for i, (o, item, conf) in enumerate(c):
+        prev = None
+        for j in range(i):
+            if c[j][0] < o and rules.SEQ[c[j][1]] < rules.SEQ[item] and (prev is None or best[j][0] > best[prev][0]):
+                prev = j
+        best.append((conf * 10**6 + top - o + (best[prev][0] if prev is not None else 0), prev))
+    k = max(range(len(c)), key=lambda i: (best[i][0], -i))
+    out = []
+    while k is not None:
+        out.append((c[k][1], c[k][0]))
+        k = best[k][1]
+    return sorted(out)
+
+
+def test_ordered_selection_equals_plain_loop(spark):
+    import random
+
+    rng, data = random.Random(3), {}
+    for acc in "abcdef":
+        data[acc] = [(rng.randrange(0, 4000, 50), rng.choice(rules.LABELS[:12]), rng.choice([1, 3, 6, 8, 9])) for _ in range(rng.randrange(1, 25))]
+    df = spark.createDataFrame([(a, i, f"x{k}", o, c) for a, v in data.items() for k, (o, i, c) in enumerate(v)], "accession string, item string, anchor_id string, o long, confidence int")
+    got = {}
+    for r in selection.select_ordered(df).collect():
+        got.setdefault(r.accession, []).append((r.item, r.o))
+    for acc, v in data.items():
+        mine = sorted(got[acc])
+        assert [o for _, o in sorted(mine, key=lambda x: x[1])] == sorted({o for _, o in mine})
+        weight = lambda ch: sum(max(c for o2, i2, c in v if (i2, o2) == x) * 10**6 + max(o for o, _, _ in v) - x[1] for x in ch)
+        assert weight(mine) == weight(best_chain(v))
+
+
+def test_slices_and_null_places(spark):
+    f = spark.createDataFrame([("a", "0123456789")], "accession string, html string")
+    c = spark.createDataFrame([("a", "item1", 2), ("a", "item2", 5), ("a", "item10", None), ("a", "item3", 99)], "accession string, item string, o long")
+    assert {(r.item, r.html) for r in selection.slices(f, c).collect()} == {("item1", "234"), ("item2", "56789"), ("item10", "")}
+
+
+def test_char_f1_equals_counters(spark):
+    data = [("1", "abc", "abd"), ("2", "", ""), ("3", "x", ""), ("4", "<b>aa</b>", "aa"), ("5", None, "q"), ("6", "ab", "cd")]
+    df = spark.createDataFrame(data, "k string, pred string, truth string")
+    got = {r.k: r.f1 for r in evaluation.char_f1(df, ["k"]).collect()}
+    both = sum((Counter("abc") & Counter("abd")).values())
+    assert got == pytest.approx({"1": 2 * both / 6, "2": 1.0, "3": 0.0, "4": 1.0, "5": 0.0, "6": 0.0})
+
+
+def test_null_places_break_order_unless_told(spark):
+    a = spark.createDataFrame([("a", "item14", "x", None, 1), ("a", "item1", "y", 5, 2)], "accession string, item string, anchor_id string, o long, turn int")
+    n = spark.createDataFrame([("a", 100)], "accession string, html_len int")
+    kinds = lambda flag: {r.type for r in state.issues(a, n, flag).filter("item = 'item1'").collect()}
+    assert kinds(True) == {"order_violation"} and kinds(False) == set()
+
+
+def test_tools_report_errors(spark):
+    from folioflow.operators.tools import Tools
+    from folioflow.plans import rule_pipeline
+
+    f = spark.createDataFrame([("a", '<a href="#s1">Item 2. Properties</a><div><a id="s1"></a></div><p>Item 2. Properties text</p>')], "accession string, html string")
+    tools = Tools(rule_pipeline.build_index(f), spark.createDataFrame([], "accession string, turn int, ord int, action string, item string, anchor_id string, o long"))
+    assert "error" in tools.call("no_such") and "error" in tools.call("read_text_at", nothing=1)
+    tools.call("assign_item", accession="a", turn=1, item="item2", anchor_id="s1", o=41)
+    assert [r.item for r in tools.call("get_current_assignments").collect()] == ["item2"]
+
+
+def test_streamed_state_equals_fold(spark, tmp_path):
+    from folioflow.streaming import assignments
+
+    data = [("a", 1, 0, "assign", "item1", "x", 5), ("a", 2, 0, "assign", "item1", "y", -1), ("a", 3, 0, "unassign", "item2", None, None)]
+    df = spark.createDataFrame(data, assignments.EVENTS)
+    df.write.parquet(str(tmp_path / "in"))
+    q = assignments.live_state(spark, str(tmp_path / "in"), str(tmp_path / "ck"), "live")
+    q.awaitTermination(120)
+    assert spark.table("live").collect() == state.fold(df).collect()
