@@ -160,9 +160,9 @@ def repeated_windows(rows: DataFrame, hold: Scratch) -> DataFrame:
         import pyarrow as pa
 
         made, table = Anchors(), marks.value.view(np.uint64)
-        names = ["key", "id", "first", "low", "high", "bytes"]
+        names = ["key", "span", "id", "first", "low", "high", "bytes"]
         for batch in batches:
-            out = [[], [], [], [], [], []]
+            out = [[], [], [], [], [], [], []]
             size = 0
             for k, t in zip(batch.column("id").to_pylist(), batch.column("t").to_pylist()):
                 raw = _raw(t)
@@ -181,15 +181,16 @@ def repeated_windows(rows: DataFrame, hold: Scratch) -> DataFrame:
                     if not len(a):
                         continue
                     key = mix(made.rank(a - s, a - (end - 1) + LENGTH) * np.uint64(3) + rank[here] + np.uint64(s))
-                    for o, c in zip(out, (key.view(np.int64), np.full(len(a), k), a - hi, lo, hi)):
+                    span = mix(made.rank(a - hi, a - lo + LENGTH) + (hi.astype(np.uint64) << np.uint64(8)) + lo.astype(np.uint64))
+                    for o, c in zip(out, (key.view(np.int64), span.view(np.int64), np.full(len(a), k), a - hi, lo, hi)):
                         o.append(c)
-                    out[5] += [raw[x:y].tobytes() for x, y in zip((a - hi).tolist(), (a - lo + LENGTH).tolist())]
+                    out[6] += [raw[x:y].tobytes() for x, y in zip((a - hi).tolist(), (a - lo + LENGTH).tolist())]
                     size += len(a)
                 if size > 20_000:
-                    yield _frame([*(np.concatenate(o) for o in out[:5]), pa.array(out[5], pa.binary())], names)
-                    out, size = [[], [], [], [], [], []], 0
+                    yield _frame([*(np.concatenate(o) for o in out[:6]), pa.array(out[6], pa.binary())], names)
+                    out, size = [[], [], [], [], [], [], []], 0
             if size:
-                yield _frame([*(np.concatenate(o) for o in out[:5]), pa.array(out[5], pa.binary())], names)
+                yield _frame([*(np.concatenate(o) for o in out[:6]), pa.array(out[6], pa.binary())], names)
 
     def windows(batches):
         import numpy as np
@@ -229,8 +230,20 @@ def repeated_windows(rows: DataFrame, hold: Scratch) -> DataFrame:
             stop = again & (np.concatenate([~again[1:], [True]]) | np.concatenate([new_row[1:], [True]]))
             return _frame([doc[row[start]], p[start], p[stop]], ["id", "first", "last"])
 
-        held, blobs, n = [], [], 0
+        held, blobs, n, before = [], [], 0, None
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            # A span that came before repeats as a whole: a hot group keeps one row for each different span.
+            key, span = np.asarray(batch.column("key")), np.asarray(batch.column("span"))
+            again = np.zeros(len(key), bool)
+            again[1:] = (key[1:] == key[:-1]) & (span[1:] == span[:-1])
+            again[0] = before == (key[0], span[0])
+            before = key[-1], span[-1]
+            if again.any():
+                first, low, high = (np.asarray(batch.column(c))[again] for c in ("first", "low", "high"))
+                yield _frame([np.asarray(batch.column("id"))[again], first, first + high - low], ["id", "first", "last"])
+                batch = batch.filter(pa.array(~again))
             if not batch.num_rows:
                 continue
             held.append([np.asarray(batch.column(c)) for c in names])
@@ -250,7 +263,7 @@ def repeated_windows(rows: DataFrame, hold: Scratch) -> DataFrame:
             if done is not None:
                 yield done
 
-    round2 = rows.mapInArrow(slots, "key long, id long, first long, low long, high long, bytes binary").repartition(parts, "key").sortWithinPartitions("key")
+    round2 = rows.mapInArrow(slots, "key long, span long, id long, first long, low long, high long, bytes binary").repartition(parts, "key").sortWithinPartitions("key", "span", "id", "first")
     partly = hold.keep(round2.mapInArrow(windows, "id long, first long, last long"), "round3")
     return whole.unionByName(partly)
 
