@@ -103,21 +103,21 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
     dice = F.pmod(F.xxhash64(F.lit("language"), F.col(key)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     picked = docs.filter(F.col(lang).isNotNull() & (dice < F.element_at(keep, F.col(lang).cast("string")))).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
 
-    def bundles(frames):
+    def bundles(batches):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
         made, sums = profiles(dim, n), {}
-        for pdf in frames:
-            for g, t in zip(pdf.lang, pdf.text):
+        for batch in batches:
+            for g, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 v = made.bundle(t)
                 if v is not None and (size := float(np.linalg.norm(v))):
                     sums[g] = sums.get(g, 0) + v / size
-        yield pd.DataFrame({"lang": list(sums), "v": [x.astype(np.float64).tolist() for x in sums.values()]}, columns=["lang", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.astype(np.float64).tolist() for x in sums.values()], pa.list_(pa.float64()))], names=["lang", "v"])
 
     import numpy as np
 
-    parts = picked.mapInPandas(bundles, "lang string, v array<double>").select("lang", F.posexplode("v").alias("j", "x")).groupBy("lang", "j").agg(F.sum("x").alias("x"))
+    parts = picked.mapInArrow(bundles, "lang string, v array<double>").select("lang", F.posexplode("v").alias("j", "x")).groupBy("lang", "j").agg(F.sum("x").alias("x"))
     out: dict[str, object] = {}
     for r in parts.collect():  # languages times dimensions
         out.setdefault(r["lang"], np.zeros(dim))[r["j"]] = r["x"]

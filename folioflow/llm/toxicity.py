@@ -82,43 +82,44 @@ class BlockMaxIndex:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_examples: int = 10_000, max_terms: int = 4096, least_share: float = 0.6) -> dict:
     """The model, a plain dict.  ``labels``: the rows that may be learned from (key, label)."""
-    y = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    y = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("k")).agg(F.max(F.col(label).cast("int")).alias("y"))
     count = y.count()
     if not count:
         return {"terms": {}, "idf": [], "vectors": [], "labels": [], "ids": [], "prior": 0.0}
     share = min(1.0, max_examples / count)
     drawn = y.filter(F.pmod(F.xxhash64(F.lit("toxic"), "k"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(drawn), "k")
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(drawn), "k")
     examples = rows.groupBy(F.xxhash64(F.coalesce("t", F.lit(""))).alias("h")).agg(F.min(F.struct("k", "y", "t")).alias("r")).select("r.*").persist()
 
-    def counts(frames):
-        import pandas as pd
+    def counts(batches):
+        import pyarrow as pa
 
         n, a = Counter(), Counter()
-        for pdf in frames:
-            for t, lab in zip(pdf.t, pdf.y):
+        for batch in batches:
+            for t, lab in zip(batch.column("t").to_pylist(), batch.column("y").to_pylist()):
                 own = features(t).keys()
                 n.update(own)
                 if lab:
                     a.update(own)
-        yield pd.DataFrame({"term": list(n), "n": list(n.values()), "a": [a[w] for w in n]})
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([a[w] for w in n], pa.int64())], names=["term", "n", "a"])
 
     z2 = 1.96**2
     p = F.col("a") / F.col("n")
     wilson = (p + z2 / (2 * F.col("n")) - F.sqrt(z2 * (p * (1 - p) / F.col("n") + z2 / (4 * F.col("n") * F.col("n"))))) / (1 + z2 / F.col("n"))
-    stats = examples.mapInPandas(counts, "term string, n long, a long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("a").alias("a")).filter("a >= 3")
+    stats = examples.mapInArrow(counts, "term string, n long, a long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("a").alias("a")).filter("a >= 3")
     chosen = stats.withColumn("sure", wilson).filter(F.col("sure") >= least_share).orderBy(F.desc("sure"), "term").limit(max_terms).collect()
     chosen = without_longer(chosen)
     terms = {r["term"]: j for j, r in enumerate(chosen)}
 
-    def vectors(frames):
-        import pandas as pd
+    def vectors(batches):
+        import pyarrow as pa
 
-        for pdf in frames:
-            found = [[(terms[w], c) for w, c in features(t).items() if w in terms] for t in pdf.t]
-            yield pd.DataFrame({"k": pdf.k, "y": pdf.y, "j": [[j for j, _ in f] for f in found], "c": [[c for _, c in f] for f in found]})
+        for batch in batches:
+            found = [[(terms[w], c) for w, c in features(t).items() if w in terms] for t in batch.column("t").to_pylist()]
+            columns = [[[x[k] for x in f] for f in found] for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("y"), *(pa.array(c, pa.list_(pa.int32())) for c in columns)], names=["k", "y", "j", "c"])
 
-    got = sorted(examples.mapInPandas(vectors, "k long, y int, j array<int>, c array<int>").collect(), key=lambda r: r["k"])
+    got = sorted(examples.mapInArrow(vectors, "k long, y int, j array<int>, c array<int>").collect(), key=lambda r: r["k"])
     examples.unpersist()
     idf = [math.log((1 + len(got)) / (1 + r["n"])) for r in chosen]
     bare = [r["y"] for r in got if not r["j"]]
