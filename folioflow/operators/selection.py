@@ -82,15 +82,15 @@ def heading_fallback(filings: DataFrame, chosen: DataFrame, wanted: DataFrame) -
 def slices(filings: DataFrame, chosen: DataFrame) -> DataFrame:
     """accession, item, html: from each place to the next one or the end; null places give the empty text."""
     docs = filings.select("accession", "html", F.length("html").alias("n"))
-    c = chosen.join(docs.select("accession", "n"), "accession").filter("o is null or (o >= 0 and o < n)")
-    first = Window.partitionBy("accession", "item").orderBy("o")
-    placed = c.filter("o is not null").withColumn("r", F.row_number().over(first)).filter("r = 1")
+    # Offsets are settled before the texts come in, and ``chosen`` is read once.
+    first = Window.partitionBy("accession", "item").orderBy(F.asc_nulls_last("o"))
+    c = chosen.filter("o is null or o >= 0").join(docs.select("accession", "n"), "accession").filter("o is null or o < n")
+    c = c.withColumn("r", F.row_number().over(first)).filter("r = 1")
     once = Window.partitionBy("accession", "o").orderBy(rules.seq_of(F.col("item")), "item")
-    placed = placed.withColumn("r", F.row_number().over(once)).filter("r = 1")
-    ends = placed.withColumn("stop", F.coalesce(F.lead("o").over(Window.partitionBy("accession").orderBy("o")), F.col("n")))
-    cut = ends.join(docs.drop("n"), "accession").select("accession", "item", F.expr("substring(html, cast(o as int) + 1, cast(stop - o as int))").alias("html"))
-    empty = c.filter("o is null").select("accession", "item").distinct().join(cut, ["accession", "item"], "left_anti").withColumn("html", F.lit(""))
-    return cut.unionByName(empty)
+    c = c.withColumn("r", F.row_number().over(once)).filter("o is null or r = 1")
+    ends = c.withColumn("stop", F.coalesce(F.lead("o").over(Window.partitionBy("accession").orderBy(F.asc_nulls_last("o"))), F.col("n")))
+    cut = F.when(F.col("o").isNull(), "").otherwise(F.expr("substring(html, cast(o as int) + 1, cast(stop - o as int))"))
+    return ends.select("accession", "item", "o", "stop").join(docs.drop("n"), "accession").select("accession", "item", cut.alias("html"))
 
 
 OPEN_WRAPPER = r"(?is)<(?:div|p|span|a)\b[^<>]*>\s*\z"
