@@ -2,7 +2,10 @@
 
 Each text's distinct word shingles are hashed to 64 bits.  Equal sets are one *class*, represented
 by its smallest id.  A pair with similarity ``t`` shares one of the first ``n - ceil(t n) + 1``
-hashes of either set in ascending order, so a *cell* for each such hash holds every linked pair.
+hashes of either set in any one order of all hashes, so a *cell* for each such hash holds every linked pair.
+The order is rare before frequent, then ascending: what many texts share stands last and makes no
+large cells.  Frequent are the ``FREQUENT`` hashes most often seen at least four times in a batch of
+texts; which ones are found shapes the cells only, never the result.
 Cells with the same members count once, and one of more than ``cell_rows`` members is dealt into pairs
 of blocks, which are joined in parallel.
 
@@ -39,6 +42,7 @@ from .components import components
 from .shingles import Shingler
 
 BITS = 1024
+FREQUENT = 1 << 17
 LEAF = 16
 FAN = 8
 
@@ -60,7 +64,41 @@ def np_max(n, m):
     return np.maximum(n, m)
 
 
-def shingle_table(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+def frequent_shingles(texts: DataFrame, size: int):
+    """The most frequent shingle hashes, ascending, and their counts: two arrays of at most FREQUENT elements."""
+    import numpy as np
+
+    def run(batches):
+        import pyarrow as pa
+
+        made = Shingler(size)
+        for batch in batches:
+            sets = [np.zeros(0, np.uint64), *(made.sets(t) for t in batch.column("t").to_pylist())]
+            found, seen = np.unique(np.concatenate(sets), return_counts=True)
+            often = seen >= 4
+            yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(seen[often])], names=["h", "seen"])
+
+    top = texts.mapInArrow(run, "h long, seen long").groupBy("h").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "h").limit(FREQUENT).toArrow()
+    hashes, seen = top.column("h").to_numpy().view(np.uint64), top.column("seen").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], seen[order]
+
+
+def rare_first(s, hashes, seen):
+    """The set ``s`` (ascending) with its frequent hashes last, the rarer of them first."""
+    import numpy as np
+
+    if not len(hashes):
+        return s
+    spot = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
+    count = np.where(hashes[spot] == s, seen[spot], 0)
+    return s[np.argsort(count, kind="stable")] if count.any() else s
+
+
+def shingle_table(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """``texts``: id, t.  Size, digest, first hashes and bitmap of every text's set."""
+    shared = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts, size))  # 2 MB at most
+
     def run(batches):
         import hashlib
 
@@ -74,13 +112,13 @@ def shingle_table(docs: DataFrame, key: str, text: str, size: int, percent: int)
                 s = made.sets(t)
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                prefix.append(s[: len(s) - least_common(len(s), percent) + 1].view(np.int64) if len(s) else s.view(np.int64))
+                prefix.append(rare_first(s, *shared.value)[: len(s) - least_common(len(s), percent) + 1].view(np.int64) if len(s) else s.view(np.int64))
                 flags = np.zeros(BITS, np.uint8)
                 flags[s & np.uint64(BITS - 1)] = 1
                 bits.append(np.packbits(flags).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["id", "n", "digest", "prefix", "bits"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(run, "id long, n long, digest binary, prefix array<long>, bits binary")
+    return texts.mapInArrow(run, "id long, n long, digest binary, prefix array<long>, bits binary")
 
 
 class SignatureTree:
@@ -243,7 +281,8 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     """doc_id, n_shingles, rep (smallest id with the same set) and component_id (smallest id reachable by links)."""
     spark = docs.sparkSession
     hold = Scratch(spark, "jaccard")
-    made = hold.keep(shingle_table(docs, key, text, size, percent), "shingles")
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
+    made = hold.keep(shingle_table(texts, size, percent), "shingles")
     classes = made.filter("n > 0").groupBy("digest").agg(F.min("id").alias("rep"))
     member = hold.keep(made.select("id", "n", "digest").join(classes, "digest", "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "members")
     reps = member.filter("n > 0 and id = rep").select("id").distinct()
@@ -258,7 +297,6 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     inside = hold.keep(met.join(cells, "token").join(heat, "id"), "inside")
     hold.drop("tokens", "met")
     bits = made.select("id", "bits")
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
     no_limit = F.lit(1 << 40)
 
     def paired(rows: DataFrame, spanning: bool) -> DataFrame:
@@ -287,7 +325,9 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     known = components(links, hold, "cc1")
     labelled = hold.keep(wide.drop("comp").join(known.select(F.col("v").alias("id"), F.col("c")), "id", "left").select("token", "m", "w", "id", "n", "hot", F.coalesce("c", "id").alias("comp")), "labelled")
     mixed = labelled.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("token")
-    second = hold.keep(paired(labelled.join(mixed, "token", "left_semi"), False).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "second")
+    # Written between: Spark would push the anti join below the distinct, to every cell's own mention of a pair.
+    met = hold.keep(paired(labelled.join(mixed, "token", "left_semi"), False).select("a", "b").distinct(), "remaining")
+    second = hold.keep(met.join(first, ["a", "b"], "left_anti"), "second")
     more = verified(second, texts, hold, size, percent, "second", broadcast_rows)
     final = components(links.unionByName(more), hold, "cc2")
     out = member.join(final.select(F.col("v").alias("rep"), F.col("c")), "rep", "left")
