@@ -89,14 +89,18 @@ def text_form(lanes):
     return F.concat_ws("", F.transform(lanes, lambda x: F.lpad(F.hex(x), 16, "0")))
 
 
-def lanes_of(texts: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """``key`` and one array of lanes for each text column.  The key must be unique; one shuffle of sums, none of texts."""
+def lanes_of(texts: DataFrame, key: str | list[str], columns: list[str]) -> DataFrame:
+    """The key columns and one array of lanes for each text column.
+
+    The key must be unique.  Sums are shuffled, never texts; nothing is where the texts are already dealt by one of the key's columns.
+    """
+    keys = [key] if isinstance(key, str) else key
 
     def marked(hashes, of):
         return F.transform(hashes, lambda h: F.struct(F.lit(of).alias("of"), h.alias("h")))
 
     marks = [m for j, c in enumerate(columns) for m in (marked(_shingles(F.col(c)), 2 * j), marked(_paragraphs(F.col(c)), 2 * j + 1))]
-    rows = texts.select(key, F.explode(F.concat(*marks)).alias("x")).select(key, F.col("x.of").alias("of"), F.col("x.h").alias("h"))
+    rows = texts.select(*keys, F.explode(F.concat(*marks)).alias("x")).select(*keys, F.col("x.of").alias("of"), F.col("x.h").alias("h"))
 
     def sums(j):
         shingle, paragraph = F.col("of") == 2 * j, F.col("of") == 2 * j + 1
@@ -104,9 +108,9 @@ def lanes_of(texts: DataFrame, key: str, columns: list[str]) -> DataFrame:
         packed = [F.sum(F.when(shingle, F.shiftrightunsigned(F.col("h"), b).bitwiseAND(F.lit(PAIR))).otherwise(0)) for b in range(PACKED)]
         return [s.alias(f"_{j}_{k}") for k, s in enumerate([*exact, *packed, F.sum(shingle.cast("long"))])]
 
-    counted = rows.groupBy(key).agg(*(s for j in range(len(columns)) for s in sums(j)))
+    counted = rows.groupBy(*keys).agg(*(s for j in range(len(columns)) for s in sums(j)))
     lane = lambda j, k: F.col(f"_{j}_{k}").bitwiseAND(F.lit(LOW)) if k < EXACT else F.col(f"_{j}_{k}")
-    return counted.select(key, *(F.array(*(lane(j, k) for k in range(LANES))).alias(c) for j, c in enumerate(columns)))
+    return counted.select(*keys, *(F.array(*(lane(j, k) for k in range(LANES))).alias(c) for j, c in enumerate(columns)))
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -139,11 +143,12 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     half = F.floor(F.length("text") / 2).cast("int")
     rows = with_next(docs, key, text).withColumn("n_chars", F.length("text").cast("long"))
     edited = F.concat(F.left(F.col("text"), F.col("n_chars").cast("int") - half), F.left(F.col("next_text"), half))
-    rows = rows.select("doc_id", "n_chars", F.struct("bucket", "turn").alias("rid"), F.xxhash64("k", "text").alias("me"), F.xxhash64("next_k", "next_text").alias("next"), "text", edited.alias("edited"))
-    lanes = lanes_of(rows, "rid", ["text", "edited"]).select("rid", F.col("text").alias("a"), F.col("edited").alias("b"))
-    info = rows.select("rid", "doc_id", "n_chars", "me", "next", F.unhex(F.sha2(F.col("edited"), 256)).alias("sha"))
+    sha = F.unhex(F.sha2(edited, 256)).alias("sha")
+    # Dealt by bucket already, and the key has all that is wanted of a row: the texts are shuffled once and the sums not at all.
+    keys = ["bucket", "turn", "doc_id", "n_chars", "me", "next", "sha"]
+    rows = rows.select("bucket", "turn", "doc_id", "n_chars", F.xxhash64("k", "text").alias("me"), F.xxhash64("next_k", "next_text").alias("next"), sha, F.col("text").alias("a"), edited.alias("b"))
     # Written once: its two uses below don't repeat the work on the texts.
-    made = Scratch(docs.sparkSession, "multiset").keep(info.join(lanes, "rid").drop("rid"), "lanes")
+    made = Scratch(docs.sparkSession, "multiset").keep(lanes_of(rows, keys, ["a", "b"]).drop("bucket", "turn"), "lanes")
     following = made.groupBy(F.col("me").alias("next")).agg(F.max("a").alias("c"))
     out = made.join(following, "next")
     return out.select(
