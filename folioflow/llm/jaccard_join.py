@@ -4,7 +4,7 @@ Each text's distinct word shingles are hashed to 64 bits.  Equal sets are one *c
 by its smallest id.  A pair with similarity ``t`` shares one of the first ``n - ceil(t n) + 1``
 hashes of either set in any one order of all hashes, so a *cell* for each such hash holds every linked pair.
 The order is rare before frequent, then ascending: what many texts share stands last and makes no
-large cells.  Frequent are the ``FREQUENT`` hashes most often seen at least four times in a batch of
+large cells.  Frequent are the ``FREQUENT`` hashes most often seen at least four times in a run of
 texts; which ones are found shapes the cells only, never the result.
 Cells with the same members count once, and one of more than ``cell_rows`` members is dealt into pairs
 of blocks, which are joined in parallel.
@@ -71,12 +71,21 @@ def frequent_shingles(texts: DataFrame, size: int):
     def run(batches):
         import pyarrow as pa
 
-        made = Shingler(size)
-        for batch in batches:
-            sets = [np.zeros(0, np.uint64), *(made.sets(t) for t in batch.column("t").to_pylist())]
+        def often(sets):
             found, seen = np.unique(np.concatenate(sets), return_counts=True)
-            often = seen >= 4
-            yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(seen[often])], names=["h", "seen"])
+            found, seen = found[seen >= 4], seen[seen >= 4]
+            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(seen)], names=["h", "seen"])
+
+        made, sets, held = Shingler(size), [], 0
+        for batch in batches:
+            for t in batch.column("t").to_pylist():
+                sets.append(made.sets(t))
+                held += len(sets[-1])
+                if held > 1 << 21:  # 16 MB
+                    yield often(sets)
+                    sets, held = [], 0
+        if sets:
+            yield often(sets)
 
     top = texts.mapInArrow(run, "h long, seen long").groupBy("h").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "h").limit(FREQUENT).toArrow()
     hashes, seen = top.column("h").to_numpy().view(np.uint64), top.column("seen").to_numpy()
