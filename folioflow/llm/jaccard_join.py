@@ -24,7 +24,7 @@ traversed twice: first each set keeps only its most promising partner before it;
 are closed to components; then all remaining pairs *between different components* are compared.  No
 link that could join two components is lost, and pairs inside one are not needed.
 
-Bounded memory: a task holds the bitmaps of two blocks; the broadcast id lists are size-checked.
+Bounded memory: a task holds ``BATCH`` texts, pairs of sets or cells (of two blocks each) at once; the broadcast id lists are size-checked.
 
 Defined cases: null and empty texts have the empty set and link with nothing; fewer words than the
 shingle size are one shingle; ties and repeated rows fall into one class; ids are keys (rows that
@@ -37,12 +37,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, arrow_rows
 from .components import components
 from .shingles import Shingler
 
 BITS = 1024
 FREQUENT = 1 << 17
+BATCH = 256
 LEAF = 16
 FAN = 8
 
@@ -81,7 +82,7 @@ def frequent_shingles(texts: DataFrame, size: int):
             for t in batch.column("t").to_pylist():
                 sets.append(made.sets(t))
                 held += len(sets[-1])
-                if held > 1 << 21:  # 16 MB
+                if held > 1 << 19:  # 4 MB
                     yield often(sets)
                     sets, held = [], 0
         if sets:
@@ -150,7 +151,7 @@ class SignatureTree:
         return LEAF if level == 1 else FAN
 
 
-def traverse(a: SignatureTree, b: SignatureTree, percent: int, same: bool, chunk: int = 200_000):
+def traverse(a: SignatureTree, b: SignatureTree, percent: int, same: bool, chunk: int = 16_384):
     """Pairs (i, j, bound) of leaves that the node bounds leave over; i < j where both trees are one."""
     import numpy as np
 
@@ -288,8 +289,12 @@ def verified(pairs: DataFrame, texts: DataFrame, hold: Scratch, size: int, perce
 
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85, cell_rows: int = 1024, small: int = 48, broadcast_rows: int = 500_000) -> DataFrame:
     """doc_id, n_shingles, rep (smallest id with the same set) and component_id (smallest id reachable by links)."""
-    spark = docs.sparkSession
-    hold = Scratch(spark, "jaccard")
+    with arrow_rows(docs.sparkSession, BATCH):  # all Python work is written to tables in there
+        return _near_components(docs, key, text, size, percent, cell_rows, small, broadcast_rows)
+
+
+def _near_components(docs: DataFrame, key: str, text: str, size: int, percent: int, cell_rows: int, small: int, broadcast_rows: int) -> DataFrame:
+    hold = Scratch(docs.sparkSession, "jaccard")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
     made = hold.keep(shingle_table(texts, size, percent), "shingles")
     classes = made.filter("n > 0").groupBy("digest").agg(F.min("id").alias("rep"))
