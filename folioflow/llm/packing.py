@@ -7,6 +7,8 @@ Crossover injects whole well-filled bins of one parent into the other, removes t
 the same items, and best-fits the displaced items in decreasing order.  After an epoch each island
 gets the elite of its block's other islands.  Bins that stay below ``keep_fill`` are opened again
 and their items dealt into fewer, mixed blocks, so that blocks don't each leave a half-empty bin.
+That goes on until one block is left, no block is saved, or ``rounds`` are over; the last round keeps
+all its bins, however full, so every item is placed.
 
 Bounded memory: a task holds one block's sizes and a few chromosomes, whatever the corpus.
 
@@ -135,7 +137,7 @@ def evolve(sizes: list[int], migrants, seed: int, capacity: int, population: int
     return label
 
 
-def pack(items: DataFrame, size: str = "length", capacity: int = 4096, block_items: int = 2000, islands: int = 2, epochs: int = 2, population: int = 4, generations: int = 4, keep_fill: float = 0.999, seed: int = 7) -> DataFrame:
+def pack(items: DataFrame, size: str = "length", capacity: int = 4096, block_items: int = 2000, islands: int = 2, epochs: int = 2, population: int = 4, generations: int = 4, keep_fill: float = 0.999, seed: int = 7, rounds: int = 12) -> DataFrame:
     """``items`` with ``sequence_id`` and ``offset`` (gapless from 0 in each sequence)."""
     spark = items.sparkSession
     hold = Scratch(spark, "pack")
@@ -167,11 +169,12 @@ def pack(items: DataFrame, size: str = "length", capacity: int = 4096, block_ite
                 out[-n:] = [(*x, fill[x[2]]) for x in out[-n:]]
             yield pd.DataFrame(out, columns=["block", "k", "bin", "offset", "fill"])
 
-    left = todo.count()
     full = todo.filter(F.col("i._size") >= capacity)
-    done.append(full.select("i", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
+    # Ids from 1 << 62 up; those of bins stay below.
+    done.append(full.select("i", (F.lit(1 << 62) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
     todo, base, last = todo.filter(F.col("i._size") < capacity), 1, None
-    for turn in range(12):
+    wide = max(13, (4 * block_items).bit_length())
+    for turn in range(rounds):
         left = todo.count()
         n_blocks = max(1, -(-left // block_items))
         if not left:
@@ -190,8 +193,8 @@ def pack(items: DataFrame, size: str = "length", capacity: int = 4096, block_ite
             blocks.select("block", F.posexplode("items").alias("k", "i")).join(spots, ["block", "k"]),
             f"placed{turn}",
         )
-        number = (F.lit(base << 40) + F.col("block") * F.lit(1 << 13) + F.col("bin")).alias("sequence_id") if block_items <= 1 << 12 else F.xxhash64("block", "bin", F.lit(turn)).alias("sequence_id")
-        final = n_blocks == 1 or last == n_blocks
+        number = (F.lit(base << (27 + wide)) + F.col("block") * F.lit(1 << wide) + F.col("bin")).alias("sequence_id")
+        final = n_blocks == 1 or last == n_blocks or turn == rounds - 1
         settled = out if final else out.filter(F.col("fill") >= keep_fill * capacity)
         done.append(settled.select("i", number, "offset"))
         if final:

@@ -137,6 +137,28 @@ def test_packing(spark, odd, none):
     assert packing.pack(packing.token_pieces(odd)).filter("doc_id = 0").first().length == 1
 
 
+def test_packing_places_every_item(spark):
+    """More blocks than rounds can settle: the items still open in the last round are placed too."""
+    import random
+
+    rng = random.Random(11)
+    sizes = {k: min(1000, max(1, int(rng.lognormvariate(5.5, 1)))) for k in range(3000)}
+    df = spark.createDataFrame(list(sizes.items()), "doc_id long, length long")
+    got = packing.pack(df, capacity=1000, block_items=6, islands=1, epochs=1, generations=1).toPandas()
+    assert sorted(got.doc_id) == sorted(sizes) and got.groupby("sequence_id").length.sum().max() <= 1000
+
+
+def test_packing_ids_of_full_pieces_are_their_own(spark):
+    df = spark.range(0, 300, 1, 300).select("id", F.when(F.col("id") < 290, 10).otherwise(3).alias("length"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        got = packing.pack(df, capacity=10, islands=1, epochs=1).toPandas()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == 300 and got.groupby("sequence_id").length.sum().max() <= 10
+
+
 def test_toxicity_top_is_exact(spark, odd, none):
     import random
 
