@@ -115,6 +115,16 @@ def test_char_f1_equals_counters(spark):
     assert got == pytest.approx({"1": 2 * both / 6, "2": 1.0, "3": 0.0, "4": 1.0, "5": 0.0, "6": 0.0})
 
 
+def test_evaluation_reads_every_benchmark_row(spark, tmp_path):
+    n = 130
+    spark.range(n).select(F.col("id").alias("item_id"), F.concat(F.lit("a sentence with some letters, number "), "id").alias("text")).write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.range(2 * n).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text")).write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: catalog.queries()[name](spark, str(tmp_path)).collect()
+    assert {r.item for r in run("eval_item")} == {f"item{k}" for k in range(n)}
+    assert {r.item for r in run("missing_items")} == {f"item{k}" for k in range(n) if k % 7 == 3 or k % 11 == 0}
+    assert {(r.accession, r.item) for r in run("char_f1_docs")} == {(str(k), str(k % n)) for k in range(2 * n)}
+
+
 def test_null_places_break_order_unless_told(spark):
     a = spark.createDataFrame([("a", "item14", "x", None, 1), ("a", "item1", "y", 5, 2)], "accession string, item string, anchor_id string, o long, turn int")
     n = spark.createDataFrame([("a", 100)], "accession string, html_len int")
