@@ -1,15 +1,17 @@
 """Operator 1: surrogate generation for personal data.
 
 Entities are found by patterns: e-mail addresses, telephone numbers, IPv4 addresses, card numbers,
-social security numbers, secrets behind a ``token/key/secret/password =`` and titled or listed first
-names.  Each is replaced by a *keyed* surrogate of its own type and format:
+social security numbers, secrets behind a ``token/key/secret/password =``, titled names and listed
+first names before a capitalised surname (a listed name that stands alone is left).  Each is
+replaced by a *keyed* surrogate of its own type and format:
 
 * digits and hexadecimal letters go through a keyed Feistel permutation of the entity's own digit
   space (country code, separators, length and letter case stay);
 * an e-mail address keeps its shape: every letter run and digit run of the local part and of the
   domain's labels is permuted within its length and alphabet, the public suffix stays;
 * a name becomes another name of the same gender and script by a keyed permutation of that list;
-  the case is kept.  Names behind a title but in no list are permuted letter by letter.
+  the case is kept.  Surnames, and names behind a title but in no list, are permuted letter by letter,
+  and past the listed names.
 
 A permutation maps distinct originals to distinct surrogates and one original to one surrogate
 everywhere, so distinctness and coreference hold across the corpus without a shared table.
@@ -40,18 +42,25 @@ NAMES = {
     ("male", "cyrillic"): "Иван Александр Сергей Дмитрий Андрей Алексей Михаил Николай Владимир Павел".split(),
 }
 LISTED = {n.lower(): (group, k) for group, names in NAMES.items() for k, n in enumerate(names)}
-KINDS = ("email", "secret", "phone", "ip", "card", "ssn", "name")
+KINDS = ("email", "secret", "phone", "ip", "card", "ssn", "name", "surname")
+UPPER, SMALL = "[A-ZÀ-ÖØ-ÞА-ЯЁ]", "[a-zß-öø-ÿа-яё]"
+#: A capitalised word, as Smith, O'Brien, McDonald or Jones-Lee.
+CAPITAL = rf"{UPPER}(?:{SMALL}+|['’]{UPPER}{SMALL}+)(?:['’-]?{UPPER}{SMALL}+)*\b"
+FAMILY = rf"(?: {UPPER}\.)? (?P<last%d>{CAPITAL})(?: (?P<more%d>{CAPITAL}))?"
+#: The listed names by their first letter, so that other words are passed over quickly.
+FIRST = "(?:" + "|".join(f"{c}(?:{'|'.join(sorted((n[1:] for names in NAMES.values() for n in names if n[0] == c), reverse=True))})" for c in sorted({n[0] for names in NAMES.values() for n in names})) + ")"
 PATTERN = re.compile(
     r"(?P<email>[A-Za-z0-9À-ÖØ-öø-ÿ][\w.+-]*@[A-Za-z0-9][A-Za-z0-9-]*(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"|(?i:\b(?:token|secret|password|passwd|api[_-]?key|key)\s*[=:]\s*[\"']?)(?P<secret>[A-Za-z0-9_+/\-]{16,})"
-    r"|(?P<phone>\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}\b|\(\d{3}\) ?\d{3}-\d{4}\b)"
+    r"|(?P<phone>\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}\b|\(\d{3}\) ?\d{3}-\d{4}\b|(?<![\w.-])(?:\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})(?![\w-]|\.\d))"
     r"|(?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d))"
     r"|(?P<card>(?<!\d)(?:\d{4}[ -]){3}\d{4}(?!\d)|(?<!\d)\d{13,19}(?!\d))"
     r"|(?P<ssn>(?<!\d)\d{3}-\d{2}-\d{4}(?!\d))"
-    r"|\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sr|Sra)\.? (?P<name>[A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-я]+)\b"
+    rf"|\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sr|Sra)\.? (?P<titled>{CAPITAL})(?:{FAMILY % (1, 1)})?"
+    rf"|\b(?P<first>{FIRST})\b{FAMILY % (2, 2)}"
 )
 #: Texts without these have none of the patterned entities.
-HINT = re.compile(r"[@\d]|(?:M[rs]|Mrs|Dr|Herr|Frau|Mme|Sra?)\.? [A-ZÀ-ÖØ-ÞА-Я]|[=:]\s*[\"']?[A-Za-z0-9_+/\-]{16}")
+HINT = re.compile(r"[@\d]|(?:M[rs]|Mrs|Dr|Herr|Frau|Mme|Sra?)\.? [A-ZÀ-ÖØ-ÞА-Я]|[=:]\s*[\"']?[A-Za-z0-9_+/\-]{16}|\b" + FIRST + rf"\b(?: {UPPER}\.)? {UPPER}")
 
 
 class Keyed:
@@ -141,6 +150,11 @@ def _step(keyed: Keyed, kind: str, text: str) -> str:
         group, k = LISTED[text.lower()]
         new = NAMES[group][keyed.permute(label + repr(group).encode(), k, len(NAMES[group]))]
         return new.upper() if text.isupper() else new.lower() if text.islower() else new
+    if kind == "surname":
+        # Walks past the listed names: a surname never takes the surrogate of a first name.
+        while (text := shaped(keyed, label, text)).lower() in LISTED:
+            pass
+        return text
     if kind == "secret" and re.fullmatch("[0-9a-f]+|[0-9A-F]+", text):
         new = keyed.run(label + b"-hex", text.lower(), DIGITS + LOWER[:6])
         return new.upper() if text != text.lower() else new
@@ -151,7 +165,14 @@ def mentions(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the entities of a text, in order and without overlap."""
     if not text or not HINT.search(text):
         return []
-    return [(*m.span(m.lastgroup), m.lastgroup) for m in PATTERN.finditer(text)]
+    found = []
+    for m in PATTERN.finditer(text):
+        if m.lastgroup in KINDS:
+            found.append((*m.span(m.lastgroup), m.lastgroup))
+        else:
+            words = [k for k, w in m.groupdict().items() if w]
+            found += [(*m.span(k), "name" if m[k].lower() in LISTED else "surname") for k in words]
+    return found
 
 
 def entities(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

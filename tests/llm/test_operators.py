@@ -47,6 +47,19 @@ def test_pii_keeps_shape_and_distinctness(spark, odd, none):
     assert pii.pseudonymised(odd, b"k").count() == 10 and pii.pseudonymised(none, b"k").count() == 0
 
 
+def test_pii_names_and_national_numbers(spark):
+    texts = ["then Mary Smith came", "Mr. John Smith, 555-123-4567", "пришла Мария Иванова домой", "James F. O'Brien Jones-Lee", "Dr. Smith 555.123.4567", "Mary Smith", "version 1.555-123-4567-8"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymised(docs, b"k").collect()}
+    assert [got[k].n_entities for k in range(7)] == [2, 3, 2, 3, 2, 2, 0]
+    for k, words in enumerate([["Mary", "Smith"], ["John", "Smith", "555-123-4567"], ["Мария", "Иванова"], ["James", "Brien", "Jones", "Lee"], ["Smith", "555.123.4567"], ["Mary", "Smith"]]):
+        assert not any(w in got[k].text for w in words)
+    smith = got[0].text.split()[2]
+    assert got[1].text.startswith("Mr. ") and smith == got[1].text.split()[2].rstrip(",") == got[4].text.split()[1] == got[5].text.split()[1]
+    assert re.fullmatch(r"пришла [А-Я][а-я]+ [А-Я][а-я]{6} домой", got[2].text) and got[6].text == texts[6]
+    assert got[1].text[-12:].replace("-", "") == got[4].text[-12:].replace(".", "")
+
+
 def test_suffix_dedup_equals_all_windows(spark, odd, none):
     docs = texts_of(spark)
     seen, want = set(), {}
