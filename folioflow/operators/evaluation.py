@@ -61,7 +61,7 @@ def failure_type(pred_len, truth_len, f1, in_truth=None):
 def noise(failures: DataFrame) -> DataFrame:
     """Failures (accession, item, kind, pred_len, truth_len, f1, html) with ``noisy`` and ``reason``.
 
-    kind: boundary, missing or false_positive.
+    kind: boundary, missing or false_positive.  Part of C14: without the reference's rules for single items.
     """
     low = F.lower(T.strip_html(F.coalesce("html", F.lit(""))))
     trivial = (F.length(low) < 100) & low.rlike(r"none|not applicable|reserved|omitted|incorporated")

@@ -107,6 +107,32 @@ def test_slices_and_null_places(spark):
     assert {(r.item, r.html) for r in selection.slices(f, c).collect()} == {("item1", "234"), ("item2", "56789"), ("item10", "")}
 
 
+def plain_placeholder(html):
+    import html as entities
+    import re
+
+    text = re.sub(r"\s+", " ", entities.unescape(re.sub(r"<[^>]+>", " ", html[:5000]))).strip()
+    m = re.search(r"(?:item\s*16[.\s]*(?:form\s+10-k\s+summary)?|form\s+10-k\s+summary)", text, re.I)
+    if not m:
+        return len(re.sub(r"[.\s:]+", " ", re.sub(r"\b\d+\b", "", text).strip()).strip()) < 50
+    rest = re.split(r"\.\s|\bexhibit|\bindex|\bpart\b|\bitem\b", text[m.end() : m.end() + 300].strip(), maxsplit=1, flags=re.I)[0].strip()
+    for gone in (r"\b\d+\b", r"[.\s]+$", r"\btable\s+of\s+contents\b", r"\(optional\)", r"\bpart\s+iv\b", r"[.\s:]+$"):
+        rest = re.sub(gone, "", rest, flags=re.I).strip()
+    return not rest or bool(re.fullmatch(r"none|not\s+applicable|n/?a|omitted", rest, re.I))
+
+
+def test_placeholder_item16_equals_plain_python(spark):
+    real = "<p>Item 16. Form 10-K Summary</p><p>None of our subsidiaries may pay dividends without consent. Exhibit 1</p>"
+    texts = [real, "<b>Form 10-K Summary</b> None", "Item 16. Form 10-K Summary (optional) 87 None. 88", "ITEM&nbsp;16. FORM 10-K SUMMARY Not  applicable.", "Item 16 Table of Contents", "Item 16. N/A PART IV", "Item 16 na Exhibit index", "Item 16. Omitted by us", "12 . 34", "x" * 49, "x" * 50, "Item 16: None", "Item 16. Not required", "", "Form 10-K Summary We sell things" + " a" * 400]
+    got = {r.t: r.p for r in spark.createDataFrame([(x,) for x in texts], "t string").select("t", selection.is_placeholder_item16(F.col("t")).alias("p")).collect()}
+    assert got == {x: plain_placeholder(x) for x in texts}
+    assert [got[x] for x in texts[:3]] == [False, True, True]
+    long = real + "<p>" + "dividend " * 1500 + "</p>"
+    made = spark.createDataFrame([("a", "item16", long), ("b", "item16", "Form 10-K Summary None. " + "<br>" * 3000)], "accession string, item string, html string")
+    kept = selection.policy(made, spark.createDataFrame([], "accession string, item string"), spark.createDataFrame([], "accession string, incorporated boolean"))
+    assert {(r.accession, r.html) for r in kept.collect()} == {("a", long), ("b", "")}
+
+
 def test_char_f1_equals_counters(spark):
     data = [("1", "abc", "abd"), ("2", "", ""), ("3", "x", ""), ("4", "<b>aa</b>", "aa"), ("5", None, "q"), ("6", "ab", "cd")]
     df = spark.createDataFrame(data, "k string, pred string, truth string")
