@@ -32,7 +32,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-        self.tokenizer.encode_special_tokens = True
         self.letters = {b: c for b, c in _byte_letters().items()}
         self.words: dict[str, bytes] = {"": b""}
         self.limit = cache_chunks

@@ -215,6 +215,22 @@ def test_token_store_round_trip(spark, odd, none):
         assert token_store.read(spark, path).count() == n
 
 
+def test_added_tokens_are_encoded_as_by_the_library(spark):
+    import numpy as np
+    import pyarrow as pa
+    import public_tokenizers
+    from folioflow.llm import tokens
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    added = [a.content for a in t.get_added_tokens_decoder().values()]
+    texts = ["a <|endoftext|> b", *(x for a in added for x in (a, f"word{a}word", f"A  {a}, {a}{a}\n{a.upper()} end", f"{a[:-1]} {a[-1]}"))]
+    ids, sizes = tokens.encoder().flat(pa.array(texts))
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert np.split(ids, np.cumsum(sizes)[:-1])[0].tolist() == [320, 49407, 321]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+
+
 @pytest.mark.parametrize("values", [[0], [5, 5, 5], list(range(0, 10_000, 7)), [0, 0, 1 << 40], [3] * 1000 + [10**9]])
 def test_elias_fano(values):
     low, code = token_store.ef_encode(values)
