@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -12,13 +13,44 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Lower the session's Arrow batches to ``rows`` rows and ``size`` bytes (one longer text is still one batch).
+
+    The defaults (10,000 rows, 64 MB) hold a whole partition of texts at once, in the JVM and in the Python worker.
+    """
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(name, None)
+        number = int(re.sub(r"\D", "", now)) if now else 0
+        if not 0 < number <= most or now and not now.isdigit():
+            spark.conf.set(name, str(most))
+
+
+def tidy() -> None:
+    """At the end of a Python task: what it has freed goes back to the system, for the worker is kept for later tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share; a local one is made only where none is named."""
+    """The folder all executors share.  Where none is named one is made, but only for a local master."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='folioflow-')}"
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")

@@ -1,6 +1,7 @@
 """The training-data operators against brute force on small tables, with nulls, ties and odd columns."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import defaultdict
@@ -172,22 +173,76 @@ def test_packing_ids_of_full_pieces_are_their_own(spark):
     assert len(got) == 300 and got.groupby("sequence_id").length.sum().max() <= 10
 
 
-def test_toxicity_top_is_exact(spark, odd, none):
+def plain_vote(model, counts, k=15, smooth=0.05):
+    """Cosines with every example one by one, of equal ones the smaller index."""
+    import math
+
+    known = {w: j for j, w in enumerate(model.words)}
+    q = {known[w]: (1 + math.log(n)) * model.idf[known[w]] for w, n in counts.items() if w in known}
+    size = math.sqrt(sum(x * x for x in q.values()))
+    if not size or not len(model.ids):
+        return model.prior, []
+    cos = [0.0] * len(model.ids)
+    for i, t, w in zip(model.rows.tolist(), model.terms.tolist(), model.weights.tolist()):
+        cos[i] += q.get(t, 0) / size * w
+    near = [i for i in sorted(range(len(cos)), key=lambda i: (-round(cos[i], 12), i)) if cos[i] > 0][:k]
+    total = sum(cos[i] for i in near)
+    return (sum(cos[i] * model.labels[i] for i in near) + smooth * model.prior) / (total + smooth), [cos[i] for i in near]
+
+
+def test_toxicity_equals_plain_search(spark, odd, none):
+    import math
+
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    learnable = labels.filter("pmod(crc32(cast(cast(doc_id as string) as binary)), 5) <> 0")
+    model = toxicity.fit(docs, learnable)
+    a, b = model.curve
+    texts = texts_of(spark)
+    got = {r.doc_id: r for r in registry.op7_toxicity(spark, SF).collect()}
+    assert set(got) == set(texts) and len({x for x in model.labels.tolist()}) == 2
+    for i, t in texts.items():
+        counts = defaultdict(int)
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            counts[w] += 1
+        vote, cos = plain_vote(model, counts)
+        want = 1 / (1 + math.exp(-(a * vote + b))) if a else vote
+        assert got[i].score == pytest.approx(want, abs=1e-6) and got[i].cosine == pytest.approx(cos[:3], abs=1e-9)
+        assert got[i].predicted == int(got[i].score >= 0.5) and got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+    assert toxicity.score(odd, model).count() == 10 and toxicity.score(none, model).count() == 0
+    assert toxicity.score(odd, toxicity.fit(none, labels)).filter("score > 0").count() == 0
+    assert len({r.score for r in toxicity.score(odd, model).filter("doc_id in (0, 1, 7)").collect()}) == 1
+
+
+def test_block_max_search_is_exact_with_ties():
     import random
 
+    import numpy as np
+
     rng = random.Random(5)
-    idf = [1 + rng.random() for _ in range(30)]
-    vectors = [toxicity.unit({j: rng.randrange(1, 4) for j in rng.sample(range(30), rng.randrange(1, 6))}, idf) for _ in range(500)]
-    index = toxicity.BlockMaxIndex(vectors, 30, 16)
-    for _ in range(50):
-        q = toxicity.unit({j: 1 for j in rng.sample(range(30), 3)}, idf)
-        cos, _ = index.top(q, 10)
-        brute = sorted((sum(w * v.get(j, 0) for j, w in q.items()) for v in vectors), reverse=True)[:10]
-        assert list(cos) == pytest.approx([x for x in brute if x > 0], abs=1e-5)
-    labels = table(spark, SF, "labels")
-    model = toxicity.fit(table(spark, SF, "documents"), labels)
-    assert toxicity.score(odd, model).count() == 10 and toxicity.score(none, model).count() == 0
-    assert toxicity.score(odd, toxicity.fit(none, labels)).filter("score > 0").count() == 0
+    sets = [tuple(sorted(rng.sample(range(30), rng.randrange(1, 6)))) for _ in range(500)]
+    rows = np.array([i for i, s in enumerate(sets) for _ in s])
+    terms = np.array([t for s in sets for t in s])
+    weights = np.array([1 / len(s) ** 0.5 for s in sets for _ in s])
+    index = toxicity.BlockMaxIndex(500, 30, rows, terms, weights, 16)
+    for _ in range(200):
+        q = np.sort(np.array(rng.sample(range(30), 3)))
+        w = np.full(3, 3**-0.5)
+        brute = {i: sum(3**-0.5 / len(s) ** 0.5 for t in q.tolist() if t in s) for i, s in enumerate(sets)}
+        want = sorted((i for i in brute if brute[i] > 0), key=lambda i: (-round(brute[i], 12), i))[:10]
+        cos, at = index.top(q, w, 10)
+        assert cos == pytest.approx([brute[i] for i in want], abs=1e-12) and at.tolist() == want
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the larger tables are not here")
+def test_toxicity_held_out_quality(spark):
+    """On rows never learned from: precision, recall, and scores that agree with the shares of toxic texts."""
+    sf = "/root/testdata/sf0.1"
+    rows = registry.op7_toxicity(spark, sf).filter("held_out").join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id").select("score", "predicted", "toxic").collect()
+    hit = sum(r.predicted and r.toxic for r in rows)
+    assert hit >= 0.85 * sum(r.toxic for r in rows) and hit >= 0.97 * sum(r.predicted for r in rows)
+    for lo, hi in ((0, 0.05), (0.95, 1.01)):
+        some = [r for r in rows if lo <= r.score < hi]
+        assert abs(sum(r.score for r in some) - sum(r.toxic for r in some)) <= 0.03 * len(some)
 
 
 def test_language(spark, odd, none):
