@@ -8,7 +8,7 @@ with the largest cosine.  What all languages share is taken off first: the mean
 subtracted from prototypes and texts, so the cosines spread over the differences.
 
 Training reads at most ``train_per_language`` texts of each language (those with the smallest hash
-of the id); every text is scored as a whole.
+of the id); every text is scored as a whole, a very long one in one bundle of counts (some 40 bytes a character while it is read).
 
 Defined cases: a null text or one without a letter gets ``und`` with score 0; null languages are never
 learned; ties go to the language that sorts first; without any labelled text all get ``und``; an empty

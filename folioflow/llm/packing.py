@@ -10,7 +10,8 @@ and their items dealt into fewer, mixed blocks, so that blocks don't each leave
 That goes on until one block is left, no block is saved, or ``rounds`` are over; the last round keeps
 all its bins, however full, so every item is placed.
 
-Bounded memory: a task holds one block's sizes and a few chromosomes, whatever the corpus.
+Bounded memory: a task holds one block's sizes and a few chromosomes, whatever the corpus.  The tokenizer reads an Arrow
+batch in parts of about two million characters; one longer text is a part by itself (below the 2 GB of an Arrow string).
 
 Defined cases: a null or empty text is one piece holding only the end id; repeated rows are separate
 items; items larger than the capacity are an error of the caller (``token_pieces`` makes none); an
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import Scratch
+from .common import Scratch, tidy
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -53,6 +54,7 @@ def token_pieces(docs: DataFrame, capacity: int = 4096, vocabulary: str = tokens
                         for column, value in zip(out, (k, p, lo, len(some), zlib.crc32(some.tobytes()))):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        tidy()
 
     return docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(cut, PIECES)
 

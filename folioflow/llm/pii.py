@@ -32,7 +32,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tidy
 
 #: Common first names by gender and script, for recognition and replacement.
 NAMES = {
@@ -272,6 +272,7 @@ def pseudonymised(docs: DataFrame, secret_key: bytes, key: str = "doc_id", text:
                 distinct.append(len({(kind, canonical(kind, t[a:b])) for a, b, kind in found}))
             columns = [pa.array(texts, pa.string()) if c == text else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(count, pa.int64()), pa.array(distinct, pa.int64())], names=[*names, "n_entities", "n_distinct"])
+        tidy()
 
     schema = docs.withColumn(text, F.col(text).cast("string")).withColumns({"n_entities": F.lit(0).cast("long"), "n_distinct": F.lit(0).cast("long")}).schema
     return docs.withColumn(text, F.col(text).cast("string")).mapInArrow(run, schema)

@@ -14,7 +14,8 @@ low bits, so an offset costs about ``2 + log2(ids / docs)`` bits and no 64-bit t
 
 Defined cases: a null text is the empty text (only the end id is written); null keys come
 first and are stored apart by ``n_null``; rows with equal keys all stay, next to each other;
-an empty table gives a store without segments.  Other columns of the input are ignored.
+an empty table gives a store without segments.  A very long text is a segment by itself, below the 2 GB that an Arrow binary holds.
+Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import shuffle_parts
+from .common import shuffle_parts, tidy
 
 STORE = (
     "part int, seq int, n_docs int, n_null int, n_ids long, width int, first_key long, "
@@ -126,6 +127,7 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", v
                         held, size, seq = [], 0, seq + 1
         if held:
             yield out(held)
+        tidy()
 
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
     n = shuffle_parts(docs.sparkSession)

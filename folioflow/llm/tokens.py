@@ -3,7 +3,7 @@
 The pre-tokenizer of ``word_bpe_49k.json`` never matches across white space, NFC never
 composes across an ASCII blank and lower-casing looks at one code point at a time.  So
 the ids of a text are the ids of its blank-separated chunks in order.  Each distinct chunk
-of a batch is looked up once; a chunk of Latin-1 letters and ASCII marks splits further
+of a part of about two million characters is looked up once; a chunk of Latin-1 letters and ASCII marks splits further
 into its letters and its marks, which the pre-tokenizer separates as well.
 """
 
@@ -27,7 +27,7 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """Batches of texts to ids; one object per worker process and vocabulary (see :func:`encoder`)."""
 
-    def __init__(self, vocabulary: str = VOCABULARY, cache_chunks: int = 500_000):
+    def __init__(self, vocabulary: str = VOCABULARY, cache_chunks: int = 150_000):
         import public_tokenizers
         from tokenizers import Tokenizer
 
@@ -97,7 +97,7 @@ def encoder(vocabulary: str = VOCABULARY) -> Encoder:
     return kept[vocabulary]
 
 
-def pieces_of(batch, text: str, chars: int = 8_000_000):
+def pieces_of(batch, text: str, chars: int = 2_000_000):
     """Cut an Arrow batch into parts of about ``chars`` characters (one long text may exceed it)."""
     import numpy as np
     import pyarrow.compute as pc
