@@ -25,6 +25,7 @@ are closed to components; then all remaining pairs *between different components
 link that could join two components is lost, and pairs inside one are not needed.
 
 Bounded memory: a task holds ``BATCH`` texts, pairs of sets or cells (of two blocks each) at once; the broadcast id lists are size-checked.
+A very long text is hashed as a whole, with some 60 bytes of numbers for each of its own.
 
 Defined cases: null and empty texts have the empty set and link with nothing; fewer words than the
 shingle size are one shingle; ties and repeated rows fall into one class; ids are keys (rows that
@@ -37,7 +38,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_rows
+from .common import Scratch, arrow_rows, tidy, with_group
 from .components import components
 from .shingles import Shingler
 
@@ -127,6 +128,7 @@ def shingle_table(texts: DataFrame, size: int, percent: int) -> DataFrame:
                 flags[s & np.uint64(BITS - 1)] = 1
                 bits.append(np.packbits(flags).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["id", "n", "digest", "prefix", "bits"])
+        tidy()
 
     return texts.mapInArrow(run, "id long, n long, digest binary, prefix array<long>, bits binary")
 
@@ -244,6 +246,7 @@ def cell_pairs(cells: DataFrame, percent: int, spanning: bool) -> DataFrame:
                 nx, ny = (np.concatenate([s[j] for s in sizes]) for j in (0, 1))
                 turn = x > y
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.where(turn, y, x), np.where(turn, ny, nx), np.where(turn, x, y), np.where(turn, nx, ny), w)], names=["a", "na", "b", "nb", "w"])
+        tidy()
 
     return cells.mapInArrow(run, "a long, na long, b long, nb long, w long").filter("a <> b")
 
@@ -258,8 +261,7 @@ def verified(pairs: DataFrame, texts: DataFrame, hold: Scratch, size: int, perce
 
         made = Shingler(size)
         for batch in batches:
-            # Five bytes of each hash: sets of 20,000 shingles agree by chance in one of 2,500 pairs by one shingle.
-            found = [made.sets(t).view("u1").reshape(-1, 8)[:, 3:].tobytes() for t in batch.column("t").to_pylist()]
+            found = [made.sets(t).tobytes() for t in batch.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], names=["id", "s"])
 
     own = texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
@@ -269,19 +271,15 @@ def verified(pairs: DataFrame, texts: DataFrame, hold: Scratch, size: int, perce
         import numpy as np
         import pyarrow as pa
 
-        def values(s):
-            wide = np.zeros((len(s) // 5, 8), np.uint8)
-            wide[:, :5] = np.frombuffer(s, np.uint8).reshape(-1, 5)
-            return wide.view(np.uint64).ravel()
-
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-                both = np.concatenate([np.unique(values(x)), np.unique(values(y))])
-                both.sort()
+                both = np.frombuffer(x + y, np.uint64)
+                both = np.sort(both)
                 inter = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * inter >= percent * (len(both) - inter))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        tidy()
 
     wide = pairs.join(made.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(made.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     return hold.keep(wide.mapInArrow(compare, "a long, b long"), f"{name}_links")
@@ -297,8 +295,10 @@ def _near_components(docs: DataFrame, key: str, text: str, size: int, percent: i
     hold = Scratch(docs.sparkSession, "jaccard")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
     made = hold.keep(shingle_table(texts, size, percent), "shingles")
-    classes = made.filter("n > 0").groupBy("digest").agg(F.min("id").alias("rep"))
-    member = hold.keep(made.select("id", "n", "digest").join(classes, "digest", "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "members")
+    # Only classes of several rows need a look-up; the largest may hold a third of all rows.
+    classes = hold.keep(made.filter("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1"), "classes")
+    member = with_group(made.select("id", "n", "digest"), classes, "digest", "copies", made.count())
+    member = hold.keep(member.select("id", "n", F.coalesce("rep", "id").alias("rep")), "members")
     reps = member.filter("n > 0 and id = rep").select("id").distinct()
     rows = made.join(reps, "id", "left_semi").select("id", "n", F.explode("prefix").alias("token"))
     shared = hold.keep(rows.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1"), "tokens")
