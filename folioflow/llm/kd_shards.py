@@ -8,17 +8,22 @@ the current bounds for all nodes of the level at once and narrows the bounds to
 the quantile, until that bin is one sort key.  The driver sees only these sums and the tree.
 
 Order keys are ``floor(2^20 * dimension) * 2^40 + hash of the group``, so ties in a dimension are cut
-by the hash and a key is in effect one group.  A group goes whole to the side that leaves the cut
-nearest to its target, unless it is heavier than ``whole`` of a shard: then its rows are dealt by a
-hash over the cut, which keeps the shards' sizes near equal when copies hold a third of all bytes.
+by the hash and a key is in effect one group, which goes whole to the side that leaves the cut nearest to its target.
+
+Groups that would spoil a cut are settled first: each one over ``large`` of a shard (or one in ``most_rows`` of all rows) is
+placed whole, the heaviest first, into the shard with the least so far, and the cuts fill what room that leaves.  Those are at
+most ``shards / large + most_rows`` groups, which the driver and a broadcast hold.  Only a group heavier than a whole
+shard is dealt over several, by a hash of its rows.
 
 Defined cases: a null text has no bytes and forms a group with the other null texts; null metadata
-counts as 0; repeated rows stay and are ordered by all their columns' hash; an empty table gives an
+counts as 0; repeated rows stay and are ordered by all their columns' hash; very long texts are only measured and hashed; an empty table gives an
 empty table; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,18 +37,36 @@ def unit_hash(col):
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) / F.lit(float(1 << 32)), F.lit(0.0))
 
 
-def sharded(rows: DataFrame, dims: list[str], shards: int, weight: str = "size", group: str = "group_key", salt: str = "row_key", whole: float = 0.02) -> DataFrame:
+def sharded(rows: DataFrame, dims: list[str], shards: int, weight: str = "size", group: str = "group_key", salt: str = "row_key", large: float = 0.02, most_rows: int = 2000) -> DataFrame:
     """``rows`` with ``shard``.  ``group``/``salt``: 64-bit hashes of the group and of the row; ``dims``: numbers in [0, 1]."""
     spark = rows.sparkSession
     hold = Scratch(spark, "kd")
     names = rows.columns
-    total = rows.agg(F.sum(weight)).first()[0] or 0
-    heavy = max(1.0, whole * total / shards)
-    sums = rows.groupBy(group).agg(F.sum(weight).alias("_w"), *(F.min(d).alias(f"_{d}") for d in dims))
-    # A heavy group's rows are units of their own, next to each other in every order.
-    units = rows.join(sums, group).withColumn("_unit", F.when(F.col("_w") > heavy, F.struct(group, salt)).otherwise(F.struct(F.col(group), F.lit(0).cast("long").alias(salt))))
-    tie = F.pmod(F.col(group), F.lit(1 << 24)) * F.lit(1 << 16) + F.when(F.col("_w") > heavy, F.pmod(F.col(salt), F.lit(1 << 16))).otherwise(F.lit(0))
-    units = units.withColumns({f"_k{j}": F.floor(F.col(f"_{d}") * F.lit((1 << 20) - 1)).cast("long") * F.lit(1 << 40) + tie for j, d in enumerate(dims)})
+    sums = hold.keep(rows.groupBy(group).agg(F.sum(weight).alias("_w"), F.count("*").alias("_n"), *(F.min(d).alias(f"_{d}") for d in dims)), "groups")
+    total, n = sums.agg(F.sum("_w"), F.sum("_n")).first()
+    total, n = total or 0, n or 0
+    share = total / shards
+    # At most shards / large groups by weight and most_rows by number.
+    big = sums.filter((F.col("_w") > large * share) | (F.col("_n") > max(1, n // most_rows))).select(group, "_w").collect()
+    place, load = {}, [0] * shards
+    heap = [(0, s) for s in range(shards)]
+    for r in sorted((r for r in big if r["_w"] <= share), key=lambda r: (-r["_w"], r[group])):
+        filled, s = heapq.heappop(heap)
+        place[r[group]] = s
+        load[s] = filled + r["_w"]
+        heapq.heappush(heap, (load[s], s))
+    room = [max(0.0, share - x) for x in load]
+    kind = rows.schema[group].dataType.simpleString()
+    whole = spark.createDataFrame([(g, s) for g, s in place.items()], f"{group} {kind}, _shard int")
+    split = spark.createDataFrame([(r[group], True) for r in big if r["_w"] > share], f"{group} {kind}, _split boolean")
+    marked = rows.join(F.broadcast(whole), group, "left").join(F.broadcast(split), group, "left")
+    settled = marked.filter("_shard is not null").select(*names, F.col("_shard").alias("shard"))
+    # The rows of a group that is split are units of their own, next to each other in every order.
+    rest = marked.filter("_shard is null").select(*names, F.coalesce("_split", F.lit(False)).alias("_split"))
+    several = sums.filter((F.col("_n") > 1) & (F.col("_w") <= large * share) & (F.col("_n") <= max(1, n // most_rows))).select(group, *(f"_{d}" for d in dims))
+    units = rest.join(several, group, "left")
+    tie = F.pmod(F.col(group), F.lit(1 << 24)) * F.lit(1 << 16) + F.when(F.col("_split"), F.pmod(F.col(salt), F.lit(1 << 16))).otherwise(F.lit(0))
+    units = units.withColumns({f"_k{j}": F.floor(F.when(F.col("_split"), 0.0).otherwise(F.coalesce(f"_{d}", d)) * F.lit((1 << 20) - 1)).cast("long") * F.lit(1 << 40) + tie for j, d in enumerate(dims)})
     flat = hold.keep(units.select(*names, *(f"_k{j}" for j in range(len(dims)))), "units")
     keys = [f"_k{j}" for j in range(len(dims))]
     points = hold.keep(flat.groupBy(*keys).agg(F.sum(weight).alias("w")), "points")
@@ -62,7 +85,7 @@ def sharded(rows: DataFrame, dims: list[str], shards: int, weight: str = "size",
                 tree[n] = (0, (1 << KEY_BITS) - 1)
                 continue
             j = max(range(len(keys)), key=lambda j: (r[f"hi_k{j}"] - r[f"lo_k{j}"], -j))
-            search[n] = {"dim": j, "lo": r[f"lo_k{j}"], "hi": r[f"hi_k{j}"], "below": 0, "goal": r["w"] * (k // 2) / k}
+            search[n] = {"dim": j, "lo": r[f"lo_k{j}"], "hi": r[f"hi_k{j}"], "below": 0, "goal": r["w"] * (sum(room[first : first + k // 2]) / (sum(room[first : first + k]) or 1.0))}
         while search:
             step = {n: max(1, -(-(s["hi"] - s["lo"] + 1) // BINS)) for n, s in search.items()}
             key = F.col("key")
@@ -83,7 +106,7 @@ def sharded(rows: DataFrame, dims: list[str], shards: int, weight: str = "size",
                     at += w
         open_nodes = {c: x for n, (first, k) in open_nodes.items() for c, x in ((2 * n, (first, k // 2)), (2 * n + 1, (first + k // 2, k - k // 2)))}
     leaves |= {n: s for n, (s, _) in open_nodes.items()}
-    return flat.withColumn("shard", number(leaves, node_of(tree, keys)).cast("int")).select(*names, "shard")
+    return flat.withColumn("shard", number(leaves, node_of(tree, keys)).cast("int")).select(*names, "shard").unionByName(settled)
 
 
 def number(values: dict, node=None):

@@ -294,12 +294,36 @@ def test_elias_fano(values):
 
 
 def test_shards(spark, odd, none):
+    texts = texts_of(spark)
     got = registry.op10_kd_shards(spark, SF).toPandas()
     sizes = got.groupby("shard")["size"].sum()
     assert set(got.shard) <= set(range(40)) and sizes.max() - sizes.mean() <= got["size"].max()
     for _, g in got.groupby("shard"):
         assert sorted(g.slot) == list(range(len(g)))
-    assert kd_shards.documents_sharded(odd).count() == 10 and kd_shards.documents_sharded(none).count() == 0
+    assert {r.doc_id: (r["size"], r.text_crc32) for _, r in got.iterrows()} == {i: (len(t.encode()) + 16, zlib.crc32(t.encode())) for i, t in texts.items()}
+    for df, n in ((odd, 10), (none, 0)):
+        rows = kd_shards.documents_sharded(df, shards=3).collect()
+        assert len(rows) == n
+        for s in range(3):
+            assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+
+
+def test_shards_keep_equal_texts_together(spark):
+    """Sizes near equal; no group of equal texts is split that fits into a shard; a group of a third of all rows is."""
+    import random
+
+    rng = random.Random(8)
+    rows = [(k, f"text {k} " + "x" * rng.randrange(200), rng.choice("abc"), rng.choice("st")) for k in range(4000)]
+    for j, copies in enumerate([2200, 30, 25, 20, 9, 5, 3, 2]):
+        rows += [(len(rows) + k, f"copy {j} " + "y" * 150, rng.choice("abc"), rng.choice("st")) for k in range(copies)]
+    rows += [(len(rows) + k, None if k % 2 else "", "a", None) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = kd_shards.documents_sharded(df, shards=8).join(df.select("doc_id", "text"), "doc_id").toPandas()
+    assert len(got) == len(rows)
+    sizes = got.groupby("shard")["size"].sum()
+    assert sizes.max() < 1.02 * sizes.mean() and sizes.min() > 0.98 * sizes.mean()
+    where = got.groupby("text").agg(shards=("shard", "nunique"), size=("size", "sum"))
+    assert (where[where["size"] <= sizes.mean()].shards == 1).all() and where.shards.max() > 1
 
 
 def test_pipeline_stages(spark):
