@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from folioflow.functions import text as T
 from folioflow.operators import anchors, candidates, evaluation, selection, state
 from folioflow.operators.matches import find_all
 from folioflow.plans import rule_pipeline
+from folioflow.plans.store import written
 from folioflow.plans.synthetic import filings
 from folioflow.sources import submissions
 
@@ -29,9 +32,13 @@ def _index(spark, d):
     return rule_pipeline.build_index(filings(spark, d))
 
 
-def _windows(f):
-    found, links = anchors.anchors(f), anchors.toc_links(f)
-    return anchors.windows(f, found), anchors.anchor_items(links)
+def _f(spark, d):
+    return written(filings(spark, d), "filings")
+
+
+def _labelled(f):
+    links = written(anchors.toc_links(f), "links")
+    return written(candidates.labelled(anchors.windows(f, anchors.anchors(f)), anchors.anchor_items(links)), "labelled")
 
 
 @query
@@ -54,8 +61,15 @@ def page_text(spark, d):
 
 @query
 def page_text_entities(spark, d):
-    """With all entities decoded (Arrow); no SQL form."""
-    return _t(spark, d, "pages").select("page_id", T.strip_html(F.col("html"), True).alias("text"))
+    """Pages with some of their letters written as entities of all kinds, decoded."""
+    html = F.col("html")
+    for plain, entity in ENTITIES:
+        html = F.replace(html, F.lit(plain), F.lit(entity))
+    return _t(spark, d, "pages").select("page_id", T.strip_html(html).alias("text"))
+
+
+#: What ``page_text_entities`` writes for what, and what comes back.
+ENTITIES = ((" the ", " &rsquo;&#8211; "), (" of ", " &#x2019;&Eacute "), ("and", "&amp;lt;&notit;"))
 
 
 QUERIES["filings"] = lambda spark, d: filings(spark, d).select("accession", F.length("html").cast("long").alias("chars"), F.md5("html").alias("digest"))
@@ -90,7 +104,7 @@ def toc_first(spark, d):
 
 @query
 def toc_link_records(spark, d):
-    return anchors.link_records(filings(spark, d))
+    return anchors.link_records(filings(spark, d)).withColumn("o", F.col("o").cast("long"))
 
 
 @query
@@ -100,7 +114,7 @@ def anchors_last(spark, d):
 
 @query
 def anchor_items(spark, d):
-    return anchors.anchor_items(anchors.toc_links(filings(spark, d))).withColumn("items", F.concat_ws(",", "items"))
+    return anchors.anchor_items(written(anchors.toc_links(filings(spark, d)), "links")).withColumns({"items": F.concat_ws(",", "items"), "firsts": F.concat_ws(",", "firsts")})
 
 
 @query
@@ -122,17 +136,17 @@ def part_three(spark, d):
 
 @query
 def tier_cascade(spark, d):
-    return candidates.cascade(*_windows(filings(spark, d))).withColumn("o", F.col("o").cast("long"))
+    return candidates.cascade(_labelled(_f(spark, d))).withColumn("o", F.col("o").cast("long"))
 
 
 @query
 def candidates_all(spark, d):
-    return candidates.collect(*_windows(filings(spark, d))).withColumn("rel", F.round("rel", 6)).withColumn("o", F.col("o").cast("long"))
+    return candidates.collect(_labelled(_f(spark, d))).withColumn("rel", F.round("rel", 6)).withColumn("o", F.col("o").cast("long"))
 
 
 def _rescored(spark, d):
-    f = filings(spark, d)
-    return candidates.rescored(candidates.collect(*_windows(f)), anchors.part_boundaries(f)).withColumn("o", F.col("o").cast("long"))
+    f = _f(spark, d)
+    return candidates.rescored(candidates.collect(_labelled(f)), written(anchors.part_boundaries(f), "parts")).withColumn("o", F.col("o").cast("long"))
 
 
 @query
@@ -152,11 +166,15 @@ def found_items(spark, d):
 
 @query
 def filing_overview(spark, d):
-    return candidates.overview(_rescored(spark, d), anchors.toc_links(filings(spark, d))).select("accession", "links", "classified", "candidates", "items", "difficulty")
+    return candidates.overview(_rescored(spark, d), anchors.toc_links(_f(spark, d))).select("accession", "links", "classified", "candidates", "items", "difficulty")
 
 
 def _chosen(spark, d):
-    return selection.select_ordered(candidates.cascade(*_windows(filings(spark, d))))
+    return _chosen_of(_f(spark, d))
+
+
+def _chosen_of(f):
+    return written(selection.select_ordered(candidates.cascade(_labelled(f))), "chosen")
 
 
 @query
@@ -166,17 +184,18 @@ def dp_select(spark, d):
 
 @query
 def greedy_select(spark, d):
-    return selection.select_greedy(candidates.cascade(*_windows(filings(spark, d)))).withColumn("o", F.col("o").cast("long"))
+    return selection.select_greedy(candidates.cascade(_labelled(_f(spark, d)))).withColumn("o", F.col("o").cast("long"))
 
 
 @query
 def agent_slices(spark, d):
-    return selection.slices(filings(spark, d), _chosen(spark, d)).select("accession", "item", F.length("html").cast("long").alias("chars"), F.md5("html").alias("digest"))
+    f = _f(spark, d)
+    return selection.slices(f, _chosen_of(f)).select("accession", "item", F.length("html").cast("long").alias("chars"), F.md5("html").alias("digest"))
 
 
 @query
 def rule_sections(spark, d):
-    """The whole rule engine; tested against a plain Python version."""
+    """The whole rule engine."""
     return rule_pipeline.extract(filings(spark, d))
 
 
@@ -187,14 +206,18 @@ def policy_assignments(spark, d):
 
 @query
 def signature_fallback(spark, d):
-    f = filings(spark, d)
-    return anchors.signature_fallback(f, anchors.anchors(f))
+    f = _f(spark, d)
+    return anchors.signature_fallback(f, _chosen_of(f)).withColumn("o", F.col("o").cast("long"))
 
 
 @query
 def heading_scan(spark, d):
-    f = filings(spark, d)
-    return anchors.heading_scan(f, "item2", anchors.anchors(f))
+    """Every label with a number, in every filing."""
+    f = _f(spark, d)
+    found = written(anchors.anchors(f), "anchors")
+    text = written(anchors.stripped_region(f), "text")
+    made = [anchors.scan_region(text, item, found).withColumn("item", F.lit(item)) for item in rules.HEADINGS]
+    return reduce(DataFrame.unionByName, made).select("accession", "item", "ord", F.col("o").cast("long").alias("o"), "near_id", F.col("distance").cast("long").alias("distance"))
 
 
 @query
@@ -207,7 +230,8 @@ def ambiguous_items(spark, d):
 
 @query
 def anchors_in_radius(spark, d):
-    return anchors.within(_chosen(spark, d).select("accession", "item", "o"), anchors.anchors(filings(spark, d)), 700).select("accession", "item", "anchor_id", F.col("delta").cast("long").alias("delta"))
+    f = _f(spark, d)
+    return anchors.within(_chosen_of(f).select("accession", "item", "o"), anchors.anchors(f), 700).select("accession", "item", "anchor_id", F.col("delta").cast("long").alias("delta"))
 
 
 @query

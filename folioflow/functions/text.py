@@ -1,34 +1,57 @@
 """Text expressions: tag stripping, entity decoding, normal forms and bounded windows.
 
-All offsets are code points counted from 0.  ``unescape`` knows every named and numeric entity and
-needs Python; ``unescape_common`` is the closed set of plain pages and stays inside code generation.
+All offsets are code points counted from 0.  ``unescape`` knows every named and numeric entity of HTML and
+stays inside code generation: a text is cut at its ampersands and each piece is looked up in one map.
 """
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TAG = r"<[^>]+>"
 SPACE = r"(?U)\s+"
-#: Entities decoded natively, the ampersand last.
-COMMON_ENTITIES = (("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+#: Entities of nearly all pages, tried before the long map; ``html5`` of the standard library has the rest.
+COMMON = {k: html5[k] for k in ("nbsp;", "amp;", "lt;", "gt;", "quot;", "rsquo;", "lsquo;", "rdquo;", "ldquo;", "ndash;", "mdash;", "copy;", "middot;")}
+#: Names that HTML reads without a semicolon too, the longest first.
+BARE = "^(?:" + "|".join(sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))) + ")"
+#: Both kinds of names as one JSON text each, which the planner folds into one map.
+NAMED, UNENDED = (json.dumps({k: v for k, v in html5.items() if k.endswith(";") is ends}) for ends in (True, False))
+#: What browsers make of the numbers 128 to 159: the characters of the Windows code page, where it has one.
+CONTROLS = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)} | {0: "\ufffd", 13: "\r"}
+
+
+def _char(code: Column) -> Column:
+    """The character of a code point (long): outside of Unicode the replacement character, none for non-characters."""
+    gone = code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    listed = F.try_element_at(F.from_json(F.lit(json.dumps(CONTROLS)), "map<string,string>"), code.cast("string"))
+    return F.when(code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), "\ufffd").otherwise(F.coalesce(listed, F.when(gone, "").otherwise(plain)))
+
+
+def _entity(piece: Column) -> Column:
+    """A piece that stood behind an ampersand, with the entity it begins with decoded."""
+    number = F.regexp_extract(piece, r"^#(?:[xX][0-9a-fA-F]+|[0-9]+);?", 0)
+    digits = F.regexp_extract(number, "[0-9a-fA-F]+", 0)
+    hexed = F.lower(F.substring(number, 2, 1)) == "x"
+    value = F.when(F.length(F.ltrim(F.lit("0"), digits)) > 8, F.lit(1 << 40)).when(hexed, F.conv(digits, 16, 10).cast("long")).otherwise(digits.cast("long"))
+    name = F.regexp_extract(piece, "^[0-9A-Za-z]{1,32};", 0)
+    bare = F.regexp_extract(piece, BARE, 0)
+    table = lambda entries: F.from_json(F.lit(entries), "map<string,string>")
+    named = F.coalesce(F.try_element_at(table(json.dumps(COMMON)), name), F.when(name != "", F.try_element_at(table(NAMED), name)))
+    rest = lambda head: F.substring(piece, F.length(head) + 1, F.length(piece))
+    return (
+        F.when(number != "", F.concat(_char(value), rest(number)))
+        .when(named.isNotNull(), F.concat(named, rest(name)))
+        .when(bare != "", F.concat(F.try_element_at(table(UNENDED), bare), rest(bare)))
+        .otherwise(F.concat(F.lit("&"), piece))
+    )
 
 
 def unescape(col: Column) -> Column:
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def decode(values: pd.Series) -> pd.Series:
-        import html
-
-        return values.map(html.unescape, na_action="ignore")
-
-    return decode(col)
-
-
-def unescape_common(col: Column) -> Column:
-    for name, char in COMMON_ENTITIES:
-        col = F.replace(col, F.lit(name), F.lit(char))
-    return col
+    pieces = F.split(col, "&")
+    return F.when(F.contains(col, F.lit("&")), F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), _entity), ""))).otherwise(col)
 
 
 def collapse(col: Column) -> Column:
@@ -39,13 +62,12 @@ def strip_tags(html: Column) -> Column:
     return F.regexp_replace(html, TAG, " ")
 
 
-def strip_html(html: Column, full_entities: bool = False) -> Column:
-    decoded = (unescape if full_entities else unescape_common)(strip_tags(html))
-    return collapse(F.replace(decoded, F.lit(" "), F.lit(" ")))
+def strip_html(html: Column) -> Column:
+    return collapse(F.replace(unescape(strip_tags(html)), F.lit("\u00a0"), F.lit(" ")))
 
 
-def normalize_text(html: Column, full_entities: bool = False) -> Column:
-    return F.lower(strip_html(html, full_entities))
+def normalize_text(html: Column) -> Column:
+    return F.lower(strip_html(html))
 
 
 def strip_plain(html: Column) -> Column:

@@ -1,7 +1,7 @@
 """Table-of-contents links, anchor positions, part headings and other structure of a filing.
 
-All operators take ``filings`` (accession, html) and return narrow tables keyed by accession: the
-document text never goes through a shuffle, only offsets and short windows do.
+All operators take ``filings`` (accession, html) and return narrow tables keyed by accession.  Matches are found
+where a text lies; only ``windows`` and the slices join offsets back to the texts, by accession.
 """
 
 from __future__ import annotations
@@ -13,16 +13,17 @@ from folioflow.functions import rules
 from folioflow.functions import text as T
 from folioflow.operators.matches import find_all
 
-LINK = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']?#([^"'\s>]+)["']?[^>]*>(.*?)</a>"""
-ANCHOR = r"""(?is)<([a-z][a-z0-9]*)\b[^>]*?\b(id|name)\s*=\s*["']?([^"'\s>]+)"""
-PART = r"(?is)<(?:p|div|td|h[1-6]|b|strong|span|font|center)\b[^>]*>\s*(?:<(?:b|strong|font|span)\b[^>]*>\s*)*+PART\s+([IV]{1,3}|[1-4])\b"
+REFERENCE = r"""(?is)<a\s[^>]*href=["']#([^"'>\s]+)["']"""
+LINK = REFERENCE + r"[^>]*>(.*?)</a>"
+ANCHOR = r"""(?is)<(\w+)\s[^>]*?\b(id|name)=["']([^"']+)["'][^>]*>"""
+PART = r"(?is)<(?:p|div|td|tr|h[1-6]|b|strong|span)[^>]*>\s*(?:<(?:b|strong|font|span)[^>]*>\s*)*PART\s+(I{1,3}V?|IV|[1-4])\b"
 #: Numerals of the four parts.
 NUMERALS = {"I": 1, "II": 2, "III": 3, "IV": 4, "1": 1, "2": 2, "3": 3, "4": 4}
-INCORPORATED = r"(?is)incorporated\s+(?:herein\s+)?by\s+reference|proxy\s+statement|items\s+10\s*(?:-|–|through|to)\s*14"
+INCORPORATED = r"\bincorporated?\s+by\s+reference\b|\bproxy\s+statement\b|\bitems?\s*10\s*[-–—]\s*14\b"
 
 
 def referenced_ids(filings: DataFrame) -> DataFrame:
-    return filings.select("accession", F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("anchor_id")).distinct()
+    return filings.select("accession", F.explode(F.regexp_extract_all("html", F.lit(REFERENCE), F.lit(1))).alias("anchor_id")).distinct()
 
 
 def anchors(filings: DataFrame) -> DataFrame:
@@ -45,8 +46,9 @@ def toc_links(filings: DataFrame) -> DataFrame:
     start = F.greatest(F.lit(0), F.col("o") - 1000)
     out = found.select("accession", "ord", "o", "anchor_id", T.strip_html(F.col("inner")).alias("link_text"), F.substring(F.col("html"), start + 1, F.col("o") - start).alias("before"))
     own = rules.classify(F.lower("link_text"))
-    page = (F.length("link_text") <= 6) & F.col("link_text").rlike(r"\d+\s*\z")
-    return out.select("accession", "ord", "o", "anchor_id", "link_text", F.coalesce(own, F.when(page, _page_number_label(F.col("before")))).alias("item"))
+    page = (F.length("link_text") <= 6) & F.col("link_text").rlike(r"\A\d+\s*\z")
+    long = F.length("link_text") >= 2
+    return out.select("accession", "ord", "o", "anchor_id", "link_text", F.when(long, F.coalesce(own, F.when(page, _page_number_label(F.col("before"))))).alias("item"))
 
 
 def toc_first(links: DataFrame) -> DataFrame:
@@ -55,19 +57,24 @@ def toc_first(links: DataFrame) -> DataFrame:
 
 
 def anchor_items(links: DataFrame) -> DataFrame:
-    """accession, anchor_id, items: the labels of an anchor's links in order, without repeats next to each other."""
+    """accession, anchor_id, items (the labels of an anchor's links in order, without repeats next to each other) and firsts
+    (those of them whose first link in the filing is one of these, in order)."""
     by = Window.partitionBy("accession", "anchor_id").orderBy("o")
-    kept = links.filter("item is not null").withColumn("prev", F.lag("item").over(by)).filter("prev is null or prev <> item")
+    named = links.filter("item is not null")
+    kept = named.withColumn("prev", F.lag("item").over(by)).filter("prev is null or prev <> item")
     rows = kept.groupBy("accession", "anchor_id").agg(F.array_sort(F.collect_list(F.struct("o", "item"))).alias("r"))
-    return rows.select("accession", "anchor_id", F.col("r.item").alias("items"))
+    first = named.groupBy("accession", "item").agg(F.min_by(F.struct("anchor_id", "o"), "o").alias("f"))
+    firsts = first.groupBy("accession", "f.anchor_id").agg(F.array_sort(F.collect_list(F.struct("f.o", "item"))).alias("f"))
+    out = rows.join(firsts, ["accession", "anchor_id"], "left")
+    return out.select("accession", "anchor_id", F.col("r.item").alias("items"), F.coalesce("f.item", F.array().cast("array<string>")).alias("firsts"))
 
 
 def link_records(filings: DataFrame) -> DataFrame:
     """Distinct (anchor, text) links of two characters or more, without the page-number rule."""
-    found = find_all(filings, F.col("html"), LINK, {"anchor_id": 1, "inner": 2}).select("accession", "o", "anchor_id", T.strip_html(F.col("inner")).alias("link_text"))
-    first = Window.partitionBy("accession", "anchor_id", "link_text").orderBy("o")
-    kept = found.filter(F.length("link_text") >= 2).withColumn("r", F.row_number().over(first)).filter("r = 1")
-    return kept.select("accession", "o", "anchor_id", "link_text", rules.classify(F.lower("link_text")).alias("item"))
+    found = find_all(filings, F.col("html"), LINK, {"anchor_id": 1, "inner": 2}).select("accession", "o", "anchor_id", T.normalize_text(F.col("inner")).alias("link_text"))
+    first = found.groupBy("accession", "anchor_id", "link_text").agg(F.min("o").alias("o"))
+    # The text is a group key here, so the label is read once from each.
+    return first.filter(F.length("link_text") >= 2).select("accession", "o", "anchor_id", "link_text", rules.classify(F.col("link_text")).alias("item"))
 
 
 def windows(filings: DataFrame, found: DataFrame) -> DataFrame:
@@ -76,7 +83,7 @@ def windows(filings: DataFrame, found: DataFrame) -> DataFrame:
     ends = found.withColumn("next_o", F.lead("o").over(w))
     size = F.least(F.lit(2000), F.coalesce(F.col("next_o") - F.col("o"), F.lit(2000)))
     joined = ends.join(filings.select("accession", "html"), "accession")
-    return joined.select("accession", "anchor_id", "o", "tag", "next_o", T.normalize_text(F.substring(F.col("html"), F.col("o") + 1, size)).alias("ahead"), T.back_context(F.col("html"), F.col("o")).alias("behind"), F.length("html").alias("html_len"))
+    return joined.select("accession", "anchor_id", "o", "tag", "next_o", T.normalize_text(F.substring(F.col("html"), F.col("o") + 1, size)).alias("ahead"), T.back_context(F.col("html"), F.col("o")).alias("behind"), T.nearby_text(F.col("html"), F.col("o")).alias("nearby"), F.length("html").alias("html_len"))
 
 
 def part_boundaries(filings: DataFrame) -> DataFrame:
@@ -91,41 +98,54 @@ def part_three_incorporated(filings: DataFrame, found_items: DataFrame) -> DataF
     """accession, incorporated: no item 10-14 found and a reference near the first "part iii" (else "part 3")."""
     low = F.lower("html")
     at = F.when(F.instr(low, "part iii") > 0, F.instr(low, "part iii")).otherwise(F.instr(low, "part 3"))
-    near = F.when(at > 0, F.substring(F.col("html"), at, F.lit(3000)).rlike(INCORPORATED)).otherwise(False)
+    near = F.when(at > 0, F.substring(low, at, F.lit(3000)).rlike(INCORPORATED)).otherwise(False)
     third = found_items.filter(F.col("item").isin(*rules.SHARED[0])).select("accession").distinct().withColumn("has", F.lit(True))
     return filings.select("accession", near.alias("near")).join(third, "accession", "left").select("accession", (F.col("near") & F.col("has").isNull()).alias("incorporated"))
 
 
-def signature_fallback(filings: DataFrame, found: DataFrame) -> DataFrame:
-    """accession, o: the first SIGNATURE(S) in bold or heading context after the last anchor, moved to its block's start within 200."""
-    last = found.groupBy("accession").agg(F.max("o").alias("last"))
-    tail = filings.join(last, "accession").select("accession", "html", "last", F.expr("substring(html, last + 1)").alias("tail"))
-    hits = find_all(tail, F.col("tail"), r"\bSIGNATURES?\b").withColumn("at", F.col("o") + F.col("last"))
-    start = F.greatest(F.lit(0), F.col("at") - 200)
-    back = hits.withColumn("back", F.substring(F.col("html"), start + 1, F.col("at") - start)).withColumn("from", start)
-    bold = F.col("back").rlike(r"(?is)<(?:b|strong)\b[^>]*>\s*(?:<[^>]+>\s*)*+\z") | F.col("back").rlike(r"(?is)<h[1-6]\b") | F.col("back").rlike(r"(?is)font-weight\s*:\s*(?:bold|[6-9]00)[^<]*\z")
-    block = F.length(F.regexp_extract("back", r"(?is)^(.*)<(?:p|div|h[1-6]|center|tr|table)\b", 1))
-    moved = F.when(F.col("back").rlike(r"(?is)<(?:p|div|h[1-6]|center|tr|table)\b"), F.col("from") + block).otherwise(F.col("at"))
-    return back.filter(bold).groupBy("accession").agg(F.min_by(moved, "at").alias("o"))
+BOLD_TAG = r"(?is)<(?:b|strong|h[1-6])[^>]*>\s*(?:<[^>]+>\s*)*\z"
+BOLD_STYLE = r"(?i)font-weight\s*:\s*(?:bold|[6-9]\d{2})\b"
+BLOCK_START = r"(?is)<(?:div|p|tr|td|h[1-6])[^>]*>\s*(?:<[^>]+>\s*)*\z"
+
+
+def signature_fallback(filings: DataFrame, chosen: DataFrame) -> DataFrame:
+    """accession, o: the first SIGNATURE(S) in bold or heading context from the last chosen place on, moved to its block's start within 200."""
+    last = chosen.groupBy("accession").agg(F.max("o").cast("int").alias("last"))
+    tail = filings.select("accession", "html").join(last, "accession").select("accession", "last", F.expr("substring(html, greatest(0, last - 500) + 1, last - greatest(0, last - 500))").alias("lead"), F.expr("substring(html, last + 1)").alias("tail"))
+    hits = find_all(tail, F.col("tail"), r"(?U)\bSIGNATURES?\b")
+    back = F.right(F.concat("lead", F.left("tail", F.col("o"))), F.lit(500))
+    hits = hits.select("accession", (F.col("o") + F.col("last")).alias("at"), back.alias("back"))
+    bold = F.col("back").rlike(BOLD_TAG) | F.right("back", F.lit(300)).rlike(BOLD_STYLE) | F.right("back", F.lit(200)).rlike(r"(?i)<h[1-6][^>]*>")
+    near = F.right("back", F.lit(200))
+    block = F.regexp_instr(near, F.lit(BLOCK_START))
+    moved = F.when(block > 0, F.col("at") - (F.length(near) - (block - 1))).otherwise(F.col("at"))
+    return hits.filter(bold).groupBy("accession").agg(F.min_by(moved, "at").alias("o"))
 
 
 def item_mentions(text: Column) -> Column:
     """Distinct labels of "item N" mentions."""
-    return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"(?i)item\s*\d{1,2}\s*[.\-–—]?\s*[a-c]?\b"), F.lit(0)), lambda m: rules.heading_label(F.lower(m))), lambda x: x.isNotNull()))
+    return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"(?Ui)item\s*\d+\s*[.\-–—]?\s*[a-c]?\b"), F.lit(0)), lambda m: rules.heading_label(F.lower(m))), lambda x: x.isNotNull()))
 
 
 def toc_like(anchor_id: Column, tag: Column, text: Column) -> Column:
     n = F.size(item_mentions(F.left(text, F.lit(1400))))
-    return (F.contains(F.lower(anchor_id), F.lit("toc")) & (n >= 2)) | (tag.isin("td", "tr") & (n >= 3)) | (n >= 5)
+    return (anchor_id.rlike(r"(?Ui)(?<![a-z])toc[a-z\d_]*\b") & (n >= 2)) | (tag.isin("td", "tr") & (n >= 3)) | (n >= 5)
 
 
 def heading_scan(filings: DataFrame, label: str, found: DataFrame, start: int = 0, end: int | None = None, context: int = 100, most: int = 5) -> DataFrame:
     """Places of one label's heading in the stripped text of a region, mapped back to the html, with the nearest anchor."""
-    pattern = "(?Ui)" + dict(rules.HEADINGS)[label]
-    region = filings.select("accession", F.substring(F.col("html"), F.lit(start + 1), F.least(F.lit(end if end is not None else 1 << 30), F.length("html")) - start).alias("h"))
-    text = region.withColumn("t", T.strip_html(F.col("h")))
-    hits = find_all(text, F.col("t"), pattern).filter(F.col("ord") < most)
-    at = (F.lit(start) + F.floor(F.col("o") / F.length("t") * F.length("h"))).cast("int")
+    return scan_region(stripped_region(filings, start, end), label, found, start, context, most)
+
+
+def stripped_region(filings: DataFrame, start: int = 0, end: int | None = None) -> DataFrame:
+    """accession, size (of the html region) and t, its stripped text."""
+    region = F.substring(F.col("html"), F.lit(start + 1), F.least(F.lit(end if end is not None else 1 << 30), F.length("html")) - start)
+    return filings.select("accession", F.length(region).alias("size"), T.strip_html(region).alias("t"))
+
+
+def scan_region(region: DataFrame, label: str, found: DataFrame, start: int = 0, context: int = 100, most: int = 5) -> DataFrame:
+    hits = find_all(region, F.col("t"), rules.HEADINGS[label]).filter(F.col("ord") < most)
+    at = (F.lit(start) + F.floor(F.col("o") / F.length("t") * F.col("size"))).cast("int")
     shown = hits.select("accession", "ord", at.alias("o"), F.expr(f"substring(t, greatest(0, o - {context}) + 1, {2 * context} + length(m))").alias("context"))
     return nearest(shown, found, 2000, ["accession", "ord"])
 

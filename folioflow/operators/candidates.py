@@ -12,54 +12,53 @@ from folioflow.operators.anchors import toc_like
 ROW = "array<struct<item:string,confidence:int,source:string>>"
 
 
-def _labelled(windows: DataFrame, items: DataFrame) -> DataFrame:
-    """The windows with what each rule reads in them.
+def labelled(windows: DataFrame, items: DataFrame) -> DataFrame:
+    """The windows with what each rule reads in them; ``cascade`` and ``collect`` work on these columns alone.
 
-    The labels are columns of their own, so that the many uses below don't repeat the rules.
+    h150, t150: struct(pos, label) of a heading or title in the first 150 characters; hfull, tfull: in all of them; hboth, tboth: in the
+    200 characters before and the 500 after the anchor.
     """
     w = windows.join(items, ["accession", "anchor_id"], "left")
-    head, both = F.left("ahead", F.lit(150)), F.concat_ws(" ", "behind", "ahead")
-    texts = w.withColumns({"_head": head, "_both": both})
-    return texts.withColumns({
-        "_h": rules.earliest(F.col("_head"), rules.HEADINGS), "_t": rules.earliest(F.col("_head"), rules.TITLES),
-        "_hf": rules.heading_label(F.col("ahead")), "_tf": rules.title_label(F.col("ahead")), "_hb": rules.heading_label(F.col("_both")), "_tb": rules.title_label(F.col("_both")),
-        "_id": rules.id_label(F.col("anchor_id")), "_shared": rules.shared_label(F.col("items")), "_toc": toc_like(F.col("anchor_id"), F.col("tag"), F.col("ahead")),
-    })
-
-
-def cascade(windows: DataFrame, items: DataFrame) -> DataFrame:
-    """One winner for each anchor, by falling confidence; ``items``: the labels of its links."""
-    w = _labelled(windows, items)
-    h, t = F.col("_h"), F.col("_t")
+    head, both = F.left("ahead", F.lit(150)), F.concat_ws(" ", "behind", F.left("ahead", F.lit(500)))
+    none = F.array().cast("array<string>")
+    texts = w.withColumns({"_head": head, "_both": both, "items": F.coalesce("items", none), "firsts": F.coalesce("firsts", none)})
+    return texts.select(
+        "accession", "anchor_id", "o", "tag", "html_len", "nearby", "firsts", rules.heading(F.col("_head")).alias("h150"), rules.title(F.col("_head")).alias("t150"),
+        rules.heading_label(F.col("ahead")).alias("hfull"), rules.title_label(F.col("ahead")).alias("tfull"), rules.heading_label(F.col("_both")).alias("hboth"), rules.title_label(F.col("_both")).alias("tboth"),
+        rules.id_label(F.col("anchor_id")).alias("by_id"), rules.shared_label(F.col("items")).alias("shared"), toc_like(F.col("anchor_id"), F.col("tag"), F.col("ahead")).alias("toc"),
+    )
+
+
+def cascade(found: DataFrame) -> DataFrame:
+    """One winner for each anchor of ``labelled``, by falling confidence."""
+    h, t = F.col("h150"), F.col("t150")
     title_wins = h.isNull() & t.isNotNull() | (t.pos < h.pos) & (h.pos > 50)
 
     def pick(label, confidence):
         return F.when(label.isNotNull(), F.struct(label.alias("item"), F.lit(confidence).alias("confidence")))
 
-    listed = F.when(F.size("items") > 0, F.get(F.col("items"), F.lit(0)))
     early = F.when(title_wins, F.when(h.isNotNull(), pick(t.label, 6)).otherwise(pick(t.label, 3))).otherwise(pick(h.label, 6))
     best = F.coalesce(
-        pick(F.col("_shared"), 10), pick(F.col("_id"), 9), pick(listed, 8),
-        F.when(~F.col("_toc"), F.coalesce(early, pick(F.col("_hf"), 5), pick(F.col("_tf"), 2), pick(F.col("_hb"), 4), pick(F.col("_tb"), 1))),
+        pick(F.col("shared"), 10), pick(F.col("by_id"), 9), pick(F.get("firsts", F.lit(0)), 8),
+        F.when(~F.col("toc"), F.coalesce(early, pick(F.col("hfull"), 5), pick(F.col("tfull"), 2), pick(F.col("hboth"), 4), pick(F.col("tboth"), 1))),
     )
-    return w.select("accession", "anchor_id", "o", best.alias("b")).filter("b is not null").select("accession", "anchor_id", "o", "b.item", "b.confidence")
+    return found.select("accession", "anchor_id", "o", best.alias("b")).filter("b is not null").select("accession", "anchor_id", "o", "b.item", "b.confidence")
 
 
-def collect(windows: DataFrame, items: DataFrame) -> DataFrame:
+def collect(found: DataFrame) -> DataFrame:
     """Every rule that matches gives a candidate; equal (item, anchor, source) count once."""
-    w = _labelled(windows, items)
 
     def one(label, confidence, source, when=None):
         row = F.struct(label.alias("item"), F.lit(confidence).alias("confidence"), F.lit(source).alias("source"))
         return F.when(label.isNotNull() & (F.lit(True) if when is None else when), row)
 
-    h150, t150 = F.col("_h.label"), F.col("_t.label")
-    found = F.array_compact(F.array(
-        one(F.col("_id"), 9, "anchor_id"), one(h150, 6, "heading_150"), one(F.col("_hf"), 5, "heading_full", h150.isNull()),
-        one(t150, 3, "title_150"), one(F.col("_tb"), 1, "title_combined", ~F.col("_tb").eqNullSafe(t150))))
-    listed = F.transform(F.coalesce(F.col("items"), F.array().cast("array<string>")), lambda i: F.struct(i.alias("item"), F.lit(8).alias("confidence"), F.lit("toc_link").alias("source")))
+    h150, t150 = F.col("h150.label"), F.col("t150.label")
+    made = F.array_compact(F.array(
+        one(F.col("by_id"), 9, "anchor_id"), one(h150, 6, "tier1"), one(F.col("hfull"), 5, "tier1", h150.isNull()),
+        one(t150, 3, "tier2"), one(F.col("tboth"), 1, "title_keyword", ~F.col("tboth").eqNullSafe(t150))))
+    listed = F.transform("firsts", lambda i: F.struct(i.alias("item"), F.lit(8).alias("confidence"), F.lit("toc_text").alias("source")))
     rel = T.relative_position(F.col("o"), F.col("html_len"))
-    rows = w.select("accession", "anchor_id", "o", "tag", rel.alias("rel"), F.left("ahead", F.lit(200)).alias("nearby_text"), F.explode(F.concat(found.cast(ROW), listed.cast(ROW))).alias("c"))
+    rows = found.select("accession", "anchor_id", "o", "tag", rel.alias("rel"), F.col("nearby").alias("nearby_text"), F.explode(F.concat(made.cast(ROW), listed.cast(ROW))).alias("c"))
     return rows.select("accession", "c.item", "anchor_id", "o", "rel", "c.confidence", "c.source", "nearby_text", "tag").dropDuplicates(["accession", "item", "anchor_id", "source"])
 
 

@@ -15,26 +15,30 @@ def select_ordered(candidates: DataFrame) -> DataFrame:
     """The heaviest chain of candidates that rises strictly in offset and canonical order.
 
     A candidate weighs ``confidence * 10^6 + (largest offset - offset)``.  One fold over each
-    filing's sorted candidates keeps for every candidate the best chain that ends in it; of equally
-    heavy predecessors the first stays.  Candidates with unknown labels take no part in the chain and are
-    appended.  A filing has some hundred candidates at most, so the array is small.
+    filing's sorted candidates keeps for every candidate the weight of the best chain that ends in it and the place of its
+    predecessor; of equally heavy ones the first stays.  A second fold walks back from the heaviest end.  Candidates with unknown
+    labels take no part in the chain and are appended.  A filing has some hundred candidates at most, so the array is small.
     """
     c = candidates.withColumn("x", rules.seq_of(F.col("item")))
     known, rest = c.filter("x < 999"), c.filter("x >= 999")
-    sorted_rows = known.groupBy("accession").agg(F.array_sort(F.collect_list(F.struct(F.col("o").cast("long").alias("o"), "x", (-F.col("confidence")).alias("k"), "anchor_id", "item"))).alias("rows"), F.max("o").cast("long").alias("top"))
-    kind = "array<struct<o:bigint,x:int,s:bigint,i:int,p:array<int>>>"
+    rows = known.groupBy("accession").agg(F.array_sort(F.collect_list(F.struct(F.col("o").cast("long").alias("o"), "x", (-F.col("confidence")).alias("k"), "anchor_id", "item"))).alias("rows"), F.max("o").cast("long").alias("top"))
+    kind = "array<struct<o:bigint,x:int,s:bigint,i:int,p:int>>"
 
     def step(acc, row):
         before = F.filter(acc, lambda a: (a.o < row.o) & (a.x < row.x))
-        best = F.array_max(F.transform(before, lambda a: F.struct(a.s.alias("s"), (-a.i).alias("i"), a.p.alias("p"))))
+        best = F.array_max(F.transform(before, lambda a: F.struct(a.s.alias("s"), (-a.i).alias("i"))))
         weight = -row.k.cast("long") * STEP + (F.col("top") - row.o)
-        n = F.size(acc)
-        made = F.struct(row.o.alias("o"), row.x.alias("x"), (weight + F.coalesce(best.s, F.lit(0).cast("long"))).alias("s"), n.alias("i"), F.concat(F.coalesce(best.p, F.array().cast("array<int>")), F.array(n)).alias("p"))
+        made = F.struct(row.o.alias("o"), row.x.alias("x"), (weight + F.coalesce(best.s, F.lit(0).cast("long"))).alias("s"), F.size(acc).alias("i"), F.coalesce(-best.i, F.lit(-1)).alias("p"))
         return F.concat(acc, F.array(made))
 
-    chains = F.aggregate("rows", F.array().cast(kind), step)
-    best = F.array_max(F.transform(chains, lambda a: F.struct(a.s.alias("s"), (-a.i).alias("i"), a.p.alias("p")))).p
-    picked = sorted_rows.select("accession", "rows", F.explode(best).alias("i")).select("accession", F.get("rows", F.col("i")).alias("r"))
+    def back(state, a):
+        hit = state.at == a.i
+        return F.struct(F.when(hit, a.p).otherwise(state.at).alias("at"), F.when(hit, F.concat(state.out, F.array(a.i))).otherwise(state.out).alias("out"))
+
+    chains = rows.withColumn("acc", F.aggregate("rows", F.array().cast(kind), step))
+    end = F.array_max(F.transform("acc", lambda a: F.struct(a.s.alias("s"), (-a.i).alias("i")))).i
+    walked = chains.select("accession", "rows", F.aggregate(F.reverse("acc"), F.struct((-end).alias("at"), F.array().cast("array<int>").alias("out")), back, lambda s: s.out).alias("path"))
+    picked = walked.select("accession", F.explode(F.transform("path", lambda i: F.get("rows", i))).alias("r"))
     out = picked.select("accession", "r.item", "r.anchor_id", "r.o", (-F.col("r.k")).alias("confidence"))
     return out.unionByName(rest.select("accession", "item", "anchor_id", F.col("o").cast("long").alias("o"), "confidence"))
 
@@ -45,38 +49,45 @@ def select_greedy(candidates: DataFrame) -> DataFrame:
     return best.select("accession", "item", "b.anchor_id", "b.o", "b.confidence")
 
 
-def heading_fallback(filings: DataFrame, chosen: DataFrame, wanted: DataFrame) -> DataFrame:
+def heading_fallback(filings: DataFrame, chosen: DataFrame, wanted: DataFrame, batch_rows: int = 16) -> DataFrame:
     """Items of ``wanted`` (accession, item) that were not chosen, looked for by heading between their chosen neighbours.
 
-    Each find narrows the region of the later ones, so a filing's items are taken in order inside one row.
+    The heading is searched in the region's stripped text, past its first 20 characters, and its place carried over to the html in
+    proportion.  Each find narrows the region of the later ones, so a filing's items are taken one by one (in the order of their names)
+    inside one row.  Only filings with such items are read, a few at a time.
     """
-    import re as _re
-
-    patterns = {k: v.replace(r"\z", r"\Z") for k, v in rules.HEADINGS}
-    seq = rules.SEQ
     c = chosen.groupBy("accession").agg(F.collect_list(F.struct("item", F.col("o").cast("long").alias("o"))).alias("have"))
-    w = wanted.filter("item <> 'signatures'").groupBy("accession").agg(F.collect_set("item").alias("want"))
-    rows = filings.select("accession", "html").join(w, "accession").join(c, "accession", "left")
-
-    def run(frames):
-        import pandas as pd
-
-        for pdf in frames:
-            out = []
-            for acc, html, want, have in zip(pdf.accession, pdf.html, pdf.want, pdf.have):
-                at = {r["item"]: r["o"] for r in (have if have is not None else [])}
-                for item in sorted(set(want) - set(at), key=lambda x: seq.get(x, 999)):
-                    if item not in patterns:
-                        continue
-                    lo = max([o for k, o in at.items() if seq.get(k, 999) < seq[item]], default=0)
-                    hi = min([o for k, o in at.items() if seq.get(k, 999) > seq[item]], default=len(html))
-                    m = _re.compile(patterns[item], _re.I).search(html[lo:hi]) if lo < hi else None
-                    if m and m.start() > 20:
-                        at[item] = lo + m.start()
-                        out.append((acc, item, at[item]))
-            yield pd.DataFrame(out, columns=["accession", "item", "o"])
-
-    return rows.mapInPandas(run, "accession string, item string, o long")
+    w = wanted.filter("item <> 'signatures'").join(chosen, ["accession", "item"], "left_anti").groupBy("accession").agg(F.collect_set("item").alias("want"))
+    rows = filings.select("accession", "html").join(w, "accession").join(c, "accession")
+    patterns, seq = {k: v.replace("(?Ui)", "") for k, v in rules.HEADINGS.items()}, rules.SEQ
+
+    def places(html, want, have):
+        import html as entities
+        import re
+
+        at = {r["item"]: r["o"] for r in have}
+        for item in sorted(want):
+            if item not in patterns:
+                continue
+            lo = max([0, *(o for k, o in at.items() if seq.get(k, -1) < seq[item])])
+            hi = min([len(html), *(o for k, o in at.items() if seq.get(k, -1) > seq[item])])
+            if hi <= lo:
+                continue
+            text = re.sub(r"\s+", " ", entities.unescape(re.sub(r"<[^>]+>", " ", html[lo:hi])).replace("\u00a0", " ")).strip().lower()
+            m = re.search(patterns[item], text)
+            if m and m.start() > 20:
+                at[item] = lo + int(m.start() / len(text) * (hi - lo))
+                yield item, at[item]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, batch_rows):
+                out = [(r["accession"], *x) for r in batch.slice(lo, batch_rows).to_pylist() for x in places(r["html"], r["want"], r["have"])]
+                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["accession", "item", "o"])
+
+    return rows.mapInArrow(run, "accession string, item string, o long")
 
 
 def slices(filings: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -93,25 +104,40 @@ def slices(filings: DataFrame, chosen: DataFrame) -> DataFrame:
     return ends.select("accession", "item", "o", "stop").join(docs.drop("n"), "accession").select("accession", "item", cut.alias("html"))
 
 
-OPEN_WRAPPER = r"(?is)<(?:div|p|span|a)\b[^<>]*>\s*\z"
-HALF_TAG = r"(?s)<[^<>]*\z"
+#: An anchor element without content, alone in a division.
+_EMPTY = r"""<a\s[^>]*\b(?:id|name)=["'][^"']+["'][^>]*>\s*</a>"""
+LEADING = rf"(?i)\A({_EMPTY})\s*</div>"
+TRAILING = rf"(?i)(<div>\s*){_EMPTY}(\s*</div>)\s*\z"
+
+
+def wrapper_end(html, o):
+    """Where the slice before an anchor at ``o`` ends: behind the division that wraps the anchor, or at the anchor."""
+    before = F.substring(html, F.greatest(F.lit(1), o - 29), F.least(o, F.lit(30)))
+    closed = F.regexp_extract(F.substring(html, o + 1, F.lit(200)), r"(?is)\A.*?</a>\s*</div>", 0)
+    return F.when(before.rlike(r"(?i)<div>\s*\z") & (closed != ""), o + F.length(closed)).otherwise(o)
 
 
 def rule_slices(filings: DataFrame, chosen: DataFrame, to_end_of_file: bool = False) -> DataFrame:
-    """Slices whose ends are drawn back over an opened wrapper (part of D2: starts aren't repaired); the last ends at ``</body>`` or the end of the text.
+    """Slices between the chosen places: accession, item, html.
 
-    Of several slices of one item the longest stays, of equal ones the first.
+    A slice ends behind the division that wraps the next anchor, without that anchor, and loses the end tag left over behind its own
+    anchor.  The last ends at the last ``</body>`` behind its start or with the text; with ``to_end_of_file``, and where ``filings`` has
+    ``content`` and ``text_start``, with the whole submission.  Of several slices of one item the longest stays, of equal ones the first.
     """
-    docs = filings.select("accession", "html")
-    ends = chosen.withColumn("stop", F.lead("o").over(Window.partitionBy("accession").orderBy("o", rules.seq_of(F.col("item")))))
-    body = F.instr(F.lower("html"), "</body>")
-    last = F.length("html") if to_end_of_file else F.when(body > 0, body - 1).otherwise(F.length("html"))
-    stop = F.coalesce(F.col("stop").cast("int"), last)
-    start = F.col("o").cast("int")
-    raw = ends.join(docs, "accession").select("accession", "item", start.alias("o"), F.substring(F.col("html"), start + 1, F.greatest(F.lit(0), stop - start)).alias("h"))
-    trimmed = F.regexp_replace(F.regexp_replace("h", HALF_TAG, ""), OPEN_WRAPPER, "")
-    cut = raw.select("accession", "item", "o", trimmed.alias("html"))
-    return cut.groupBy("accession", "item").agg(F.max_by("html", F.struct(F.length("html"), -F.col("o"))).alias("html"))
+    whole = to_end_of_file and "content" in filings.columns
+    docs = filings.select("accession", "html", *(["content", "text_start"] if whole else []))
+    ends = chosen.select("accession", "item", F.col("o").cast("int").alias("o"))
+    ends = ends.withColumn("next", F.lead("o").over(Window.partitionBy("accession").orderBy("o", rules.seq_of(F.col("item")))))
+    html, o, n = F.col("html"), F.col("o"), F.length("html")
+    body = n - F.instr(F.reverse(html), "</body>"[::-1]) - len("</body>") + 1
+    last = F.when(F.contains(html, F.lit("</body>")) & (body > o), body).otherwise(n)
+    stop = F.coalesce(wrapper_end(html, F.col("next")), last)
+    cut = F.substring(html, o + 1, F.greatest(F.lit(0), stop - o))
+    if whole:
+        cut = F.when(F.col("next").isNull() & (F.col("content") != html), F.expr("substring(content, cast(text_start as int) + o + 1)")).otherwise(cut)
+    raw = ends.join(docs, "accession").select("accession", "item", "o", cut.alias("html"))
+    mended = F.regexp_replace(F.regexp_replace("html", LEADING, "$1"), TRAILING, "$1$2")
+    return raw.select("accession", "item", "o", mended.alias("html")).groupBy("accession", "item").agg(F.max_by("html", F.struct(F.length("html"), -F.col("o"))).alias("html"))
 
 
 def placeholders(items: DataFrame, made: DataFrame) -> DataFrame:
@@ -134,7 +160,7 @@ def is_placeholder_item16(html):
     from folioflow.functions import text as T
 
     drop = lambda c, *patterns: drop(F.trim(F.regexp_replace(c, patterns[0], "")), *patterns[1:]) if patterns else c
-    text = T.strip_html(F.left(html, F.lit(5000)), full_entities=True)
+    text = T.strip_html(F.left(html, F.lit(5000)))
     after = F.trim(F.left(F.regexp_replace(text, rf"(?is)^.*?{HEADER16}", ""), F.lit(300)))
     phrase = drop(after, r"(?is)(?:\.\s|\bexhibit|\bindex|\bpart\b|\bitem\b).*$")
     rest = drop(phrase, r"\b\d+\b", r"[.\s]+$", r"(?i)\btable\s+of\s+contents\b", r"(?i)\(optional\)", r"(?i)\bpart\s+iv\b", r"[.\s:]+$")
@@ -142,11 +168,17 @@ def is_placeholder_item16(html):
     return F.when(text.rlike(f"(?i){HEADER16}"), (rest == "") | rest.rlike(r"(?i)^(?:none|not\s+applicable|n/?a|omitted)$")).otherwise(short)
 
 
-def policy(made: DataFrame, links: DataFrame, incorporated: DataFrame) -> DataFrame:
-    """Signatures that no link names go; a long placeholder item 16 is then blanked; an incorporated part III gets empty slices."""
-    named = links.filter("item = 'signatures'").select("accession").distinct().withColumn("named", F.lit(True))
-    m = made.join(named, "accession", "left").filter("item <> 'signatures' or named")
+def policy(made: DataFrame, signed: DataFrame) -> DataFrame:
+    """Signatures that neither a contents link nor an anchor names go; in such filings a long placeholder item 16 is blanked.
+
+    ``signed``: accessions with a link or an anchor of the signatures.
+    """
+    m = made.join(signed.select("accession").distinct().withColumn("named", F.lit(True)), "accession", "left").filter("item <> 'signatures' or named")
     blank = (F.col("item") == "item16") & F.col("named").isNull() & (F.length("html") > 10_000) & is_placeholder_item16(F.col("html"))
-    kept = m.select("accession", "item", F.when(blank, "").otherwise(F.col("html")).alias("html"))
-    third = incorporated.filter("incorporated").select("accession", F.explode(F.array(*map(F.lit, rules.SHARED[0]))).alias("item")).withColumn("html", F.lit(""))
-    return kept.unionByName(third.join(kept, ["accession", "item"], "left_anti"))
+    return m.select("accession", "item", F.when(blank, "").otherwise(F.col("html")).alias("html"))
+
+
+def part_three_placeholders(made: DataFrame, incorporated: DataFrame) -> DataFrame:
+    """Empty slices of items 10 to 14 for filings with slices that take their third part from another document."""
+    third = incorporated.filter("incorporated").join(made.select("accession").distinct(), "accession", "left_semi")
+    return third.select("accession", F.explode(F.array(*map(F.lit, rules.SHARED[0]))).alias("item"), F.lit("").alias("html")).join(made, ["accession", "item"], "left_anti")

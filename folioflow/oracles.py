@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from folioflow.functions import rules
-from folioflow.plans.synthetic import SECTIONS
+from folioflow.plans.synthetic import ELSEWHERE, SECTIONS, SIGNED
 
-LINK = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["'']?#([^"''\s>]+)["'']?[^>]*>(.*?)</a>"""
-ANCHOR = r"""(?is)<([a-z][a-z0-9]*)\b[^>]*?\b(id|name)\s*=\s*["'']?([^"''\s>]+)"""
-PART = r"(?is)<(?:p|div|td|h[1-6]|b|strong|span|font|center)\b[^>]*>\s*(?:<(?:b|strong|font|span)\b[^>]*>\s*)*PART\s+([IV]{1,3}|[1-4])\b"
+REFERENCE = r"""(?is)<a\s[^>]*href=["'']#([^"''>\s]+)["'']"""
+LINK = REFERENCE + r"[^>]*>(.*?)</a>"
+ANCHOR = r"""(?is)<(\w+)\s[^>]*?\b(id|name)=["'']([^"'']+)["''][^>]*>"""
+PART = r"(?is)<(?:p|div|td|tr|h[1-6]|b|strong|span)[^>]*>\s*(?:<(?:b|strong|font|span)[^>]*>\s*)*PART\s+(I{1,3}V?|IV|[1-4])\b"
 BLOCK = r"(?i)<(h1|p|li|b)\b[^>]*>"
 
 
@@ -31,9 +32,10 @@ def find_all(source: str, text: str, pattern: str, groups: dict[str, int] | None
 DIM = "dim(item, seq, part, expected, num, letter, title) AS (VALUES " + ", ".join(f"({q(x[0])}, {k}, {x[1]}, {str(x[2]).lower()}, {q(x[3])}, {q(x[4])}, {q(x[5])})" for k, x in enumerate(rules.ITEMS)) + ")"
 
 FILINGS = f"""{DIM},
-sect AS (SELECT page_id, i - 1 AS k, ps[i] AS t FROM (SELECT page_id, ps, unnest(generate_series(1, least({SECTIONS}, len(ps)))) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS ps FROM pages))),
+para AS (SELECT page_id, CASE WHEN len(ps) >= {SECTIONS} THEN list_append(ps[1:{SECTIONS - 1}], array_to_string(ps[{SECTIONS}:], '</p><p>')) ELSE ps END AS ps FROM (SELECT page_id, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS ps FROM pages)),
+sect AS (SELECT page_id, i - 1 AS k, ps[i] AS t FROM (SELECT page_id, ps, unnest(generate_series(1, len(ps))) AS i FROM para)),
 made AS (SELECT page_id, k, t, part, (page_id + k) % 5 AS v, (page_id + k) % 3 AS h, 'Item ' || num || letter || '.' AS name, title,
-  CASE WHEN (page_id + k) % 5 = 3 THEN 'item_' || num || lower(letter) ELSE 'a' || k END AS aid FROM sect JOIN dim ON k = seq),
+  CASE WHEN page_id % 7 = 0 AND k BETWEEN 15 AND 19 THEN 'a19' WHEN (page_id + k) % 5 = 3 THEN 'item_' || num || lower(letter) ELSE 'a' || k END AS aid FROM sect JOIN dim ON k = seq),
 piece AS (SELECT page_id, k,
   CASE v WHEN 0 THEN '<p><a href="#' || aid || '">' || name || ' ' || title || '</a></p>'
          WHEN 1 THEN '<tr><td>' || name || '</td><td><a href="#' || aid || '">' || (k + 3) || '</a></td></tr>'
@@ -42,52 +44,79 @@ piece AS (SELECT page_id, k,
          ELSE '<p><a href="#' || aid || '">see here</a></p>' END AS toc,
   CASE WHEN k IN (0, 6, 15, 20) THEN '<p><b>PART ' || ['I', 'II', 'III', 'IV'][part] || '</b></p>' ELSE '' END || '<div><a id="' || aid || '"></a></div><p>' ||
   CASE h WHEN 0 THEN name || ' ' || title || '. ' WHEN 1 THEN title || '. ' ELSE '' END || '</p><p>' || t || '</p>' AS body FROM made),
-filings AS MATERIALIZED (SELECT printf('%010d', page_id) AS accession, '<html><body><table>' || string_agg(toc, '' ORDER BY k) || '</table>' || string_agg(body, '' ORDER BY k) || '</body></html>' AS html FROM piece GROUP BY page_id)"""
+filings AS MATERIALIZED (SELECT printf('%010d', page_id) AS accession, '<html><body><table>' || coalesce(string_agg(toc, '' ORDER BY k), '') || '</table>' || coalesce(string_agg(body, '' ORDER BY k), '') ||
+  CASE WHEN page_id % 5 = 0 THEN {q(ELSEWHERE)} ELSE '' END || CASE WHEN page_id % 2 = 0 THEN {q(SIGNED)} ELSE '' END || '</body></html>' AS html FROM para LEFT JOIN piece USING (page_id) GROUP BY page_id)"""
+
+
+def label(m: str) -> str:
+    """The label of one mention: "item", a number and what may forbid or refine it."""
+    num, rest = f"regexp_extract({m}, 'item\\s*(\\d+)', 1)", f"regexp_extract({m}, 'item\\s*\\d+(.*)$', 1)"
+    letter = f"regexp_extract({m}, '^item\\s*\\d+\\s*[.\\-–—]?\\s*([abc])$', 1)"
+    return f"""(CASE WHEN {num} || {letter} IN ('1a', '1b', '7a', '9a', '9b', '9c') THEN 'item' || {num} || {letter}
+      WHEN regexp_matches({rest}, '^[a-z0-9_]') OR length({num}) = 1 AND regexp_matches({rest}, '^\\s*[0-9]') OR {num} = '1' AND regexp_matches({rest}, '^\\s*[ab]') OR {num} = '7' AND regexp_matches({rest}, '^\\s*a') OR {num} = '9' AND regexp_matches({rest}, '^\\s*[abc]') THEN NULL
+      WHEN {num} IN ({', '.join(q(str(n)) for n in range(1, 17))}) THEN 'item' || {num} END)"""
+
+
+def mentions(t: str) -> str:
+    """Labels and places (from 0) of all "item N" mentions of a lower-case text that have a label."""
+    return f"list_filter(list_transform(regexp_extract_all({t}, 'item\\s*\\d+(?:\\s*[.\\-–—]?\\s*[abc]\\b|\\s*[0-9abc]|[a-z_])?'), lambda m: {{'l': {label('m')}, 'p': strpos({t}, m) - 1}}), lambda x: x.l IS NOT NULL)"
 
 
 def heading(t: str) -> str:
-    """The label of the only "item N" mention of a lower-case text."""
-    num, let = f"regexp_extract({t}, '\\bitem\\s*(\\d{{1,2}})', 1)", f"regexp_extract({t}, '\\bitem\\s*\\d{{1,2}}\\s*[.\\-–—]?\\s*([abc])\\b', 1)"
-    return f"(CASE WHEN {num} = '' THEN NULL WHEN {let} <> '' THEN 'item' || {num} || {let} ELSE 'item' || {num} END)"
+    """The label of the first "item N" mention of a lower-case text, or of signatures at its end."""
+    return f"coalesce(({mentions(t)})[1].l, CASE WHEN regexp_matches({t}, '\\bsignatures?\\s*$') THEN 'signatures' END)"
 
 
-PHRASES = {"item1a": "risk factors", "item1b": "unresolved staff comments", "item2": "properties", "item3": "legal proceedings", "item4": "mine safety", "item5": "market for the registrant", "item6": "selected financial data", "item7": "managements discussion and analysis", "item7a": "quantitative and qualitative disclosures about market risk", "item8": "financial statements and supplementary data", "item9": "changes in and disagreements", "item9a": "controls and procedures", "item9b": "other information", "item9c": "disclosure regarding", "item10": "directors and executive officers", "item11": "executive compensation", "item12": "security ownership", "item13": "certain relationships", "item14": "principal account", "item15": "exhibits and financial statement", "item16": "form 10-k summary"}
+PHRASES = {"item1a": "risk factors", "item1b": "unresolved staff comments", "item2": "properties", "item3": "legal proceedings", "item4": "mine safety", "item5": "market for the registrant", "item6": "selected financial data", "item7": "managements discussion and analysis", "item7a": "quantitative and qualitative disclosures about market risk", "item8": "financial statements and supplementary data", "item9": "changes in and disagreements", "item9a": "controls and procedures", "item9b": "other information", "item10": "directors and executive officers", "item11": "executive compensation", "item12": "security ownership", "item13": "certain relationships", "item14": "principal account", "item15": "exhibits and financial statement", "item16": "form 10-k summary"}
+
+
+def titles(t: str) -> str:
+    """Labels and places (from 0) of the title phrases of a text, the first one first."""
+    tries = [f"CASE WHEN strpos({t}, {q(p)}) > 0 THEN {{'p': strpos({t}, {q(p)}) - 1, 'l': {q(k)}}} END" for k, p in PHRASES.items()]
+    tries.append(f"CASE WHEN regexp_matches({t}, '\\bdisclosure regarding\\b.*\\biran\\b') THEN {{'p': strpos({t}, 'disclosure regarding') - 1, 'l': 'item9c'}} END")
+    tries.append(f"CASE WHEN strpos(' ' || {t} || ' ', ' business ') > 0 THEN {{'p': greatest(strpos(' ' || {t} || ' ', ' business ') - 2, 0), 'l': 'item1'}} END")
+    tries.append(f"CASE WHEN regexp_matches({t}, '\\bsignatures?\\s*$') THEN {{'p': length({t}) - length(regexp_extract({t}, '\\bsignatures?\\s*$')), 'l': 'signatures'}} END")
+    return f"list_sort(list_filter([{', '.join(tries)}], lambda x: x IS NOT NULL))"
 
 
 def title(t: str) -> str:
     """The label of the title phrase that comes first."""
-    tries = ", ".join(f"CASE WHEN strpos({t}, {q(p)}) > 0 THEN {{'p': strpos({t}, {q(p)}), 'l': {q(k)}}} END" for k, p in PHRASES.items())
-    return f"coalesce(CASE WHEN regexp_full_match({t}, '\\s*business(\\s+summary)?\\s*') THEN 'item1' END, (list_sort(list_filter([{tries}], lambda x: x IS NOT NULL))[1]).l)"
+    return f"({titles(t)}[1]).l"
 
 
 LINKS = f"""{FILINGS},
 link0 AS (SELECT accession, ord, o, anchor_id, {strip('inner_')} AS link_text, substr(html, greatest(0, o - 1000) + 1, o - greatest(0, o - 1000)) AS before FROM {find_all('filings', 'html', LINK, {'anchor_id': 1, 'inner_': 2})}),
 link1 AS (SELECT *, lower(link_text) AS low, CASE WHEN contains(before, '<tr') THEN lower({strip("string_split(before, '<tr')[-1]")}) END AS in_row, lower({strip("string_split_regex(before, '(?i)</a>')[-1]")}) AS in_cell FROM link0),
-links AS MATERIALIZED (SELECT accession, ord, o, anchor_id, link_text, coalesce({heading('low')}, {title('low')}, CASE WHEN length(link_text) <= 6 AND regexp_matches(link_text, '\\d+\\s*$') THEN coalesce({heading('in_row')}, {title('in_row')}, {heading('in_cell')}, {title('in_cell')}) END) AS item FROM link1)"""
+links AS MATERIALIZED (SELECT accession, ord, o, anchor_id, link_text, CASE WHEN length(link_text) >= 2 THEN coalesce({heading('low')}, {title('low')}, CASE WHEN length(link_text) <= 6 AND regexp_matches(link_text, '^\\d+\\s*$') THEN coalesce({heading('in_row')}, {title('in_row')}, {heading('in_cell')}, {title('in_cell')}) END) END AS item FROM link1)"""
 
 ANCHORS = f"""{LINKS},
 anchors AS MATERIALIZED (SELECT accession, anchor_id, max(o) AS o, arg_max(lower(tag_), o) AS tag, arg_max(lower(attr_), o) AS attr FROM {find_all('filings', 'html', ANCHOR, {'tag_': 1, 'attr_': 2, 'anchor_id': 3})} SEMI JOIN (SELECT DISTINCT accession, anchor_id FROM links) USING (accession, anchor_id) GROUP BY ALL)"""
 
 WINDOWS = f"""{ANCHORS},
 win0 AS (SELECT accession, anchor_id, o, tag, lead(o) OVER (PARTITION BY accession ORDER BY o, anchor_id) AS next_o FROM anchors),
-windows AS MATERIALIZED (SELECT accession, anchor_id, o, tag, next_o, lower({strip('substr(html, o + 1, least(2000, coalesce(next_o - o, 2000)))')}) AS ahead, right(lower({strip('substr(html, greatest(0, o - 500) + 1, o - greatest(0, o - 500))')}), 200) AS behind, length(html) AS html_len FROM win0 JOIN filings USING (accession)),
-items AS MATERIALIZED (SELECT accession, anchor_id, list(item ORDER BY o) AS items FROM (SELECT *, lag(item) OVER (PARTITION BY accession, anchor_id ORDER BY o) AS prev FROM links WHERE item IS NOT NULL) WHERE prev IS DISTINCT FROM item GROUP BY ALL)"""
+windows AS MATERIALIZED (SELECT accession, anchor_id, o, tag, next_o, lower({strip('substr(html, o + 1, least(2000, coalesce(next_o - o, 2000)))')}) AS ahead, right(lower({strip('substr(html, greatest(0, o - 500) + 1, o - greatest(0, o - 500))')}), 200) AS behind, left(lower({strip('substr(html, o + 1, 300)')}), 200) AS nearby, length(html) AS html_len FROM win0 JOIN filings USING (accession)),
+first_ AS (SELECT accession, anchor_id, list(item ORDER BY o) AS firsts FROM (SELECT accession, item, arg_min(anchor_id, o) AS anchor_id, min(o) AS o FROM links WHERE item IS NOT NULL GROUP BY accession, item) GROUP BY ALL),
+items AS MATERIALIZED (SELECT accession, anchor_id, items, coalesce(firsts, []) AS firsts FROM (SELECT accession, anchor_id, list(item ORDER BY o) AS items FROM (SELECT *, lag(item) OVER (PARTITION BY accession, anchor_id ORDER BY o) AS prev FROM links WHERE item IS NOT NULL) WHERE prev IS DISTINCT FROM item GROUP BY ALL) LEFT JOIN first_ USING (accession, anchor_id))"""
 
 ID = "(CASE WHEN regexp_matches(anchor_id, '^item_\\d+[abc]?$') THEN replace(anchor_id, '_', '') END)"
+GROUPS = "[" + ", ".join("[" + ", ".join(q(x) for x in g) + "]" for g in rules.SHARED) + "]"
 
 LABELS = f"""{WINDOWS},
-lab0 AS (SELECT *, left(ahead, 150) AS head, concat_ws(' ', behind, ahead) AS both_ FROM windows LEFT JOIN items USING (accession, anchor_id)),
-labels_ AS MATERIALIZED (SELECT *, {ID} AS by_id, {heading('head')} AS h150, {title('head')} AS t150, {heading('ahead')} AS hfull, {title('ahead')} AS tfull, {title('both_')} AS tboth FROM lab0)"""
+lab0 AS (SELECT * EXCLUDE (items, firsts), coalesce(items, []) AS items, coalesce(firsts, []) AS firsts, left(ahead, 150) AS head, behind || ' ' || left(ahead, 500) AS both_ FROM windows LEFT JOIN items USING (accession, anchor_id)),
+labels_ AS MATERIALIZED (SELECT *, {ID} AS by_id, {heading('head')} AS h150, {title('head')} AS t150, {heading('ahead')} AS hfull, {title('ahead')} AS tfull, {heading('both_')} AS hboth, {title('both_')} AS tboth,
+  ({mentions('head')})[1].p AS hpos, ({titles('head')}[1]).p AS tpos,
+  len(list_distinct(list_filter(list_transform(regexp_extract_all(left(ahead, 1400), 'item\\s*\\d+\\s*[.\\-–—]?\\s*[a-c]?\\b'), lambda m: {label('trim(m)')}), lambda x: x IS NOT NULL))) >= 5 AS toc,
+  CASE WHEN len(list_distinct(items)) >= 2 AND len(list_filter({GROUPS}, lambda g: list_has_all(g, items))) > 0 THEN 'item' || list_max(list_transform(items, lambda x: CASE WHEN regexp_matches(x, '^item\\d+$') THEN CAST(substr(x, 5) AS INTEGER) END)) END AS shared FROM lab0)"""
 
 CANDS = f"""{LABELS},
 raw AS (
-  SELECT accession, by_id AS item, anchor_id, o, 9 AS confidence, 'anchor_id' AS source, ahead, tag, html_len FROM labels_
-  UNION ALL SELECT accession, h150, anchor_id, o, 6, 'heading_150', ahead, tag, html_len FROM labels_
-  UNION ALL SELECT accession, hfull, anchor_id, o, 5, 'heading_full', ahead, tag, html_len FROM labels_ WHERE h150 IS NULL
-  UNION ALL SELECT accession, t150, anchor_id, o, 3, 'title_150', ahead, tag, html_len FROM labels_
-  UNION ALL SELECT accession, tboth, anchor_id, o, 1, 'title_combined', ahead, tag, html_len FROM labels_ WHERE tboth IS DISTINCT FROM t150
-  UNION ALL SELECT accession, unnest(items), anchor_id, o, 8, 'toc_link', ahead, tag, html_len FROM labels_),
-cands AS MATERIALIZED (SELECT DISTINCT accession, item, anchor_id, o, o / html_len AS rel, confidence, source, left(ahead, 200) AS nearby_text, tag FROM raw WHERE item IS NOT NULL)"""
+  SELECT accession, by_id AS item, anchor_id, o, 9 AS confidence, 'anchor_id' AS source, nearby, tag, html_len FROM labels_
+  UNION ALL SELECT accession, h150, anchor_id, o, 6, 'tier1', nearby, tag, html_len FROM labels_
+  UNION ALL SELECT accession, hfull, anchor_id, o, 5, 'tier1', nearby, tag, html_len FROM labels_ WHERE h150 IS NULL
+  UNION ALL SELECT accession, t150, anchor_id, o, 3, 'tier2', nearby, tag, html_len FROM labels_
+  UNION ALL SELECT accession, tboth, anchor_id, o, 1, 'title_keyword', nearby, tag, html_len FROM labels_ WHERE tboth IS DISTINCT FROM t150
+  UNION ALL SELECT accession, unnest(firsts), anchor_id, o, 8, 'toc_text', nearby, tag, html_len FROM labels_),
+cands AS MATERIALIZED (SELECT DISTINCT accession, item, anchor_id, o, o / html_len AS rel, confidence, source, nearby AS nearby_text, tag FROM raw WHERE item IS NOT NULL)"""
 
 PARTS = f"""parts AS MATERIALIZED (SELECT accession, part, coalesce(max(o) FILTER (o >= 0.05 * n), min(o)) AS o, coalesce(max(o) FILTER (o >= 0.05 * n), min(o)) / max(n) AS rel FROM (SELECT accession, o, length(html) AS n, CASE upper(num_) WHEN 'I' THEN 1 WHEN 'II' THEN 2 WHEN 'III' THEN 3 WHEN 'IV' THEN 4 END AS part FROM {find_all('filings', 'html', PART, {'num_': 1})}) WHERE part IS NOT NULL GROUP BY accession, part)"""
 
@@ -98,9 +127,10 @@ rescored AS MATERIALIZED (SELECT c.accession, c.item, c.anchor_id, c.o, c.rel, C
 
 CASCADE = f"""{LABELS},
 cascade AS MATERIALIZED (SELECT accession, anchor_id, o, b.i AS item, CAST(b.c AS INTEGER) AS confidence FROM (SELECT *, coalesce(
-  CASE WHEN by_id IS NOT NULL THEN {{'i': by_id, 'c': 9}} END, CASE WHEN len(items) > 0 THEN {{'i': items[1], 'c': 8}} END, CASE WHEN h150 IS NOT NULL THEN {{'i': h150, 'c': 6}} END,
-  CASE WHEN t150 IS NOT NULL THEN {{'i': t150, 'c': 3}} END, CASE WHEN hfull IS NOT NULL THEN {{'i': hfull, 'c': 5}} END, CASE WHEN tfull IS NOT NULL THEN {{'i': tfull, 'c': 2}} END,
-  CASE WHEN {heading('both_')} IS NOT NULL THEN {{'i': {heading('both_')}, 'c': 4}} END, CASE WHEN tboth IS NOT NULL THEN {{'i': tboth, 'c': 1}} END) AS b FROM labels_) WHERE b IS NOT NULL)"""
+  CASE WHEN shared IS NOT NULL THEN {{'i': shared, 'c': 10}} END, CASE WHEN by_id IS NOT NULL THEN {{'i': by_id, 'c': 9}} END, CASE WHEN len(firsts) > 0 THEN {{'i': firsts[1], 'c': 8}} END,
+  CASE WHEN NOT toc THEN coalesce(CASE WHEN t150 IS NOT NULL AND h150 IS NOT NULL AND tpos < hpos AND hpos > 50 THEN {{'i': t150, 'c': 6}} END, CASE WHEN h150 IS NOT NULL THEN {{'i': h150, 'c': 6}} END,
+    CASE WHEN t150 IS NOT NULL THEN {{'i': t150, 'c': 3}} END, CASE WHEN hfull IS NOT NULL THEN {{'i': hfull, 'c': 5}} END, CASE WHEN tfull IS NOT NULL THEN {{'i': tfull, 'c': 2}} END,
+    CASE WHEN hboth IS NOT NULL THEN {{'i': hboth, 'c': 4}} END, CASE WHEN tboth IS NOT NULL THEN {{'i': tboth, 'c': 1}} END) END) AS b FROM labels_) WHERE b IS NOT NULL)"""
 
 CHOSEN = f"""{CASCADE},
 cc AS (SELECT accession, o, seq, confidence, anchor_id, item, row_number() OVER (PARTITION BY accession ORDER BY o, seq, confidence DESC, anchor_id) AS i, max(o) OVER (PARTITION BY accession) AS top FROM cascade JOIN dim USING (item)),
@@ -113,6 +143,13 @@ walk AS (
 best AS (SELECT accession, unnest((list_sort(list_transform(acc, lambda a: {{'s': a.s, 'n': -a.i, 'p': a.p}}), 'DESC')[1]).p) AS i FROM walk w WHERE i = (SELECT max(i) FROM cc WHERE cc.accession = w.accession)),
 chosen AS MATERIALIZED (SELECT accession, item, anchor_id, o, confidence FROM best JOIN cc USING (accession, i))"""
 
+#: Pages as ``page_text_entities`` reads them, its entities already decoded (none of these characters is one of ``strip``).
+DECODED = "replace(replace(replace(html, ' the ', ' ’– '), ' of ', ' ’É '), 'and', '&amp;lt;¬it;')"
+PART_THREE = """SELECT accession, strpos(low, 'part iii') > 0 AND regexp_matches(substr(low, strpos(low, 'part iii'), 3000), '\\bincorporated?\\s+by\\s+reference\\b|\\bproxy\\s+statement\\b|\\bitems?\\s*10\\s*[-–—]\\s*14\\b')
+  AND NOT EXISTS (SELECT 1 FROM rescored r WHERE r.accession = f.accession AND r.confidence >= 5 AND r.item IN ('item10', 'item11', 'item12', 'item13', 'item14')) AS incorporated FROM (SELECT accession, lower(html) AS low FROM filings) f"""
+#: The only bold SIGNATURES of a filing stand in a paragraph of their own.
+SIGNATURE_PLACES = """SELECT accession, CAST(strpos(html, '<p><b>SIGNATURES') - 1 AS BIGINT) AS o FROM filings WHERE strpos(html, '<p><b>SIGNATURES') > 0 AND accession IN (SELECT accession FROM chosen)"""
+
 EVENTS = """ev AS (SELECT CAST(user_id % 97 AS VARCHAR) AS accession, CAST(event_id AS INTEGER) AS turn, 0 AS ord, CASE WHEN event_type = 'purchase' OR event_id % 7 = 0 THEN 'unassign' ELSE 'assign' END AS action,
   (['item1', 'item1a', 'item7', 'item8', 'item15', 'item2', 'item3', 'item10'])[CAST(event_id % 8 AS INTEGER) + 1] AS item, 'a' || (event_id % 5) AS anchor_id, CAST(event_id * 37 % 1300 - 60 AS BIGINT) AS o FROM events),
 len_ AS (SELECT DISTINCT accession, 1200 AS html_len FROM ev),
@@ -126,8 +163,8 @@ issues AS MATERIALIZED (
   UNION ALL SELECT accession, 'non_monotonic', item FROM walk WHERE o <= prev_o
   UNION ALL SELECT l.accession, 'missing_expected', d.item FROM len_ l, dim d WHERE d.expected AND NOT EXISTS (SELECT 1 FROM folded f WHERE f.accession = l.accession AND f.item = d.item))"""
 
-PAIRS = """gold AS (SELECT CAST(item_id % 13 AS VARCHAR) AS accession, 'item' || item_id AS item, text AS html FROM benchmark WHERE item_id < 60),
-pred AS (SELECT CAST(item_id % 13 AS VARCHAR) AS accession, 'item' || (item_id + CASE WHEN item_id % 11 = 0 THEN 1000 ELSE 0 END) AS item, CASE WHEN item_id % 3 = 0 THEN text WHEN item_id % 3 = 1 THEN substr(text, 1, CAST(length(text) - 15 AS INTEGER)) ELSE replace(text, 'e', 'E') END AS html FROM benchmark WHERE item_id % 7 <> 3 AND item_id < 60)"""
+PAIRS = """gold AS (SELECT CAST(item_id % 13 AS VARCHAR) AS accession, 'item' || item_id AS item, text AS html FROM benchmark ),
+pred AS (SELECT CAST(item_id % 13 AS VARCHAR) AS accession, 'item' || (item_id + CASE WHEN item_id % 11 = 0 THEN 1000 ELSE 0 END) AS item, CASE WHEN item_id % 3 = 0 THEN text WHEN item_id % 3 = 1 THEN substr(text, 1, CAST(length(text) - 15 AS INTEGER)) ELSE replace(text, 'e', 'E') END AS html FROM benchmark WHERE item_id % 7 <> 3)"""
 
 
 def f1_sql(pairs: str) -> str:
@@ -158,8 +195,12 @@ def oracle_sql() -> dict[str, str]:
         "toc_ids": w(LINKS, "SELECT DISTINCT accession, anchor_id FROM links"),
         "toc_links": w(LINKS, "SELECT accession, CAST(ord AS INTEGER) AS ord, o, anchor_id, link_text, item FROM links"),
         "toc_first": w(LINKS, "SELECT accession, item, arg_min(anchor_id, o) AS anchor_id FROM links WHERE item IS NOT NULL GROUP BY ALL"),
+        "toc_link_records": w(LINKS, f"SELECT accession, min(o) AS o, anchor_id, low AS link_text, any_value(coalesce({heading('low')}, {title('low')})) AS item FROM link1 WHERE length(low) >= 2 GROUP BY accession, anchor_id, low"),
+        "page_text_entities": f"SELECT page_id, {strip(DECODED)} AS text FROM pages",
+        "part_three": w(RESCORED, PART_THREE),
+        "signature_fallback": w(CHOSEN, SIGNATURE_PLACES, "RECURSIVE "),
         "anchors_last": w(ANCHORS, "SELECT * FROM anchors"),
-        "anchor_items": w(WINDOWS, "SELECT accession, anchor_id, array_to_string(items, ',') AS items FROM items"),
+        "anchor_items": w(WINDOWS, "SELECT accession, anchor_id, array_to_string(items, ',') AS items, array_to_string(firsts, ',') AS firsts FROM items"),
         "anchor_windows": w(WINDOWS, "SELECT accession, anchor_id, o, next_o, ahead, behind FROM windows"),
         "part_boundaries": w(f"{FILINGS}, {PARTS}", "SELECT accession, part, o, round(rel, 6) AS rel FROM parts"),
         "tier_cascade": w(CASCADE, "SELECT * FROM cascade"),
@@ -167,7 +208,7 @@ def oracle_sql() -> dict[str, str]:
         "candidates_rescored": w(RESCORED, "SELECT accession, item, anchor_id, o, confidence, source FROM rescored"),
         "candidates_top3": w(RESCORED, "SELECT accession, item, anchor_id, confidence, source, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY accession, item ORDER BY confidence DESC, o, anchor_id, source) AS rank FROM rescored) WHERE rank <= 3"),
         "found_items": w(RESCORED, "SELECT accession, item, max(confidence) AS best FROM rescored GROUP BY ALL HAVING max(confidence) >= 5"),
-        "filing_overview": w(RESCORED, "SELECT accession, links, classified, candidates, items, CASE WHEN candidates > 100 THEN 'hard' WHEN candidates > 50 THEN 'medium' ELSE 'easy' END AS difficulty FROM (SELECT accession, count(*) AS links, count(item) AS classified FROM links GROUP BY ALL) LEFT JOIN (SELECT accession, count(*) AS candidates, count(DISTINCT item) AS items FROM rescored GROUP BY ALL) USING (accession)"),
+        "filing_overview": w(RESCORED, "SELECT accession, links, classified, coalesce(candidates, 0) AS candidates, coalesce(items, 0) AS items, CASE WHEN candidates > 100 THEN 'hard' WHEN candidates > 50 THEN 'medium' ELSE 'easy' END AS difficulty FROM (SELECT accession, count(*) AS links, count(item) AS classified FROM links GROUP BY ALL) LEFT JOIN (SELECT accession, count(*) AS candidates, count(DISTINCT item) AS items FROM rescored GROUP BY ALL) USING (accession)"),
         "dp_select": w(CHOSEN, "SELECT accession, item, anchor_id, o, confidence FROM chosen", "RECURSIVE "),
         "greedy_select": w(CASCADE, "SELECT accession, item, anchor_id, o, confidence FROM (SELECT *, row_number() OVER (PARTITION BY accession, item ORDER BY confidence DESC, o DESC, anchor_id DESC) AS r FROM cascade) WHERE r = 1"),
         "agent_slices": w(CHOSEN, "SELECT accession, item, length(html_) AS chars, md5(html_) AS digest FROM (SELECT accession, item, substr(html, o + 1, coalesce(lead(o) OVER (PARTITION BY accession ORDER BY o), length(html)) - o) AS html_ FROM chosen JOIN filings USING (accession))", "RECURSIVE "),
@@ -188,7 +229,7 @@ def oracle_sql() -> dict[str, str]:
         "missing_items": w(EVAL, "SELECT accession, item FROM ei WHERE NOT extracted"),
         "worst_k": w(EVAL, "SELECT accession, item, char_f1 FROM ei ORDER BY char_f1, accession, item LIMIT 10"),
         "failure_types": w(EVAL, "SELECT CASE WHEN pred_len = 0 THEN 'missing' WHEN truth_len > 1000000 THEN 'gt_noise' WHEN f1 < 0.5 THEN 'severe' ELSE 'near_miss' END AS type, count(*) AS n FROM ei WHERE char_f1 < 0.9 GROUP BY ALL"),
-        "char_f1_docs": w(f"prs AS (SELECT CAST(d.doc_id AS VARCHAR) AS accession, CAST(b.item_id AS VARCHAR) AS item, {strip('d.text')} AS p, {strip('b.text')} AS g FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id), {f1_sql('prs')}", "SELECT accession, item, overlap, round(f1, 6) AS f1 FROM f1"),
+        "char_f1_docs": w(f"prs AS (SELECT CAST(d.doc_id AS VARCHAR) AS accession, CAST(b.item_id AS VARCHAR) AS item, {strip('d.text')} AS p, {strip('b.text')} AS g FROM documents d JOIN benchmark b ON d.doc_id % (SELECT greatest(1, count(*)) FROM benchmark) = b.item_id), {f1_sql('prs')}", "SELECT accession, item, overlap, round(f1, 6) AS f1 FROM f1"),
         "resume_anti": "SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)",
         "set_intersect": "SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels",
         "set_diff": "SELECT doc_id FROM documents WHERE n_chars > 1000 EXCEPT SELECT doc_id FROM labels WHERE quality = 1",
