@@ -7,7 +7,8 @@ sort for each byte of text and round.  Here the rounds run over *anchors* only:
 Equal windows have their anchor at the same place, so ranking anchors loses no repeat, and about 3 %
 of the positions are anchors.
 
-* Round 1 ranks anchors by their 32 bytes: Spark deals and sorts (rank, span rank, document, place).
+* Round 1 ranks anchors by their 32 bytes: Spark deals and sorts (rank, span rank, document, place).  Each batch of texts
+  first settles what it can by itself, so a frequent line sends one row a batch to its rank's task.
   An anchor whose rank is unique is done.  One whose whole span (all its windows) has occurred before
   is done too: all of it repeats.
 * Round 2 takes the ranks that occur with several spans, cuts each anchor's windows into three slots
@@ -18,9 +19,10 @@ of the positions are anchors.
 Round 2 must know the ranks from round 1 that go on: they are marked in a bit table of fixed size (a
 false mark only costs work).  Ranks are 64-bit hashes.
 
-Defined cases: a null text is the empty text; texts shorter than the threshold keep everything; ids are
-keys (rows that repeat an id are taken one after the other, as they come); overlapping repeats inside one document count;
-an empty table gives an empty table; further columns are ignored.
+Defined cases: a null text is the empty text; texts shorter than the threshold keep everything; a null id comes before
+all others, and rows that share an id are taken one after the other in the order of their texts' hash (equal ones as they come), each
+with a row of its own in the result; overlapping repeats inside one document count; an empty table gives an empty table; further
+columns are ignored.  A very long text is read as a whole, with about ten 8-byte numbers for each of its bytes.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, shuffle_parts
+from .common import Scratch, shuffle_parts, tidy
 from .shingles import Shingler, mix
 
 LENGTH = 100
@@ -108,6 +110,9 @@ def repeated_windows(rows: DataFrame, hold: Scratch) -> DataFrame:
     parts = shuffle_parts(spark)
 
     def ranked(batches):
+        """Anchors with their ranks.  kind 1: the span was there before in the same batch; kind 2: the rank has several spans there
+        (one row a rank and batch: the second round reads all anchors of such ranks anyway); kind 0: the others.
+        """
         import numpy as np
 
         made = Anchors()
@@ -120,30 +125,50 @@ def repeated_windows(rows: DataFrame, hold: Scratch) -> DataFrame:
                     span = mix(made.rank(first, last + LENGTH) + ((m - first).astype(np.uint64) << np.uint64(8)) + (m - last).astype(np.uint64))
                     for o, c in zip(out, (made.rank(m, m + RANK1).view(np.int64), span.view(np.int64), np.full(len(m), k), first, (last - first).astype(np.int32))):
                         o.append(c)
-            if out[0]:
-                yield _frame([np.concatenate(o) for o in out], ["rank", "span", "id", "first", "more"])
+            if not out[0]:
+                continue
+            rank, span, doc, first, more = (np.concatenate(o) for o in out)
+            order = np.lexsort((first, doc, span, rank))
+            rank, span, doc, first, more = (c[order] for c in (rank, span, doc, first, more))
+            same = np.concatenate([[False], rank[1:] == rank[:-1]])
+            equal = same & np.concatenate([[False], span[1:] == span[:-1]])
+            head = np.flatnonzero(~same)
+            several = np.add.reduceat((same & ~equal).astype(np.int64), head) > 0
+            mixed = np.repeat(several, np.diff(np.append(head, len(rank))))
+            kind = np.where(equal, 1, np.where(mixed, 2, 0)).astype(np.int8)
+            keep = (kind != 2) | ~same  # the first row of a mixed rank is its mark
+            yield _frame([c[keep] for c in (kind, rank, span, doc, first, more)], ["kind", "rank", "span", "id", "first", "more"])
+        tidy()
 
     def once(batches):
-        """Anchors whose span was there before (kind 0); ranks with several spans (kind 1)."""
+        """Anchors whose span was there before (mixed false); ranks with several spans (mixed true)."""
         import numpy as np
 
         before = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rank, span, doc, first, more = (np.asarray(batch.column(c)) for c in ("rank", "span", "id", "first", "more"))
-            prev_r = np.concatenate([rank[:1] if before is None else [before[0]], rank[:-1]])
-            prev_s = np.concatenate([span[:1] if before is None else [before[1]], span[:-1]])
-            same = rank == prev_r
-            if before is None:
-                same[0] = False
-            again, mixed = same & (span == prev_s), same & (span != prev_s)
-            before = rank[-1], span[-1]
-            pick = again | mixed
-            yield _frame([mixed[pick], rank[pick], doc[pick], first[pick], first[pick] + more[pick]], ["mixed", "rank", "id", "first", "last"])
+            kind, rank, span, doc, first, more = (np.asarray(batch.column(c)) for c in ("kind", "rank", "span", "id", "first", "more"))
+            plain = kind == 0
+            settled = [np.concatenate([kind[~plain] == 2]), rank[~plain], doc[~plain], first[~plain], (first + more)[~plain]]
+            rank, span, doc, first, more = (c[plain] for c in (rank, span, doc, first, more))
+            if len(rank):
+                prev_r = np.concatenate([rank[:1] if before is None else [before[0]], rank[:-1]])
+                prev_s = np.concatenate([span[:1] if before is None else [before[1]], span[:-1]])
+                same = rank == prev_r
+                if before is None:
+                    same[0] = False
+                again, mixed = same & (span == prev_s), same & (span != prev_s)
+                before = rank[-1], span[-1]
+                pick = again | mixed
+                settled = [np.concatenate([x, y]) for x, y in zip(settled, (mixed[pick], rank[pick], doc[pick], first[pick], (first + more)[pick]))]
+            yield _frame(settled, ["mixed", "rank", "id", "first", "last"])
+        tidy()
 
     order = ["rank", "span", "id", "first"]
-    dealt = rows.mapInArrow(ranked, "rank long, span long, id long, first long, more int").repartition(parts, "rank").sortWithinPartitions(*order)
+    # What a batch has settled goes anywhere; only the rest of a rank must meet.
+    deal = F.when(F.col("kind") == 0, F.col("rank")).otherwise(F.xxhash64("rank", "id", "first"))
+    dealt = rows.mapInArrow(ranked, "kind byte, rank long, span long, id long, first long, more int").repartition(parts, deal).sortWithinPartitions(*order)
     round1 = hold.keep(dealt.mapInArrow(once, "mixed boolean, rank long, id long, first long, last long"), "round1")
     whole = round1.filter("not mixed").select("id", "first", "last")
     bit = F.col("rank").bitwiseAND(F.lit((1 << BITS) - 1))
@@ -268,11 +293,21 @@ def repeated_windows(rows: DataFrame, hold: Scratch) -> DataFrame:
     return whole.unionByName(partly)
 
 
+def numbered(rows: DataFrame, hold: Scratch) -> DataFrame:
+    """Numbers in place of ids that are null or stand on several rows: null first, then by id, text hash and place."""
+    placed = rows.withColumn("h", F.xxhash64("t")).withColumn("p", F.monotonically_increasing_id())
+    order = [F.col("id").asc_nulls_first(), F.col("h"), F.col("p")]
+    dealt = placed.repartitionByRange(shuffle_parts(rows.sparkSession), *order).sortWithinPartitions(*order)
+    return hold.keep(dealt.select(F.monotonically_increasing_id().alias("id"), "doc_id", "t"), "numbered")
+
+
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes."""
     hold = Scratch(docs.sparkSession, "suffix")
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
-    spans = repeated_windows(rows, hold)
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")).withColumn("doc_id", F.col("id"))
+    if rows.groupBy("id").agg(F.count("*").alias("n")).filter("id is null or n > 1").limit(1).count():
+        rows = numbered(rows, hold)
+    spans = repeated_windows(rows.select("id", "t"), hold)
     mine = spans.groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("runs"))  # at most one run for every 34 bytes of the document
 
     def cut(batches):
@@ -293,8 +328,9 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", with_
                 kept = raw[~gone].tobytes()
                 for o, x in zip(out, (len(raw), int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest(), kept if with_text else None)):
                     o.append(x)
-            yield _frame([batch.column("id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string()), pa.array(out[4], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield _frame([batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string()), pa.array(out[4], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        tidy()
 
-    joined = rows.join(mine, "id", "left").select("id", "t", "runs")
+    joined = rows.join(mine, "id", "left").select("doc_id", "t", "runs")
     out = joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if with_text else out.drop("kept")
