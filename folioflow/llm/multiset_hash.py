@@ -3,8 +3,8 @@
 Paragraphs are the lines of a text.  Each one is hashed to a wide vector and a text's fingerprint is
 the sum of its paragraphs' vectors, lane by lane, modulo a power of two:
 
-* ``EXACT`` lanes of 32 random bits each (from the paragraph's 64-bit hash), modulo 2^32: equal multisets of paragraphs have equal sums
-  in any order, different ones differ but for chance collisions of that hash;
+* ``EXACT`` lanes of 32 random bits each, from four 64-bit hashes of the paragraph with seeds of their own, modulo 2^32: equal multisets
+  of paragraphs have equal sums in any order, different ones differ but for chance in all 256 bits;
 * 64 counting lanes modulo 2^32, kept two in a long: how many of the paragraph's word shingles have
   bit j of their hash set.  With the shingle count they are a linear sketch, whose cosine estimates
   that of the multisets (standard error 1/8);
@@ -15,8 +15,9 @@ takes them out, without the rest of the text.
 
 Defined cases: a null text is the empty text, which is one empty paragraph; a paragraph with fewer
 than three words is one shingle; a text without words has likeness 1 to an equal fingerprint and 0 to
-others; rows with equal ids are ordered by their texts' hash, null ids come last; a lone document is
-its own next one; an empty table gives an empty table; further columns are ignored.
+others; rows with equal ids are ordered by their texts' hash; a null id counts as the smallest one; a lone document is
+its own next one; an empty table gives an empty table; further columns are ignored.  A very long text is split into its paragraphs
+and words in one row, with some 20 bytes for each of its own.
 """
 
 from __future__ import annotations
@@ -39,14 +40,11 @@ def _shingles(text):
     return F.flatten(F.transform(words, lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(1))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))))
 
 
-def _paragraphs(text):
-    return F.transform(F.split(text, "\n"), lambda p: F.xxhash64(p))
+SEEDS = EXACT // 2
 
 
-def _exact_lane(h, k: int):
-    """The k-th exact lane of a paragraph with hash ``h``: half of another hash."""
-    wide = F.xxhash64(F.lit(k // 2), h)
-    return wide.bitwiseAND(F.lit(LOW)) if k % 2 == 0 else F.shiftrightunsigned(wide, 32)
+def _paragraphs(text, seed: int):
+    return F.transform(F.split(text, "\n"), lambda p: F.xxhash64(F.lit(seed), p))
 
 
 def _fold(a, b, sign: int):
@@ -99,12 +97,14 @@ def lanes_of(texts: DataFrame, key: str | list[str], columns: list[str]) -> Data
     def marked(hashes, of):
         return F.transform(hashes, lambda h: F.struct(F.lit(of).alias("of"), h.alias("h")))
 
-    marks = [m for j, c in enumerate(columns) for m in (marked(_shingles(F.col(c)), 2 * j), marked(_paragraphs(F.col(c)), 2 * j + 1))]
+    step = SEEDS + 1
+    marks = [m for j, c in enumerate(columns) for m in (marked(_shingles(F.col(c)), step * j), *(marked(_paragraphs(F.col(c), q), step * j + 1 + q) for q in range(SEEDS)))]
     rows = texts.select(*keys, F.explode(F.concat(*marks)).alias("x")).select(*keys, F.col("x.of").alias("of"), F.col("x.h").alias("h"))
 
     def sums(j):
-        shingle, paragraph = F.col("of") == 2 * j, F.col("of") == 2 * j + 1
-        exact = [F.sum(F.when(paragraph, _exact_lane(F.col("h"), k)).otherwise(0)) for k in range(EXACT)]
+        shingle = F.col("of") == step * j
+        half = lambda k: F.shiftrightunsigned(F.col("h"), 32) if k % 2 else F.col("h").bitwiseAND(F.lit(LOW))
+        exact = [F.sum(F.when(F.col("of") == step * j + 1 + k // 2, half(k)).otherwise(0)) for k in range(EXACT)]
         packed = [F.sum(F.when(shingle, F.shiftrightunsigned(F.col("h"), b).bitwiseAND(F.lit(PAIR))).otherwise(0)) for b in range(PACKED)]
         return [s.alias(f"_{j}_{k}") for k, s in enumerate([*exact, *packed, F.sum(shingle.cast("long"))])]
 
@@ -113,6 +113,15 @@ def lanes_of(texts: DataFrame, key: str | list[str], columns: list[str]) -> Data
     return counted.select(*keys, *(F.array(*(lane(j, k) for k in range(LANES))).alias(c) for j, c in enumerate(columns)))
 
 
+def below(bounds: list[int], value):
+    """How many of the rising ``bounds`` are below the value, by halving steps over one literal array."""
+    if not bounds:
+        return F.lit(0)
+    listed, n = F.from_json(F.lit(str(bounds)), "array<bigint>"), len(bounds)
+    steps = F.array(*(F.lit(1 << j) for j in reversed(range(n.bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.get(listed, at + step - 1) < value), at + step).otherwise(at))
+
+
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text and the text after it in descending key order (after the last: the first), by range buckets.
 
@@ -124,16 +133,13 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(least)).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     bounds = rows.agg(F.percentile_approx("k", [j / n for j in range(1, n)], 20 * n)).first()[0] or []
     bounds = sorted(set(bounds))
-    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("k"))) if bounds else F.lit(0)
-    rows = rows.withColumn("bucket", bucket)
+    rows = rows.withColumn("bucket", below(bounds, F.col("k")))
     heads = sorted((r["bucket"], r["k"]) for r in rows.groupBy("bucket").agg(F.max("k").alias("k")).collect())
+    # One row for each bucket: where its first row is copied to.
+    follows = docs.sparkSession.createDataFrame([(k, heads[(j + 1) % len(heads)][0]) for j, (_, k) in enumerate(heads)], "k long, target int")
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("ghost"))
-    places = F.array(own)
-    if heads:
-        follows = {k: heads[(j + 1) % len(heads)][0] for j, (_, k) in enumerate(heads)}
-        target = F.create_map(*(F.lit(x) for k, b in follows.items() for x in (k, b)))
-        places = F.when(F.col("k").isin(*follows), F.array(own, F.struct(F.element_at(target, F.col("k")).alias("bucket"), F.lit(1).alias("ghost")))).otherwise(places)
-    placed = rows.select("doc_id", "k", "text", F.explode(places).alias("p")).select("doc_id", "k", "text", "p.bucket", "p.ghost")
+    places = F.when(F.col("target").isNotNull(), F.array(own, F.struct(F.col("target").alias("bucket"), F.lit(1).alias("ghost")))).otherwise(F.array(own))
+    placed = rows.join(F.broadcast(follows), "k", "left").select("doc_id", "k", "text", F.explode(places).alias("p")).select("doc_id", "k", "text", "p.bucket", "p.ghost")
     order = Window.partitionBy("bucket").orderBy("ghost", F.desc("k"), F.xxhash64("text"))
     return placed.withColumn("next_k", F.lead("k").over(order)).withColumn("next_text", F.lead("text").over(order)).withColumn("turn", F.row_number().over(order)).filter("ghost = 0").drop("ghost")
 
