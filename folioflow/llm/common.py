@@ -113,13 +113,13 @@ def with_group(rows: DataFrame, groups: DataFrame, key: str, size: str, total: i
     """``rows`` with the columns of their group (left join).  ``groups``: ``key``, ``size`` (rows of the group) and more.
 
     Groups that hold one in ``most`` of all ``total`` rows, or more, are at most ``most``: they are broadcast, so
-    that no task gets all rows of a large group.  The others are joined by a shuffle.  ``groups`` is read twice.
+    that no task gets all rows of a large group.  The others are joined by a shuffle, at every size.  ``groups`` is read twice.
     """
     limit = max(2, total // most)
     hot = groups.filter(F.col(size) >= limit).withColumn("_hot", F.lit(True))
     first = rows.join(F.broadcast(hot), key, "left")
     known = first.filter("_hot").drop("_hot")
-    rest = first.filter("_hot is null").select(*rows.columns).join(groups.filter(F.col(size) < limit), key, "left")
+    rest = first.filter("_hot is null").select(*rows.columns).join(groups.filter(F.col(size) < limit).hint("merge"), key, "left")
     return known.unionByName(rest)
 
 

@@ -297,10 +297,12 @@ def _near_components(docs: DataFrame, key: str, text: str, size: int, percent: i
     made = hold.keep(shingle_table(texts, size, percent), "shingles")
     # Only classes of several rows need a look-up; the largest may hold a third of all rows.
     classes = hold.keep(made.filter("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1"), "classes")
-    member = with_group(made.select("id", "n", "digest"), classes, "digest", "copies", made.count())
-    member = hold.keep(member.select("id", "n", F.coalesce("rep", "id").alias("rep")), "members")
-    reps = member.filter("n > 0 and id = rep").select("id").distinct()
-    rows = made.join(reps, "id", "left_semi").select("id", "n", F.explode("prefix").alias("token"))
+    own = F.col("id").eqNullSafe(F.coalesce("rep", "id")) & (F.col("n") > 0)
+    known = with_group(made, classes, "digest", "copies", made.count())
+    known = hold.keep(known.select("id", "n", F.coalesce("rep", "id").alias("rep"), own.alias("own"), *(F.when(own, F.col(c)).alias(c) for c in ("prefix", "bits"))), "members")
+    hold.drop("shingles", "classes")
+    member, made = known.select("id", "n", "rep"), known.filter("own and id is not null")
+    rows = made.select("id", "n", F.explode("prefix").alias("token"))
     shared = hold.keep(rows.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1"), "tokens")
     met = hold.keep(rows.join(shared, "token"), "met")
     # Cells with the same members are one cell, whose weight is their number.
