@@ -38,7 +38,8 @@ def test_pii_keeps_shape_and_distinctness(spark, odd, none):
     docs = spark.createDataFrame([(1, "mail a.b@c.example.com or +1 (017) 555-7713, 10.0.0.1; Mr. James met Mary 4111111111111111"), (2, "A.B@c.example.com and 10.0.0.2"), (3, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in pii.pseudonymised(docs, b"k").collect()}
     assert "a.b@c" not in got[1].text and "555-7713" not in got[1].text and "10.0.0.1" not in got[1].text
-    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", got[1].text) and got[1].n_entities == 5 and got[3].text is None
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", got[1].text) and got[1].n_entities == 6 and got[3].text is None
+    assert "Mary" not in got[1].text and "James" not in got[1].text
     mails = [re.search(r"\S+@\S+", got[k].text)[0].lower() for k in (1, 2)]
     assert mails[0] == mails[1]
     keyed = pii.Keyed(b"k")
@@ -61,11 +62,88 @@ def test_pii_names_and_national_numbers(spark):
     assert got[1].text[-12:].replace("-", "") == got[4].text[-12:].replace(".", "")
 
 
-def test_suffix_dedup_equals_all_windows(spark, odd, none):
-    docs = texts_of(spark)
-    seen, want = set(), {}
-    for i in sorted(docs):
-        b = docs[i].encode()
+def test_pii_surrogates_differ_and_are_one_for_an_entity(spark):
+    keyed = pii.Keyed(registry.PII_KEY)
+    for names in pii.NAMES.values():
+        made = [pii.surrogate(keyed, "name", n) for n in names]
+        assert sorted(made) == sorted(names) and not any(a == b for a, b in zip(names, made))
+    for bound in (2, 3, 10, 97, 1000):
+        images = [keyed.permute(b"x", x, bound) for x in range(bound)]
+        assert sorted(images) == list(range(bound)) and not any(x == y for x, y in enumerate(images))
+    digits = lambda x: re.sub(r"\D", "", x)
+    forms = [["+44 20 7946 0958", "+442079460958", "+44 (20) 7946-0958"], ["+493012345678", "+49 30 1234 5678"], ["555-123-4567", "555.123.4567", "(555) 123-4567"], ["4111 1111 1111 1111", "4111111111111111"]]
+    for group in forms:
+        kind = "card" if group[0][0] == "4" and group[0][1] == "1" else "phone"
+        made = [pii.surrogate(keyed, kind, x) for x in group]
+        assert len({digits(x) for x in made}) == 1 and digits(made[0]) != digits(group[0])
+        assert [re.sub(r"\d", "0", x) for x in made] == [re.sub(r"\d", "0", x) for x in group]
+    assert pii.surrogate(keyed, "phone", "+493012345678").startswith("+49") and pii.surrogate(keyed, "phone", "+442079460958").startswith("+44")
+    for number in ("4111111111111111", "5500005555555559", "4111111111111112"):
+        new = pii.surrogate(keyed, "card", number)
+        assert (pii.check_digit(new[:-1]) == int(new[-1])) == (pii.check_digit(number[:-1]) == int(number[-1]))
+    assert pii.check_digit("411111111111111") == 1 and pii.check_digit("7992739871") == 3
+
+
+def test_pii_coreference_across_a_corpus(spark):
+    """Every mention of an entity gets its one surrogate, other entities other ones, and none stays."""
+    import random
+
+    rng = random.Random(4)
+    people = [f"{a} {b}" for a in ("Mary", "James", "Linda", "Анна") for b in ("Smith", "Garcia")]
+    people[6:] = ["Анна Иванова", "Анна Петрова"]
+    mails = [f"user{k}@mail{k % 3}.example.org" for k in range(40)]
+    phones = [f"+1 (201) 555-{k:04d}" for k in range(40)]
+    rows = [(k, f"{rng.choice(people)} wrote to {rng.choice(mails)} and {rng.choice(people).split()[0]} called {rng.choice(phones)}.") for k in range(300)]
+    got = pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"), b"corpus").collect()
+    by = {r.doc_id: r for r in got}
+    shape = re.compile(r"(\S+) (\S+) wrote to (\S+) and (\S+) called (.+)\.")
+    pairs = defaultdict(set)
+    for k, t in rows:
+        old, new = shape.fullmatch(t).groups(), shape.fullmatch(by[k].text).groups()
+        for kind, x, y in zip(("name", "last", "mail", "name", "phone"), old, new):
+            pairs[kind, x].add(y)
+            assert x != y
+        assert by[k].n_entities == 5
+    assert all(len(v) == 1 for v in pairs.values())
+    for kind in ("name", "last", "mail", "phone"):
+        made = [next(iter(v)) for (k, _), v in pairs.items() if k == kind]
+        assert len(set(made)) == len(made)
+    originals = {x for kind, x in pairs if kind != "name"}
+    assert not any(x in r.text for r in got for x in originals)
+
+
+@pytest.mark.parametrize("walk_rows", [0, 10_000])
+def test_pii_draws_again_what_is_taken(spark, walk_rows):
+    """First surrogates that are originals are drawn again, by look-up or join; all stay distinct and none is an original."""
+    have = [f"+1 (201) 555-{k:04d}" for k in range(3000)]
+    keyed = pii.Keyed(b"w")
+    have += [pii.surrogate(keyed, "phone", x) for x in have[:50]]
+    df = spark.createDataFrame([(k if k % 10 else None, x) for k, x in enumerate(have)], "doc_id long, text string")
+    made = [r.text for r in pii.pseudonymised(df, b"w", walk_rows=walk_rows).collect()]
+    assert len(set(made)) == len(have) and not set(made) & set(have)
+
+
+def test_pii_of_names_whose_length_is_used_up(spark):
+    """All surnames of two letters are in the corpus: their surrogates get longer, and stay distinct."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    have = [f"Mr. {a.upper()}{b}" for a in letters for b in letters]
+    made = [r.text for r in pii.pseudonymised(spark.createDataFrame(list(enumerate(have)), "doc_id long, text string"), b"w").collect()]
+    assert len(set(made)) == len(have) and not set(made) & set(have) and all(re.fullmatch("Mr. [A-Z][a-z]{1,9}", x) for x in made)
+
+
+def test_pii_defined_cases(spark, odd, none):
+    clash = spark.createDataFrame([(1, "Mary", 7, "q", "r"), (None, None, 8, "q", "r")], "doc_id long, text string, n_entities long, n_distinct string, kind string")
+    got = pii.pseudonymised(clash, b"k")
+    assert got.columns == ["doc_id", "text", "kind", "n_entities", "n_distinct"]
+    assert {(r.doc_id, r.n_entities) for r in got.collect()} == {(1, 1), (None, 0)}
+    assert pii.pseudonymised(odd, b"k").count() == 10 and pii.pseudonymised(none, b"k").count() == 0
+
+
+def all_windows(texts):
+    """(n_bytes, n_removed, n_spans, kept_sha256) of each text, in order, by every 100-byte window seen before."""
+    seen, out = set(), []
+    for t in texts:
+        b = (t or "").encode()
         gone = bytearray(len(b))
         for p in range(len(b) - 99):
             w = b[p : p + 100]
@@ -73,13 +151,55 @@ def test_suffix_dedup_equals_all_windows(spark, odd, none):
                 gone[p : p + 100] = b"\1" * 100
             seen.add(w)
         kept = bytes(x for x, g in zip(b, gone) if not g)
-        want[i] = (len(b), sum(gone), sum(g and (not k or not gone[k - 1]) for k, g in enumerate(gone)), hashlib.sha256(kept).hexdigest())
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in registry.op2_suffix_dedup(spark, SF).collect()}
-    assert got == want
+        out.append((len(b), sum(gone), sum(g and (not k or not gone[k - 1]) for k, g in enumerate(gone)), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def removed(df):
+    return sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect())
+
+
+def test_suffix_dedup_equals_all_windows(spark, odd, none):
+    docs = texts_of(spark)
+    want = dict(zip(sorted(docs), all_windows(docs[i] for i in sorted(docs))))
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in registry.op2_suffix_dedup(spark, SF).collect()} == want
     by = {r.doc_id: r for r in suffix_dedup.deduplicated(odd.dropDuplicates(["doc_id"])).collect()}
     assert by[4].n_removed == by[4].n_bytes and by[0].n_bytes == 0 and suffix_dedup.deduplicated(none).count() == 0
 
 
+@pytest.mark.parametrize("batch", [3, 1000])
+def test_suffix_dedup_of_frequent_passages(spark, batch):
+    """One line in many texts with other surroundings, copies, repeats inside a text; batches of three texts and of all."""
+    import random
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randrange(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    line, passage = prose(25), prose(60)
+    texts = [prose(rng.randrange(40)) + line + prose(rng.randrange(40)) for _ in range(60)]
+    texts += [texts[3]] * 20 + [passage[k:] + line + passage for k in range(8)] + ["ab" * 300, line * 4]
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch"]
+    before = spark.conf.get(names[0])
+    spark.conf.set(names[0], str(batch))
+    try:
+        assert removed(suffix_dedup.deduplicated(df)) == sorted((i, *w) for i, w in enumerate(all_windows(texts)))
+    finally:
+        spark.conf.set(names[0], before)
+
+
+def test_suffix_dedup_of_repeated_and_null_ids(spark):
+    a, b, c = (f"{x} " + " ".join(f"{x}{k * k}" for k in range(60)) for x in "abc")
+    rows = [(7, a), (7, b), (7, a), (None, c), (3, b + c), (None, None)]
+    got = suffix_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes) for r in got) == sorted((k or 0, len(t or "")) for k, t in rows)
+    by = {(r.doc_id, r.n_bytes, r.n_removed) for r in got}
+    # The null id comes first and keeps its text; 3 keeps b; 7 has b again, and of its two equal texts one stays.
+    assert (None, len(c), 0) in by and (7, len(b), len(b)) in by and {(7, len(a), 0), (7, len(a), len(a))} <= by
+    assert [r.n_removed for r in got if r.doc_id == 3] == [len(c)]
+
+
 def test_multiset_hash(spark, odd, none):
     docs = sorted(texts_of(spark).items(), reverse=True)
     got = {r.doc_id: r for r in registry.op3_multiset_hash(spark, SF).collect()}
@@ -96,6 +216,40 @@ def test_multiset_hash(spark, odd, none):
     assert multiset_hash.edited_fingerprints(odd).count() == 10 and multiset_hash.edited_fingerprints(none).count() == 0
 
 
+def test_multiset_hash_likeness(spark):
+    """Likeness 1 for equal texts, near the shingles' own cosine for others, and the whole query's columns on a fixture."""
+    import math
+    import random
+    from collections import Counter
+
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(400)}"
+    texts = ["\n".join(" ".join(word() for _ in range(rng.randrange(3, 12))) for _ in range(20)) for _ in range(12)]
+    texts += [texts[0], texts[1] + "\nand one more line", ""]
+    got = {r.doc_id: r for r in multiset_hash.edited_fingerprints(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+
+    def grams(t):
+        out = Counter()
+        for line in t.split("\n"):
+            w = line.split(" ")
+            out.update(tuple(w[j : j + 3]) for j in range(max(1, len(w) - 2)))
+        return out
+
+    def cosine(x, y):
+        return sum(n * y[g] for g, n in x.items()) / math.sqrt(sum(n * n for n in x.values()) * sum(n * n for n in y.values()))
+
+    order = sorted(got, reverse=True)
+    for j, i in enumerate(order):
+        after = texts[order[(j + 1) % len(order)]]
+        h = len(texts[i]) // 2
+        edited = texts[i][: len(texts[i]) - h] + after[:h]
+        assert (got[i].n_chars, got[i].edited_sha256) == (len(texts[i]), hashlib.sha256(edited.encode()).hexdigest())
+        assert abs(got[i].near_edited - cosine(grams(texts[i]), grams(edited))) < 0.45 and 0 <= got[i].near_next <= 1
+    assert got[0].fingerprint == got[12].fingerprint != got[1].fingerprint
+    empty = multiset_hash.edited_fingerprints(spark.createDataFrame([(1, "a b"), (None, "a b"), (-(1 << 63), None), (1, "c")], "doc_id long, text string")).collect()
+    assert len(empty) == 4 and {r.fingerprint for r in empty if r.n_chars == 3} and sum(r.n_chars for r in empty) == 7
+
+
 def components(sets, percent):
     parent = {i: i for i in sets}
 
@@ -141,6 +295,46 @@ def test_decontamination(spark, odd, none):
     assert decontam.contaminated(odd, bench).count() == 0 and decontam.contaminated(none, bench).count() == 0
 
 
+def test_decontamination_recall_of_each_length(spark):
+    """Every allowed set of substituted places of items of 3 to 14 words, and a draw of longer ones, is found."""
+    import random
+    from itertools import combinations
+
+    rng = random.Random(12)
+    items, docs, want = [], [], set()
+    for n in [*range(1, 15), 20, 30]:
+        words = [f"w{n}x{j}" for j in range(n)]
+        items.append((n, " ".join(words)))
+        most = n // 5
+        places = [c for s in range(most + 1) for c in combinations(range(n), s)] if n <= 14 else [tuple(rng.sample(range(n), most)) for _ in range(60)]
+        for gone in places:
+            k = len(docs)
+            docs.append((k, " ".join(["before", *("other" if j in gone else w for j, w in enumerate(words)), "after"])))
+            want.add((k, n))
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want
+
+
+def test_decontamination_equals_every_alignment(spark):
+    """The query on the given tables against all alignments of all items, and cases with null and repeated ids."""
+    docs, bench = texts_of(spark), {r.item_id: r.text for r in table(spark, SF, "benchmark").collect()}
+    cut = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    want = {}
+    items = {i: cut(t) for i, t in bench.items()}
+    for d, t in docs.items():
+        w = cut(t)
+        for i, q in items.items():
+            for at in range(1 - len(q), len(w)) if q else ():
+                same = sum(at + j >= 0 and at + j < len(w) and w[at + j] == x for j, x in enumerate(q))
+                if same >= 0.8 * len(q) and (same, -at) > want.get((d, i), (0, 0)):
+                    want[d, i] = (same, -at)
+    got = {(r.doc_id, r.item_id): (r.agreeing, -r.at) for r in registry.op5_decontamination(spark, SF).collect()}
+    assert got == want and got
+    item = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta"), (1, "x y z"), (None, "one two three")], "item_id long, text string")
+    rows = spark.createDataFrame([(None, "alpha beta gamma delta epsilon zeta eta theta"), (5, "x y z"), (5, "one two three"), (5, None)], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id, r.item_words) for r in decontam.contaminated(rows, item).collect()} == {(None, 1, 8), (5, 1, 3), (5, None, 3)}
+
+
 def test_packing(spark, odd, none):
     got = registry.op6_ga_packing(spark, SF).toPandas()
     load = got.groupby("sequence_id").length.sum()
