@@ -7,14 +7,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioflow.functions import rules
+from folioflow.functions import prompts, rules
 from folioflow.functions import text as T
-from folioflow.operators import anchors, candidates, evaluation, selection, state
+from folioflow.operators import anchors, candidates, evaluation, rescoring, selection, state
 from folioflow.operators.matches import find_all
 from folioflow.plans import rule_pipeline
 from folioflow.plans.store import written
 from folioflow.plans.synthetic import filings
-from folioflow.sources import submissions
+from folioflow.sources import results, submissions
 
 QUERIES: dict = {}
 
@@ -228,6 +228,46 @@ def ambiguous_items(spark, d):
     return candidates.ambiguous(ix.chosen, ix.candidates, state.issues(a, lengths), state.spans(a, lengths), lengths)
 
 
+@query
+def boundary_features(spark, d):
+    f = _f(spark, d)
+    made = rescoring.boundary_features(f, anchors.anchors(f), anchors.anchor_items(written(anchors.toc_links(f), "links")))
+    return made.withColumns({"o": F.col("o").cast("long"), "rel_position": F.round("rel_position", 6)})
+
+
+def _golden(f):
+    """Golden sections for the learning queries: the slices of the chosen chain."""
+    return written(selection.slices(f, _chosen_of(f)), "golden")
+
+
+@query
+def boundary_labels(spark, d):
+    f = _f(spark, d)
+    return rescoring.boundary_labels(written(anchors.anchors(f), "anchors"), rescoring.golden_places(f, _golden(f)))
+
+
+@query
+def anchor_classes(spark, d):
+    f = _f(spark, d)
+    return rescoring.class_counts(rescoring.anchor_labels(written(anchors.anchors(f), "anchors"), rescoring.golden_places(f, _golden(f))), 100)
+
+
+@query
+def pre_populated(spark, d):
+    return state.pre_populated(_chosen(spark, d))
+
+
+@query
+def task_prompts(spark, d):
+    ix = _index(spark, d)
+    seen = candidates.overview(ix.candidates, ix.links)
+    parts = ix.parts.groupBy("accession").agg(F.array_sort(F.collect_list(F.struct("part", "rel"))).alias("parts"))
+    rows = ix.filings.join(seen, "accession", "left").join(parts, "accession", "left").join(ix.incorporated, "accession", "left")
+    none = F.array().cast("array<struct<part:int,rel:double>>")
+    text = prompts.task_prompt(F.col("accession"), F.length("html"), F.col("links"), F.col("candidates"), F.col("difficulty"), F.coalesce("parts", none), F.col("incorporated"))
+    return rows.select("accession", text.alias("prompt"))
+
+
 @query
 def anchors_in_radius(spark, d):
     f = _f(spark, d)
@@ -350,12 +390,30 @@ def char_f1_docs(spark, d):
     return evaluation.char_f1(pairs, ["accession", "item"]).select("accession", "item", "overlap", F.round("f1", 6).alias("f1"))
 
 
+def _failures(spark, d):
+    """Failures of all kinds made of benchmark texts: their item, kind and sizes depend on the id."""
+    i = F.col("item_id")
+    item = F.get(F.array(F.lit("signatures"), F.lit("item16"), F.lit("item7")), (F.floor(i / 3) % 3).cast("int"))
+    kind = F.get(F.array(F.lit("missing"), F.lit("fp"), F.lit("boundary")), (i % 3).cast("int"))
+    cut = lambda k, n: F.left(F.concat("text", F.lit(" "), "text"), (i * k % n).cast("int"))
+    return _t(spark, d, "benchmark").select((i % 11).cast("string").alias("accession"), item.alias("item"), kind.alias("kind"), cut(7, 200).alias("truth"), cut(13, 150).alias("pred"), (i % 10 / 10).alias("f1"), (i * 10).alias("file_size"), (i % 2 == 0).alias("detected"))
+
+
 @query
 def noise_reasons(spark, d):
-    gold, pred = _pairs(spark, d)
-    items = evaluation.eval_items(gold, pred).filter("char_f1 < 0.9").join(gold, ["accession", "item"])
-    kind = F.when(F.col("extracted"), "boundary").otherwise("missing")
-    return evaluation.reasons(evaluation.noise(items.select("accession", "item", kind.alias("kind"), "pred_len", "truth_len", "f1", "html")))
+    return evaluation.reasons(evaluation.noise(_failures(spark, d)))
+
+
+@query
+def noise_rates(spark, d):
+    bad = evaluation.noise(_failures(spark, d))
+    docs = _t(spark, d, "benchmark").select((F.col("item_id") % 13).cast("string").alias("accession")).distinct().withColumn("doc_retrieved", F.col("accession").cast("int") > 10)
+    return evaluation.noise_account(docs, bad).withColumns({c: F.round(c, 6) for c in ("raw_rate", "adjusted_rate", "clean_rate")})
+
+
+@query
+def failure_rows(spark, d):
+    return evaluation.failures(*_pairs(spark, d)).select("accession", "item", "kind", F.round("f1", 6).alias("f1"))
 
 
 @query
@@ -383,11 +441,23 @@ def median_value(spark, d):
     return _t(spark, d, "events").groupBy("event_type").agg(F.round(F.median("value"), 6).alias("median"))
 
 
+def _runs(spark, d):
+    j = _t(spark, d, "labels").join(_t(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return j.select("doc_id", F.col("source").alias("set"), (F.col("quality") / 2 + 0.25).alias("f1"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("doc_retrieved"), (F.col("toxic") == 1).alias("finalized"), F.lit(1).alias("turns"), F.lit(1).alias("tokens"), F.lit(None).cast("string").alias("error"))
+
+
+@query
+def run_report(spark, d):
+    """The table of a report over runs, line by line."""
+    r = _runs(spark, d)
+    shape = spark.createDataFrame([], results.SCHEMA)
+    rows = shape.unionByName(r.select(F.col("doc_id").cast("string").alias("accession"), "f1", "doc_retrieved", F.col("turns").cast("long"), F.col("tokens").cast("long"), "error"), allowMissingColumns=True)
+    return results.report(rows, "Runs").filter("part = 1").select("accession", "line")
+
+
 @query
 def run_summary(spark, d):
-    j = _t(spark, d, "labels").join(_t(spark, d, "documents").select("doc_id", "source"), "doc_id")
-    r = j.select(F.col("source").alias("set"), (F.col("quality") / 2 + 0.25).alias("f1"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("doc_retrieved"), (F.col("toxic") == 1).alias("finalized"), F.lit(1).alias("turns"), F.lit(1).alias("tokens"), F.lit(None).cast("string").alias("error"))
-    return evaluation.run_summary(r).select("set", "n", "retrieved", F.round("mean_f1", 6).alias("mean_f1"), "finalized_fail", "stalled")
+    return evaluation.run_summary(_runs(spark, d)).select("set", "n", "retrieved", F.round("mean_f1", 6).alias("mean_f1"), "finalized_fail", "stalled")
 
 
 def queries() -> dict:

@@ -23,14 +23,18 @@ def labelled(windows: DataFrame, items: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     texts = w.withColumns({"_head": head, "_both": both, "items": F.coalesce("items", none), "firsts": F.coalesce("firsts", none)})
     return texts.select(
-        "accession", "anchor_id", "o", "tag", "html_len", "nearby", "firsts", rules.heading(F.col("_head")).alias("h150"), rules.title(F.col("_head")).alias("t150"),
+        "accession", "anchor_id", "o", "tag", "html_len", "nearby", "firsts", F.length("ahead").alias("n_ahead"), F.left("ahead", F.lit(300)).alias("ahead300"), rules.heading(F.col("_head")).alias("h150"), rules.title(F.col("_head")).alias("t150"),
         rules.heading_label(F.col("ahead")).alias("hfull"), rules.title_label(F.col("ahead")).alias("tfull"), rules.heading_label(F.col("_both")).alias("hboth"), rules.title_label(F.col("_both")).alias("tboth"),
         rules.id_label(F.col("anchor_id")).alias("by_id"), rules.shared_label(F.col("items")).alias("shared"), toc_like(F.col("anchor_id"), F.col("tag"), F.col("ahead")).alias("toc"),
     )
 
 
-def cascade(found: DataFrame) -> DataFrame:
-    """One winner for each anchor of ``labelled``, by falling confidence."""
+def cascade(found: DataFrame, model=None) -> DataFrame:
+    """One winner for each anchor of ``labelled``, by falling confidence.
+
+    ``model``: a function of the text ahead (a Column, 300 characters) to a label or null, asked last, with confidence 5, for texts of more than
+    30 characters.
+    """
     h, t = F.col("h150"), F.col("t150")
     title_wins = h.isNull() & t.isNotNull() | (t.pos < h.pos) & (h.pos > 50)
 
@@ -40,7 +44,7 @@ def cascade(found: DataFrame) -> DataFrame:
     early = F.when(title_wins, F.when(h.isNotNull(), pick(t.label, 6)).otherwise(pick(t.label, 3))).otherwise(pick(h.label, 6))
     best = F.coalesce(
         pick(F.col("shared"), 10), pick(F.col("by_id"), 9), pick(F.get("firsts", F.lit(0)), 8),
-        F.when(~F.col("toc"), F.coalesce(early, pick(F.col("hfull"), 5), pick(F.col("tfull"), 2), pick(F.col("hboth"), 4), pick(F.col("tboth"), 1))),
+        F.when(~F.col("toc"), F.coalesce(early, pick(F.col("hfull"), 5), pick(F.col("tfull"), 2), pick(F.col("hboth"), 4), pick(F.col("tboth"), 1), *([] if model is None else [pick(F.when(F.col("n_ahead") > 30, model(F.col("ahead300"))), 5)]))),
     )
     return found.select("accession", "anchor_id", "o", best.alias("b")).filter("b is not null").select("accession", "anchor_id", "o", "b.item", "b.confidence")
 

@@ -11,15 +11,14 @@ from folioflow.functions import text as T
 def char_f1(pairs: DataFrame, keys: list[str], left: str = "pred", right: str = "truth") -> DataFrame:
     """``pairs`` with ``overlap`` and ``char_f1``: F1 of the two texts' character multisets after stripping.
 
-    Both texts are cut into characters once and counted by character with a partial aggregate, so no
-    multi-megabyte text is ever joined.
+    Counted inside the row: for each distinct character of one text, how often both have it.  Nothing is shuffled.
     """
     p = pairs.select(*keys, T.strip_html(T.strip_html(F.coalesce(left, F.lit("")))).alias("p"), T.strip_html(T.strip_html(F.coalesce(right, F.lit("")))).alias("g"))
-    chars = p.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("p").alias("t")), F.struct(F.lit(1).alias("side"), F.col("g").alias("t")))).alias("x"))
-    single = chars.select(*keys, "x.side", F.explode(F.split("x.t", "")).alias("c")).filter("c <> ''")
-    counts = single.groupBy(*keys, "c").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
-    common = counts.groupBy(*keys).agg(F.sum(F.least("a", "b")).alias("overlap"))
-    both = p.select(*keys, F.length("p").cast("long").alias("pred_len"), F.length("g").cast("long").alias("truth_len"), (F.col("p") == F.col("g")).alias("exact_match")).join(common, keys, "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
+    p = p.withColumns({"pred_len": F.length("p").cast("long"), "truth_len": F.length("g").cast("long")})
+    times = lambda t, n, c: F.col(n) - F.length(F.replace(F.col(t), c, F.lit("")))
+    shorter = F.when(F.col("pred_len") < F.col("truth_len"), F.col("p")).otherwise(F.col("g"))
+    common = F.aggregate(F.filter(F.array_distinct(F.split(shorter, "")), lambda c: c != ""), F.lit(0).cast("long"), lambda n, c: n + F.least(times("p", "pred_len", c), times("g", "truth_len", c)))
+    both = p.select(*keys, "pred_len", "truth_len", (F.col("p") == F.col("g")).alias("exact_match"), common.alias("overlap"))
     f1 = F.when((F.col("pred_len") == 0) & (F.col("truth_len") == 0), 1.0).when((F.col("pred_len") == 0) | (F.col("truth_len") == 0), 0.0).otherwise(2 * F.col("overlap") / (F.col("pred_len") + F.col("truth_len")))
     return both.withColumn("f1", f1.cast("double"))
 
@@ -58,18 +57,54 @@ def failure_type(pred_len, truth_len, f1, in_truth=None):
     return F.when(~known, "false_positive").when(pred_len == 0, "missing").when(truth_len > 1_000_000, "gt_noise").when(f1 < 0.5, "severe").otherwise("near_miss")
 
 
-def noise(failures: DataFrame) -> DataFrame:
-    """Failures (accession, item, kind, pred_len, truth_len, f1, html) with ``noisy`` and ``reason``.
+def failures(golden: DataFrame, predicted: DataFrame, least: float = 0.9) -> DataFrame:
+    """accession, item, kind (missing, fp or boundary), truth, pred, f1: what keeps a filing from being retrieved.
 
-    kind: boundary, missing or false_positive.  Part of C14: without the reference's rules for single items.
+    A golden item without text can be missing but has no boundary to fail at.
     """
-    low = F.lower(T.strip_html(F.coalesce("html", F.lit(""))))
-    trivial = (F.length(low) < 100) & low.rlike(r"none|not applicable|reserved|omitted|incorporated")
-    reason = (
-        F.when(F.col("truth_len") > 1_000_000, "golden too long (whole filing)").when((F.col("kind") == "false_positive") & (F.col("pred_len") < 3000), "short placeholder (not in golden)")
-        .when((F.col("kind") == "missing") & trivial, "trivial golden (placeholder)").when((F.col("kind") == "boundary") & trivial, "trivial golden (placeholder)")
+    g = golden.select("accession", "item", F.coalesce("html", F.lit("")).alias("truth"), F.lit(True).alias("wanted"))
+    p = predicted.select("accession", "item", F.coalesce("html", F.lit("")).alias("pred"), F.lit(True).alias("made"))
+    both = g.join(p, ["accession", "item"], "full")
+    kind = F.when(F.col("made").isNull(), "missing").when(F.col("wanted").isNull(), "fp").when(F.col("truth") != "", "boundary")
+    rows = both.select("accession", "item", kind.alias("kind"), "truth", "pred").filter("kind is not null")
+    scored = char_f1(rows.filter("kind = 'boundary'"), ["accession", "item"]).select("accession", "item", "f1").filter(F.col("f1") < least)
+    return rows.join(scored, ["accession", "item"], "left").filter("kind <> 'boundary' or f1 is not null")
+
+
+def noise(rows: DataFrame) -> DataFrame:
+    """Failures (accession, item, kind, truth, pred, f1, and where known file_size and detected) with ``noisy`` and ``reason``.
+
+    Only signatures and item 16 can fail for the golden texts' sake.  ``detected``: the engine found signatures and left them out.
+    """
+    from folioflow.operators.selection import is_placeholder_item16
+
+    for name, kind in (("file_size", "long"), ("detected", "boolean")):
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.lit(None).cast(kind))
+    truth, pred = F.coalesce("truth", F.lit("")), F.coalesce("pred", F.lit(""))
+    shown = lambda html: F.length(T.strip_html(html))
+    huge = F.length(truth) > 1_000_000
+    is_ = lambda item, kind: (F.col("item") == item) & (F.col("kind") == kind)
+    why = (
+        F.when(is_("signatures", "missing") & (F.length(truth) < 100), "golden text empty or short")
+        .when(is_("signatures", "missing") & (F.length(truth) > 0.3 * F.coalesce("file_size", F.lit(0))), "golden text of another source")
+        .when(is_("signatures", "missing") & F.coalesce("detected", F.lit(False)), "found but left out")
+        .when(is_("item16", "missing") & (shown(truth) < 100), "golden text short")
+        .when(is_("signatures", "fp"), "heading there, golden key not")
+        .when(is_("item16", "fp") & (is_placeholder_item16(pred) | (F.length(pred) < 3000)), "placeholder, golden key not there")
+        .when(is_("signatures", "boundary") & huge, "golden text of another source")
+        .when(is_("item16", "boundary") & (shown(truth) < 100) & (shown(pred) < 100), "both short")
+        .when(is_("item16", "boundary") & huge, "golden text of another source")
     )
-    return failures.withColumn("noisy", reason.isNotNull()).withColumn("reason", F.coalesce(reason, F.concat(F.lit("real "), F.col("kind"))))
+    head = F.concat_ws(" ", F.when(F.col("kind") == "fp", "FP").otherwise(F.col("kind")), "item")
+    real = F.when(F.col("kind") == "boundary", F.concat(head, F.format_string(" (F1=%.3f)", F.coalesce("f1", F.lit(0.0))))).otherwise(head)
+    out = rows.withColumn("_why", why)
+    return out.withColumn("noisy", F.col("_why").isNotNull()).withColumn("reason", F.when(F.col("noisy"), F.concat(head, F.lit(" ("), "_why", F.lit(")"))).otherwise(real)).drop("_why")
+
+
+def item_counts(rows: DataFrame, n: int = 12) -> DataFrame:
+    """The most frequent (item, kind) of failures."""
+    return rows.groupBy("item", "kind").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "item", "kind").limit(n)
 
 
 def noise_account(docs: DataFrame, failures: DataFrame) -> DataFrame:

@@ -20,6 +20,12 @@ def batch_events(batches: DataFrame) -> DataFrame:
     return batches.select("accession", "turn", F.posexplode("assignments").alias("ord", "a")).select("accession", "turn", "ord", F.lit("assign").alias("action"), "a.item", "a.anchor_id", "a.o")
 
 
+def pre_populated(chosen: DataFrame) -> DataFrame:
+    """The chosen chain as assign events of turn 0, in order of place; later events of an item win over them."""
+    by = Window.partitionBy("accession").orderBy("o", rules.seq_of(F.col("item")))
+    return chosen.select("accession", F.lit(0).alias("turn"), (F.row_number().over(by) - 1).alias("ord"), F.lit("assign").alias("action"), "item", "anchor_id", F.col("o").cast("long").alias("o"))
+
+
 def listed(assignments: DataFrame) -> DataFrame:
     """Rows in order of place (null first), with their rank."""
     by = Window.partitionBy("accession").orderBy(F.coalesce("o", F.lit(-1)), "turn", "item")
@@ -76,7 +82,11 @@ def stalls(turns: DataFrame, limit: int = 3) -> DataFrame:
 
 
 def message_sizes(messages: DataFrame) -> DataFrame:
-    return messages.groupBy("conv_id").agg(F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"), F.count("*").alias("messages"))
+    """Characters of each conversation's messages, with the arguments of tool calls (``tool_args``: array of texts) where there are any."""
+    size = F.length(F.coalesce("text", F.lit("")))
+    if "tool_args" in messages.columns:
+        size = size + F.aggregate(F.coalesce("tool_args", F.array().cast("array<string>")), F.lit(0), lambda n, a: n + F.length(F.coalesce(a, F.lit(""))))
+    return messages.groupBy("conv_id").agg(F.sum(size).alias("chars"), F.count("*").alias("messages"))
 
 
 def compacted(messages: DataFrame, most_chars: int = 100_000, head: int = 2, tail: int = 10) -> DataFrame:

@@ -44,8 +44,11 @@ class Tools:
         return texts.withColumn("heading", rules.heading_label(low)).withColumn("title", rules.title_label(low))
 
     def detect_incorporation(self, item_name: str):
-        third = item_name == "part3" or item_name in rules.SHARED[0]
-        return self.index.incorporated.select("accession", (F.col("incorporated") & F.lit(third)).alias("incorporated"))
+        """accession, incorporated, evidence: only items 10 to 14 (or "part3") can be taken from another document."""
+        if item_name != "part3" and item_name not in rules.SHARED[0]:
+            return self.index.incorporated.select("accession", F.lit(False).alias("incorporated"), F.lit("only part III items are incorporated by reference").alias("evidence"))
+        said = F.when(F.col("incorporated"), "part III names another document and none of its items was found").otherwise("no such reference near the part III heading, or items of it were found")
+        return self.index.incorporated.select("accession", "incorporated", said.alias("evidence"))
 
     def _event(self, rows):
         self.events = self.events.unionByName(rows.select(*self.events.columns))
@@ -60,7 +63,16 @@ class Tools:
         return self._event(spark.createDataFrame([(accession, turn, 0, "unassign", item, None, None)], self.events.schema))
 
     def batch_assign(self, batches):
-        return self._event(state.batch_events(batches))
+        """The events of all entries that can be assigned; ``errors`` has the others with what is wrong with them."""
+        rows = state.batch_events(batches)
+        known = F.col("item").isin(*rules.LABELS)
+        wrong = F.when(F.col("item").isNull(), "no item").when(~known, F.concat(F.lit("unknown item "), "item"))
+        self.errors = rows.withColumn("error", wrong).filter("error is not null").select("accession", "turn", "ord", "item", "error")
+        return self._event(rows.filter(known))
+
+    def pre_populate(self):
+        """Begins with the chosen chain."""
+        return self._event(state.pre_populated(self.index.chosen))
 
     def get_current_assignments(self):
         return state.listed(state.fold(self.events))

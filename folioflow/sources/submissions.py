@@ -16,14 +16,15 @@ def main_document(content: Column) -> Column:
     return F.when(body != "", body).otherwise(content)
 
 
-def text_start(content: Column) -> Column:
-    """The main document's offset in the submission (0 for the fallback)."""
-    return F.when(main_document(content) == content, 0).otherwise(F.instr(content, main_document(content)) - 1)
+def text_start(content: Column, main: Column) -> Column:
+    """The offset of ``main`` (the content's main document) in the submission; 0 for the fallback."""
+    return F.when(main == content, 0).otherwise(F.instr(content, main) - 1)
 
 
 def submissions(spark: SparkSession, folder: str) -> DataFrame:
     raw = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"([^/]+)\.txt$", 1).alias("accession"), F.col("value").alias("content"))
-    return raw.select("accession", "content", main_document(F.col("content")).alias("html"), text_start(F.col("content")).alias("text_start"))
+    docs = raw.select("accession", "content", main_document(F.col("content")).alias("html"))
+    return docs.withColumn("text_start", text_start(F.col("content"), F.col("html")))
 
 
 def sections(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,11 +34,15 @@ def sections(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def discover(sources: DataFrame, golden: DataFrame, limit: int | None = None) -> DataFrame:
-    """Filings with a golden file: ``sources`` (accession, folder, path), the first folder wins; empty files are skipped."""
+    """Filings with a golden file: ``sources`` (accession, folder, path), the first folder wins; empty files are skipped.
+
+    Where ``golden`` has the number of its set (``gt_set``) a limit takes the sets in order, then accessions.
+    """
     first = sources.withColumn("r", F.row_number().over(Window.partitionBy("accession").orderBy("folder", "path"))).filter("r = 1").drop("r")
-    full = golden.filter("not malformed and key is not null").groupBy("accession").agg(F.count("*").alias("gt_item_count"))
+    keys = ["gt_set", "accession"] if "gt_set" in golden.columns else ["accession"]
+    full = golden.filter("not malformed and key is not null").groupBy(*keys).agg(F.count("*").alias("gt_item_count"))
     out = first.join(full, "accession")
-    return out.orderBy("accession").limit(limit) if limit else out
+    return out.orderBy(*keys).limit(limit) if limit else out
 
 
 def difficulty(html: Column) -> Column:

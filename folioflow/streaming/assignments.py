@@ -21,12 +21,36 @@ def extract_stream(spark: SparkSession, folder: str, out: str, checkpoint: str):
     return src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def live_state(spark: SparkSession, folder: str, checkpoint: str, name: str):
-    """Current assignments of the event log, folded again with every arrival (complete output)."""
+def live_state(spark: SparkSession, folder: str, checkpoint: str, out: str):
+    """Current assignments of the event log, kept in the state store by item; each batch writes the items that changed to ``out``.
+
+    Rows: accession, item, anchor_id, o, turn, ord, action, batch.  ``current`` reads what holds now.
+    """
     src = spark.readStream.schema(EVENTS).parquet(folder)
-    last = src.groupBy("accession", "item").agg(F.max_by(F.struct("action", "anchor_id", "o", "turn"), F.struct("turn", "ord")).alias("e"))
-    kept = last.filter("e.action = 'assign'").select("accession", "item", "e.anchor_id", F.when(F.col("e.o") >= 0, F.col("e.o")).alias("o"), "e.turn")
-    return kept.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    last = src.groupBy("accession", "item").agg(F.max_by(F.struct("action", "anchor_id", "o", "turn", "ord"), F.struct("turn", "ord")).alias("e"))
+
+    def batch(df: DataFrame, number: int) -> None:
+        df.select("accession", "item", "e.*").withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/changes-{number:010d}")
+
+    return last.writeStream.foreachBatch(batch).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(spark: SparkSession, out: str) -> DataFrame:
+    """accession, item, anchor_id, o, turn: the last change of each item that is no removal."""
+    changes = spark.read.parquet(f"{out}/changes-*")
+    return state.fold(changes.select("accession", "turn", "ord", "action", "item", "anchor_id", "o"))
+
+
+def result_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, to_results):
+    """Run-result rows of new filings appended as lines of JSON; ``to_results``: sections of a batch to result rows."""
+    from folioflow.sources import results
+
+    src = spark.readStream.schema("accession string, html string").parquet(folder)
+
+    def batch(df: DataFrame, number: int) -> None:
+        results.write_results(to_results(rule_pipeline.extract(df)), out)
+
+    return src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-__all__ = ["EVENTS", "extract_stream", "live_state", "state"]
+__all__ = ["EVENTS", "current", "extract_stream", "live_state", "result_stream", "state"]

@@ -365,12 +365,38 @@ def test_tools_report_errors(spark):
     assert [r.item for r in tools.call("get_current_assignments").collect()] == ["item2"]
 
 
+def test_tools_collect_errors_and_end(spark):
+    from folioflow.operators.tools import Tools
+    from folioflow.plans import rule_pipeline
+
+    f = spark.createDataFrame([("a", MADE[0]), ("b", MADE[3])], "accession string, html string")
+    events = "accession string, turn int, ord int, action string, item string, anchor_id string, o long"
+    tools = Tools(rule_pipeline.build_index(f), spark.createDataFrame([], events))
+    tools.call("pre_populate")
+    assert {r.item for r in tools.call("get_current_assignments").collect()} >= {"item1a", "item2", "item14"}
+    batch = spark.createDataFrame([("a", 3, [("item2", "t2", 7), ("item99", "t2", 8), (None, "x", 1)])], "accession string, turn int, assignments array<struct<item:string,anchor_id:string,o:bigint>>")
+    tools.call("batch_assign", batches=batch)
+    assert {r.error for r in tools.errors.collect()} == {"unknown item item99", "no item"}
+    assert [r.o for r in tools.call("get_current_assignments").filter("item = 'item2'").collect()] == [7]
+    said = {r.evidence for r in tools.call("detect_incorporation", item_name="item1").collect()}
+    assert len(said) == 1 and {r.incorporated for r in tools.call("detect_incorporation", item_name="part3").collect()} == {False}
+    assert {r.accession for r in tools.call("finalize").collect()} == {"a", "b"}
+    assert tools.call("scan_for_heading", item="item2").filter("accession = 'a'").count() >= 1 and tools.call("classify_text", texts=spark.createDataFrame([("Item 2. Properties",)], "text string")).first().heading == "item2"
+    assert tools.call("get_filing_overview").count() == 2 and tools.call("get_toc_links").count() == 7 and tools.call("get_all_top_candidates").count() > 3 and tools.call("refine_boundary").count() > 3
+
+
 def test_streamed_state_equals_fold(spark, tmp_path):
     from folioflow.streaming import assignments
 
     data = [("a", 1, 0, "assign", "item1", "x", 5), ("a", 2, 0, "assign", "item1", "y", -1), ("a", 3, 0, "unassign", "item2", None, None)]
     df = spark.createDataFrame(data, assignments.EVENTS)
     df.write.parquet(str(tmp_path / "in"))
-    q = assignments.live_state(spark, str(tmp_path / "in"), str(tmp_path / "ck"), "live")
+    q = assignments.live_state(spark, str(tmp_path / "in"), str(tmp_path / "ck"), str(tmp_path / "out"))
     q.awaitTermination(120)
-    assert spark.table("live").collect() == state.fold(df).collect()
+    assert assignments.current(spark, str(tmp_path / "out")).collect() == state.fold(df).collect()
+    more = spark.createDataFrame([("a", 4, 0, "unassign", "item1", None, None), ("b", 1, 0, "assign", "item3", "z", 9)], assignments.EVENTS)
+    more.write.mode("append").parquet(str(tmp_path / "in"))
+    assignments.live_state(spark, str(tmp_path / "in"), str(tmp_path / "ck"), str(tmp_path / "out")).awaitTermination(120)
+    assert [(r.accession, r.item) for r in assignments.current(spark, str(tmp_path / "out")).collect()] == [("b", "item3")]
+    # Only what changed is written with the second batch.
+    assert spark.read.parquet(str(tmp_path / "out" / "changes-0000000001")).count() == 2
