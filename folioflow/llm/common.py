@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import json
 import re
 import tempfile
 import uuid
@@ -109,6 +110,12 @@ def crc_bucket(key: str, n: int):
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A few rows that the driver holds, as a literal of the plan: no Python worker has to make them."""
+    listed = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")
+    return spark.range(1).select(F.explode(listed).alias("r")).select("r.*")
+
+
 def with_group(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, most: int = 1000) -> DataFrame:
     """``rows`` with the columns of their group (left join).  ``groups``: ``key``, ``size`` (rows of the group) and more.
 

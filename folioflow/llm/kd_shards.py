@@ -27,7 +27,7 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, small_table
 
 BINS = 4096
 KEY_BITS = 60
@@ -57,8 +57,8 @@ def sharded(rows: DataFrame, dims: list[str], shards: int, weight: str = "size",
         heapq.heappush(heap, (load[s], s))
     room = [max(0.0, share - x) for x in load]
     kind = rows.schema[group].dataType.simpleString()
-    whole = spark.createDataFrame([(g, s) for g, s in place.items()], f"{group} {kind}, _shard int")
-    split = spark.createDataFrame([(r[group], True) for r in big if r["_w"] > share], f"{group} {kind}, _split boolean")
+    whole = small_table(spark, [{group: g, "_shard": s} for g, s in place.items()], f"{group}:{kind},_shard:int")
+    split = small_table(spark, [{group: r[group], "_split": True} for r in big if r["_w"] > share], f"{group}:{kind},_split:boolean")
     marked = rows.join(F.broadcast(whole), group, "left").join(F.broadcast(split), group, "left")
     settled = marked.filter("_shard is not null").select(*names, F.col("_shard").alias("shard"))
     # The rows of a group that is split are units of their own, next to each other in every order.

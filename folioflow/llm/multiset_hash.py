@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, small_table
 
 EXACT, PACKED = 8, 32
 LANES = EXACT + PACKED + 1
@@ -136,7 +136,7 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     rows = rows.withColumn("bucket", below(bounds, F.col("k")))
     heads = sorted((r["bucket"], r["k"]) for r in rows.groupBy("bucket").agg(F.max("k").alias("k")).collect())
     # One row for each bucket: where its first row is copied to.
-    follows = docs.sparkSession.createDataFrame([(k, heads[(j + 1) % len(heads)][0]) for j, (_, k) in enumerate(heads)], "k long, target int")
+    follows = small_table(docs.sparkSession, [{"k": k, "target": heads[(j + 1) % len(heads)][0]} for j, (_, k) in enumerate(heads)], "k:bigint,target:int")
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("ghost"))
     places = F.when(F.col("target").isNotNull(), F.array(own, F.struct(F.col("target").alias("bucket"), F.lit(1).alias("ghost")))).otherwise(F.array(own))
     placed = rows.join(F.broadcast(follows), "k", "left").select("doc_id", "k", "text", F.explode(places).alias("p")).select("doc_id", "k", "text", "p.bucket", "p.ghost")
