@@ -19,7 +19,7 @@ def q(s: str) -> str:
 def strip(x: str) -> str:
     out = f"regexp_replace({x}, '<[^>]+>', ' ', 'g')"
     for name, char in (("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        out = f"replace({out}, {q(name)}, {q(char)})"
+        out = f"regexp_replace({out}, {q(name + '?')}, {q(char)}, 'g')"  # a window may cut the semicolon off
     return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
 
 
@@ -167,6 +167,13 @@ PROMPTS = f"""SELECT accession, 'Extract all item sections of filing ' || access
   LEFT JOIN (SELECT accession, string_agg('Part ' || part || ' at ' || printf('%.1f%%', 100 * rel), ', ' ORDER BY part) AS heads FROM parts GROUP BY accession) USING (accession) LEFT JOIN ({PART_THREE}) USING (accession)"""
 #: The only bold SIGNATURES of a filing stand in a paragraph of their own.
 SIGNATURE_PLACES = """SELECT accession, CAST(strpos(html, '<p><b>SIGNATURES') - 1 AS BIGINT) AS o FROM filings WHERE strpos(html, '<p><b>SIGNATURES') > 0 AND accession IN (SELECT accession FROM chosen)"""
+#: The chosen chain with the signatures found behind it, and the rescored candidates.
+BOTH = f"""{CHOSEN}{RESCORED[len(LABELS):]},
+sure AS (SELECT accession, item, anchor_id, o FROM chosen WHERE confidence >= 7),
+placed AS MATERIALIZED (SELECT accession, item, o FROM chosen UNION ALL SELECT accession, 'signatures', o FROM ({SIGNATURE_PLACES})),
+spanned AS (SELECT accession, item, length(html) AS n, coalesce(lead(o) OVER (PARTITION BY accession ORDER BY o), length(html)) - o AS span FROM placed JOIN filings USING (accession)),
+best_ AS (SELECT accession, item, max(confidence) AS top FROM rescored GROUP BY ALL),
+spread_ AS (SELECT accession, item, any_value(top) AS top, max(o) - min(o) AS spread, count(DISTINCT o) AS places FROM rescored JOIN best_ USING (accession, item) WHERE confidence = top GROUP BY ALL)"""
 
 EVENTS = """ev AS (SELECT CAST(user_id % 97 AS VARCHAR) AS accession, CAST(event_id AS INTEGER) AS turn, 0 AS ord, CASE WHEN event_type = 'purchase' OR event_id % 7 = 0 THEN 'unassign' ELSE 'assign' END AS action,
   (['item1', 'item1a', 'item7', 'item8', 'item15', 'item2', 'item3', 'item10'])[CAST(event_id % 8 AS INTEGER) + 1] AS item, 'a' || (event_id % 5) AS anchor_id, CAST(event_id * 37 % 1300 - 60 AS BIGINT) AS o FROM events),
@@ -244,6 +251,11 @@ def oracle_sql() -> dict[str, str]:
         "pre_populated": w(CHOSEN, "SELECT accession, 0 AS turn, CAST(row_number() OVER (PARTITION BY accession ORDER BY o, seq) - 1 AS INTEGER) AS ord, 'assign' AS action, item, anchor_id, o FROM chosen JOIN dim USING (item)", "RECURSIVE "),
         "task_prompts": w(RESCORED, PROMPTS),
         "run_report": "SELECT CAST(doc_id AS VARCHAR) AS accession, '| ' || doc_id || ' | ' || printf('%.1f%%', 100 * (quality / 2.0 + 0.25)) || ' | ' || CASE WHEN quality = 1 AND toxic = 0 THEN 'yes' ELSE 'no' END || ' | 1 | 1 |  |' AS line FROM labels JOIN documents USING (doc_id)",
+        "policy_assignments": w(BOTH, f"""SELECT accession, item, anchor_id, o FROM sure UNION ALL
+          SELECT p.accession, t.item, NULL, NULL FROM ({PART_THREE}) p, (VALUES ('item10'), ('item11'), ('item12'), ('item13'), ('item14')) t(item) WHERE p.incorporated AND NOT EXISTS (SELECT 1 FROM sure WHERE sure.accession = p.accession AND sure.item = t.item)""", "RECURSIVE "),
+        "ambiguous_items": w(BOTH, """SELECT accession, item, reasons FROM (SELECT accession, item, concat_ws('; ', CASE WHEN coalesce(top, 0) < 7 THEN 'low confidence' END, CASE WHEN places > 1 AND spread > 0.05 * n THEN 'scattered' END,
+            CASE WHEN span / n > 0.4 THEN CASE WHEN item <> 'item8' THEN 'span large' END WHEN span < 100 THEN 'span small' END) AS reasons FROM spanned LEFT JOIN spread_ USING (accession, item)) WHERE reasons <> ''
+          UNION ALL SELECT accession, item, 'missing' FROM filings, dim WHERE expected AND NOT EXISTS (SELECT 1 FROM placed WHERE placed.accession = filings.accession AND placed.item = dim.item)""", "RECURSIVE "),
         "anchors_in_radius": w(CHOSEN, "SELECT c.accession, c.item, a.anchor_id, a.o - c.o AS delta FROM chosen c JOIN anchors a ON a.accession = c.accession AND a.o BETWEEN c.o - 700 AND c.o + 700", "RECURSIVE "),
         "nearest_anchor": w(ANCHORS, "SELECT p.accession, p.k, arg_min(a.anchor_id, abs(a.o - p.o) * 10000000 + a.o) AS near_id, min(abs(a.o - p.o)) AS distance FROM (SELECT accession, k, k * 611 AS o FROM filings, generate_series(0, 9) t(k)) p LEFT JOIN anchors a ON a.accession = p.accession AND abs(a.o - p.o) < 500 GROUP BY ALL"),
         "state_fold": w(EVENTS, "SELECT * FROM folded"),

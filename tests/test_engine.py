@@ -400,3 +400,26 @@ def test_streamed_state_equals_fold(spark, tmp_path):
     assert [(r.accession, r.item) for r in assignments.current(spark, str(tmp_path / "out")).collect()] == [("b", "item3")]
     # Only what changed is written with the second batch.
     assert spark.read.parquet(str(tmp_path / "out" / "changes-0000000001")).count() == 2
+
+
+def test_answers_and_files(spark):
+    answers = ['```json\n{"tool": "finalize", "args": {},}\n```', '[{"tool": "a", "args": {"x": "1"}}, {"no": 1}]', "plain words", None]
+    got = [[c.tool for c in r[0]] if r[0] is not None else None for r in spark.createDataFrame(list(enumerate(answers)), "i int, t string").coalesce(1).orderBy("i").select(T.tool_calls(F.col("t"))).collect()]
+    assert got == [["finalize"], ["a"], None, None]
+    said = spark.createDataFrame([("It is Item1A I think",), ("none",)], "t string").select(T.answer_label(F.col("t"), rules.LABELS).alias("l")).collect()
+    assert [r.l for r in said] == ["item1a", None]
+    made = spark.createDataFrame([("a", "item2", "<p>x</p>"), ("a", "item1", "")], "accession string, item string, html string")
+    assert submissions.as_json(made).first().json == '{"a#item1":"","a#item2":"<p>x</p>"}'
+
+
+def test_readers_of_folders(spark, tmp_path):
+    for name, text in (("a.txt", "<DOCUMENT>\n<TYPE>10-K\n<TEXT>body here</TEXT></DOCUMENT> rest"), ("b.txt", "bare")):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text(text)
+    got = {r.accession: (r.html, r.text_start) for r in submissions.submissions(spark, str(tmp_path / "in")).collect()}
+    assert got == {"a": ("body here</TEXT>", 28), "b": ("bare", 0)}
+    (tmp_path / "gold").mkdir()
+    (tmp_path / "gold" / "a.json").write_text('{"a#item1": "x", "item2": ""}')
+    (tmp_path / "gold" / "z.json").write_text("not json")
+    rows = {(r.accession, r.malformed, r.item, r.html) for r in submissions.sections(spark, str(tmp_path / "gold")).collect()}
+    assert rows == {("a", False, "item1", "x"), ("a", False, "item2", ""), ("z", True, None, None)}
