@@ -16,6 +16,9 @@ of the positions are anchors.
 * Round 3, past the threshold: inside a group of equal 78 bytes the windows are ranked by all 100 bytes,
   and each window that isn't the first of its rank repeats.
 
+Anchors of a frequent rank (a line of many texts in other surroundings) would all meet under one key.  Their windows are ranked by
+all 100 bytes at once; which ranks are frequent shapes the work, never the result.
+
 Round 2 must know the ranks from round 1 that go on: they are marked in a bit table of fixed size (a
 false mark only costs work).  Ranks are 64-bit hashes.
 
@@ -104,8 +107,11 @@ def _frame(columns, names):
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
 
-def repeated_windows(rows: DataFrame, hold: Scratch) -> DataFrame:
-    """(id, first, last): runs of window starts whose 100 bytes also start earlier.  ``rows``: id, t."""
+def repeated_windows(rows: DataFrame, hold: Scratch, often: int = 32, most: int = 4096) -> DataFrame:
+    """(id, first, last): runs of window starts whose 100 bytes also start earlier.  ``rows``: id, t.
+
+    The ``most`` ranks that are mixed in the most batches, in ``often`` or more, are *frequent*.
+    """
     spark = rows.sparkSession
     parts = shuffle_parts(spark)
 
@@ -179,16 +185,48 @@ def repeated_windows(rows: DataFrame, hold: Scratch) -> DataFrame:
     for r in words.toLocalIterator():  # at most 2^18 words, whatever the corpus
         marks[r["w"]] = r["b"]
     marks = spark.sparkContext.broadcast(marks)
+    seen = round1.filter("mixed").groupBy("rank").agg(F.count("*").alias("n")).filter(F.col("n") >= often).orderBy(F.desc("n"), "rank").limit(most)
+    frequent = spark.sparkContext.broadcast(np.sort(np.array([r["rank"] for r in seen.collect()], np.int64)))
 
     def slots(batches):
+        """kind 0: rows that must meet others of their key; kind 1: runs of windows that are settled in this batch.
+
+        Of a frequent rank each window is a row of its own under its 100 bytes, so that its anchors don't all meet under one key.
+        """
         import numpy as np
         import pyarrow as pa
 
-        made, table = Anchors(), marks.value.view(np.uint64)
-        names = ["key", "span", "id", "first", "low", "high", "bytes"]
+        made, table, hot = Anchors(), marks.value.view(np.uint64), frequent.value
+        names = ["kind", "key", "span", "id", "first", "low", "high", "bytes"]
+
+        def again_of(key, span, doc, first):
+            """Which rows have an earlier one with their key and span."""
+            order = np.lexsort((first, doc, span, key))
+            again = np.zeros(len(key), bool)
+            again[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (span[order[1:]] == span[order[:-1]])
+            return again
+
+        def frame(out, blobs, alone):
+            parts = []
+            if out[0]:
+                key, span, doc, first, low, high = (np.concatenate(o) for o in out)
+                again = again_of(key, span, doc, first)
+                parts.append([again.astype(np.int8), key, span, doc, first, low, high, pa.array([None if g else b for g, b in zip(again.tolist(), blobs)], pa.binary())])
+            if alone[0]:
+                key, doc, first, anchor = (np.concatenate(o) for o in alone)
+                again = again_of(key, key, doc, first)
+                zero = np.zeros(int((~again).sum()), np.int64)
+                parts.append([zero.astype(np.int8), key[~again], key[~again], doc[~again], first[~again], zero, zero, pa.nulls(len(zero), pa.binary())])
+                key, doc, first, anchor = (c[again] for c in (key, doc, first, anchor))
+                if len(key):  # settled windows next to each other are one run
+                    head = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1] + 1) | (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])]))
+                    size = np.diff(np.append(head, len(key)))
+                    parts.append([np.ones(len(head), np.int8), key[head], key[head], doc[head], first[head], np.zeros(len(head), np.int64), size - 1, pa.nulls(len(head), pa.binary())])
+            for p in parts:
+                yield _frame(p, names)
+
         for batch in batches:
-            out = [[], [], [], [], [], [], []]
-            size = 0
+            out, blobs, alone, size = [[], [], [], [], [], []], [], [[], [], [], []], 0
             for k, t in zip(batch.column("id").to_pylist(), batch.column("t").to_pylist()):
                 raw = _raw(t)
                 made.load(raw)
@@ -198,6 +236,16 @@ def repeated_windows(rows: DataFrame, hold: Scratch) -> DataFrame:
                 rank = made.rank(m, m + RANK1)
                 on = (table[((rank & np.uint64((1 << BITS) - 1)) >> np.uint64(6)).astype(np.int64)] >> (rank & np.uint64(63))) & np.uint64(1) == 1
                 m, first, last, rank = m[on], first[on], last[on], rank[on]
+                if len(hot) and len(m):
+                    at = np.minimum(np.searchsorted(hot, rank.view(np.int64)), len(hot) - 1)
+                    often = hot[at] == rank.view(np.int64)
+                    if often.any():
+                        count = (last - first + 1)[often]
+                        p = np.repeat(first[often] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+                        for o, c in zip(alone, (mix(made.rank(p, p + LENGTH) ^ np.uint64(LENGTH)).view(np.int64), np.full(len(p), k), p, np.repeat(m[often], count))):
+                            o.append(c)
+                        size += len(p)
+                        m, first, last, rank = m[~often], first[~often], last[~often], rank[~often]
                 for s in range(0, REACH + 1, SLOT):
                     end = min(s + SLOT, REACH + 1)
                     low, high = np.maximum(m - last, s), np.minimum(m - first, end - 1)
@@ -209,13 +257,14 @@ def repeated_windows(rows: DataFrame, hold: Scratch) -> DataFrame:
                     span = mix(made.rank(a - hi, a - lo + LENGTH) + (hi.astype(np.uint64) << np.uint64(8)) + lo.astype(np.uint64))
                     for o, c in zip(out, (key.view(np.int64), span.view(np.int64), np.full(len(a), k), a - hi, lo, hi)):
                         o.append(c)
-                    out[6] += [raw[x:y].tobytes() for x, y in zip((a - hi).tolist(), (a - lo + LENGTH).tolist())]
+                    blobs += [raw[x:y].tobytes() for x, y in zip((a - hi).tolist(), (a - lo + LENGTH).tolist())]
                     size += len(a)
                 if size > 20_000:
-                    yield _frame([*(np.concatenate(o) for o in out[:6]), pa.array(out[6], pa.binary())], names)
-                    out, size = [[], [], [], [], [], [], []], 0
+                    yield from frame(out, blobs, alone)
+                    out, blobs, alone, size = [[], [], [], [], [], []], [], [[], [], [], []], 0
             if size:
-                yield _frame([*(np.concatenate(o) for o in out[:6]), pa.array(out[6], pa.binary())], names)
+                yield from frame(out, blobs, alone)
+        tidy()
 
     def windows(batches):
         import numpy as np
@@ -230,7 +279,7 @@ def repeated_windows(rows: DataFrame, hold: Scratch) -> DataFrame:
             _, group, sizes = np.unique(key, return_inverse=True, return_counts=True)
             keep = sizes[group] > 1
             key, doc, first, low, high = (c[keep] for c in (key, doc, first, low, high))
-            blobs = [b for b, k in zip(blobs, keep.tolist()) if k]
+            blobs = [b or b"" for b, k in zip(blobs, keep.tolist()) if k]
             if not blobs:
                 return None
             # All windows of all rows in one array: hash each from one running sum over the rows' bytes.
@@ -257,6 +306,13 @@ def repeated_windows(rows: DataFrame, hold: Scratch) -> DataFrame:
 
         held, blobs, n, before = [], [], 0, None
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            settled = np.asarray(batch.column("kind")) == 1
+            if settled.any():
+                first, low, high = (np.asarray(batch.column(c))[settled] for c in ("first", "low", "high"))
+                yield _frame([np.asarray(batch.column("id"))[settled], first, first + high - low], ["id", "first", "last"])
+                batch = batch.filter(pa.array(~settled))
             if not batch.num_rows:
                 continue
             # A span that came before repeats as a whole: a hot group keeps one row for each different span.
@@ -287,8 +343,10 @@ def repeated_windows(rows: DataFrame, hold: Scratch) -> DataFrame:
             done = solve([np.concatenate([h[j] for h in held]) for j in range(5)], blobs)
             if done is not None:
                 yield done
+        tidy()
 
-    round2 = rows.mapInArrow(slots, "key long, span long, id long, first long, low long, high long, bytes binary").repartition(parts, "key").sortWithinPartitions("key", "span", "id", "first")
+    deal = F.when(F.col("kind") == 0, F.col("key")).otherwise(F.xxhash64("id", "first"))
+    round2 = rows.mapInArrow(slots, "kind byte, key long, span long, id long, first long, low long, high long, bytes binary").repartition(parts, deal).sortWithinPartitions("key", "span", "id", "first")
     partly = hold.keep(round2.mapInArrow(windows, "id long, first long, last long"), "round3")
     return whole.unionByName(partly)
 
@@ -301,13 +359,13 @@ def numbered(rows: DataFrame, hold: Scratch) -> DataFrame:
     return hold.keep(dealt.select(F.monotonically_increasing_id().alias("id"), "doc_id", "t"), "numbered")
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False, often: int = 32) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes."""
     hold = Scratch(docs.sparkSession, "suffix")
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")).withColumn("doc_id", F.col("id"))
     if rows.groupBy("id").agg(F.count("*").alias("n")).filter("id is null or n > 1").limit(1).count():
         rows = numbered(rows, hold)
-    spans = repeated_windows(rows.select("id", "t"), hold)
+    spans = repeated_windows(rows.select("id", "t"), hold, often)
     mine = spans.groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("runs"))  # at most one run for every 34 bytes of the document
 
     def cut(batches):
