@@ -175,3 +175,40 @@ def offset(segment: dict, i: int) -> tuple[int, int]:
     """(first id, end) of the segment's i-th document by two selects, without decoding the others."""
     ends = EliasFano(segment["n_docs"], segment["ends_low"], segment["ends"])
     return (ends.select(i - 1) if i else 0), ends.select(i)
+
+
+def places_of(segment: dict, key: int) -> range:
+    """Which documents of a segment have the key, by binary search over selects."""
+    n = segment["n_docs"] - segment["n_null"]
+    known = EliasFano(n, segment["keys_low"], segment["keys"])
+
+    def below(value: int) -> int:
+        lo, hi = 0, n
+        while lo < hi:
+            mid = (lo + hi) // 2
+            lo, hi = (mid + 1, hi) if known.select(mid) < value else (lo, mid)
+        return lo
+
+    want = key - segment["first_key"]
+    return range(0) if want < 0 else range(segment["n_null"] + below(want), segment["n_null"] + below(want + 1))
+
+
+def fetch(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
+    """key, ids (binary, 4 bytes each) of the documents with some keys: random access through the select structures."""
+    wanted = sorted(set(keys))
+
+    def find(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                ids = np.frombuffer(r["ids"], f"<u{r['width']}")
+                for k in wanted if r["n_docs"] > r["n_null"] else ():
+                    for i in places_of(r, k):
+                        lo, hi = offset(r, i)
+                        out.append((k, ids[lo:hi].astype("<u4").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["key", "ids"])
+
+    return spark.read.schema(STORE).parquet(path).filter(F.col("first_key") <= (wanted[-1] if wanted else 0)).mapInArrow(find, "key long, ids binary")
