@@ -346,5 +346,6 @@ def _near_components(docs: DataFrame, key: str, text: str, size: int, percent: i
     second = hold.keep(met.join(first, ["a", "b"], "left_anti"), "second")
     more = verified(second, texts, hold, size, percent, "second", broadcast_rows)
     final = components(links.unionByName(more), hold, "cc2")
+    hold.drop(*(name for name in hold.paths if name != "members" and not name.startswith("cc2")))
     out = member.join(final.select(F.col("v").alias("rep"), F.col("c")), "rep", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "rep", F.coalesce("c", "rep").alias("component_id"))

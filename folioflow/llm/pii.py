@@ -285,6 +285,8 @@ def pseudonymised(docs: DataFrame, secret_key: bytes, key: str = "doc_id", text:
     walked = table.filter("turn > 0").select("kind", "mention", "turn")
     few = walked.limit(walk_rows + 1).count() <= walk_rows
     more = spark.sparkContext.broadcast({(r["kind"], r["mention"]): r["turn"] for r in walked.collect()} if few else {})
+    if few:
+        hold.drop(*hold.paths)
     rows = docs.drop("n_entities", "n_distinct").withColumn(text, F.col(text).cast("string"))
     names = rows.columns
     if few:

@@ -167,9 +167,9 @@ def test_suffix_dedup_equals_all_windows(spark, odd, none):
     assert by[4].n_removed == by[4].n_bytes and by[0].n_bytes == 0 and suffix_dedup.deduplicated(none).count() == 0
 
 
-@pytest.mark.parametrize("batch", [3, 1000])
-def test_suffix_dedup_of_frequent_passages(spark, batch):
-    """One line in many texts with other surroundings, copies, repeats inside a text; batches of three texts and of all."""
+@pytest.mark.parametrize(("batch", "often"), [(3, 32), (1000, 32), (3, 1), (7, 4), (1000, 1)])
+def test_suffix_dedup_of_frequent_passages(spark, batch, often):
+    """One line in many texts with other surroundings, copies, repeats inside a text; batches of three texts and of all, few and many frequent ranks."""
     import random
 
     rng = random.Random(6)
@@ -184,7 +184,7 @@ def test_suffix_dedup_of_frequent_passages(spark, batch):
     before = spark.conf.get(names[0])
     spark.conf.set(names[0], str(batch))
     try:
-        assert removed(suffix_dedup.deduplicated(df)) == sorted((i, *w) for i, w in enumerate(all_windows(texts)))
+        assert removed(suffix_dedup.deduplicated(df, often=often)) == sorted((i, *w) for i, w in enumerate(all_windows(texts)))
     finally:
         spark.conf.set(names[0], before)
 
@@ -462,6 +462,12 @@ def test_token_store_round_trip(spark, odd, none):
         path = Scratch(spark, "t").path("s")
         token_store.write(df, path)
         assert token_store.read(spark, path).count() == n
+    path = Scratch(spark, "t").path("few")
+    docs = table(spark, SF, "documents").unionByName(table(spark, SF, "documents").filter("doc_id = 5")).unionByName(table(spark, SF, "documents").limit(3).withColumn("doc_id", F.lit(None).cast("long")))
+    token_store.write(docs, path, segment_ids=5000)
+    whole = sorted((r.key, bytes(r.ids)) for r in token_store.read(spark, path).filter("key in (0, 5, 77, 199)").collect())
+    got = sorted((r.key, bytes(r.ids)) for r in token_store.fetch(spark, path, [5, 77, 0, 199, 10**9, -4]).collect())
+    assert got == whole and [k for k, _ in got].count(5) == 2 and token_store.fetch(spark, path, []).count() == 0
 
 
 def test_added_tokens_are_encoded_as_by_the_library(spark):
@@ -520,6 +526,26 @@ def test_shards_keep_equal_texts_together(spark):
     assert (where[where["size"] <= sizes.mean()].shards == 1).all() and where.shards.max() > 1
 
 
+@pytest.mark.parametrize("stage", range(5))
+def test_pipeline_stages_on_odd_tables(spark, odd, none, stage):
+    """Nulls, empty and long texts, repeated rows, clashing columns and the empty table in every stage."""
+    import corpus_pipeline
+
+    name, run = corpus_pipeline.STAGES[stage]
+    got, empty = run(spark, odd, SF), run(spark, none, SF)
+    rows = got.collect()
+    assert empty.count() == 0
+    if name == "packing":
+        assert {r.doc_id for r in rows} == set(range(9)) and sum(r.length for r in rows if r.doc_id == 0) == 1
+        return
+    assert got.columns == odd.columns == empty.columns
+    ids = sorted(r.doc_id for r in rows)
+    # One row of each group of equal texts stays; rows that repeat an id stand and fall together.
+    assert ids == ([0, 1, 2, 3, 5, 7, 8, 8] if name == "near copies" else [*range(9), 8])
+    if name == "pii":
+        assert {r.doc_id: r.n_chars for r in rows}[3] == len(LONG) and {r.doc_id: r.text for r in rows}[0] is None
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
