@@ -104,8 +104,9 @@ def phrase(text: str) -> str:
 
 #: Two titles are no plain phrases.  "business" stands between blanks or ends, which belong to the match.  The bracket of
 #: "[reserved]" is no word character, so the boundary before it asks for a word character right before the bracket.
-_SPECIAL = ((r"(?:\A|\s)business\s*(?:summary)?(?:\s|\z)", "item1"), (r"\b\[reserved\]", "item6"), (r"\bsignatures?\s*\z", "signatures"))
-TITLE = "(?Us)" + "|".join([*(phrase(p) for p, _ in TITLES), *(p for p, _ in _SPECIAL)])
+_SPECIAL = ((r"(?:\A|\s)business\s*(?:summary)?(?:\s|\z)", "item1"), (r"\b\[reserved\]", "item6"))
+#: The first letters are asked before anything else: a long alternation is tried at few places only.
+TITLE = rf"(?Us)(?=[{''.join(sorted({p[0] for p, _ in TITLES} | {'s'}))}])\b(?:" + "|".join([*(phrase(p)[2:] for p, _ in TITLES), r"signatures?\s*\z"]) + ")|" + "|".join(p for p, _ in _SPECIAL)
 #: The label by the first word of a match; "financial" is settled by what follows.
 FIRST_WORD = {re.match(r"[\w-]+", p)[0].replace("10-k", "10").split("-")[0]: label for p, label in TITLES if not p.startswith("financial")}
 FIRST_WORD |= {f"{p.split('~')[0]}s": label for p, label in TITLES if "~" in p.split(" ")[0]} | {"business": "item1", "reserved": "item6", "managements": "item7", "signature": "signatures", "signatures": "signatures"}
