@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+def small_batches(spark: SparkSession, rows: int = 2500, size: int = 8 << 20) -> None:
     """Lower the session's Arrow batches to ``rows`` rows and ``size`` bytes (one longer text is still one batch).
 
     The defaults (10,000 rows, 64 MB) hold a whole partition of texts at once, in the JVM and in the Python worker.

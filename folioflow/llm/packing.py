@@ -11,7 +11,7 @@ That goes on until one block is left, no block is saved, or ``rounds`` are over;
 all its bins, however full, so every item is placed.
 
 Bounded memory: a task holds one block's sizes and a few chromosomes, whatever the corpus.  The tokenizer reads an Arrow
-batch in parts of about two million characters; one longer text is a part by itself (below the 2 GB of an Arrow string).
+batch in parts of about four million characters; one longer text is a part by itself (below the 2 GB of an Arrow string).
 
 Defined cases: a null or empty text is one piece holding only the end id; repeated rows are separate
 items; items larger than the capacity are an error of the caller (``token_pieces`` makes none); an

@@ -116,7 +116,7 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", v
 
         coder = tokens.encoder(vocabulary)
         for batch in batches:
-            for piece in tokens.pieces_of(batch, "t"):
+            for piece in tokens.pieces_of(batch, "t", chars=8_000_000):
                 ids, sizes = coder.flat(piece.column("t"))
                 cuts = np.cumsum(sizes)
                 for k, hi, n in zip(piece.column("k").to_pylist(), cuts.tolist(), sizes.tolist()):
