@@ -80,6 +80,24 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
 
 
+def op11_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import dialogue_repair
+
+    return dialogue_repair.repair(table(spark, sf_dir, "conversations"))
+
+
+def op12_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import learned_partitions
+
+    return learned_partitions.nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import importance
+
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, buckets=10_000, longest=2, least_words=20, seed=7)
+
+
 def queries() -> dict:
     import corpus_pipeline
 
@@ -90,4 +108,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    from . import sql
+
+    found = {"op11_dialogue_repair": sql.dialogue_repair(), "op13_importance": sql.importance()}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
