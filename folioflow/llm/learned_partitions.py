@@ -208,21 +208,26 @@ def fit_groups(sample: DataFrame, d: int) -> dict:
 
 
 def sampled(rows: DataFrame, per_part: int) -> DataFrame:
-    """Of each node (node, parts) the ``per_part`` * parts rows with the least hash of the vector."""
-    w = Window.partitionBy("node").orderBy(F.xxhash64("v", F.lit(3)), "id")
-    return rows.withColumn("r", F.row_number().over(w)).filter(f"r <= {per_part * FAN}").filter(F.col("r") <= per_part * F.col("parts")).select("node", "parts", "v")
+    """Of each node (node, parts, size: its rows) ``per_part`` * parts rows, those with the least hash of the id.
+
+    Before they are ordered, hashes beyond one and a half times the share that is needed (and 64 rows more) go.
+    """
+    need, share = F.col("parts") * per_part, F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 40)) / float(1 << 40)
+    few = rows.filter(share * F.col("size") < 1.5 * need + 64)
+    w = Window.partitionBy("node").orderBy(share, "id", "v")
+    return few.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= need).select("node", "parts", "v")
 
 
 def learned(rows: DataFrame, n: int, d: int, leaf: int, per_part: int) -> Model:
     """The model for ``n`` rows (id, v), a written table."""
     top = max(1, min(FAN, -(-n // leaf)))
-    root = fit_groups(sampled(rows.withColumns({"node": F.lit(0).cast("long"), "parts": F.lit(top)}), per_part), d)[0]
+    root = fit_groups(sampled(rows.withColumns({"node": F.lit(0).cast("long"), "parts": F.lit(top), "size": F.lit(n)}), per_part), d)[0]
     if n <= leaf * FAN:
         return Model(root)
     placed = homes(rows, Model(root), d).withColumn("node", F.floor(F.col("leaf") / FAN))
     sizes = placed.groupBy("node").agg(F.count("*").alias("size"))
     parts = F.least(F.lit(FAN), F.ceil(F.col("size") / leaf)).cast("int").alias("parts")
-    return Model(root, fit_groups(sampled(placed.join(F.broadcast(sizes.select("node", parts)), "node"), per_part), d))
+    return Model(root, fit_groups(sampled(placed.join(F.broadcast(sizes.select("node", "size", parts)), "node"), per_part), d))
 
 
 def homes(rows: DataFrame, model: Model, d: int) -> DataFrame:
