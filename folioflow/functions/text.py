@@ -49,9 +49,14 @@ def _entity(piece: Column) -> Column:
     )
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` names it: a lambda's argument is never copied into the plan."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def unescape(col: Column) -> Column:
-    pieces = F.split(col, "&")
-    return F.when(F.contains(col, F.lit("&")), F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), _entity), ""))).otherwise(col)
+    rest = lambda p: F.array_join(F.transform(F.slice(p, 2, F.size(p)), _entity), "")
+    return bound(F.split(col, "&"), lambda p: F.when(F.size(p) > 1, F.concat(F.get(p, F.lit(0)), rest(p))).otherwise(F.get(p, F.lit(0))))
 
 
 def collapse(col: Column) -> Column:

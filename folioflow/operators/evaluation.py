@@ -13,7 +13,9 @@ def char_f1(pairs: DataFrame, keys: list[str], left: str = "pred", right: str =
 
     Counted inside the row: for each distinct character of one text, how often both have it.  Nothing is shuffled.
     """
-    p = pairs.select(*keys, T.strip_html(T.strip_html(F.coalesce(left, F.lit("")))).alias("p"), T.strip_html(T.strip_html(F.coalesce(right, F.lit("")))).alias("g"))
+    twice = lambda t: F.aggregate(F.array(F.lit(1), F.lit(2)), t, lambda html, _: T.strip_html(html))
+    both = F.transform(F.array(F.coalesce(left, F.lit("")), F.coalesce(right, F.lit(""))), twice)
+    p = pairs.select(*keys, both.alias("t")).select(*keys, F.get("t", F.lit(0)).alias("p"), F.get("t", F.lit(1)).alias("g"))
     p = p.withColumns({"pred_len": F.length("p").cast("long"), "truth_len": F.length("g").cast("long")})
     times = lambda t, n, c: F.col(n) - F.length(F.replace(F.col(t), c, F.lit("")))
     shorter = F.when(F.col("pred_len") < F.col("truth_len"), F.col("p")).otherwise(F.col("g"))
