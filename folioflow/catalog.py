@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import prompts, rules
 from folioflow.functions import text as T
-from folioflow.operators import anchors, candidates, evaluation, rescoring, selection, state
+from folioflow.operators import agents, anchors, candidates, evaluation, rescoring, selection, state
 from folioflow.operators.matches import find_all
 from folioflow.plans import rule_pipeline
 from folioflow.plans.store import written
@@ -204,6 +204,22 @@ def policy_assignments(spark, d):
     return rule_pipeline.assign_by_policy(_index(spark, d))
 
 
+def _agent_runs(spark, d):
+    return agents.conversations(_index(spark, d), agents.steward, begun=False)
+
+
+@query
+def agent_assignments(spark, d):
+    """What the scripted conversations of all filings leave assigned."""
+    return state.fold(agents.events_of(_agent_runs(spark, d))).select("accession", "item", "anchor_id", "o")
+
+
+@query
+def agent_runs(spark, d):
+    """How the scripted conversations end."""
+    return _agent_runs(spark, d).select("accession", "finalized", F.col("issues").cast("long").alias("issues"), F.size("events").cast("long").alias("events"))
+
+
 @query
 def signature_fallback(spark, d):
     f = _f(spark, d)

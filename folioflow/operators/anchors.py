@@ -132,9 +132,9 @@ def toc_like(anchor_id: Column, tag: Column, text: Column) -> Column:
     return (anchor_id.rlike(r"(?Ui)(?<![a-z])toc[a-z\d_]*\b") & (n >= 2)) | (tag.isin("td", "tr") & (n >= 3)) | (n >= 5)
 
 
-def heading_scan(filings: DataFrame, label: str, found: DataFrame, start: int = 0, end: int | None = None, context: int = 100, most: int = 5) -> DataFrame:
+def heading_scan(filings: DataFrame, label: str, found: DataFrame, start: int = 0, end: int | None = None, most: int = 5) -> DataFrame:
     """Places of one label's heading in the stripped text of a region, mapped back to the html, with the nearest anchor."""
-    return scan_region(stripped_region(filings, start, end), label, found, start, context, most)
+    return scan_region(stripped_region(filings, start, end), label, found, start, most)
 
 
 def stripped_region(filings: DataFrame, start: int = 0, end: int | None = None) -> DataFrame:
@@ -143,10 +143,11 @@ def stripped_region(filings: DataFrame, start: int = 0, end: int | None = None)
     return filings.select("accession", F.length(region).alias("size"), T.strip_html(region).alias("t"))
 
 
-def scan_region(region: DataFrame, label: str, found: DataFrame, start: int = 0, context: int = 100, most: int = 5) -> DataFrame:
+def scan_region(region: DataFrame, label: str, found: DataFrame, start: int = 0, most: int = 5) -> DataFrame:
+    """``context``: the text from 50 characters before a heading's start to 150 behind it."""
     hits = find_all(region, F.col("t"), rules.HEADINGS[label]).filter(F.col("ord") < most)
     at = (F.lit(start) + F.floor(F.col("o") / F.length("t") * F.col("size"))).cast("int")
-    shown = hits.select("accession", "ord", at.alias("o"), F.expr(f"substring(t, greatest(0, o - {context}) + 1, {2 * context} + length(m))").alias("context"))
+    shown = hits.select("accession", "ord", at.alias("o"), F.trim(F.expr("substring(t, greatest(0, o - 50) + 1, o + 150 - greatest(0, o - 50))")).alias("context"))
     return nearest(shown, found, 2000, ["accession", "ord"])
 
 

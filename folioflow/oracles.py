@@ -174,6 +174,15 @@ placed AS MATERIALIZED (SELECT accession, item, o FROM chosen UNION ALL SELECT a
 spanned AS (SELECT accession, item, length(html) AS n, coalesce(lead(o) OVER (PARTITION BY accession ORDER BY o), length(html)) - o AS span FROM placed JOIN filings USING (accession)),
 best_ AS (SELECT accession, item, max(confidence) AS top FROM rescored GROUP BY ALL),
 spread_ AS (SELECT accession, item, any_value(top) AS top, max(o) - min(o) AS spread, count(DISTINCT o) AS places FROM rescored JOIN best_ USING (accession, item) WHERE confidence = top GROUP BY ALL)"""
+#: The scripted conversation: every item gets its surest candidate, what then breaks the order goes, and so on until nothing changes.
+AGENT = f"""{BOTH},
+filled AS (SELECT accession, item, anchor_id, CAST(o AS BIGINT) AS o FROM (SELECT *, row_number() OVER (PARTITION BY accession, item ORDER BY confidence DESC, o, anchor_id, source) AS r FROM rescored) WHERE r = 1 AND confidence >= 5),
+round0 AS (SELECT * FROM filled)"""
+_ROUNDS = 8
+for _k in range(_ROUNDS):
+    AGENT += f""",
+judged{_k} AS (SELECT r.accession, item, anchor_id, o, coalesce(seq < lag(seq) OVER w OR o <= lag(o) OVER w, false) AS bad FROM round{_k} r JOIN dim USING (item) WINDOW w AS (PARTITION BY accession ORDER BY o, seq)),
+round{_k + 1} AS MATERIALIZED (SELECT accession, item, anchor_id, o FROM judged{_k} WHERE NOT bad)"""
 
 EVENTS = """ev AS (SELECT CAST(user_id % 97 AS VARCHAR) AS accession, CAST(event_id AS INTEGER) AS turn, 0 AS ord, CASE WHEN event_type = 'purchase' OR event_id % 7 = 0 THEN 'unassign' ELSE 'assign' END AS action,
   (['item1', 'item1a', 'item7', 'item8', 'item15', 'item2', 'item3', 'item10'])[CAST(event_id % 8 AS INTEGER) + 1] AS item, 'a' || (event_id % 5) AS anchor_id, CAST(event_id * 37 % 1300 - 60 AS BIGINT) AS o FROM events),
@@ -256,6 +265,10 @@ def oracle_sql() -> dict[str, str]:
         "ambiguous_items": w(BOTH, """SELECT accession, item, reasons FROM (SELECT accession, item, concat_ws('; ', CASE WHEN coalesce(top, 0) < 7 THEN 'low confidence' END, CASE WHEN places > 1 AND spread > 0.05 * n THEN 'scattered' END,
             CASE WHEN span / n > 0.4 THEN CASE WHEN item <> 'item8' THEN 'span large' END WHEN span < 100 THEN 'span small' END) AS reasons FROM spanned LEFT JOIN spread_ USING (accession, item)) WHERE reasons <> ''
           UNION ALL SELECT accession, item, 'missing' FROM filings, dim WHERE expected AND NOT EXISTS (SELECT 1 FROM placed WHERE placed.accession = filings.accession AND placed.item = dim.item)""", "RECURSIVE "),
+        "agent_assignments": w(AGENT, f"SELECT * FROM round{_ROUNDS}", "RECURSIVE "),
+        "agent_runs": w(AGENT, f"""SELECT accession, n = 0 AS finalized, n AS issues, coalesce(f, 0) + coalesce(g, 0) AS events FROM
+          (SELECT accession, (SELECT count(*) FROM dim WHERE expected AND NOT EXISTS (SELECT 1 FROM round{_ROUNDS} r WHERE r.accession = filings.accession AND r.item = dim.item)) AS n FROM filings)
+          LEFT JOIN (SELECT accession, count(*) AS f FROM filled GROUP BY ALL) USING (accession) LEFT JOIN (SELECT accession, count(*) AS g FROM ({' UNION ALL '.join(f'SELECT accession FROM judged{k} WHERE bad' for k in range(_ROUNDS))}) GROUP BY ALL) USING (accession)""", "RECURSIVE "),
         "anchors_in_radius": w(CHOSEN, "SELECT c.accession, c.item, a.anchor_id, a.o - c.o AS delta FROM chosen c JOIN anchors a ON a.accession = c.accession AND a.o BETWEEN c.o - 700 AND c.o + 700", "RECURSIVE "),
         "nearest_anchor": w(ANCHORS, "SELECT p.accession, p.k, arg_min(a.anchor_id, abs(a.o - p.o) * 10000000 + a.o) AS near_id, min(abs(a.o - p.o)) AS distance FROM (SELECT accession, k, k * 611 AS o FROM filings, generate_series(0, 9) t(k)) p LEFT JOIN anchors a ON a.accession = p.accession AND abs(a.o - p.o) < 500 GROUP BY ALL"),
         "state_fold": w(EVENTS, "SELECT * FROM folded"),
