@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,9 +13,10 @@ from folioflow.functions import text as T
 from folioflow.operators import agents, anchors, candidates, evaluation, rescoring, selection, state
 from folioflow.operators.matches import find_all
 from folioflow.plans import rule_pipeline
-from folioflow.plans.store import written
+from folioflow.plans.store import shared_folder, written
 from folioflow.plans.synthetic import filings
 from folioflow.sources import results, submissions
+from folioflow.streaming import assignments
 
 QUERIES: dict = {}
 
@@ -342,6 +344,32 @@ def stall_runs(spark, d):
     return state.stalls(c).withColumn("fired", F.concat_ws(",", F.transform("fired", lambda x: x.cast("string"))))
 
 
+def _streamed(spark, log):
+    """The log through the state processor, in several batches, and the folder of its changes."""
+    base = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
+    log.repartition(3).write.parquet(f"{base}/in")
+    assignments.live_state(spark, f"{base}/in", f"{base}/checkpoint", f"{base}/out", files=1).awaitTermination()
+    return f"{base}/out"
+
+
+@query
+def live_assignments(spark, d):
+    """``state_fold`` as a stream: the log comes in three batches, in any order."""
+    return assignments.current(spark, _streamed(spark, _events(spark, d)))
+
+
+@query
+def live_stalls(spark, d):
+    """``stall_runs`` as a stream: each conversation's turns come in order, in as many batches as it takes."""
+    c = _t(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("accession"), F.col("turn").cast("int").alias("turn"), F.lit(0).alias("ord"), F.lit("issues").alias("action"), (F.length("text") % 4).cast("long").alias("n_issues"))
+    base = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
+    for part in ("turn < 3", "turn >= 3"):
+        c.filter(part).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        assignments.live_state(spark, f"{base}/in", f"{base}/checkpoint", f"{base}/out").awaitTermination()
+    fired = assignments.stalled(spark, f"{base}/out")
+    return c.select("accession").distinct().join(fired, "accession", "left").select("accession", F.concat_ws(",", F.transform("fired", lambda x: x.cast("string"))).alias("fired"))
+
+
 @query
 def message_sizes(spark, d):
     return state.message_sizes(_t(spark, d, "conversations"))

@@ -227,7 +227,7 @@ judged AS (SELECT accession, kind || ' ' || item || CASE WHEN kind = 'boundary'
 def oracle_sql() -> dict[str, str]:
     w = lambda ctes, body, rec="": f"WITH {rec}{ctes} {body}"
     r4 = lambda c: f"round({c}, 6) AS {c}"
-    return {
+    made = {
         "page_sections": f"WITH t AS (SELECT page_id, ord, o, m, html FROM {find_all('pages', 'html', BLOCK)}) SELECT page_id, CAST(ord AS INTEGER) AS ord, o, length({strip('substr(html, o + 1, coalesce(lead(o) OVER (PARTITION BY page_id ORDER BY o), length(html)) - o)')}) AS chars FROM t",
         "tag_offsets": f"SELECT page_id, CAST(ord AS INTEGER) AS ord, o, m FROM {find_all('pages', 'html', '<[a-z][^>]*>')}",
         "page_text": f"SELECT page_id, {strip('html')} AS text FROM pages",
@@ -271,6 +271,7 @@ def oracle_sql() -> dict[str, str]:
           LEFT JOIN (SELECT accession, count(*) AS f FROM filled GROUP BY ALL) USING (accession) LEFT JOIN (SELECT accession, count(*) AS g FROM ({' UNION ALL '.join(f'SELECT accession FROM judged{k} WHERE bad' for k in range(_ROUNDS))}) GROUP BY ALL) USING (accession)""", "RECURSIVE "),
         "anchors_in_radius": w(CHOSEN, "SELECT c.accession, c.item, a.anchor_id, a.o - c.o AS delta FROM chosen c JOIN anchors a ON a.accession = c.accession AND a.o BETWEEN c.o - 700 AND c.o + 700", "RECURSIVE "),
         "nearest_anchor": w(ANCHORS, "SELECT p.accession, p.k, arg_min(a.anchor_id, abs(a.o - p.o) * 10000000 + a.o) AS near_id, min(abs(a.o - p.o)) AS distance FROM (SELECT accession, k, k * 611 AS o FROM filings, generate_series(0, 9) t(k)) p LEFT JOIN anchors a ON a.accession = p.accession AND abs(a.o - p.o) < 500 GROUP BY ALL"),
+        "live_assignments": w(EVENTS, "SELECT * FROM folded"),
         "state_fold": w(EVENTS, "SELECT * FROM folded"),
         "state_listed": w(EVENTS, "SELECT accession, item, CAST(row_number() OVER (PARTITION BY accession ORDER BY coalesce(o, -1), turn, item) AS INTEGER) AS rank FROM folded"),
         "validate_issues": w(ISSUES, "SELECT * FROM issues"),
@@ -299,3 +300,4 @@ def oracle_sql() -> dict[str, str]:
         "median_value": "SELECT event_type, round(median(value), 6) AS median FROM events GROUP BY ALL",
         "run_summary": "SELECT set, count(*) AS n, count(*) FILTER (ok) AS retrieved, round(avg(f1), 6) AS mean_f1, count(*) FILTER (NOT ok AND fin) AS finalized_fail, count(*) FILTER (NOT ok AND NOT fin) AS stalled FROM (SELECT source AS set, quality / 2.0 + 0.25 AS f1, quality = 1 AND toxic = 0 AS ok, toxic = 1 AS fin FROM labels JOIN documents USING (doc_id)) GROUP BY ROLLUP (set)",
     }
+    return made | {"live_stalls": made["stall_runs"]}
