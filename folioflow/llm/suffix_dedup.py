@@ -10,17 +10,17 @@ of the positions are anchors.
 * Round 1 ranks anchors by their 32 bytes: Spark deals and sorts (rank, span rank, document, place).  Each batch of texts
   first settles what it can by itself, so a frequent line sends one row a batch to its rank's task.
   An anchor whose rank is unique is done.  One whose whole span (all its windows) has occurred before
-  is done too: all of it repeats.
-* Round 2 takes the ranks that occur with several spans, cuts each anchor's windows into three slots
-  and ranks them by the 78 bytes that all windows of a slot share.
-* Round 3, past the threshold: inside a group of equal 78 bytes the windows are ranked by all 100 bytes,
-  and each window that isn't the first of its rank repeats.
+  is done too: all of it repeats.  The first anchors of each span of a rank that has several go on.
+* Round 2: a text is joined with its anchors that go on.  Their windows are cut into three slots, whose common 78 bytes are
+  ranked by pairs: the rank at p and the rank 32 bytes on give 64 bytes, that pair and the one 14 bytes on give 78.
+* Round 3, past the threshold: inside a group of equal 78 bytes the windows are ranked by the pair of 64-byte
+  ranks at p and 36 bytes on, which is all 100 bytes; each window that isn't the first of its rank repeats.
 
 Anchors of a frequent rank (a line of many texts in other surroundings) would all meet under one key.  Their windows are ranked by
 all 100 bytes at once; which ranks are frequent shapes the work, never the result.
 
-Round 2 must know the ranks from round 1 that go on: they are marked in a bit table of fixed size (a
-false mark only costs work).  Ranks are 64-bit hashes.
+Ranks are 64-bit hashes.  What goes on is a table joined by document, so the work grows with the repeats and nothing is broadcast
+but at most ``most`` frequent ranks.
 
 Defined cases: a null text is the empty text; texts shorter than the threshold keep everything; a null id comes before
 all others, and rows that share an id are taken one after the other in the order of their texts' hash (equal ones as they come), each
@@ -40,7 +40,6 @@ LENGTH = 100
 RANK1 = 32
 REACH = LENGTH - RANK1  # an anchor lies 0..REACH bytes behind the start of its windows
 SLOT = 23
-BITS = 24
 
 
 class Anchors:
@@ -62,6 +61,14 @@ class Anchors:
     def rank(self, start, end):
         return mix((self.total[end] - self.total[start]) * self.base.inverses[start])
 
+    def doubled(self, p):
+        """Ranks of 64 bytes: pairs of the ranks of 32 bytes at p and 32 on."""
+        return pair(self.rank(p, p + RANK1), self.rank(p + RANK1, p + 2 * RANK1))
+
+    def reach(self, p, width: int):
+        """Ranks of ``width`` bytes, 64 to 128: pairs of the ranks of 64 bytes that begin and end them."""
+        return pair(self.doubled(p), self.doubled(p + width - 2 * RANK1))
+
     def find(self):
         """(anchor, first window start, last window start), one row for each anchor."""
         import numpy as np
@@ -83,6 +90,13 @@ class Anchors:
         return anchor[cuts], cuts, np.append(cuts[1:], len(anchor)) - 1
 
 
+def pair(a, b):
+    """The rank of a pair of ranks."""
+    import numpy as np
+
+    return mix(a * np.uint64(0x9E3779B97F4A7C15) + mix(b + np.uint64(1)))
+
+
 _TABLE: list = []
 
 
@@ -107,85 +121,95 @@ def _frame(columns, names):
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
 
-def repeated_windows(rows: DataFrame, hold: Scratch, often: int = 32, most: int = 4096) -> DataFrame:
+def repeated_windows(rows: DataFrame, hold: Scratch, often: int = 1024, most: int = 4096) -> DataFrame:
     """(id, first, last): runs of window starts whose 100 bytes also start earlier.  ``rows``: id, t.
 
-    The ``most`` ranks that are mixed in the most batches, in ``often`` or more, are *frequent*.
+    The ``most`` ranks of which the most anchors go on, ``often`` or more, are *frequent*.
     """
     spark = rows.sparkSession
     parts = shuffle_parts(spark)
 
     def ranked(batches):
-        """Anchors with their ranks.  kind 1: the span was there before in the same batch; kind 2: the rank has several spans there
-        (one row a rank and batch: the second round reads all anchors of such ranks anyway); kind 0: the others.
+        """Anchors with their ranks.  kind 1: the span was there before in the same batch; kind 3: the rank has several spans there, of
+        which these are the first anchors (they go on), and kind 2 says so to the rank's task, one row a rank and batch; kind 0: the others.
         """
         import numpy as np
 
-        made = Anchors()
+        made, names = Anchors(), ["kind", "rank", "span", "id", "first", "more", "back"]
         for batch in batches:
-            out = [[], [], [], [], []]
+            out = [[], [], [], [], [], []]
             for k, t in zip(batch.column("id").to_pylist(), batch.column("t").to_pylist()):
                 made.load(_raw(t))
                 m, first, last = made.find()
                 if len(m):
                     span = mix(made.rank(first, last + LENGTH) + ((m - first).astype(np.uint64) << np.uint64(8)) + (m - last).astype(np.uint64))
-                    for o, c in zip(out, (made.rank(m, m + RANK1).view(np.int64), span.view(np.int64), np.full(len(m), k), first, (last - first).astype(np.int32))):
+                    for o, c in zip(out, (made.rank(m, m + RANK1).view(np.int64), span.view(np.int64), np.full(len(m), k), first, (last - first).astype(np.int32), (m - first).astype(np.int8))):
                         o.append(c)
             if not out[0]:
                 continue
-            rank, span, doc, first, more = (np.concatenate(o) for o in out)
+            rank, span, doc, first, more, back = (np.concatenate(o) for o in out)
             order = np.lexsort((first, doc, span, rank))
-            rank, span, doc, first, more = (c[order] for c in (rank, span, doc, first, more))
+            rank, span, doc, first, more, back = (c[order] for c in (rank, span, doc, first, more, back))
             same = np.concatenate([[False], rank[1:] == rank[:-1]])
             equal = same & np.concatenate([[False], span[1:] == span[:-1]])
             head = np.flatnonzero(~same)
             several = np.add.reduceat((same & ~equal).astype(np.int64), head) > 0
             mixed = np.repeat(several, np.diff(np.append(head, len(rank))))
-            kind = np.where(equal, 1, np.where(mixed, 2, 0)).astype(np.int8)
-            keep = (kind != 2) | ~same  # the first row of a mixed rank is its mark
-            yield _frame([c[keep] for c in (kind, rank, span, doc, first, more)], ["kind", "rank", "span", "id", "first", "more"])
+            kind = np.where(equal, 1, np.where(mixed, 3, 0)).astype(np.int8)
+            yield _frame([kind, rank, span, doc, first, more, back], names)
+            mark = head[several]
+            if len(mark):
+                yield _frame([np.full(len(mark), 2, np.int8), *(c[mark] for c in (rank, span, doc, first, more, back))], names)
         tidy()
 
     def once(batches):
-        """Anchors whose span was there before (mixed false); ranks with several spans (mixed true)."""
+        """Anchors whose span was there before (on false); those that go on (on true): the first of each span of a rank with several.
+
+        The rows of a rank come together, its marks first.  Of the last rank of a batch one row is kept until it is known what follows.
+        """
         import numpy as np
 
-        before = None
+        kept = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            kind, rank, span, doc, first, more = (np.asarray(batch.column(c)) for c in ("kind", "rank", "span", "id", "first", "more"))
-            plain = kind == 0
-            settled = [np.concatenate([kind[~plain] == 2]), rank[~plain], doc[~plain], first[~plain], (first + more)[~plain]]
-            rank, span, doc, first, more = (c[plain] for c in (rank, span, doc, first, more))
+            kind, rank, span, doc, first, more, back = (np.asarray(batch.column(c)) for c in ("kind", "rank", "span", "id", "first", "more", "back"))
+            done = (kind == 1) | (kind == 3)
+            settled = [kind[done] == 3, rank[done], doc[done], first[done], (first + more)[done], back[done]]
+            cols = [c[~done] for c in (kind, rank, span, doc, first, more, back)]
+            cols.append(np.zeros(len(cols[0]), bool))  # told: the row has gone on already
+            if kept is not None:
+                cols = [np.concatenate([x, y]) for x, y in zip(kept, cols)]
+            kind, rank, span, doc, first, more, back, told = cols
             if len(rank):
-                prev_r = np.concatenate([rank[:1] if before is None else [before[0]], rank[:-1]])
-                prev_s = np.concatenate([span[:1] if before is None else [before[1]], span[:-1]])
-                same = rank == prev_r
-                if before is None:
-                    same[0] = False
-                again, mixed = same & (span == prev_s), same & (span != prev_s)
-                before = rank[-1], span[-1]
-                pick = again | mixed
-                settled = [np.concatenate([x, y]) for x, y in zip(settled, (mixed[pick], rank[pick], doc[pick], first[pick], (first + more)[pick]))]
-            yield _frame(settled, ["mixed", "rank", "id", "first", "last"])
+                same = np.concatenate([[False], rank[1:] == rank[:-1]])
+                plain = kind == 0
+                again = plain & same & np.concatenate([[False], plain[:-1] & (span[1:] == span[:-1])])
+                group = np.cumsum(~same) - 1
+                new = plain & ~again
+                mixed = (np.bincount(group, ~plain) > 0) | (np.bincount(group, new) > 1)
+                on = new & mixed[group] & ~told
+                settled = [np.concatenate([x, y]) for x, y in zip(settled, (on[again | on], *(c[again | on] for c in (rank, doc, first, first + more, back))))]
+                tail = np.flatnonzero(group == group[-1])
+                keep = tail[new[tail]][-1:] if not mixed[-1] else np.concatenate([tail[~plain[tail]][:1], tail[new[tail]][-1:]])
+                kept = [c[keep] for c in cols]
+                if mixed[-1]:
+                    if plain[keep].all():  # mixed by its spans: a mark says so from now on
+                        kept = [np.concatenate([c[:1], c]) for c in kept]
+                        kept[0] = np.concatenate([[2], kept[0][1:]]).astype(np.int8)
+                    kept[7] = np.ones(len(kept[0]), bool)
+            yield _frame(settled, ["go", "rank", "id", "first", "last", "back"])
         tidy()
 
-    order = ["rank", "span", "id", "first"]
     # What a batch has settled goes anywhere; only the rest of a rank must meet.
-    deal = F.when(F.col("kind") == 0, F.col("rank")).otherwise(F.xxhash64("rank", "id", "first"))
-    dealt = rows.mapInArrow(ranked, "kind byte, rank long, span long, id long, first long, more int").repartition(parts, deal).sortWithinPartitions(*order)
-    round1 = hold.keep(dealt.mapInArrow(once, "mixed boolean, rank long, id long, first long, last long"), "round1")
-    whole = round1.filter("not mixed").select("id", "first", "last")
-    bit = F.col("rank").bitwiseAND(F.lit((1 << BITS) - 1))
-    words = round1.filter("mixed").groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(rank & 63 as int))")).alias("b"))
+    deal = F.when(F.col("kind").isin(0, 2), F.col("rank")).otherwise(F.xxhash64("rank", "id", "first"))
+    dealt = rows.mapInArrow(ranked, "kind byte, rank long, span long, id long, first long, more int, back byte").repartition(parts, deal).sortWithinPartitions("rank", F.desc("kind"), "span", "id", "first")
+    round1 = hold.keep(dealt.mapInArrow(once, "go boolean, rank long, id long, first long, last long, back byte"), "round1")
+    whole = round1.filter("not go").select("id", "first", "last")
+    onward = round1.filter("go")
     import numpy as np
 
-    marks = np.zeros(1 << (BITS - 6), np.int64)
-    for r in words.toLocalIterator():  # at most 2^18 words, whatever the corpus
-        marks[r["w"]] = r["b"]
-    marks = spark.sparkContext.broadcast(marks)
-    seen = round1.filter("mixed").groupBy("rank").agg(F.count("*").alias("n")).filter(F.col("n") >= often).orderBy(F.desc("n"), "rank").limit(most)
+    seen = onward.groupBy("rank").agg(F.count("*").alias("n")).filter(F.col("n") >= often).orderBy(F.desc("n"), "rank").limit(most)
     frequent = spark.sparkContext.broadcast(np.sort(np.array([r["rank"] for r in seen.collect()], np.int64)))
 
     def slots(batches):
@@ -196,7 +220,7 @@ def repeated_windows(rows: DataFrame, hold: Scratch, often: int = 32, most: int
         import numpy as np
         import pyarrow as pa
 
-        made, table, hot = Anchors(), marks.value.view(np.uint64), frequent.value
+        made, hot = Anchors(), frequent.value
         names = ["kind", "key", "span", "id", "first", "low", "high", "bytes"]
 
         def again_of(key, span, doc, first):
@@ -227,33 +251,29 @@ def repeated_windows(rows: DataFrame, hold: Scratch, often: int = 32, most: int
 
         for batch in batches:
             out, blobs, alone, size = [[], [], [], [], [], []], [], [[], [], [], []], 0
-            for k, t in zip(batch.column("id").to_pylist(), batch.column("t").to_pylist()):
+            for k, t, go in zip(batch.column("id").to_pylist(), batch.column("t").to_pylist(), batch.column("go")):
                 raw = _raw(t)
                 made.load(raw)
-                m, first, last = made.find()
-                if not len(m):
-                    continue
-                rank = made.rank(m, m + RANK1)
-                on = (table[((rank & np.uint64((1 << BITS) - 1)) >> np.uint64(6)).astype(np.int64)] >> (rank & np.uint64(63))) & np.uint64(1) == 1
-                m, first, last, rank = m[on], first[on], last[on], rank[on]
+                first, last, back, rank = (np.asarray(go.values.field(c)) for c in ("first", "last", "back", "rank"))
+                m, rank = first + back, rank.view(np.uint64)
                 if len(hot) and len(m):
                     at = np.minimum(np.searchsorted(hot, rank.view(np.int64)), len(hot) - 1)
                     often = hot[at] == rank.view(np.int64)
                     if often.any():
                         count = (last - first + 1)[often]
                         p = np.repeat(first[often] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-                        for o, c in zip(alone, (mix(made.rank(p, p + LENGTH) ^ np.uint64(LENGTH)).view(np.int64), np.full(len(p), k), p, np.repeat(m[often], count))):
+                        for o, c in zip(alone, (made.reach(p, LENGTH).view(np.int64), np.full(len(p), k), p, np.repeat(m[often], count))):
                             o.append(c)
                         size += len(p)
                         m, first, last, rank = m[~often], first[~often], last[~often], rank[~often]
                 for s in range(0, REACH + 1, SLOT):
-                    end = min(s + SLOT, REACH + 1)
+                    end = s + SLOT  # the slots fill REACH + 1 places exactly
                     low, high = np.maximum(m - last, s), np.minimum(m - first, end - 1)
                     here = low <= high
                     a, lo, hi = m[here], low[here], high[here]
                     if not len(a):
                         continue
-                    key = mix(made.rank(a - s, a - (end - 1) + LENGTH) * np.uint64(3) + rank[here] + np.uint64(s))
+                    key = mix(made.reach(a - s, LENGTH - SLOT + 1) + rank[here] + np.uint64(s))
                     span = mix(made.rank(a - hi, a - lo + LENGTH) + (hi.astype(np.uint64) << np.uint64(8)) + lo.astype(np.uint64))
                     for o, c in zip(out, (key.view(np.int64), span.view(np.int64), np.full(len(a), k), a - hi, lo, hi)):
                         o.append(c)
@@ -271,8 +291,7 @@ def repeated_windows(rows: DataFrame, hold: Scratch, often: int = 32, most: int
         import pyarrow as pa
 
         names = ["key", "id", "first", "low", "high"]
-        powers = Shingler(1)
-        weights = PLAIN()
+        made = Anchors()
 
         def solve(cols, blobs):
             key, doc, first, low, high = cols
@@ -285,15 +304,12 @@ def repeated_windows(rows: DataFrame, hold: Scratch, often: int = 32, most: int
             # All windows of all rows in one array: hash each from one running sum over the rows' bytes.
             raw = np.frombuffer(b"".join(blobs), np.uint8)
             starts = np.cumsum([0, *map(len, blobs)])[:-1]
-            if len(raw) >= len(powers.powers):
-                powers.grow(len(raw) + 1)
-            total = np.zeros(len(raw) + 1, np.uint64)
-            np.cumsum(weights[raw] * powers.powers[: len(raw)], out=total[1:])
+            made.load(raw)
             count = high - low + 1
             row = np.repeat(np.arange(len(count)), count)
             step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
             at = starts[row] + step
-            h = mix((total[at + LENGTH] - total[at]) * powers.inverses[at]) ^ mix(key[row].view(np.uint64) + (high[row] - step).astype(np.uint64))
+            h = made.reach(at, LENGTH) ^ mix(key[row].view(np.uint64) + (high[row] - step).astype(np.uint64))
             p = first[row] + step
             order = np.lexsort((p, doc[row], h))
             again = np.zeros(len(row), bool)
@@ -346,7 +362,8 @@ def repeated_windows(rows: DataFrame, hold: Scratch, often: int = 32, most: int
         tidy()
 
     deal = F.when(F.col("kind") == 0, F.col("key")).otherwise(F.xxhash64("id", "first"))
-    round2 = rows.mapInArrow(slots, "kind byte, key long, span long, id long, first long, low long, high long, bytes binary").repartition(parts, deal).sortWithinPartitions("key", "span", "id", "first")
+    texts = rows.join(onward.groupBy("id").agg(F.collect_list(F.struct("first", "last", "back", "rank")).alias("go")), "id").select("id", "t", "go")
+    round2 = texts.mapInArrow(slots, "kind byte, key long, span long, id long, first long, low long, high long, bytes binary").repartition(parts, deal).sortWithinPartitions("key", "span", "id", "first")
     partly = hold.keep(round2.mapInArrow(windows, "id long, first long, last long"), "round3")
     return whole.unionByName(partly)
 
@@ -359,7 +376,7 @@ def numbered(rows: DataFrame, hold: Scratch) -> DataFrame:
     return hold.keep(dealt.select(F.monotonically_increasing_id().alias("id"), "doc_id", "t"), "numbered")
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False, often: int = 32) -> DataFrame:
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False, often: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes."""
     hold = Scratch(docs.sparkSession, "suffix")
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")).withColumn("doc_id", F.col("id"))
