@@ -77,16 +77,32 @@ ENTITIES = ((" the ", " &rsquo;&#8211; "), (" of ", " &#x2019;&Eacute "), ("and"
 QUERIES["filings"] = lambda spark, d: filings(spark, d).select("accession", F.length("html").cast("long").alias("chars"), F.md5("html").alias("digest"))
 
 
+def _raw(f):
+    """Filings as submissions: every third one bare, the others behind a header and an exhibit."""
+    wrapped = F.concat(F.lit("<SEC-HEADER>x\n<DOCUMENT>\n<TYPE>EX-1\n<TEXT>no</TEXT>\n</DOCUMENT>\n<DOCUMENT>\n<TYPE>10-K\n<TEXT>\n"), F.col("html"), F.lit("\n</TEXT>\n</DOCUMENT>"))
+    return F.when(F.col("accession").cast("int") % 3 == 0, F.col("html")).otherwise(wrapped)
+
+
 @query
 def main_document(spark, d):
     f = filings(spark, d)
-    raw = F.when(F.col("accession").cast("int") % 3 == 0, F.col("html")).otherwise(F.concat(F.lit("<SEC-HEADER>x\n<DOCUMENT>\n<TYPE>EX-1\n<TEXT>no</TEXT>\n</DOCUMENT>\n<DOCUMENT>\n<TYPE>10-K\n<TEXT>\n"), F.col("html"), F.lit("\n</TEXT>\n</DOCUMENT>")))
-    return f.select("accession", submissions.main_document(raw).alias("main"))
+    return f.select("accession", submissions.main_document(_raw(f)).alias("main"))
+
+
+@query
+def submission_blocks(spark, d):
+    """Submissions written to a folder each and read back block by block."""
+    f = filings(spark, d)
+    path = f"{shared_folder(spark)}/submissions-{uuid.uuid4().hex}"
+    f.select("accession", _raw(f).alias("value")).write.partitionBy("accession").text(path)
+    rows = submissions.main_documents(submissions.records(spark, [path]))
+    return rows.select(F.regexp_extract("path", "accession=([^/]+)/", 1).alias("accession"), F.length("html").cast("long").alias("chars"), F.md5("html").alias("digest"), "text_start")
 
 
 @query
 def difficulty(spark, d):
-    return filings(spark, d).select("accession", submissions.difficulty(F.col("html")).alias("difficulty"))
+    bold = F.replace("html", F.lit("<td>"), F.lit('<td style="font-weight: bold">'))
+    return filings(spark, d).select("accession", submissions.difficulty(bold).alias("difficulty"))
 
 
 @query

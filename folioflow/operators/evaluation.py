@@ -48,6 +48,17 @@ def eval_docs(items: DataFrame, extra: DataFrame, least: float = 0.9) -> DataFra
     return d.select("accession", "truth_items", "extraction_rate", "exact_match_rate", "mean_char_f1", F.coalesce("false_positives", F.array().cast("array<string>")).alias("false_positives"), (F.col("good") & F.col("clean")).alias("doc_retrieved"), (F.col("exact") & F.col("clean")).alias("doc_retrieved_strict"))
 
 
+def file_account(golden: DataFrame, predicted: DataFrame) -> DataFrame:
+    """One row: golden files found, malformed, empty, skipped (no prediction; they count as filings with no score) and scored.
+
+    ``golden``, ``predicted``: ``submissions.sections`` (accession, malformed, key); a malformed prediction is none.
+    """
+    g = golden.groupBy("accession").agg(F.bool_or("malformed").alias("malformed"), F.count("key").alias("n"))
+    p = predicted.filter("not malformed").select("accession").distinct().withColumn("made", F.lit(True))
+    state = F.when(F.col("malformed"), "malformed").when(F.col("n") == 0, "empty").when(F.col("made").isNull(), "skipped").otherwise("scored")
+    return g.join(p, "accession", "left").select(state.alias("s")).agg(F.count("*").alias("files"), *(F.count_if(F.col("s") == k).alias(k) for k in ("malformed", "empty", "skipped", "scored")))
+
+
 def corpus(items: DataFrame) -> DataFrame:
     """Means over all items and by item, in one pass."""
     return items.groupingSets([["item"], []], "item").agg(F.grouping("item").cast("int").alias("overall"), F.count("*").alias("n"), F.avg("f1").alias("mean_f1"), F.avg(F.col("extracted").cast("double")).alias("extraction_rate"), F.count_if(F.col("char_f1") < 0.9).alias("failures"))

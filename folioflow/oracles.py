@@ -233,7 +233,8 @@ def oracle_sql() -> dict[str, str]:
         "page_text": f"SELECT page_id, {strip('html')} AS text FROM pages",
         "filings": w(FILINGS, "SELECT accession, length(html) AS chars, md5(html) AS digest FROM filings"),
         "main_document": w(FILINGS, "SELECT accession, CASE WHEN CAST(accession AS INTEGER) % 3 = 0 THEN html ELSE chr(10) || html || chr(10) || '</TEXT>' || chr(10) END AS main FROM filings"),
-        "difficulty": w(FILINGS, "SELECT accession, CASE WHEN n >= 10 THEN 'easy' WHEN n >= 3 THEN 'medium' ELSE 'hard' END AS difficulty FROM (SELECT accession, len(regexp_extract_all(substr(html, 1, CAST(floor(length(html) / 3) AS INTEGER)), '(?i)<(?:b|strong)[^>]*>\\s*item\\s*\\d')) AS n FROM filings)"),
+        "difficulty": w(FILINGS, "SELECT accession, CASE WHEN n >= 10 THEN 'easy' WHEN n >= 3 THEN 'medium' ELSE 'hard' END AS difficulty FROM (SELECT accession, len(regexp_extract_all(substr(h, 1, CAST(floor(length(h) / 3) AS INTEGER)), '(?i)font-weight:\\s*(?:bold|700)[^>]*>\\s*item\\s*\\d')) AS n FROM (SELECT accession, replace(html, '<td>', '<td style=\"font-weight: bold\">') AS h FROM filings))"),
+        "submission_blocks": w(FILINGS, "SELECT accession, length(body) AS chars, md5(body) AS digest, at_ AS text_start FROM (SELECT accession, CASE WHEN k THEN html || chr(10) ELSE chr(10) || html || chr(10) || '</TEXT>' || chr(10) END AS body, CASE WHEN k THEN 0 ELSE length('<SEC-HEADER>x.<DOCUMENT>.<TYPE>EX-1.<TEXT>no</TEXT>.</DOCUMENT>.<DOCUMENT>.<TYPE>10-K.<TEXT>') END AS at_ FROM (SELECT *, CAST(accession AS INTEGER) % 3 = 0 AS k FROM filings))"),
         "toc_ids": w(LINKS, "SELECT DISTINCT accession, anchor_id FROM links"),
         "toc_links": w(LINKS, "SELECT accession, CAST(ord AS INTEGER) AS ord, o, anchor_id, link_text, item FROM links"),
         "toc_first": w(LINKS, "SELECT accession, item, arg_min(anchor_id, o) AS anchor_id FROM links WHERE item IS NOT NULL GROUP BY ALL"),

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK = r"(?is)<DOCUMENT>(.*?)</DOCUMENT>"
+#: Fixed value: what counts as a bold heading of an item.
+BOLD_ITEM = r"(?iU)font-weight:\s*(?:bold|700)[^>]*>\s*item\s*\d"
 MAIN = r"(?is)<TYPE>\s*10-K(/A)?\s*\n"
 
 
@@ -27,6 +29,105 @@ def submissions(spark: SparkSession, folder: str) -> DataFrame:
     return docs.withColumn("text_start", text_start(F.col("content"), F.col("html")))
 
 
+#: Submissions are read block by block: a record ends where a block ends.
+BLOCK_END = "</DOCUMENT>"
+
+
+def _placed(raw: DataFrame) -> DataFrame:
+    meta = F.col("_metadata")
+    return raw.select(meta.file_path.alias("path"), meta.file_size.alias("bytes"), meta.file_block_start.alias("split"), "value")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("n", F.monotonically_increasing_id())
+
+
+def records(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """path, bytes (of the file), split and n (which order a file's records), value: the records of all ``*.txt`` files in the folders.
+
+    Large files are read by several tasks.
+    """
+    return _numbered(_placed(spark.read.option("lineSep", BLOCK_END).option("pathGlobFilter", "*.txt").text(folders)))
+
+
+def main_documents(rows: DataFrame) -> DataFrame:
+    """path, html, text_start: each file's main document and its offset in code points, from ``records``.
+
+    Equal to ``main_document`` of whole files, but a task holds a block and not a submission: what is gathered by
+    file are its main block and the sizes of the others.  Only a file without one, whose main document is the whole file, is put together again.
+    """
+    tail = F.lit(BLOCK_END)
+    first = lambda text: F.get(F.filter(F.regexp_extract_all(text, F.lit(BLOCK), F.lit(1)), lambda b: b.rlike(MAIN)), F.lit(0))
+    may = F.col("value").rlike(MAIN)
+    # the last record of a file may lack its end, so both readings go on
+    cut = rows.select("path", "bytes", "split", "n", F.length("value").alias("chars"), F.octet_length("value").alias("octets"), F.when(may, first(F.concat("value", tail))).alias("closed"), F.when(may, first(F.col("value"))).alias("open"), F.when(may, F.col("value")).alias("value"))
+    files = cut.groupBy("path").agg(
+        F.max("bytes").alias("bytes"), F.array_sort(F.collect_list(F.struct("split", "n", "chars", "octets"))).alias("parts"),
+        F.expr("min_by(struct(split, n, closed, open, value), struct(split, n)) FILTER (WHERE closed IS NOT NULL)").alias("main"))
+    size = F.aggregate("parts", F.lit(0).cast("long"), lambda t, p: t + p.octets + len(BLOCK_END))
+    last = F.element_at("parts", -1)
+    whole = (F.col("main.split") < last.split) | (F.col("main.n") < last.n) | (size == F.col("bytes"))
+    body = F.regexp_extract(F.when(whole, F.col("main.closed")).otherwise(F.col("main.open")), r"(?is)<TEXT>(.*)\z", 1)
+    before = F.aggregate(F.filter("parts", lambda p: (p.split < F.col("main.split")) | ((p.split == F.col("main.split")) & (p.n < F.col("main.n")))), F.lit(0).cast("long"), lambda t, p: t + p.chars + len(BLOCK_END))
+    found = files.select("path", F.when(body != "", body).alias("html"), before.alias("before"), F.col("main.value").alias("value"), (size == F.col("bytes")).alias("ended"))
+    main = found.filter("html is not null").select("path", "html", (F.col("before") + F.instr("value", F.col("html")) - 1).alias("text_start"))
+    bare = found.filter("html is null").select("path", "ended")
+    texts = rows.join(bare, "path").groupBy("path").agg(F.first("ended").alias("ended"), F.array_sort(F.collect_list(F.struct("split", "n", "value"))).alias("l"))
+    joined = F.concat(F.array_join(F.transform("l", lambda x: x.value), BLOCK_END), F.when(F.col("ended"), BLOCK_END).otherwise(""))
+    return main.unionByName(texts.select("path", joined.alias("html"), F.lit(0).cast("long").alias("text_start")))
+
+
+def _accession(path: Column, suffix: str) -> Column:
+    return F.regexp_extract(path, rf"([^/]+)\.{suffix}$", 1)
+
+
+def stream_main_documents(spark: SparkSession, folder: str, out: str, checkpoint: str, files: int | None = None):
+    """Main documents of submissions as they arrive, as Parquet (accession, path, html, text_start); a stop is resumed at the first file not done.
+
+    A batch has whole files and writes one folder, whole, so a batch that is run again replaces what it wrote.
+    """
+    src = spark.readStream.option("lineSep", BLOCK_END).option("pathGlobFilter", "*.txt")
+    src = (src.option("maxFilesPerTrigger", files) if files else src).text(folder)
+    rows = _placed(src)
+
+    def batch(df: DataFrame, number: int) -> None:
+        main_documents(_numbered(df)).select(_accession(F.col("path"), "txt").alias("accession"), "path", "html", "text_start").write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def listed(spark: SparkSession, folders: list[str], suffix: str = "txt") -> DataFrame:
+    """accession, folder (its place in the list), path, size of all files; none is opened and missing folders are empty."""
+    jvm, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    out = spark.createDataFrame([], "accession string, folder int, path string, size long")
+    for k, name in enumerate(folders):
+        where = jvm.Path(name)
+        if where.getFileSystem(conf).exists(where):
+            found = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{suffix}").load(name)
+            out = out.unionByName(found.select(_accession(F.col("path"), suffix).alias("accession"), F.lit(k).alias("folder"), "path", F.col("length").alias("size")))
+    return out
+
+
+def find_filings(spark: SparkSession, sources: list[str], golden: list[str], limit: int | None = None) -> DataFrame:
+    """accession, gt_set, source_path, gt_path, html_size, gt_item_count, difficulty: filings with a source and a golden file that has items.
+
+    The first folder that has a source counts; empty and malformed golden files are passed over; sets in their order, then accessions, up to ``limit``.
+    """
+    places = listed(spark, golden, "json").select("accession", F.col("folder").alias("gt_set"), F.col("path").alias("gt_path"))
+    items = None
+    for k, name in enumerate(golden):
+        if places.filter(F.col("gt_set") == k).limit(1).count():
+            more = sections(spark, name).withColumn("gt_set", F.lit(k))
+            items = more if items is None else items.unionByName(more)
+    if items is None:
+        return spark.createDataFrame([], "accession string, gt_set int, source_path string, gt_path string, html_size int, gt_item_count long, difficulty string")
+    chosen = discover(listed(spark, sources), items, limit).join(places, ["accession", "gt_set"])
+    kept = [f for f in sources if listed(spark, [f]).limit(1).count()]
+    uri = lambda c: F.regexp_replace(c, "^file:/+", "file:/")  # noqa: E731  the two readers write a local path differently
+    html = main_documents(records(spark, kept)).select(uri("path").alias("at"), F.length("html").alias("html_size"), difficulty(F.col("html")).alias("difficulty"))
+    return chosen.withColumn("at", uri("path")).join(html, "at").select("accession", "gt_set", F.col("path").alias("source_path"), "gt_path", "html_size", "gt_item_count", "difficulty")
+
+
 def sections(spark: SparkSession, folder: str) -> DataFrame:
     """accession, item, html from ``{accession#item: html}`` files; ``malformed`` marks files that don't parse."""
     raw = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"([^/]+)\.json$", 1).alias("accession"), F.from_json("value", "map<string,string>").alias("m"))
@@ -47,7 +148,7 @@ def discover(sources: DataFrame, golden: DataFrame, limit: int | None = None) ->
 
 def difficulty(html: Column) -> Column:
     """By the number of bold "item N" headings in the first third."""
-    n = F.regexp_count(F.substring(html, 1, F.floor(F.length(html) / 3).cast("int")), F.lit(r"(?i)<(?:b|strong)[^>]*>\s*item\s*\d"))
+    n = F.regexp_count(F.substring(html, 1, F.floor(F.length(html) / 3).cast("int")), F.lit(BOLD_ITEM))
     return F.when(n >= 10, "easy").when(n >= 3, "medium").otherwise("hard")
 
 
