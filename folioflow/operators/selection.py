@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import rules
+from folioflow.functions.text import bound
 
 #: Fixed value: what one step of confidence is worth against position.
 STEP = 1_000_000
@@ -14,31 +15,35 @@ STEP = 1_000_000
 def select_ordered(candidates: DataFrame) -> DataFrame:
     """The heaviest chain of candidates that rises strictly in offset and canonical order.
 
-    A candidate weighs ``confidence * 10^6 + (largest offset - offset)``.  One fold over each
-    filing's sorted candidates keeps for every candidate the weight of the best chain that ends in it and the place of its
-    predecessor; of equally heavy ones the first stays.  A second fold walks back from the heaviest end.  Candidates with unknown
-    labels take no part in the chain and are appended.  A filing has some hundred candidates at most, so the array is small.
+    A candidate weighs ``confidence * 10^6 + (largest offset - offset)``.  One fold over each filing's sorted candidates
+    keeps for each of the 24 labels the heaviest chain that ends in it (``held``), so a candidate looks at the labels
+    before its own and not at all candidates before it.  Chains that end at the present offset wait in ``here`` until the offset rises: candidates
+    at one place never follow one another.  Of equally heavy chains the one that ends in the first candidate stays.  A chain is as long as there are
+    labels at most.  Candidates with unknown labels take no part in the chain and are appended.
     """
     c = candidates.withColumn("x", rules.seq_of(F.col("item")))
     known, rest = c.filter("x < 999"), c.filter("x >= 999")
     rows = known.groupBy("accession").agg(F.array_sort(F.collect_list(F.struct(F.col("o").cast("long").alias("o"), "x", (-F.col("confidence")).alias("k"), "anchor_id", "item"))).alias("rows"), F.max("o").cast("long").alias("top"))
-    kind = "array<struct<o:bigint,x:int,s:bigint,i:int,p:int>>"
-
-    def step(acc, row):
-        before = F.filter(acc, lambda a: (a.o < row.o) & (a.x < row.x))
-        best = F.array_max(F.transform(before, lambda a: F.struct(a.s.alias("s"), (-a.i).alias("i"))))
-        weight = -row.k.cast("long") * STEP + (F.col("top") - row.o)
-        made = F.struct(row.o.alias("o"), row.x.alias("x"), (weight + F.coalesce(best.s, F.lit(0).cast("long"))).alias("s"), F.size(acc).alias("i"), F.coalesce(-best.i, F.lit(-1)).alias("p"))
-        return F.concat(acc, F.array(made))
-
-    def back(state, a):
-        hit = state.at == a.i
-        return F.struct(F.when(hit, a.p).otherwise(state.at).alias("at"), F.when(hit, F.concat(state.out, F.array(a.i))).otherwise(state.out).alias("out"))
-
-    chains = rows.withColumn("acc", F.aggregate("rows", F.array().cast(kind), step))
-    end = F.array_max(F.transform("acc", lambda a: F.struct(a.s.alias("s"), (-a.i).alias("i")))).i
-    walked = chains.select("accession", "rows", F.aggregate(F.reverse("acc"), F.struct((-end).alias("at"), F.array().cast("array<int>").alias("out")), back, lambda s: s.out).alias("path"))
-    picked = walked.select("accession", F.explode(F.transform("path", lambda i: F.get("rows", i))).alias("r"))
+    chain, labels = "struct<s:bigint,i:int,path:array<int>>", len(rules.LABELS)
+    none = F.array_repeat(F.lit(None).cast(chain), labels)
+    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("bigint").alias("o"), none.alias("held"), none.alias("here"))
+
+    def step(state, row):
+        on = state.o == row.o
+        held = F.when(on, state.held).otherwise(F.zip_with(state.held, state.here, lambda a, b: F.greatest(a, b)))
+        here = F.when(on, state.here).otherwise(none)
+
+        def placed(held):
+            best = F.array_max(F.slice(held, F.lit(1), row.x))
+            weight = -row.k.cast("long") * STEP + (F.col("top") - row.o) + F.coalesce(best.s, F.lit(0).cast("long"))
+            new = F.struct(weight.alias("s"), (-state.n).alias("i"), F.concat(F.coalesce(best.path, F.array().cast("array<int>")), F.array(state.n)).alias("path"))
+            after = F.transform(here, lambda v, x: F.when(x == row.x, F.greatest(v, new)).otherwise(v))
+            return F.struct((state.n + 1).alias("n"), row.o.alias("o"), held.alias("held"), after.alias("here"))
+
+        return bound(held, placed)
+
+    last = F.aggregate("rows", start, step, lambda s: F.array_max(F.concat(s.held, s.here)).path)
+    picked = rows.select("accession", "rows", last.alias("path")).select("accession", F.explode(F.transform("path", lambda i: F.get("rows", i))).alias("r"))
     out = picked.select("accession", "r.item", "r.anchor_id", "r.o", (-F.col("r.k")).alias("confidence"))
     return out.unionByName(rest.select("accession", "item", "anchor_id", F.col("o").cast("long").alias("o"), "confidence"))
 
