@@ -13,6 +13,7 @@ from folioflow.functions import rules
 from folioflow.functions import text as T
 from folioflow.operators.matches import find_all
 
+#: What counts as a contents link, an anchor, a part heading, and as naming another document.
 REFERENCE = r"""(?is)<a\s[^>]*href=["']#([^"'>\s]+)["']"""
 LINK = REFERENCE + r"[^>]*>(.*?)</a>"
 ANCHOR = r"""(?is)<(\w+)\s[^>]*?\b(id|name)=["']([^"']+)["'][^>]*>"""
@@ -103,6 +104,7 @@ def part_three_incorporated(filings: DataFrame, found_items: DataFrame) -> DataF
     return filings.select("accession", near.alias("near")).join(third, "accession", "left").select("accession", (F.col("near") & F.col("has").isNull()).alias("incorporated"))
 
 
+#: What stands before a heading in bold, and at the start of a block.
 BOLD_TAG = r"(?is)<(?:b|strong|h[1-6])[^>]*>\s*(?:<[^>]+>\s*)*\z"
 BOLD_STYLE = r"(?i)font-weight\s*:\s*(?:bold|[6-9]\d{2})\b"
 BLOCK_START = r"(?is)<(?:div|p|tr|td|h[1-6])[^>]*>\s*(?:<[^>]+>\s*)*\z"

@@ -20,10 +20,10 @@ BOUNDARY = (
 )
 #: Words that speak for a label.
 KEYWORDS = {
-    "item1": "business", "item1a": "risk factors", "item1b": "unresolved staff comments", "item2": "properties", "item3": "legal proceedings", "item4": "mine safety", "item5": "market registrant equity stock",
-    "item6": "selected financial data reserved", "item7": "management discussion analysis", "item7a": "quantitative qualitative market risk", "item8": "financial statements supplementary", "item9": "changes disagreements accountants",
-    "item9a": "controls procedures", "item9b": "other information", "item10": "directors officers governance", "item11": "executive compensation", "item12": "security ownership", "item13": "certain relationships",
-    "item14": "principal accountant fees", "item15": "exhibits schedules", "item16": "summary 10-k", "signatures": "signatures pursuant",
+    "item1": ("business",), "item1a": ("risk", "factors"), "item1b": ("unresolved", "staff", "comments"), "item2": ("properties",), "item3": ("legal", "proceedings"), "item4": ("mine", "safety"), "item5": ("market", "registrant", "equity", "stock"),
+    "item6": ("selected", "financial", "data", "reserved"), "item7": ("management", "discussion", "analysis"), "item7a": ("quantitative", "qualitative", "market", "risk"), "item8": ("financial", "statements", "supplementary"), "item9": ("changes", "disagreements", "accountants"),
+    "item9a": ("controls", "procedures"), "item9b": ("other", "information"), "item10": ("directors", "officers", "governance"), "item11": ("executive", "compensation"), "item12": ("security", "ownership"), "item13": ("certain", "relationships"),
+    "item14": ("principal", "accountant", "fees"), "item15": ("exhibits", "schedules"), "item16": ("summary", "10-k"), "signatures": ("signatures", "pursuant"),
 }
 
 
@@ -72,7 +72,7 @@ def label_features(filings: DataFrame, anchors: DataFrame, items: DataFrame) ->
     share = lambda words: sum((_flag(F.contains(head, F.lit(w))) for w in words), F.lit(0)) / F.lit(len(words))
     values = [
         o / F.greatest(F.col("n_html"), F.lit(1)), *(_flag(F.col("tag") == t) for t in (*TAGS, "tr")), _flag(F.col("attr") == "id"), F.length("anchor_id"), _flag(F.col("anchor_id").rlike("(?i)item")),
-        *(_flag(F.col(c) == x) for c in ("_id", "_h", "_t") for x in rules.LABELS), _flag(F.size("firsts") > 0), *(share(w.split()) for w in KEYWORDS.values()),
+        *(_flag(F.col(c) == x) for c in ("_id", "_h", "_t") for x in rules.LABELS), _flag(F.size("firsts") > 0), *(share(w) for w in KEYWORDS.values()),
         _flag(context.rlike(BOLD)), _flag(context.rlike(HEADING)), _fonts(context), F.length(ahead), _flag(F.left(ahead, F.lit(200)).rlike(r"(?U)\bpart\s+[iv]+\b")),
     ]
     return b.select("accession", "anchor_id", "o", F.array(*(v.cast("double") for v in values)).alias("features"))
