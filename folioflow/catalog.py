@@ -498,7 +498,7 @@ def hist_values(spark, d):
 
 @query
 def median_value(spark, d):
-    return _t(spark, d, "events").groupBy("event_type").agg(F.round(F.median("value"), 6).alias("median"))
+    return evaluation.medians(_t(spark, d, "events"), ["event_type"], "value").select("event_type", F.round("median", 6).alias("median"))
 
 
 def _runs(spark, d):

@@ -165,7 +165,12 @@ def nearest(points: DataFrame, found: DataFrame, radius: int, keys: list[str]) -
 
 
 def within(points: DataFrame, found: DataFrame, radius: int = 5000) -> DataFrame:
-    """All anchors at most ``radius`` (20,000 at most) from each point (accession, item, o)."""
+    """All anchors at most ``radius`` (20,000 at most) from each point (accession, item, o).
+
+    Like ``nearest``, a point meets only the anchors of its own and the two neighbouring stretches of the radius.
+    """
     r = min(radius, 20_000)
-    near = found.select("accession", "anchor_id", F.col("o").alias("anchor_o"))
-    return points.join(near, (points.accession == near.accession) & near.anchor_o.between(points.o - r, points.o + r)).select(points["*"], near.anchor_id, near.anchor_o, (near.anchor_o - points.o).alias("delta"))
+    size = max(1, r)
+    near = found.select("accession", "anchor_id", F.col("o").alias("anchor_o"), F.floor(F.col("o") / size).alias("_cell"))
+    asked = points.withColumn("_cell", F.explode(F.array(*(F.floor(F.col("o") / size) + d for d in (-1, 0, 1)))))
+    return asked.join(near, ["accession", "_cell"]).withColumn("delta", F.col("anchor_o") - F.col("o")).filter(F.abs("delta") <= r).select(*points.columns, "anchor_id", "anchor_o", "delta")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
+from folioflow.plans.store import written
 
 
 def char_f1(pairs: DataFrame, keys: list[str], left: str = "pred", right: str = "truth") -> DataFrame:
@@ -145,6 +148,47 @@ def histogram(df: DataFrame, value: str, lo: float, hi: float, bins: int) -> Dat
     return df.filter(F.col(value).between(lo, hi)).groupBy(k.alias("bin")).agg(F.count("*").alias("n"))
 
 
+def medians(rows: DataFrame, keys: list[str], value: str, small: int = 100_000, bins: int = 1024) -> DataFrame:
+    """``keys``, n and the exact median of ``value`` by group (null values don't count), without a group in one task.
+
+    A mergeable sketch encloses the middle of every group; then histograms of all groups at once narrow the enclosure, whose
+    ends are always values of the group, until at most ``small`` rows or one value are left inside.  Where the two middle rows fall into
+    different bins, they are the greatest of the one and the least of the other.  Only what is left inside is sorted.
+    """
+    v = rows.select(*keys, F.col(value).cast("double").alias("v")).filter("v is not null")
+    same = lambda a, b: reduce(lambda x, y: x & y, (a[k].eqNullSafe(b[k]) for k in keys), F.lit(True))
+    with_state = lambda r, s: r.join(s, same(r, s)).select(*(r[c] for c in r.columns), *(s[c] for c in s.columns if c not in keys))
+    edge = F.percentile_approx("v", [0.45, 0.55], 10_000)
+    first = v.groupBy(*keys).agg(F.count("*").alias("n"), edge.alias("e")).select(*keys, "n", F.get("e", F.lit(0)).alias("lo"), F.get("e", F.lit(1)).alias("hi"))
+    state = written(first.withColumns({"a": F.floor((F.col("n") - 1) / 2), "b": F.floor(F.col("n") / 2), "m": F.col("n"), "median": F.lit(None).cast("double")}), "medians")
+    if not keys and not state.filter("n > 0").count():
+        return state.select("n", "median")
+    done, turn = [], 0
+    while True:
+        # a, b: the ranks of the two middle rows among the rows from lo on; in the first round among all
+        inside = with_state(v, state).filter("v <= hi")
+        width = F.when(F.col("hi") > F.col("lo"), (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
+        cell = F.when(F.col("v") < F.col("lo"), -1).otherwise(F.least(F.floor(width * bins), F.lit(bins - 1))).alias("cell")
+        counts = inside.groupBy(*keys, "n", "a", "b", cell).agg(F.count("*").alias("k"), F.min("v").alias("least"), F.max("v").alias("most"))
+        if turn:
+            counts = counts.filter("cell >= 0")
+        before = F.sum("k").over(Window.partitionBy(*keys).orderBy("cell")) - F.col("k")
+        hit = lambda c: (F.col(c) >= F.col("before")) & (F.col(c) < F.col("before") + F.col("k"))
+        both = counts.withColumn("before", before).filter(hit("a") | hit("b")).withColumns({"has_a": hit("a"), "has_b": hit("b")})
+        pick = lambda c, f: F.max(F.when(F.col(f), F.col(c)))
+        met = both.groupBy(*keys, "n", "a", "b").agg(F.count("*").alias("cells"), pick("least", "has_a").alias("lo"), pick("most", "has_b").alias("hi"), pick("most", "has_a").alias("left"), pick("least", "has_b").alias("right"), pick("before", "has_a").alias("before"), F.sum("k").alias("m"))
+        middle = F.when(F.col("cells") == 2, (F.col("left") + F.col("right")) / 2).when(F.col("lo") == F.col("hi"), F.col("lo"))
+        turn += 1
+        state = written(met.select(*keys, "n", "lo", "hi", (F.col("a") - F.col("before")).alias("a"), (F.col("b") - F.col("before")).alias("b"), "m", middle.alias("median")), "medians")
+        done.append(state.filter(F.col("median").isNotNull()).select(*keys, "n", "median"))
+        few = state.filter(F.col("median").isNull() & (F.col("m") <= small))
+        left = with_state(v, few).filter("v between lo and hi").withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("v")) - 1)
+        done.append(left.filter("r = a or r = b").groupBy(*keys, "n").agg(F.avg("v").alias("median")))
+        state = state.filter(F.col("median").isNull() & (F.col("m") > small))
+        if not state.limit(1).count():
+            return reduce(DataFrame.unionByName, done)
+
+
 def run_summary(results: DataFrame) -> DataFrame:
     """Batch totals of run-result rows (set, f1, doc_retrieved, finalized, turns, tokens, error), by set and overall."""
     outcome = F.when(F.col("doc_retrieved"), "pass").when(F.col("finalized"), "finalized_fail").otherwise("stalled")
