@@ -62,8 +62,8 @@ def sections(ix: Index, to_end_of_file: bool = True) -> DataFrame:
     chosen = written(ix.chosen.select("accession", "item", "o").unionByName(more), "places")
     made = written(selection.rule_slices(ix.filings, chosen, to_end_of_file), "slices")
     named = ix.chosen.filter("item = 'signatures' and anchor_id is not null").select("accession").unionByName(listed.filter("item = 'signatures'").select("accession"))
+    # a light plan over the written slices: what only asks for the items reads no text
     kept = selection.policy(made, named).unionByName(selection.placeholders(ix.items, made))
-    kept = written(kept, "sections")
     third = anchors.part_three_incorporated(ix.filings, kept)
     return kept.unionByName(selection.part_three_placeholders(kept, third))
 
