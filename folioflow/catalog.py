@@ -451,12 +451,15 @@ def char_f1_docs(spark, d):
 
 
 def _failures(spark, d):
-    """Failures of all kinds made of benchmark texts: their item, kind and sizes depend on the id."""
-    i = F.col("item_id")
+    """Failures of all kinds made of whole benchmark texts, none, one, or so many one after the other that every rule on sizes is met; item, kind and sizes depend on the id."""
+    i, text = F.col("item_id"), F.col("text")
     item = F.get(F.array(F.lit("signatures"), F.lit("item16"), F.lit("item7")), (F.floor(i / 3) % 3).cast("int"))
     kind = F.get(F.array(F.lit("missing"), F.lit("fp"), F.lit("boundary")), (i % 3).cast("int"))
-    cut = lambda k, n: F.left(F.concat("text", F.lit(" "), "text"), (i * k % n).cast("int"))
-    return _t(spark, d, "benchmark").select((i % 11).cast("string").alias("accession"), item.alias("item"), kind.alias("kind"), cut(7, 200).alias("truth"), cut(13, 150).alias("pred"), (i % 10 / 10).alias("f1"), (i * 10).alias("file_size"), (i % 2 == 0).alias("detected"))
+    turn = lambda k: F.floor((i + k) / 9) % 4
+    huge = F.repeat(text, F.floor(1_000_000 / F.length("text")).cast("int") + 1)
+    truth = F.when(turn(0) == 0, "").when(turn(0) == 1, text).when(turn(0) == 2, F.repeat(text, F.lit(40))).otherwise(huge)
+    pred = F.when(turn(9) == 0, text).when(turn(9) == 1, F.concat(F.lit("Item 16. Form 10-K Summary None. "), F.repeat(text, F.lit(40)))).when(turn(9) == 2, F.repeat(text, F.lit(40))).otherwise("x")
+    return _t(spark, d, "benchmark").select((i % 11).cast("string").alias("accession"), item.alias("item"), kind.alias("kind"), truth.alias("truth"), pred.alias("pred"), (i % 10 / 10).alias("f1"), (i * 1000).alias("file_size"), (i % 2 == 0).alias("detected"))
 
 
 @query
