@@ -6,28 +6,29 @@ One row is a *segment*: consecutive documents in ascending key order with
 * ``ids``      all their token ids one after the other, 2 or 4 bytes each (``width``),
 * ``ends``     the Elias-Fano code of the documents' end offsets inside the segment,
 * ``keys``     the Elias-Fano code of the keys' distances from ``first_key``,
-* ``part``, ``seq``, ``n_docs``, ``n_ids``   the segment's place and its totals.
+* ``part``, ``seq``, ``seq_start``, ``n_docs``, ``n_ids``   the segment's place, the ids before it in its part, and its totals;
+  ``last_key`` lets a search pass over segments from both sides.
 
 A code is ``n, low_bits`` and two bit strings: the low bits packed, the high bits in unary.
 ``select(i)`` finds the i-th one of the high bits through samples of the popcount and adds the
 low bits, so an offset costs about ``2 + log2(ids / docs)`` bits and no 64-bit table is kept.
 
 Defined cases: a null text is the empty text (only the end id is written); null keys come
-first and are stored apart by ``n_null``; rows with equal keys all stay, next to each other;
+first and are stored apart by ``n_null``; rows with equal keys all stay, next to each other, in the order of their texts' hash;
 an empty table gives a store without segments.  A very long text is a segment by itself, below the 2 GB that an Arrow binary holds.
 Other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
 from .common import shuffle_parts, tidy
 
 STORE = (
-    "part int, seq int, n_docs int, n_null int, n_ids long, width int, first_key long, "
+    "part int, seq int, seq_start long, n_docs int, n_null int, n_ids long, width int, first_key long, last_key long, "
     "ids binary, ends_low int, ends binary, keys_low int, keys binary"
 )
 #: Ids in one segment, about: bounds the memory of a reader and of a writer.
@@ -87,7 +88,7 @@ class EliasFano:
 def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", vocabulary: str = tokens.VOCABULARY, segment_ids: int = SEGMENT_IDS) -> None:
     """Encode ``text`` and write the store: one range shuffle of the texts, nothing on the driver."""
 
-    def segment(part, seq, rows):
+    def segment(part, seq, before, rows):
         import numpy as np
 
         keys = [k for k, _ in rows]
@@ -99,20 +100,21 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", v
         first = int(known[0]) if len(known) else 0
         ends_low, ends = ef_encode(np.cumsum(sizes))
         keys_low, coded = ef_encode(known.astype(object) - first if len(known) and int(known[-1]) - first >= 1 << 63 else known - first)
-        return part, seq, len(rows), null, int(sizes.sum()), width, first, flat.astype(f"<u{width}").tobytes(), ends_low, ends, keys_low, coded
+        last = int(known[-1]) if len(known) else 0
+        return part, seq, before, len(rows), null, int(sizes.sum()), width, first, last, flat.astype(f"<u{width}").tobytes(), ends_low, ends, keys_low, coded
 
     def encode(batches):
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
+        part, seq, before, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
         names = [f.split()[0] for f in STORE.split(", ")]
         kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
         schema = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in STORE.split(", ")])
 
         def out(rows):
-            return pa.RecordBatch.from_pylist([dict(zip(names, segment(part, seq, rows)))], schema=schema)
+            return pa.RecordBatch.from_pylist([dict(zip(names, segment(part, seq, before, rows)))], schema=schema)
 
         coder = tokens.encoder(vocabulary)
         for batch in batches:
@@ -124,29 +126,27 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", v
                     size += n + 1
                     if size >= segment_ids:
                         yield out(held)
-                        held, size, seq = [], 0, seq + 1
+                        held, size, seq, before = [], 0, seq + 1, before + size
         if held:
             yield out(held)
         tidy()
 
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"), F.monotonically_increasing_id().alias("p"))
     n = shuffle_parts(docs.sparkSession)
-    ordered = rows.repartitionByRange(n, F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first())
+    # null and repeated ids are spread over the parts too: rows of one id stand in the order of their texts' hash
+    order = [F.col("k").asc_nulls_first(), F.xxhash64("t"), F.xxhash64("p")]
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("k", "t")
     ordered.mapInArrow(encode, STORE).write.option("compression", "lz4").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """One row per stored document: key, start (ids before it), n_tokens, ids (binary, 4 bytes each) and their crc32."""
     store = spark.read.schema(STORE).parquet(path)
-    # One total per written part: as many rows as the writer had tasks, never a row per document.
-    parts = store.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()
-    base, total = [], 0
-    for r in parts:
-        base.append((r["part"], total))
+    # One total per written part, and each segment knows what its part has before it: nothing is joined.
+    base, total = {}, 0
+    for r in store.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():
+        base[r["part"]] = total
         total += r["n"]
-    starts = spark.createDataFrame(base, "part int, part_start long")
-    inside = store.select("part", "seq", "n_ids").withColumn("seq_start", F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    places = inside.join(F.broadcast(starts), "part").select("part", "seq", (F.col("part_start") + F.col("seq_start")).alias("start"))
 
     def decode(batches):
         import zlib
@@ -164,11 +164,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 blobs = [ids[a:b].tobytes() for a, b in zip(lo.tolist(), hi.tolist())]
                 keys = [None] * r["n_null"] + (known + r["first_key"]).tolist()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), pa.array(lo + r["start"], pa.int64()), pa.array(hi - lo, pa.int64()), pa.array(map(zlib.crc32, blobs), pa.int64()), pa.array(blobs, pa.binary())],
+                    [pa.array(keys, pa.int64()), pa.array(lo + base[r["part"]] + r["seq_start"], pa.int64()), pa.array(hi - lo, pa.int64()), pa.array(map(zlib.crc32, blobs), pa.int64()), pa.array(blobs, pa.binary())],
                     names=["key", "start", "n_tokens", "ids_crc32", "ids"],
                 )
 
-    return store.join(F.broadcast(places) if len(base) <= 10_000 else places, ["part", "seq"]).mapInArrow(decode, "key long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return store.mapInArrow(decode, "key long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def offset(segment: dict, i: int) -> tuple[int, int]:
@@ -198,6 +198,8 @@ def fetch(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
     wanted = sorted(set(keys))
 
     def find(batches):
+        from bisect import bisect_left, bisect_right
+
         import numpy as np
         import pyarrow as pa
 
@@ -205,10 +207,11 @@ def fetch(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
             out = []
             for r in batch.to_pylist():
                 ids = np.frombuffer(r["ids"], f"<u{r['width']}")
-                for k in wanted if r["n_docs"] > r["n_null"] else ():
+                mine = wanted[bisect_left(wanted, r["first_key"]) : bisect_right(wanted, r["last_key"])]
+                for k in mine if r["n_docs"] > r["n_null"] else ():
                     for i in places_of(r, k):
                         lo, hi = offset(r, i)
                         out.append((k, ids[lo:hi].astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["key", "ids"])
 
-    return spark.read.schema(STORE).parquet(path).filter(F.col("first_key") <= (wanted[-1] if wanted else 0)).mapInArrow(find, "key long, ids binary")
+    return spark.read.schema(STORE).parquet(path).filter((F.col("first_key") <= max(wanted, default=0)) & (F.col("last_key") >= min(wanted, default=0))).mapInArrow(find, "key long, ids binary")

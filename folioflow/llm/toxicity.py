@@ -61,7 +61,7 @@ class BlockMaxIndex:
     def __init__(self, n: int, n_terms: int, rows, terms, weights, block: int = BLOCK):
         import numpy as np
 
-        self.block, self.n, self.n_blocks = block, n, max(1, -(-n // block))
+        self.block, self.n, self.n_blocks, self.read = block, n, max(1, -(-n // block)), 0  # read: postings that searches have added up
         order = np.lexsort((rows, terms))
         self.rows, self.weights, terms = rows[order].astype(np.int64), weights[order].astype(np.float64), terms[order]
         count = np.bincount(terms, minlength=n_terms)
@@ -90,21 +90,22 @@ class BlockMaxIndex:
         cells, cell_w = spans(lo, hi), np.repeat(weights[light], hi - lo)
         bound = np.bincount(self.cell_block[cells], cell_w * self.cell_max[cells], self.n_blocks) + heavy_w @ self.dense_max[heavy]
         bound *= 1 + 1e-9  # sums in another order than the cosines'
+        def sums(blocks):
+            """Sums over the sparse lists of the examples in ``blocks`` (a mask): the postings of other blocks are not read."""
+            mine = blocks[self.cell_block[cells]]
+            start, end = self.cell_start[cells[mine]], self.cell_start[cells[mine] + 1]
+            at = spans(start, end)
+            self.read += len(at)
+            return np.bincount(self.rows[at], np.repeat(cell_w[mine], end - start) * self.weights[at], self.n_blocks * self.block)
+
         first = np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]
         take = np.zeros(self.n_blocks, bool)
         take[first] = True
-        mine = take[self.cell_block[cells]]
-        at = spans(self.cell_start[cells[mine]], self.cell_start[cells[mine] + 1])
-        size = self.cell_start[cells[mine] + 1] - self.cell_start[cells[mine]]
-        got = np.bincount(self.rows[at], np.repeat(cell_w[mine], size) * self.weights[at], self.n_blocks * self.block)
-        best = self._best(take, got, heavy, heavy_w, k, np.zeros(0), np.zeros(0, np.int64))
+        best = self._best(take, sums(take), heavy, heavy_w, k, np.zeros(0), np.zeros(0, np.int64))
         # The blocks that can still reach the k-th best (of equal cosines the smaller index counts, so equal bounds are visited too).
         rest = ~take & (bound >= best[0][-1] if len(best[0]) == k else bound > 0)
         if rest.any():
-            lo, hi = self.cell_start[self.term_cells[t]], self.cell_start[self.term_cells[t + 1]]
-            at = spans(lo, hi)
-            got = np.bincount(self.rows[at], np.repeat(weights[light], hi - lo) * self.weights[at], self.n_blocks * self.block)
-            best = self._best(rest, got, heavy, heavy_w, k, *best)
+            best = self._best(rest, sums(rest), heavy, heavy_w, k, *best)
         return best
 
     def _best(self, blocks, got, heavy, heavy_w, k: int, best_w, best_i):
