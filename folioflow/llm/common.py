@@ -31,13 +31,19 @@ def small_batches(spark: SparkSession, rows: int = 2500, size: int = 8 << 20) ->
             spark.conf.set(name, str(most))
 
 
-def tidy() -> None:
-    """At the end of a Python task: what it has freed goes back to the system, for the worker is kept for later tasks."""
+def tidy(keep_encoder: bool = False) -> None:
+    """At the end of a Python task: what it has freed goes back to the system, for the worker is kept for later tasks.
+
+    A tokenizer that the worker has from an earlier stage goes too, unless this stage uses it.
+    """
     import ctypes
     import gc
+    import sys
 
     import pyarrow as pa
 
+    if not keep_encoder and "tokenizers" in sys.modules:
+        sys.modules["tokenizers"].__dict__.pop("_folioflow_encoders", None)
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

@@ -54,7 +54,7 @@ def token_pieces(docs: DataFrame, capacity: int = 4096, vocabulary: str = tokens
                         for column, value in zip(out, (k, p, lo, len(some), zlib.crc32(some.tobytes()))):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
-        tidy()
+        tidy(keep_encoder=True)
 
     return docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(cut, PIECES)
 

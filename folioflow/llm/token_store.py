@@ -129,7 +129,7 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", v
                         held, size, seq, before = [], 0, seq + 1, before + size
         if held:
             yield out(held)
-        tidy()
+        tidy(keep_encoder=True)
 
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"), F.monotonically_increasing_id().alias("p"))
     n = shuffle_parts(docs.sparkSession)
