@@ -3,18 +3,19 @@
 The pre-tokenizer of ``word_bpe_49k.json`` never matches across white space, NFC never
 composes across an ASCII blank and lower-casing looks at one code point at a time.  So
 the ids of a text are the ids of its blank-separated chunks in order.  Each distinct chunk
-of a part of about four million characters is looked up once; a chunk of Latin-1 letters and ASCII marks splits further
-into its letters and its marks, which the pre-tokenizer separates as well.
+of a part of about four million characters is split once; a chunk of Latin-1 letters and ASCII marks is two units,
+its letters in lower case and its marks, which the pre-tokenizer separates as well.  Arrow does the splitting, so that
+Python looks up each distinct unit of a part once.
 """
 
 from __future__ import annotations
 
-import re
+from array import array
 
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Letters of ASCII and Latin-1 (inert under NFC before an ASCII mark), then marks without the apostrophe.
-SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
+SIMPLE = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)\z"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -36,31 +37,39 @@ class Encoder:
         self.words: dict[str, bytes] = {"": b""}
         self.limit = cache_chunks
 
-    def _word(self, word: str) -> bytes:
-        """Ids of lower-case letters or of marks alone, straight from the library's model."""
-        got = self.words.get(word)
-        if got is None:
-            import numpy as np
-
-            mapped = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-            got = self.words[word] = np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], "<u4").tobytes()
-        return got
-
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        import numpy as np
-
+    def _units(self, units) -> list[bytes]:
+        """Ids of distinct units, straight from the library's model."""
         if len(self.words) > self.limit:
             self.words = {"": b""}
-        out, hard, match, word = [b""] * len(chunks), [], SIMPLE.match, self._word
-        for k, chunk in enumerate(chunks):
-            if m := match(chunk):
-                out[k] = word(m[1].lower()) + word(m[2])
-            elif chunk:
-                hard.append(k)
-        for k, enc in zip(hard, self.tokenizer.encode_batch_fast([chunks[k] for k in hard], add_special_tokens=False)):
-            out[k] = np.asarray(enc.ids, "<u4").tobytes()
+        known, letters, tokenize = self.words, self.letters, self.tokenizer.model.tokenize
+        out = []
+        for unit in units.to_pylist():
+            got = known.get(unit)
+            if got is None:
+                mapped = unit if unit.isascii() else "".join(map(letters.__getitem__, unit.encode()))
+                got = known[unit] = array("I", [t.id for t in tokenize(mapped)]).tobytes()
+            out.append(got)
         return out
 
+    def _chunks(self, chunks):
+        """Ids of distinct chunks one after the other, and the number of ids of each."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        split = pc.extract_regex(chunks, SIMPLE)
+        easy = np.asarray(split.is_valid())
+        split = split.drop_null()
+        words = pc.utf8_lower(split.field("word")).dictionary_encode()
+        marks = split.field("marks").dictionary_encode()
+        hard = self.tokenizer.encode_batch_fast(chunks.filter(~easy).to_pylist(), add_special_tokens=False)
+        found = [b"", *self._units(words.dictionary), *self._units(marks.dictionary), *(array("I", x.ids).tobytes() for x in hard)]
+        pool, size = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        unit = np.zeros((len(chunks), 2), np.int64)
+        n = 1 + len(words.dictionary)
+        unit[easy, 0], unit[easy, 1] = 1 + np.asarray(words.indices), n + np.asarray(marks.indices)
+        unit[~easy, 0] = n + len(marks.dictionary) + np.arange(len(hard))
+        return gathered(pool, size, unit.ravel()), size[unit].sum(axis=1)
+
     def flat(self, texts):
         """(ids of all texts one after the other as ``<u4``, number of ids of each); null texts have none."""
         import numpy as np
@@ -74,19 +83,21 @@ class Encoder:
         coded = pc.list_flatten(parts).dictionary_encode()
         if isinstance(coded, pa.ChunkedArray):
             coded = coded.combine_chunks()
-        found = self._chunks(coded.dictionary.to_pylist())
-        pool = np.frombuffer(b"".join(found), "<u4")
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        start = np.cumsum(size) - size
+        pool, size = self._chunks(coded.dictionary)
         at = np.asarray(coded.indices)
-        sizes = size[at]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = pool[np.repeat(start[at] - (ends - sizes), sizes) + np.arange(total)] if total else np.zeros(0, "<u4")
+        ids, ends = gathered(pool, size, at), np.cumsum(size[at])
         edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(parts)))])]
         return ids, np.diff(edges)
 
 
+def gathered(pool, size, at):
+    """The runs ``at`` of ``pool``, whose runs of ``size`` stand one after the other, in the order of ``at``."""
+    import numpy as np
+
+    sizes = size[at]
+    return pool[np.repeat((np.cumsum(size) - size)[at] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+
+
 def encoder(vocabulary: str = VOCABULARY) -> Encoder:
     """The worker process's own encoder: Spark reuses its Python workers, so later tasks find the cache warm."""
     import tokenizers
