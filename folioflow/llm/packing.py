@@ -154,6 +154,7 @@ def pack(items: DataFrame, size: str = "length", capacity: int = 4096, block_ite
 
             for pdf in frames:
                 yield pd.DataFrame({"block": pdf.block, "island": pdf.island, "elite": [evolve(list(s), [list(m) for m in ms], seed * 1_000_003 + 7919 * number + 31 * int(b) + int(k), capacity, population, generations) for b, k, s, ms in zip(pdf.block, pdf.island, pdf.sizes, pdf.migrants)]})
+            tidy()
 
         return run
 
@@ -170,6 +171,7 @@ def pack(items: DataFrame, size: str = "length", capacity: int = 4096, block_ite
                 n = len(sizes)
                 out[-n:] = [(*x, fill[x[2]]) for x in out[-n:]]
             yield pd.DataFrame(out, columns=["block", "k", "bin", "offset", "fill"])
+        tidy()
 
     full = todo.filter(F.col("i._size") >= capacity)
     # Ids from 1 << 62 up; those of bins stay below.
