@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import rules
-from folioflow.functions.text import bound
+from folioflow.functions.text import bound, normalize_text
 
 #: Fixed value: what one step of confidence is worth against position.
 STEP = 1_000_000
@@ -54,45 +54,39 @@ def select_greedy(candidates: DataFrame) -> DataFrame:
     return best.select("accession", "item", "b.anchor_id", "b.o", "b.confidence")
 
 
-def heading_fallback(filings: DataFrame, chosen: DataFrame, wanted: DataFrame, batch_rows: int = 16) -> DataFrame:
+def heading_fallback(filings: DataFrame, chosen: DataFrame, wanted: DataFrame) -> DataFrame:
     """Items of ``wanted`` (accession, item) that were not chosen, looked for by heading between their chosen neighbours.
 
     The heading is searched in the region's stripped text, past its first 20 characters, and its place carried over to the html in
-    proportion.  Each find narrows the region of the later ones, so a filing's items are taken one by one (in the order of their names)
-    inside one row.  Only filings with such items are read, a few at a time.
+    proportion.  Each find narrows the region of the later ones, so one fold takes a filing's items in the order of their names.
+    A place with an unknown label bounds all regions from below.  Filings without a chosen place have no regions; only
+    filings with such items are read.
     """
-    c = chosen.groupBy("accession").agg(F.collect_list(F.struct("item", F.col("o").cast("long").alias("o"))).alias("have"))
-    w = wanted.filter("item <> 'signatures'").join(chosen, ["accession", "item"], "left_anti").groupBy("accession").agg(F.collect_set("item").alias("want"))
+    order = F.when(rules.seq_of(F.col("item")) < 999, rules.seq_of(F.col("item"))).otherwise(-1).alias("x")
+    place = F.struct("item", order, F.col("o").cast("long").alias("o"), F.lit(False).alias("new"))
+    c = chosen.groupBy("accession").agg(F.collect_list(place).alias("have"))
+    pattern = F.coalesce(*(F.when(F.col("item") == k, F.lit(v)) for k, v in rules.HEADINGS.items())).alias("p")
+    open_items = wanted.join(chosen, ["accession", "item"], "left_anti").select("accession", F.struct("item", order, pattern).alias("w"))
+    w = open_items.filter("w.p is not null").groupBy("accession").agg(F.sort_array(F.collect_set("w")).alias("want"))
     rows = filings.select("accession", "html").join(w, "accession").join(c, "accession")
-    patterns, seq = {k: v.replace("(?Ui)", "") for k, v in rules.HEADINGS.items()}, rules.SEQ
-
-    def places(html, want, have):
-        import html as entities
-        import re
-
-        at = {r["item"]: r["o"] for r in have}
-        for item in sorted(want):
-            if item not in patterns:
-                continue
-            lo = max([0, *(o for k, o in at.items() if seq.get(k, -1) < seq[item])])
-            hi = min([len(html), *(o for k, o in at.items() if seq.get(k, -1) > seq[item])])
-            if hi <= lo:
-                continue
-            text = re.sub(r"\s+", " ", entities.unescape(re.sub(r"<[^>]+>", " ", html[lo:hi])).replace("\u00a0", " ")).strip().lower()
-            m = re.search(patterns[item], text)
-            if m and m.start() > 20:
-                at[item] = lo + int(m.start() / len(text) * (hi - lo))
-                yield item, at[item]
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for lo in range(0, batch.num_rows, batch_rows):
-                out = [(r["accession"], *x) for r in batch.slice(lo, batch_rows).to_pylist() for x in places(r["html"], r["want"], r["have"])]
-                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["accession", "item", "o"])
-
-    return rows.mapInArrow(run, "accession string, item string, o long")
+
+    def step(at, w):
+        lo = F.greatest(F.lit(0).cast("long"), F.array_max(F.transform(F.filter(at, lambda a: a.x < w.x), lambda a: a.o)))
+        hi = F.least(F.length("html").cast("long"), F.array_min(F.transform(F.filter(at, lambda a: a.x > w.x), lambda a: a.o)))
+
+        def found(region):
+            text = normalize_text(F.substring(F.col("html"), (region.lo + 1).cast("int"), F.greatest(F.lit(0), (region.hi - region.lo).cast("int"))))
+            return bound(text, lambda t: bound(F.split(t, w.p, 2), lambda cut: carried(region, t, cut)))
+
+        def carried(region, t, cut):
+            before = F.length(F.get(cut, F.lit(0)))
+            o = region.lo + F.floor(before / F.length(t) * (region.hi - region.lo))
+            return F.when((F.size(cut) > 1) & (before > 20), F.concat(at, F.array(F.struct(w["item"].alias("item"), w.x.alias("x"), o.alias("o"), F.lit(True).alias("new"))))).otherwise(at)
+
+        return bound(F.struct(lo.alias("lo"), hi.alias("hi")), found)
+
+    made = rows.select("accession", F.explode(F.filter(F.aggregate("want", F.col("have"), step), lambda a: a.new)).alias("r"))
+    return made.select("accession", "r.item", "r.o")
 
 
 def slices(filings: DataFrame, chosen: DataFrame) -> DataFrame:
