@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import rules
 from folioflow.functions import text as T
-from folioflow.operators.matches import find_all
+from folioflow.operators.matches import find_all, groups_of, with_spots
 
 #: What counts as a contents link, an anchor, a part heading, and as naming another document.
 REFERENCE = r"""(?is)<a\s[^>]*href=["']#([^"'>\s]+)["']"""
@@ -23,17 +23,44 @@ NUMERALS = {"I": 1, "II": 2, "III": 3, "IV": 4, "1": 1, "2": 2, "3": 3, "4": 4}
 INCORPORATED = r"\bincorporated?\s+by\s+reference\b|\bproxy\s+statement\b|\bitems?\s*10\s*[-–—]\s*14\b"
 
 
+def structure(filings: DataFrame) -> DataFrame:
+    """A narrow row for each filing: accession, n (length of the text), refs, links (o, m, before), marks (o, m), heads (o, m).
+
+    A plan reads each text once for all of them.  ``links_of``, ``anchors_of``, ``parts_of``, ``records_of`` and ``ids_of`` take such rows,
+    written or not; what they don't ask for is not computed.  A null text has null arrays and no rows in any of them.  They explode
+    in the outer form: before an inner one the planner puts a filter that asks the patterns again.
+    """
+    html = F.col("html")
+    found = with_spots(filings.select("accession", "html"), {"links": (html, LINK), "marks": (html, ANCHOR), "heads": (html, PART)})
+
+    def behind(x):
+        start = F.greatest(F.lit(0), x.o - 1000)
+        return F.struct(x.o.alias("o"), x.m.alias("m"), F.substring(html, start + 1, x.o - start).alias("before"))
+
+    refs = F.array_distinct(F.regexp_extract_all("html", F.lit(REFERENCE), F.lit(1)))
+    return found.select("accession", F.length("html").alias("n"), refs.alias("refs"), F.transform("links", behind).alias("links"), "marks", "heads")
+
+
+def ids_of(rows: DataFrame) -> DataFrame:
+    return rows.select("accession", F.explode_outer("refs").alias("anchor_id")).filter("anchor_id is not null").distinct()
+
+
 def referenced_ids(filings: DataFrame) -> DataFrame:
-    return filings.select("accession", F.explode(F.regexp_extract_all("html", F.lit(REFERENCE), F.lit(1))).alias("anchor_id")).distinct()
+    return ids_of(structure(filings))
 
 
-def anchors(filings: DataFrame) -> DataFrame:
+def anchors_of(rows: DataFrame) -> DataFrame:
     """accession, anchor_id, o, tag, attr: referenced anchors only, the last occurrence of an id."""
-    seen = find_all(filings, F.col("html"), ANCHOR, {"tag": 1, "attr": 2, "anchor_id": 3}).select("accession", "anchor_id", "o", F.lower("tag").alias("tag"), F.lower("attr").alias("attr"))
-    mine = seen.join(referenced_ids(filings), ["accession", "anchor_id"], "left_semi")
+    spots = rows.select("accession", F.explode_outer("marks").alias("x")).filter("x is not null").select("accession", "x.o", *groups_of(F.col("x.m"), ANCHOR, {"tag": 1, "attr": 2, "anchor_id": 3}))
+    seen = spots.select("accession", "anchor_id", "o", F.lower("tag").alias("tag"), F.lower("attr").alias("attr"))
+    mine = seen.join(ids_of(rows), ["accession", "anchor_id"], "left_semi")
     return mine.groupBy("accession", "anchor_id").agg(F.max("o").alias("o"), F.max_by(F.struct("tag", "attr"), "o").alias("t")).select("accession", "anchor_id", "o", "t.tag", "t.attr")
 
 
+def anchors(filings: DataFrame) -> DataFrame:
+    return anchors_of(structure(filings))
+
+
 def _page_number_label(before: Column) -> Column:
     """The label of what stands before a page-number link: since its row began, else since the link before it."""
     row = F.when(F.instr(before, "<tr") > 0, rules.classify(T.normalize_text(F.substring_index(before, "<tr", -1))))
@@ -41,17 +68,20 @@ def _page_number_label(before: Column) -> Column:
     return F.coalesce(row, link)
 
 
-def toc_links(filings: DataFrame) -> DataFrame:
+def links_of(rows: DataFrame) -> DataFrame:
     """All links in order: accession, ord, o, anchor_id, link_text, item (null: none); page-number links look back."""
-    found = find_all(filings, F.col("html"), LINK, {"anchor_id": 1, "inner": 2})
-    start = F.greatest(F.lit(0), F.col("o") - 1000)
-    out = found.select("accession", "ord", "o", "anchor_id", T.strip_html(F.col("inner")).alias("link_text"), F.substring(F.col("html"), start + 1, F.col("o") - start).alias("before"))
+    found = rows.select("accession", F.posexplode_outer("links").alias("ord", "x")).filter("x is not null").select("accession", "ord", "x.o", "x.before", *groups_of(F.col("x.m"), LINK, {"anchor_id": 1, "inner": 2}))
+    out = found.select("accession", "ord", "o", "anchor_id", T.strip_html(F.col("inner")).alias("link_text"), "before")
     own = rules.classify(F.lower("link_text"))
     page = (F.length("link_text") <= 6) & F.col("link_text").rlike(r"\A\d+\s*\z")
     long = F.length("link_text") >= 2
     return out.select("accession", "ord", "o", "anchor_id", "link_text", F.when(long, F.coalesce(own, F.when(page, _page_number_label(F.col("before"))))).alias("item"))
 
 
+def toc_links(filings: DataFrame) -> DataFrame:
+    return links_of(structure(filings))
+
+
 def toc_first(links: DataFrame) -> DataFrame:
     """The first link of each item."""
     return links.filter("item is not null").groupBy("accession", "item").agg(F.min_by("anchor_id", "o").alias("anchor_id"))
@@ -70,14 +100,19 @@ def anchor_items(links: DataFrame) -> DataFrame:
     return out.select("accession", "anchor_id", F.col("r.item").alias("items"), F.coalesce("f.item", F.array().cast("array<string>")).alias("firsts"))
 
 
-def link_records(filings: DataFrame) -> DataFrame:
+def records_of(rows: DataFrame) -> DataFrame:
     """Distinct (anchor, text) links of two characters or more, without the page-number rule."""
-    found = find_all(filings, F.col("html"), LINK, {"anchor_id": 1, "inner": 2}).select("accession", "o", "anchor_id", T.normalize_text(F.col("inner")).alias("link_text"))
+    spots = rows.select("accession", F.explode_outer("links").alias("x")).filter("x is not null").select("accession", "x.o", *groups_of(F.col("x.m"), LINK, {"anchor_id": 1, "inner": 2}))
+    found = spots.select("accession", "o", "anchor_id", T.normalize_text(F.col("inner")).alias("link_text"))
     first = found.groupBy("accession", "anchor_id", "link_text").agg(F.min("o").alias("o"))
     # The text is a group key here, so the label is read once from each.
     return first.filter(F.length("link_text") >= 2).select("accession", "o", "anchor_id", "link_text", rules.classify(F.col("link_text")).alias("item"))
 
 
+def link_records(filings: DataFrame) -> DataFrame:
+    return records_of(structure(filings))
+
+
 def windows(filings: DataFrame, found: DataFrame) -> DataFrame:
     """Each anchor's text ahead (to the next anchor, 2000 at most) and behind (500 before it, its last 200)."""
     w = Window.partitionBy("accession").orderBy("o", "anchor_id")
@@ -87,14 +122,19 @@ def windows(filings: DataFrame, found: DataFrame) -> DataFrame:
     return joined.select("accession", "anchor_id", "o", "tag", "next_o", T.normalize_text(F.substring(F.col("html"), F.col("o") + 1, size)).alias("ahead"), T.back_context(F.col("html"), F.col("o")).alias("behind"), T.nearby_text(F.col("html"), F.col("o")).alias("nearby"), F.length("html").alias("html_len"))
 
 
-def part_boundaries(filings: DataFrame) -> DataFrame:
+def parts_of(rows: DataFrame) -> DataFrame:
     """accession, part, o, rel: the last heading past 5 % of the document, else the first at all."""
-    found = find_all(filings, F.col("html"), PART, {"numeral": 1}).select("accession", rules.lookup(NUMERALS, F.upper("numeral")).alias("part"), "o", F.length("html").alias("n")).filter("part is not null")
+    spots = rows.select("accession", "n", F.explode_outer("heads").alias("x")).filter("x is not null").select("accession", "n", "x.o", *groups_of(F.col("x.m"), PART, {"numeral": 1}))
+    found = spots.select("accession", rules.lookup(NUMERALS, F.upper("numeral")).alias("part"), "o", "n").filter("part is not null")
     late = F.max(F.when(F.col("o") >= 0.05 * F.col("n"), F.col("o")))
     out = found.groupBy("accession", "part").agg(F.coalesce(late, F.min("o")).alias("o"), F.max("n").alias("n"))
     return out.select("accession", "part", "o", T.relative_position(F.col("o"), F.col("n")).alias("rel"))
 
 
+def part_boundaries(filings: DataFrame) -> DataFrame:
+    return parts_of(structure(filings))
+
+
 def part_three_incorporated(filings: DataFrame, found_items: DataFrame) -> DataFrame:
     """accession, incorporated: no item 10-14 found and a reference near the first "part iii" (else "part 3")."""
     low = F.lower("html")

@@ -23,16 +23,28 @@ def starts(sizes: Column) -> Column:
     return F.flatten(F.zip_with(runs, running(totals, F.lit(0)), running))
 
 
-def find_all(df: DataFrame, text: Column, pattern: str, groups: dict[str, int] | None = None) -> DataFrame:
-    """``df`` once for each match: ``ord`` (from 0), ``o`` (offset), ``m`` (the match) and the named groups.
+def with_spots(df: DataFrame, wanted: dict[str, tuple[Column, str]]) -> DataFrame:
+    """``df`` with an array of (o, m) for each name of ``wanted`` (a text and a pattern): offset and match, in order.
 
-    A match starts after all text between matches and all earlier matches.  Groups are read from the match alone, so the pattern
-    must not look around itself, and it must not match the empty string.
+    A match starts after all text between matches and all earlier matches, so a pattern must not match the empty string.
+    A null text has a null array.
     """
-    cut = df.withColumns({"_gaps": F.split(text, pattern, -1), "_found": F.regexp_extract_all(text, F.lit(pattern), F.lit(0))})
-    gap = F.transform(F.slice("_gaps", 1, F.size("_found")), F.length)
-    cut = cut.withColumn("_sizes", F.zip_with(gap, F.transform("_found", F.length), lambda g, m: F.struct(g.alias("g"), (g + m).alias("all"))))
-    offsets = F.zip_with(starts(F.col("_sizes.all")), F.col("_sizes.g"), lambda s, g: s + g)
-    zipped = F.arrays_zip(offsets.alias("o"), F.col("_found").alias("m"))
-    out = cut.select(*df.columns, F.posexplode(zipped).alias("ord", "_x"))
-    return out.select(*df.columns, "ord", F.col("_x.o").alias("o"), F.col("_x.m").alias("m"), *(F.regexp_extract(F.col("_x.m"), pattern, k).alias(n) for n, k in (groups or {}).items()))
+    cut = df.withColumns({f"_{part}_{name}": made for name, (text, pattern) in wanted.items() for part, made in (("gaps", F.split(text, pattern, -1)), ("found", F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))})
+    sizes = {}
+    for name in wanted:
+        gap = F.transform(F.slice(f"_gaps_{name}", 1, F.size(f"_found_{name}")), F.length)
+        sizes[f"_sizes_{name}"] = F.zip_with(gap, F.transform(f"_found_{name}", F.length), lambda g, m: F.struct(g.alias("g"), (g + m).alias("all")))
+    offsets = lambda name: F.zip_with(starts(F.col(f"_sizes_{name}.all")), F.col(f"_sizes_{name}.g"), lambda s, g: s + g)
+    return cut.withColumns(sizes).select(*df.columns, *(F.arrays_zip(offsets(name).alias("o"), F.col(f"_found_{name}").alias("m")).alias(name) for name in wanted))
+
+
+def groups_of(match: Column, pattern: str, groups: dict[str, int] | None) -> list[Column]:
+    """Named groups, read from the match alone: the pattern must not look around itself."""
+    return [F.regexp_extract(match, pattern, k).alias(n) for n, k in (groups or {}).items()]
+
+
+def find_all(df: DataFrame, text: Column, pattern: str, groups: dict[str, int] | None = None) -> DataFrame:
+    """``df`` once for each match: ``ord`` (from 0), ``o`` (offset), ``m`` (the match) and the named groups."""
+    # An inner explode would ask the patterns again in a filter before it; the outer one's row without a match goes here.
+    out = with_spots(df, {"_spots": (text, pattern)}).select(*df.columns, F.posexplode_outer("_spots").alias("ord", "_x")).filter("_x is not null")
+    return out.select(*df.columns, "ord", F.col("_x.o").alias("o"), F.col("_x.m").alias("m"), *groups_of(F.col("_x.m"), pattern, groups))

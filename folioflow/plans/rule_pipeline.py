@@ -32,11 +32,12 @@ class Index:
 
 def build_index(filings: DataFrame) -> Index:
     filings = written(filings, "filings")
-    links = written(anchors.toc_links(filings), "links")
-    found = written(anchors.anchors(filings), "anchors")
+    marks = written(anchors.structure(filings), "structure")
+    links = written(anchors.links_of(marks), "links")
+    found = written(anchors.anchors_of(marks), "anchors")
     items = written(anchors.anchor_items(links), "items")
     labelled = written(candidates.labelled(anchors.windows(filings, found), items), "labelled")
-    parts = written(anchors.part_boundaries(filings), "parts")
+    parts = written(anchors.parts_of(marks), "parts")
     cands = written(candidates.rescored(candidates.collect(labelled), parts), "candidates")
     inc = written(anchors.part_three_incorporated(filings, candidates.found_items(cands)), "incorporated")
     chosen = written(with_signatures(filings, selection.select_ordered(candidates.cascade(labelled))), "chosen")
