@@ -16,11 +16,12 @@ drops a node pair when the sizes cannot meet the threshold or when the largest p
 Pairs of sets that remain are compared exactly.
 
 Linked sets also share many of those first hashes: at least ``need - max(ceil(t n)) + 1`` of them.
-Small cells (``small`` members at most) give all pairs that the tree leaves, and the pairs' shared hashes are
-added up; what they may share in larger cells counts in full, so the test drops no link.
+Every set brings along its first hashes that other sets have too (four bytes of each, in order), so a task counts
+what two sets share of them before it gives out the pair; four bytes can only count too much, so the test drops no link.
+A pair is given out by the cell of its first common hash and by no other.
 
-A large group of near copies must not be spelled out pair by pair.  So the trees of larger cells are
-traversed twice: first each set keeps only its most promising partner before it; the confirmed links
+A large group of near copies must not be spelled out pair by pair.  So the trees are
+traversed twice: first each set keeps only its most promising partner (in cells of more than ``small`` members one before it, by the bound alone); the confirmed links
 are closed to components; then all remaining pairs *between different components* are compared.  No
 link that could join two components is lost, and pairs inside one are not needed.
 
@@ -199,56 +200,82 @@ def traverse(a: SignatureTree, b: SignatureTree, percent: int, same: bool, chunk
             stack.append((level - 1, child[r], other))
 
 
-def cell_pairs(cells: DataFrame, percent: int, spanning: bool) -> DataFrame:
-    """Candidate pairs (a, na, b, nb, w) of cells: rows with the weight ``w`` and ``left`` and ``right`` arrays of members; ``right`` null: a self join."""
+def shared_hashes(first, second, p, q, most: int = 1 << 12):
+    """How many hashes the arrays ``first[p]`` and ``second[q]`` share, and the least of them (none: the largest number), pair by pair."""
+    import numpy as np
+
+    count, least = np.zeros(len(p), np.int64), np.full(len(p), np.iinfo(np.int64).max)
+    for lo in range(0, len(p), most):
+        sides = []
+        for held, at in ((first, p[lo : lo + most]), (second, q[lo : lo + most])):
+            sizes = np.array([len(held[k]) for k in at])
+            sides.append((np.repeat(np.arange(len(at), dtype=np.int64), sizes) << 32) + np.concatenate([held[k] for k in at]))
+        both = np.sort(np.concatenate(sides))
+        common = both[1:][both[1:] == both[:-1]]
+        pair, at, seen = np.unique(common >> 32, return_index=True, return_counts=True)
+        count[lo + pair] = seen
+        least[lo + pair] = common[at] & 0xFFFFFFFF
+    return count, least
+
+
+def cell_pairs(cells: DataFrame, percent: int, spanning: bool, counted: bool = True) -> DataFrame:
+    """Candidate pairs (a, b) of cells: rows with the cell's hash ``h`` and ``left`` and ``right`` arrays of members; ``right`` null: a self join.
+
+    ``counted``: only pairs that share enough of their first hashes, in the cell of the least common one.  ``spanning``: of each set's pairs
+    only the most promising; without ``counted`` the one before it.
+    """
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         def tree(members):
-
             ids = np.asarray(members.field("id"), np.int64)
             sizes, comps, hot = (np.asarray(members.field(c), np.int64) for c in ("n", "comp", "hot"))
             bits = np.frombuffer(b"".join(members.field("bits").to_pylist()), np.uint64).reshape(len(ids), BITS // 64)
             order = np.lexsort((ids, sizes))
-            return ids[order], SignatureTree(sizes[order], bits[order], comps[order], hot[order])
+            first = [np.unique(np.asarray(members.field("first")[k].values, np.int64) + (1 << 31)) for k in order.tolist()] if counted else None
+            return ids[order], first, SignatureTree(sizes[order], bits[order], comps[order], np.full(len(ids), 1 << 40) if counted else hot[order])
 
         for batch in batches:
-            first, second, sizes, weights = [], [], [], []
-
-            def put(p, q):
-                first.append(ids[p])
-                second.append(jds[q])
-                sizes.append((a.levels[0][1][p], b.levels[0][1][q]))
-                weights.append(np.full(len(p), w, np.int64))
-
-            lefts, rights = batch.column("left"), batch.column("right")
-            for k, w in enumerate(batch.column("w").to_pylist()):
-                ids, a = tree(lefts[k].values)
+            found, lefts, rights = [], batch.column("left"), batch.column("right")
+            for k, h in enumerate(batch.column("h").to_pylist()):
+                ids, first, a = tree(lefts[k].values)
                 same = not rights[k].is_valid
-                jds, b = (ids, a) if same else tree(rights[k].values)
+                jds, second, b = (ids, first, a) if same else tree(rights[k].values)
                 best: dict[int, tuple] = {}
+
+                def choose(p, q, bound, best=best):
+                    order = np.lexsort((p, -bound, q))
+                    q, p, bound = q[order], p[order], bound[order]
+                    head = np.concatenate([[True], q[1:] != q[:-1]])
+                    for x, y, g in zip(q[head].tolist(), p[head].tolist(), bound[head].tolist()):
+                        if x not in best or (g, -y) > (best[x][0], -best[x][1]):
+                            best[x] = (g, y)
+
                 for p, q, bound in traverse(a, b, percent, same):
-                    if spanning:
-                        order = np.lexsort((p, -bound, q))
-                        q, p, bound = q[order], p[order], bound[order]
-                        head = np.concatenate([[True], q[1:] != q[:-1]])
-                        for x, y, g in zip(q[head].tolist(), p[head].tolist(), bound[head].tolist()):
-                            if x not in best or (g, -y) > (best[x][0], -best[x][1]):
-                                best[x] = (g, y)
-                    else:
-                        put(p, q)
+                    if counted:
+                        n, m = a.levels[0][1][p], b.levels[0][1][q]
+                        count, least = shared_hashes(first, second, p, q)
+                        ok = (count >= shared_first(n, m, percent)) & (least == h + (1 << 31))
+                        p, q, bound = p[ok], q[ok], (count / (n + m))[ok]
+                    if not len(p):
+                        continue
+                    if not spanning:
+                        found.append((ids[p], jds[q]))
+                        continue
+                    choose(p, q, bound)
+                    if counted and same:
+                        choose(q, p, bound)
                 if best:
-                    put(np.array([y for _, y in best.values()]), np.array(list(best)))
-            if first:
-                x, y, w = np.concatenate(first), np.concatenate(second), np.concatenate(weights)
-                nx, ny = (np.concatenate([s[j] for s in sizes]) for j in (0, 1))
-                turn = x > y
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.where(turn, y, x), np.where(turn, ny, nx), np.where(turn, x, y), np.where(turn, nx, ny), w)], names=["a", "na", "b", "nb", "w"])
+                    p, q = (np.array(v) for v in zip(*((min(x, y), max(x, y)) for x, (_, y) in best.items()) if same else ((y, x) for x, (_, y) in best.items())))
+                    found.append((ids[p], jds[q]))
+            if found:
+                x, y = (np.concatenate(v) for v in zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
         tidy()
 
-    return cells.mapInArrow(run, "a long, na long, b long, nb long, w long").filter("a <> b")
+    return cells.mapInArrow(run, "a long, b long").filter("a <> b")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, hold: Scratch, size: int, percent: int, name: str, broadcast_rows: int) -> DataFrame:
@@ -305,44 +332,38 @@ def _near_components(docs: DataFrame, key: str, text: str, size: int, percent: i
     rows = made.select("id", "n", F.explode("prefix").alias("token"))
     shared = hold.keep(rows.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1"), "tokens")
     met = hold.keep(rows.join(shared, "token"), "met")
-    # Cells with the same members are one cell, whose weight is their number.
+    # Cells with the same members are one cell, named by the least of their hashes.
     mark = F.xxhash64("id")
     name = met.groupBy("token", "m").agg(F.bit_xor(mark).alias("x"), F.sum(mark.bitwiseAND(F.lit((1 << 31) - 1))).alias("s"), F.min("id").alias("lo"))
-    cells = name.groupBy("m", "x", "s", "lo").agg(F.min("token").alias("token"), F.count("*").alias("w")).select("token", "w")
-    heat = met.groupBy("id").agg(F.count_if(F.col("m") > small).alias("hot"))
-    inside = hold.keep(met.join(cells, "token").join(heat, "id"), "inside")
+    cells = name.groupBy("m", "x", "s", "lo").agg(F.min("token").alias("token")).select("token")
+    inside = hold.keep(met.join(cells, "token"), "inside")
+    short = F.shiftright("token", 32).cast("int")  # the upper half: the order of the hashes
+    first = met.groupBy("id").agg(F.count_if(F.col("m") > small).alias("hot"), F.collect_list(short).alias("first"))
+    marks = hold.keep(made.select("id", "bits").join(first.select("id", "hot", "first"), "id"), "marks")
     hold.drop("tokens", "met")
-    bits = made.select("id", "bits")
-    no_limit = F.lit(1 << 40)
 
-    def paired(rows: DataFrame, spanning: bool) -> DataFrame:
-        """``rows``: token, m, w, id, n, comp, hot."""
-        full = rows.join(bits, "id").withColumn("blocks", F.ceil(F.col("m") / cell_rows).cast("int"))
-        one = F.struct("id", "n", "comp", "hot", "bits")
+    def paired(rows: DataFrame, spanning: bool, counted: bool = True) -> DataFrame:
+        """``rows``: token, m, id, n, comp."""
+        full = rows.join(marks, "id").select("token", short.alias("h"), "m", "id", "n", "comp", "hot", "bits", *(["first"] if counted else [])).withColumn("blocks", F.ceil(F.col("m") / cell_rows).cast("int"))
+        one = F.struct("id", "n", "comp", "hot", "bits", *(["first"] if counted else []))
         spot = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-        alone = full.filter("blocks = 1").groupBy("token", "w").agg(F.collect_list(one).alias("left")).select("w", "left", F.lit(None).cast("array<struct<id:bigint,n:bigint,comp:bigint,hot:bigint,bits:binary>>").alias("right"))
-        placed = full.filter("blocks > 1").withColumn("own", spot).select("token", "w", "own", one.alias("member"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        alone = full.filter("blocks = 1").groupBy("token", "h").agg(F.collect_list(one).alias("left"))
+        alone = alone.select("h", "left", F.when(F.lit(False), F.col("left")).alias("right"))
+        placed = full.filter("blocks > 1").withColumn("own", spot).select("token", "h", "own", one.alias("member"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         placed = placed.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-        large = placed.groupBy("token", "w", "lo", "hi").agg(F.collect_list(F.when(F.col("own") == F.col("lo"), F.col("member"))).alias("left"), F.collect_list(F.when((F.col("own") == F.col("hi")) & (F.col("lo") < F.col("hi")), F.col("member"))).alias("right"))
-        large = large.filter(F.size("left") > 0).select("w", "left", F.when(F.col("lo") < F.col("hi"), F.col("right")).alias("right")).filter("right is null or size(right) > 0")
-        return cell_pairs(alone.unionByName(large), percent, spanning)
+        large = placed.groupBy("token", "h", "lo", "hi").agg(F.collect_list(F.when(F.col("own") == F.col("lo"), F.col("member"))).alias("left"), F.collect_list(F.when((F.col("own") == F.col("hi")) & (F.col("lo") < F.col("hi")), F.col("member"))).alias("right"))
+        large = large.filter(F.size("left") > 0).select("h", "left", F.when(F.col("lo") < F.col("hi"), F.col("right")).alias("right")).filter("right is null or size(right) > 0")
+        return cell_pairs(alone.unionByName(large), percent, spanning, counted)
 
-    longest = F.ceil(F.lit(percent) * F.greatest("na", "nb") / 100)
-    least = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent)) - longest + 1
+    # Every set its own component, and each keeps its most promising partner.
     single = inside.withColumn("comp", F.col("id"))
-    few = paired(single.filter(F.col("m") <= small).withColumn("hot", no_limit), False).groupBy("a", "na", "b", "nb").agg(F.sum("w").alias("w"))
-    heat = hold.keep(inside.select("id", "hot").distinct(), "heat")
-    allowance = [heat.select(F.col("id").alias(c), F.col("hot").alias(f"h{c}")) for c in "ab"]
-    close = few.join(allowance[0], "a").join(allowance[1], "b").filter(F.col("w") + F.least("ha", "hb") >= least).select("a", "b")
-    # Larger cells: every set its own component, and each keeps its most promising partner.
-    wide = single.filter(F.col("m") > small)
-    first = hold.keep(close.unionByName(paired(wide, True).select("a", "b")).distinct(), "first")
+    first = hold.keep(paired(single.filter(F.col("m") <= small), True).unionByName(paired(single.filter(F.col("m") > small), True, False)).distinct(), "first")
     links = verified(first, texts, hold, size, percent, "first", broadcast_rows)
     known = components(links, hold, "cc1")
-    labelled = hold.keep(wide.drop("comp").join(known.select(F.col("v").alias("id"), F.col("c")), "id", "left").select("token", "m", "w", "id", "n", "hot", F.coalesce("c", "id").alias("comp")), "labelled")
+    labelled = hold.keep(inside.join(known.select(F.col("v").alias("id"), F.col("c")), "id", "left").select("token", "m", "id", "n", F.coalesce("c", "id").alias("comp")), "labelled")
     mixed = labelled.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("token")
     # Written between: Spark would push the anti join below the distinct, to every cell's own mention of a pair.
-    met = hold.keep(paired(labelled.join(mixed, "token", "left_semi"), False).select("a", "b").distinct(), "remaining")
+    met = hold.keep(paired(labelled.join(mixed, "token", "left_semi"), False).distinct(), "remaining")
     second = hold.keep(met.join(first, ["a", "b"], "left_anti"), "second")
     more = verified(second, texts, hold, size, percent, "second", broadcast_rows)
     final = components(links.unionByName(more), hold, "cc2")

@@ -268,6 +268,22 @@ def components(sets, percent):
     return {i: find(i) for i in sets}
 
 
+def test_near_copies_are_not_spelled_out_pair_by_pair(spark, monkeypatch):
+    made, pairs = [], jaccard_join.cell_pairs
+
+    def counted(*args):
+        out = pairs(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "cell_pairs", counted)
+    rows = [(k, " ".join(f"w{j}" for j in range(60)) + f" end{k}") for k in range(40)]  # one small cell of 40 members: 780 pairs
+    rows += [(100 + k, " ".join(f"s{j}" for j in range(6)) + " " + " ".join(f"x{k}y{j}" for j in range(30))) for k in range(40)]  # what they share makes no link
+    got = {r.doc_id: r.component_id for r in jaccard_join.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {got[k] for k in range(40)} == {0} and all(got[100 + k] == 100 + k for k in range(40))
+    assert sum(made) <= 80
+
+
 @pytest.mark.parametrize("cell_rows", [1024, 4])
 def test_jaccard_join_equals_all_pairs(spark, odd, none, cell_rows):
     import random
