@@ -50,8 +50,28 @@ def records(spark: SparkSession, folders: list[str]) -> DataFrame:
     return _numbered(_placed(spark.read.option("lineSep", BLOCK_END).option("pathGlobFilter", "*.txt").text(folders)))
 
 
+def bundle(texts: DataFrame, folder: str) -> None:
+    """Many submissions (accession, content) in few files: small ones cost a file and a folder each otherwise.
+
+    A line is a block, so lines end where blocks end and no mark has to be told from the text.  Before the block stand the accession, the submission's
+    size in bytes and the block's number, by tabs; an accession has none.  Like a file of no bytes, an empty or null text has no record.
+    """
+    cut = texts.select("accession", F.octet_length("content").alias("bytes"), F.split("content", BLOCK_END, -1).alias("l"))
+    # behind the last block's end nothing is left, which is no record in a file either
+    filled = F.when(F.element_at("l", -1) == "", F.slice("l", 1, F.size("l") - 1)).otherwise(F.col("l"))
+    kept = cut.select("accession", "bytes", F.posexplode(filled).alias("k", "piece"))
+    kept.select(F.concat_ws("\t", "accession", "bytes", "k", "piece").alias("value")).write.option("lineSep", BLOCK_END).text(folder)
+
+
+def bundled(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """The records of all submissions in the bundles of the folders, as ``records`` gives them; ``path`` is the accession."""
+    raw = spark.read.option("lineSep", BLOCK_END).option("pathGlobFilter", "*.txt").text(folders).select(F.split("value", "\t", 4).alias("x"))
+    at = lambda k: F.get("x", F.lit(k))
+    return raw.select(at(0).alias("path"), at(1).cast("long").alias("bytes"), at(2).cast("long").alias("split"), F.lit(0).cast("long").alias("n"), at(3).alias("value"))
+
+
 def main_documents(rows: DataFrame) -> DataFrame:
-    """path, html, text_start: each file's main document and its offset in code points, from ``records``.
+    """path, html, text_start: each file's main document and its offset in code points, from ``records`` or ``bundled``.
 
     Equal to ``main_document`` of whole files, but a task holds a block and not a submission: what is gathered by
     file are its main block and the sizes of the others.  Only a file without one, whose main document is the whole file, is put together again.

@@ -1,5 +1,6 @@
 """Submissions read block by block, folders listed and golden files counted, against whole files and plain loops."""
 
+import glob
 import random
 
 import pytest
@@ -113,3 +114,36 @@ def test_golden_files_are_counted(spark):
     made = spark.createDataFrame([("a", False, "a#item1"), ("d", True, None), ("z", False, "z#item1")], shape)
     assert evaluation.file_account(golden, made).first().asDict() == {"files": 5, "malformed": 1, "empty": 1, "skipped": 2, "scored": 1}
     assert evaluation.file_account(golden.limit(0), made).first().files == 0
+
+
+def test_bundles_give_what_files_give(spark, tmp_path):
+    """Many submissions in few files, in which a record is still a block, also where files are cut."""
+    texts = FILES | {"only_end": "</DOCUMENT>", "two_ends": "</DOCUMENT></DOCUMENT>", "end_first": "</DOCUMENT>abc", "tabs": "\ta\tb\n" + block("10-K", "\tx\t") + "\t"}
+    (tmp_path / "in").mkdir()
+    for name, text in texts.items():
+        (tmp_path / "in" / f"{name}.txt").write_text(text)
+    want = {r.path.split("/")[-1][:-4]: (r.html, r.text_start) for r in submissions.main_documents(submissions.records(spark, [str(tmp_path / "in")])).collect()}
+    assert len(want) == len(texts) - 1  # all but the file of no bytes
+    out = str(tmp_path / "out")
+    submissions.bundle(spark.createDataFrame([*texts.items(), ("null", None)], "accession string, content string").repartition(2), out)
+    assert len([p for p in (tmp_path / "out").iterdir() if p.name.endswith(".txt")]) <= 2
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for cut in (size, "7000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", cut)
+        try:
+            rows = submissions.bundled(spark, [out])
+            assert {r.path: (r.html, r.text_start) for r in submissions.main_documents(rows).collect()} == want
+            assert rows.agg(F.max(F.length("value"))).first()[0] < len(FILES["long"]) / 10
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_submission_blocks_needs_no_file_for_each_submission(spark, tmp_path):
+    """The number of files goes with the tasks and not with the submissions."""
+    from folioflow import catalog
+    from folioflow.plans.store import shared_folder
+
+    before = set(glob.glob(f"{shared_folder(spark).removeprefix('file://')}/submissions-*"))
+    rows = catalog.QUERIES["submission_blocks"](spark, "/root/testdata/sf0.01").count()
+    (made,) = set(glob.glob(f"{shared_folder(spark).removeprefix('file://')}/submissions-*")) - before
+    assert rows > 20 and len(glob.glob(f"{made}/**/*.txt", recursive=True)) <= 4
