@@ -197,6 +197,26 @@ def scan_region(region: DataFrame, label: str, found: DataFrame, start: int = 0,
     return nearest(shown, found, 2000, ["accession", "ord"])
 
 
+#: What every heading of ``rules.HEADINGS`` begins with.
+MENTION = r"(?Ui)item(?=\s*[0-9])"
+
+
+def places(region: DataFrame, labels: dict[str, str], start: int = 0, most: int = 5) -> DataFrame:
+    """accession, item, ord, o: what ``scan_region`` finds for all labels (their patterns by label) together; a text is read once for all of them.
+
+    The patterns begin like ``MENTION`` and hold no second one, so a label's matches are the mentions that its pattern fits.  It is
+    asked of the text from a mention to behind the start of the next.
+    """
+    spots = with_spots(region.withColumn("_gaps", F.split("t", MENTION, -1)), {"_at": (F.col("t"), MENTION)})
+    behind = F.transform("_at", lambda x, k: F.struct(x.o.alias("o"), F.concat(x.m, F.get("_gaps", k + 1), F.coalesce(F.get("_at", k + 1).m, F.lit(""))).alias("text")))
+    read = spots.select("accession", "size", F.length("t").alias("n"), behind.alias("_at"))
+    fits = lambda p: F.slice(F.filter("_at", lambda x: x.text.rlike(rf"\A{p}")), 1, most)
+    of = lambda label, p: F.transform(fits(p), lambda x, k: F.struct(F.lit(label).alias("item"), k.alias("ord"), x.o.alias("o")))
+    hits = read.select("accession", "size", "n", F.explode_outer(F.concat(*(of(label, p) for label, p in labels.items()))).alias("x")).filter("x is not null")
+    at = (F.lit(start) + F.floor(F.col("x.o") / F.col("n") * F.col("size"))).cast("int")
+    return hits.select("accession", "x.item", "x.ord", at.alias("o"))
+
+
 def nearest(points: DataFrame, found: DataFrame, radius: int, keys: list[str]) -> DataFrame:
     """``points`` with the closest anchor less than ``radius`` away; ties go to the first in the text.
 

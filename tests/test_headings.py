@@ -57,3 +57,29 @@ def test_heading_fallback_equals_plain_loop(spark):
 def test_heading_fallback_of_empty_tables(spark):
     none = spark.createDataFrame([], "accession string, item string, o int")
     assert selection.heading_fallback(spark.createDataFrame([], "accession string, html string"), none, none.drop("o")).count() == 0
+
+
+def test_all_labels_together_find_what_each_finds_alone(spark):
+    """One reading of a text gives the places of every label, also where mentions touch, overlap or stand at the end."""
+    from folioflow.functions import rules
+    from folioflow.operators import anchors
+
+    texts = [
+        "Item 1. Business Item 1A. Risk item1item 2 Item 7 - A ITEM 7A item 7 a item 7b Item 9 c Item 10 Item 1 0 item 16", "item 1" * 9, "Item 7A Item 7", "item item 7 item", "", None, "no mention",
+        "é😀 Item 5 語 İtem 6 ıtem 6 item 8 item 9 item 1١ item 15x Item 15", " ".join(f"Item {n}{c}{s}" for n in range(18) for c in ("", "a", " B", "-c", " — c") for s in (".", " ", "x", "")) * 2,
+    ]
+    region = spark.createDataFrame([(str(k), len(t or "") * 3, t) for k, t in enumerate(texts)], "accession string, size int, t string")
+    found = spark.createDataFrame([], "accession string, anchor_id string, o int")
+    want = {(r.accession, label, r.ord, r.o) for label in rules.HEADINGS for r in anchors.scan_region(region, label, found).collect()}
+    made = anchors.places(region, rules.HEADINGS)
+    assert {tuple(r) for r in made.collect()} == want and len(want) > 100 and made.count() == len(want)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Union" not in plan
+
+
+def test_heading_scan_reads_texts_once_for_all_labels(spark):
+    """The query was a union of two readings of all texts for each label."""
+    from folioflow import catalog
+
+    plan = catalog.QUERIES["heading_scan"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("Relation") <= 4
