@@ -151,12 +151,18 @@ def title(text: Column) -> Column:
     return _found(text, TITLE, _title)
 
 
+def _label(text: Column, pattern: str, label) -> Column:
+    """The label alone: its place is not looked for."""
+    match = F.regexp_extract(text, pattern, 0)
+    return F.when(match != "", label(match))
+
+
 def heading_label(text: Column) -> Column:
-    return _found(text, HEADING, _item).label
+    return _label(text, HEADING, _item)
 
 
 def title_label(text: Column) -> Column:
-    return _found(text, TITLE, _title).label
+    return _label(text, TITLE, _title)
 
 
 def classify(text: Column) -> Column:

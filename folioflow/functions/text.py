@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 TAG = r"<[^>]+>"
 #: White space that is not one plain blank already.  The printable range is asked first, as nearly all characters are in it.
-SPACE = r"(?U)[[^!-~]&&\s]{2,}|[[^ -~]&&\s]"
+SPACE = r"(?U)[[^!-~]&&\s](?:[[^!-~]&&\s]+|(?<! ))"
 #: Entities of nearly all pages, tried before the long map; ``html5`` of the standard library has the rest.
 COMMON = {k: html5[k] for k in ("nbsp;", "amp;", "lt;", "gt;", "quot;", "rsquo;", "lsquo;", "rdquo;", "ldquo;", "ndash;", "mdash;", "copy;", "middot;")}
 #: Names that HTML reads without a semicolon too, the longest first.

@@ -114,16 +114,18 @@ def link_records(filings: DataFrame) -> DataFrame:
 
 
 def windows(filings: DataFrame, found: DataFrame) -> DataFrame:
-    """Each anchor's text ahead (to the next anchor, 2000 at most) and behind (500 before it, its last 200)."""
+    """Each anchor's text ahead (to the next anchor, 2000 at most) and behind (500 before it, its last 200); further columns of ``found`` stay."""
+    more = [c for c in found.columns if c not in ("accession", "anchor_id", "o", "tag", "attr")]
     w = Window.partitionBy("accession").orderBy("o", "anchor_id")
     ends = found.withColumn("next_o", F.lead("o").over(w))
     size = F.least(F.lit(2000), F.coalesce(F.col("next_o") - F.col("o"), F.lit(2000)))
+    # ``right`` would work its text out twice (once to see if it is null), so ``behind`` is cut by ``substring``.
     # A text is counted once for each filing and walked once for each anchor; the windows are cut from that piece.
     joined = ends.withColumns({"_size": size, "_lead": F.least(F.col("o"), F.lit(500))}).join(filings.select("accession", "html", F.length("html").alias("html_len")), "accession")
     piece = F.substring(F.col("html"), F.col("o") - F.col("_lead") + 1, F.col("_lead") + F.greatest(F.col("_size"), F.lit(300)))
-    near = joined.select("accession", "anchor_id", "o", "tag", "next_o", "html_len", "_size", "_lead", piece.alias("_piece"))
+    near = joined.select("accession", "anchor_id", "o", "tag", "next_o", "html_len", "_size", "_lead", *more, piece.alias("_piece"))
     near = near.select(*near.columns, F.substring(F.col("_piece"), F.col("_lead") + 1, F.greatest(F.col("_size"), F.lit(300))).alias("_on"))
-    return near.select("accession", "anchor_id", "o", "tag", "next_o", T.normalize_text(F.left("_on", F.col("_size"))).alias("ahead"), F.right(T.normalize_text(F.left("_piece", F.col("_lead"))), F.lit(200)).alias("behind"), F.left(T.normalize_text(F.left("_on", F.lit(300))), F.lit(200)).alias("nearby"), "html_len")
+    return near.select("accession", "anchor_id", "o", "tag", "next_o", T.normalize_text(F.left("_on", F.col("_size"))).alias("ahead"), F.substring(T.normalize_text(F.left("_piece", F.col("_lead"))), -200, 200).alias("behind"), F.left(T.normalize_text(F.left("_on", F.lit(300))), F.lit(200)).alias("nearby"), "html_len", *more)
 
 
 def parts_of(rows: DataFrame) -> DataFrame:

@@ -36,7 +36,8 @@ def build_index(filings: DataFrame) -> Index:
     links = written(anchors.links_of(marks), "links")
     found = written(anchors.anchors_of(marks), "anchors")
     items = written(anchors.anchor_items(links), "items")
-    labelled = written(candidates.labelled(anchors.windows(filings, found), items), "labelled")
+    named = written(found.join(items, ["accession", "anchor_id"], "left"), "named")
+    labelled = written(candidates.labelled(anchors.windows(filings, named)), "labelled")
     parts = written(anchors.parts_of(marks), "parts")
     cands = written(candidates.rescored(candidates.collect(labelled), parts), "candidates")
     inc = written(anchors.part_three_incorporated(filings, candidates.found_items(cands)), "incorporated")

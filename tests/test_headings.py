@@ -83,3 +83,38 @@ def test_heading_scan_reads_texts_once_for_all_labels(spark):
 
     plan = catalog.QUERIES["heading_scan"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan and plan.count("Relation") <= 4
+
+
+def test_candidates_ask_each_text_once(spark):
+    """What a query leaves is not worked out, no rule is asked twice by a pushed filter, and no text is dealt out by anchor."""
+    from folioflow.functions import rules
+    from folioflow.functions import text as T
+    from folioflow.operators import anchors, candidates
+
+    html = "<p>Item 1. Business</p>" + "".join(f'<div><a id="a{k}"></a></div><p>Item {k}. Risk factors &amp; more {k}</p>' for k in range(1, 9))
+    f = spark.createDataFrame([("1", html), ("2", "")], "accession string, html string")
+    found = spark.createDataFrame([("1", f"a{k}", html.index(f'<a id="a{k}"'), "a", "id") for k in range(1, 9)], "accession string, anchor_id string, o int, tag string, attr string")
+    items = spark.createDataFrame([("1", "a3", ["item3"], ["item3"])], "accession string, anchor_id string, items array<string>, firsts array<string>")
+    apart = candidates.labelled(anchors.windows(f, found), items)
+    joined = candidates.labelled(anchors.windows(f, found.join(items, ["accession", "anchor_id"], "left")))
+    for step in (candidates.collect, candidates.cascade):
+        rows = sorted(map(tuple, step(joined).collect()))
+        assert rows == sorted(map(tuple, step(apart).collect())) and len(rows) >= 8
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("spark.sql.maxPlanStringLength", "100000000")
+    # three windows are normalised, each once
+    assert plan(anchors.windows(f, found)).count(f", {T.SPACE}, ") == 3
+    # cascade's filter stays above the rules: as many readings as its columns have, with or without it
+    assert plan(candidates.cascade(joined)).count(f", {rules.TITLE}, ") == plan(joined.select("h150", "t150", "hfull", "tfull", "hboth", "tboth", "by_id", "shared", "toc", "firsts")).count(f", {rules.TITLE}, ")
+    # tfull is left by collect
+    assert plan(candidates.collect(joined)).count(f", {rules.TITLE}, ") < plan(candidates.cascade(joined)).count(f", {rules.TITLE}, ")
+
+
+def test_settled_rules_are_not_asked(spark):
+    from folioflow.operators import candidates
+
+    w = spark.createDataFrame([("1", "a", 0, "a", 9, "x", "item 1. business risk factors", "item 2."), ("1", "b", 1, "a", 9, "x", "y " * 100 + "item 3. risk factors", "")], "accession string, anchor_id string, o int, tag string, html_len int, nearby string, ahead string, behind string")
+    items = spark.createDataFrame([], "accession string, anchor_id string, items array<string>, firsts array<string>")
+    got = {r.anchor_id: r for r in candidates.labelled(w, items).collect()}
+    assert got["a"].h150.label == "item1" and got["a"].hfull is None and got["a"].tfull is None and got["a"].hboth is None and got["a"].tboth is not None
+    assert got["b"].h150 is None and got["b"].hfull == "item3" and got["b"].tfull is None
