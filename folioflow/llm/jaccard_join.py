@@ -23,7 +23,9 @@ A pair is given out by the cell of its first common hash and by no other.
 A large group of near copies must not be spelled out pair by pair.  So the trees are
 traversed twice: first each set keeps only its most promising partner (in cells of more than ``small`` members one before it, by the bound alone); the confirmed links
 are closed to components; then all remaining pairs *between different components* are compared.  No
-link that could join two components is lost, and pairs inside one are not needed.
+link that could join two components is lost, and pairs inside one are not needed.  A small cell whose every pair was given out
+the first time says nothing and is not joined again; one that left pairs out is named.
+All cells of up to ``FLAT`` members of an Arrow batch are joined at once, without a tree: the same tests on arrays of their pairs.
 
 Bounded memory: a task holds ``BATCH`` texts, pairs of sets or cells (of two blocks each) at once; the broadcast id lists are size-checked.
 A very long text is hashed as a whole, with some 60 bytes of numbers for each of its own.
@@ -48,6 +50,7 @@ FREQUENT = 1 << 17
 BATCH = 256
 LEAF = 16
 FAN = 8
+FLAT = 64
 
 
 def least_common(n: int, percent: int) -> int:
@@ -200,29 +203,102 @@ def traverse(a: SignatureTree, b: SignatureTree, percent: int, same: bool, chunk
             stack.append((level - 1, child[r], other))
 
 
-def shared_hashes(first, second, p, q, most: int = 1 << 12):
-    """How many hashes the arrays ``first[p]`` and ``second[q]`` share, and the least of them (none: the largest number), pair by pair."""
+def numbered(lists, place):
+    """First hashes of many sets: ascending (place << 32) + hash, and how many each place has and where they begin.  ``place``: each list's."""
+    import numpy as np
+
+    sizes = np.asarray(lists.value_lengths(), np.int64)
+    keys = np.repeat(place << 32, sizes) + np.asarray(lists.flatten(), np.int64) + (1 << 31)
+    keys.sort()
+    held = np.empty(len(sizes), np.int64)
+    held[place] = sizes
+    return keys, held, np.cumsum(held) - held
+
+
+def shared_hashes(first, second, p, q, most: int = 1 << 20):
+    """How many hashes of the sets ``p`` of ``first`` those ``q`` of ``second`` have too, and the least of them (none: the largest number), pair by pair.
+
+    Hashes of a set with equal upper halves all count: never too few.
+    """
     import numpy as np
 
     count, least = np.zeros(len(p), np.int64), np.full(len(p), np.iinfo(np.int64).max)
-    for lo in range(0, len(p), most):
-        sides = []
-        for held, at in ((first, p[lo : lo + most]), (second, q[lo : lo + most])):
-            sizes = np.array([len(held[k]) for k in at])
-            sides.append((np.repeat(np.arange(len(at), dtype=np.int64), sizes) << 32) + np.concatenate([held[k] for k in at]))
-        both = np.sort(np.concatenate(sides))
-        common = both[1:][both[1:] == both[:-1]]
-        pair, at, seen = np.unique(common >> 32, return_index=True, return_counts=True)
-        count[lo + pair] = seen
-        least[lo + pair] = common[at] & 0xFFFFFFFF
+    (keys, held, begin), others = first, second[0]
+    ends, lo = np.cumsum(held[p]), 0
+    while lo < len(p):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - held[p[lo]] + most, "right")))
+        n = held[p[lo:hi]]
+        pair = np.repeat(np.arange(lo, hi), n)
+        h = keys[np.arange(len(pair)) + np.repeat(begin[p[lo:hi]] - np.cumsum(n) + n, n)] & 0xFFFFFFFF
+        want = (q[pair] << 32) + h
+        hit = others[np.minimum(np.searchsorted(others, want), len(others) - 1)] == want
+        pair, h = pair[hit], h[hit]
+        count[lo:hi] = np.bincount(pair - lo, minlength=hi - lo)
+        head = np.flatnonzero(np.diff(pair, prepend=-1))
+        least[pair[head]] = h[head]
+        lo = hi
     return count, least
 
 
+def flat_pairs(members, sizes, h, percent: int, chunk: int = 1 << 15):
+    """Pairs of many small cells at once: the members' ids by place, then (cell, p, q, likeness) of places p < q.
+
+    ``members``: those of all cells, one cell after the other; ``sizes`` and ``h``: how many a cell has, and its hash.
+    """
+    import numpy as np
+
+    ids, n, comp = (np.asarray(members.field(c), np.int64) for c in ("id", "n", "comp"))
+    bits = np.frombuffer(b"".join(members.field("bits").to_pylist()), np.uint64).reshape(len(ids), BITS // 64)
+    cell = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((ids, n, cell))
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    first = numbered(members.field("first"), place)
+    ids, n, comp, bits = ids[order], n[order], comp[order], bits[order]
+    ones = np.bitwise_count(bits).sum(1).astype(np.int64)
+    keys, held, begin = first
+    head = keys[np.minimum(begin, len(keys) - 1)] & 0xFFFFFFFF
+
+    def run():
+        after = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(ids)) - 1  # members of the cell behind each
+        ends, lo = np.cumsum(after), 0
+        while lo < len(ids):
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - after[lo] + chunk, "right")))
+            k = after[lo:hi]
+            p = np.repeat(np.arange(lo, hi), k)
+            q = p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(k) - k, k)
+            lo = hi
+            least = shared_first(n[p], n[q], percent)
+            ok = (100 * n[p] >= percent * n[q]) & (comp[p] != comp[q]) & (np.minimum(held[p], held[q]) >= least)
+            ok &= (head[p] != head[q]) | (head[p] == h[cell[p]])  # another cell has a lesser hash of both
+            p, q, least = p[ok], q[ok], least[ok]
+            need = -(-percent * (n[p] + n[q]) // (100 + percent))
+            common = np.bitwise_count(bits[p] & bits[q]).sum(1).astype(np.int64)
+            ok = np.minimum(n[p] - np.maximum(0, ones[p] - common), n[q] - np.maximum(0, ones[q] - common)) >= need
+            p, q, least = p[ok], q[ok], least[ok]
+            turn = held[p] > held[q]
+            count, met = shared_hashes(first, first, np.where(turn, q, p), np.where(turn, p, q))
+            ok = (count >= least) & (met == h[cell[p]])
+            p, q = p[ok], q[ok]
+            if len(p):
+                yield cell[p], p, q, count[ok] / (n[p] + n[q])
+
+    return ids, run()
+
+
+def most_promising(p, q, likeness):
+    """Of the pairs (p, q), q's partner of the largest likeness, then of the smallest place: places in the arrays."""
+    import numpy as np
+
+    order = np.lexsort((p, -likeness, q))
+    return order[np.diff(q[order], prepend=-1) != 0]
+
+
 def cell_pairs(cells: DataFrame, percent: int, spanning: bool, counted: bool = True) -> DataFrame:
-    """Candidate pairs (a, b) of cells: rows with the cell's hash ``h`` and ``left`` and ``right`` arrays of members; ``right`` null: a self join.
+    """Candidate pairs (a, b) of cells: rows with the cell's hash ``token`` and ``left`` and ``right`` arrays of members; ``right`` null: a self join.
 
     ``counted``: only pairs that share enough of their first hashes, in the cell of the least common one.  ``spanning``: of each set's pairs
-    only the most promising; without ``counted`` the one before it.
+    only the most promising; without ``counted`` the one before it.  Where both leave pairs out, a row of nulls and the cell's ``token`` says so.
     """
 
     def run(batches):
@@ -234,48 +310,76 @@ def cell_pairs(cells: DataFrame, percent: int, spanning: bool, counted: bool = T
             sizes, comps, hot = (np.asarray(members.field(c), np.int64) for c in ("n", "comp", "hot"))
             bits = np.frombuffer(b"".join(members.field("bits").to_pylist()), np.uint64).reshape(len(ids), BITS // 64)
             order = np.lexsort((ids, sizes))
-            first = [np.unique(np.asarray(members.field("first")[k].values, np.int64) + (1 << 31)) for k in order.tolist()] if counted else None
-            return ids[order], first, SignatureTree(sizes[order], bits[order], comps[order], np.full(len(ids), 1 << 40) if counted else hot[order])
-
-        for batch in batches:
-            found, lefts, rights = [], batch.column("left"), batch.column("right")
-            for k, h in enumerate(batch.column("h").to_pylist()):
-                ids, first, a = tree(lefts[k].values)
-                same = not rights[k].is_valid
-                jds, second, b = (ids, first, a) if same else tree(rights[k].values)
-                best: dict[int, tuple] = {}
-
-                def choose(p, q, bound, best=best):
-                    order = np.lexsort((p, -bound, q))
-                    q, p, bound = q[order], p[order], bound[order]
-                    head = np.concatenate([[True], q[1:] != q[:-1]])
-                    for x, y, g in zip(q[head].tolist(), p[head].tolist(), bound[head].tolist()):
-                        if x not in best or (g, -y) > (best[x][0], -best[x][1]):
-                            best[x] = (g, y)
-
-                for p, q, bound in traverse(a, b, percent, same):
+            place = np.empty(len(ids), np.int64)
+            place[order] = np.arange(len(ids))
+            first = numbered(members.field("first"), place) if counted else None
+            return ids[order], first, SignatureTree(sizes[order], bits[order], comps[order], first[1] if counted else hot[order])
+
+        def one(left, right, h):
+            """(ids of p, ids of q, pairs as in ``flat_pairs``) of one cell, or of two blocks."""
+            ids, first, a = tree(left)
+            jds, second, b = (ids, first, a) if right is None else tree(right)
+
+            def pairs():
+                for p, q, bound in traverse(a, b, percent, right is None):
                     if counted:
                         n, m = a.levels[0][1][p], b.levels[0][1][q]
                         count, least = shared_hashes(first, second, p, q)
-                        ok = (count >= shared_first(n, m, percent)) & (least == h + (1 << 31))
+                        ok = (count >= shared_first(n, m, percent)) & (least == h)
                         p, q, bound = p[ok], q[ok], (count / (n + m))[ok]
-                    if not len(p):
-                        continue
-                    if not spanning:
-                        found.append((ids[p], jds[q]))
-                        continue
-                    choose(p, q, bound)
-                    if counted and same:
-                        choose(q, p, bound)
-                if best:
-                    p, q = (np.array(v) for v in zip(*((min(x, y), max(x, y)) for x, (_, y) in best.items()) if same else ((y, x) for x, (_, y) in best.items())))
-                    found.append((ids[p], jds[q]))
+                    if len(p):
+                        yield np.zeros(len(p), np.int64), p, q, bound
+
+            return ids, jds, pairs()
+
+        def joined(batch):
+            """(tokens, ids of p, ids of q, pairs, whether all are of one list) of all cells of up to FLAT members, then of every other one."""
+            left, right = batch.column("left"), batch.column("right")
+            tokens = np.asarray(batch.column("token"), np.int64)
+            h = (tokens >> 32) + (1 << 31)
+            flat = counted & np.asarray(right.is_null()) & (np.asarray(left.value_lengths()) <= FLAT)
+            if flat.any():
+                few = left.filter(pa.array(flat))
+                ids, pairs = flat_pairs(few.flatten(), np.asarray(few.value_lengths(), np.int64), h[flat], percent)
+                yield tokens[flat], ids, ids, pairs, True
+            for k in np.flatnonzero(~flat).tolist():
+                same = not right[k].is_valid
+                yield tokens[k : k + 1], *one(left[k].values, None if same else right[k].values, h[k]), same
+
+        def chosen(pairs, same):
+            """Places p and q of the pairs to give out (``spanning``: each set's best ones), and the cells with more."""
+            kept, seen = [], np.zeros(0, np.int64)
+            for found in pairs:
+                if not spanning:
+                    kept.append(found)
+                    continue
+                seen = np.concatenate([seen, found[0]])
+                found = tuple(np.concatenate(v) for v in zip(*kept, found))
+                cell, p, q, likeness = found
+                if counted and same:
+                    best = np.unique(most_promising(np.concatenate([p, q]), np.concatenate([q, p]), np.tile(likeness, 2)) % len(p))
+                else:
+                    best = most_promising(p, q, likeness)
+                kept = [tuple(v[best] for v in found)]
+            if not kept:
+                return seen, seen, seen
+            cell, p, q, _ = (np.concatenate(v) for v in zip(*kept))
+            if not (spanning and counted):
+                return p, q, seen[:0]
+            more = np.bincount(seen)
+            return p, q, np.flatnonzero(more > np.bincount(cell, minlength=len(more)))
+
+        for batch in batches:
+            found = []
+            for tokens, ids, jds, pairs, same in joined(batch):
+                p, q, more = chosen(pairs, same)
+                found += [(np.minimum(ids[p], jds[q]), np.maximum(ids[p], jds[q]), np.zeros(len(p), np.int64), np.zeros(len(p), bool)), (more, more, tokens[more], np.ones(len(more), bool))]
             if found:
-                x, y = (np.concatenate(v) for v in zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+                x, y, token, none = (np.concatenate(v) for v in zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(x, mask=none), pa.array(y, mask=none), pa.array(token, mask=~none)], names=["a", "b", "token"])
         tidy()
 
-    return cells.mapInArrow(run, "a long, b long").filter("a <> b")
+    return cells.mapInArrow(run, "a long, b long, token long").filter("a <> b or token is not null")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, hold: Scratch, size: int, percent: int, name: str, broadcast_rows: int) -> DataFrame:
@@ -344,26 +448,29 @@ def _near_components(docs: DataFrame, key: str, text: str, size: int, percent: i
 
     def paired(rows: DataFrame, spanning: bool, counted: bool = True) -> DataFrame:
         """``rows``: token, m, id, n, comp."""
-        full = rows.join(marks, "id").select("token", short.alias("h"), "m", "id", "n", "comp", "hot", "bits", *(["first"] if counted else [])).withColumn("blocks", F.ceil(F.col("m") / cell_rows).cast("int"))
+        full = rows.join(marks, "id").select("token", "m", "id", "n", "comp", "hot", "bits", *(["first"] if counted else [])).withColumn("blocks", F.ceil(F.col("m") / cell_rows).cast("int"))
         one = F.struct("id", "n", "comp", "hot", "bits", *(["first"] if counted else []))
         spot = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-        alone = full.filter("blocks = 1").groupBy("token", "h").agg(F.collect_list(one).alias("left"))
-        alone = alone.select("h", "left", F.when(F.lit(False), F.col("left")).alias("right"))
-        placed = full.filter("blocks > 1").withColumn("own", spot).select("token", "h", "own", one.alias("member"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        alone = full.filter("blocks = 1").groupBy("token").agg(F.collect_list(one).alias("left"))
+        alone = alone.select("token", "left", F.when(F.lit(False), F.col("left")).alias("right"))
+        placed = full.filter("blocks > 1").withColumn("own", spot).select("token", "own", one.alias("member"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         placed = placed.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-        large = placed.groupBy("token", "h", "lo", "hi").agg(F.collect_list(F.when(F.col("own") == F.col("lo"), F.col("member"))).alias("left"), F.collect_list(F.when((F.col("own") == F.col("hi")) & (F.col("lo") < F.col("hi")), F.col("member"))).alias("right"))
-        large = large.filter(F.size("left") > 0).select("h", "left", F.when(F.col("lo") < F.col("hi"), F.col("right")).alias("right")).filter("right is null or size(right) > 0")
+        large = placed.groupBy("token", "lo", "hi").agg(F.collect_list(F.when(F.col("own") == F.col("lo"), F.col("member"))).alias("left"), F.collect_list(F.when((F.col("own") == F.col("hi")) & (F.col("lo") < F.col("hi")), F.col("member"))).alias("right"))
+        large = large.filter(F.size("left") > 0).select("token", "left", F.when(F.col("lo") < F.col("hi"), F.col("right")).alias("right")).filter("right is null or size(right) > 0")
         return cell_pairs(alone.unionByName(large), percent, spanning, counted)
 
     # Every set its own component, and each keeps its most promising partner.
     single = inside.withColumn("comp", F.col("id"))
-    first = hold.keep(paired(single.filter(F.col("m") <= small), True).unionByName(paired(single.filter(F.col("m") > small), True, False)).distinct(), "first")
+    given = hold.keep(paired(single.filter(F.col("m") <= small), True).unionByName(paired(single.filter(F.col("m") > small), True, False)).distinct(), "first")
+    first = given.filter("token is null").select("a", "b")
     links = verified(first, texts, hold, size, percent, "first", broadcast_rows)
     known = components(links, hold, "cc1")
-    labelled = hold.keep(inside.join(known.select(F.col("v").alias("id"), F.col("c")), "id", "left").select("token", "m", "id", "n", F.coalesce("c", "id").alias("comp")), "labelled")
+    # Small cells that have given out all their pairs are done.
+    more = inside.filter(F.col("m") <= small).join(given.select("token").filter("token is not null"), "token", "left_semi")
+    labelled = hold.keep(inside.filter(F.col("m") > small).unionByName(more.select(*inside.columns)).join(known.select(F.col("v").alias("id"), F.col("c")), "id", "left").select("token", "m", "id", "n", F.coalesce("c", "id").alias("comp")), "labelled")
     mixed = labelled.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("token")
     # Written between: Spark would push the anti join below the distinct, to every cell's own mention of a pair.
-    met = hold.keep(paired(labelled.join(mixed, "token", "left_semi"), False).distinct(), "remaining")
+    met = hold.keep(paired(labelled.join(mixed, "token", "left_semi"), False).select("a", "b").distinct(), "remaining")
     second = hold.keep(met.join(first, ["a", "b"], "left_anti"), "second")
     more = verified(second, texts, hold, size, percent, "second", broadcast_rows)
     final = components(links.unionByName(more), hold, "cc2")

@@ -284,6 +284,69 @@ def test_near_copies_are_not_spelled_out_pair_by_pair(spark, monkeypatch):
     assert sum(made) <= 80
 
 
+def test_cells_that_gave_out_all_their_pairs_are_not_joined_again(spark, monkeypatch):
+    joined, pairs = [], jaccard_join.cell_pairs
+
+    def counted(cells, *args):
+        joined.append(cells.count())
+        return pairs(cells, *args)
+
+    monkeypatch.setattr(jaccard_join, "cell_pairs", counted)
+    rows = [(3 * g + k, " ".join(f"s{g}w{j}" for j in range(20)) + " " + " ".join(f"x{g}y{k}z{j}" for j in range(40))) for g in range(20) for k in range(3)]  # a passage in common, but no link
+    got = {r.doc_id: r.component_id for r in jaccard_join.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k] == k for k in range(60))
+    assert joined[0] >= 20 and joined[-1] == 0
+
+
+def test_small_cells_at_once_equal_cells_one_by_one(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    class Cells:
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+        def filter(self, condition):
+            return self
+
+    rng, cells, expected = random.Random(3), [], set()
+    for c in range(40):
+        h, base = rng.randrange(-100, -60), rng.sample(range(-80, 100), 12)
+        left = []
+        for k in range(rng.randrange(2, 12)):
+            first = sorted({h} | {x for x in base if rng.random() < 0.9} | {rng.randrange(-100, 100)})
+            left.append({"id": 100 * c + k, "n": 60 + rng.randrange(6), "comp": 100 * c + k, "hot": 0, "bits": b"\xff" * 128, "first": first})
+        cells.append({"token": (h << 32) + c, "left": left, "right": None})
+        for a in left:
+            for b in left:
+                both = set(a["first"]) & set(b["first"])
+                if a["id"] < b["id"] and min(both) == h and len(both) >= jaccard_join.shared_first(a["n"], b["n"], 85):
+                    expected.add((a["id"], b["id"]))
+    kind = pa.struct([("id", pa.int64()), ("n", pa.int64()), ("comp", pa.int64()), ("hot", pa.int64()), ("bits", pa.binary()), ("first", pa.list_(pa.int32()))])
+    batch = pa.RecordBatch.from_pylist(cells, schema=pa.schema([("token", pa.int64()), ("left", pa.list_(kind)), ("right", pa.list_(kind))]))
+    found = {}
+    for spanning in (False, True):
+        for flat in (64, 0):
+            monkeypatch.setattr(jaccard_join, "FLAT", flat)
+            rows = [r for b in jaccard_join.cell_pairs(Cells(), 85, spanning).run(iter([batch])) for r in b.to_pylist()]
+            found[spanning, flat] = {(r["a"], r["b"]) for r in rows if r["token"] is None}, {r["token"] for r in rows if r["token"] is not None}
+    assert found[False, 64] == found[False, 0] == (expected, set()) and len(expected) > 20
+    assert found[True, 64] == found[True, 0]
+    some, more = found[True, 64]
+    assert some < expected and {a // 100 for a, _ in expected - some} == {t % (1 << 32) for t in more}
+
+
+def test_shared_hashes_with_equal_upper_halves_all_count():
+    import numpy as np
+    import pyarrow as pa
+
+    held = jaccard_join.numbered(pa.array([[5, 5, 9], [-3], [9, 5, 5]], pa.list_(pa.int32())), np.array([2, 0, 1]))
+    count, least = jaccard_join.shared_hashes(held, held, np.array([2, 1, 0]), np.array([1, 2, 1]))
+    assert count.tolist() == [3, 3, 0] and (least[:2] == 5 + (1 << 31)).all()
+
+
 @pytest.mark.parametrize("cell_rows", [1024, 4])
 def test_jaccard_join_equals_all_pairs(spark, odd, none, cell_rows):
     import random
