@@ -16,9 +16,9 @@ drops a node pair when the sizes cannot meet the threshold or when the largest p
 Pairs of sets that remain are compared exactly.
 
 Linked sets also share many of those first hashes: at least ``need - max(ceil(t n)) + 1`` of them.
-Every set brings along its first hashes that other sets have too (four bytes of each, in order), so a task counts
-what two sets share of them before it gives out the pair; four bytes can only count too much, so the test drops no link.
-A pair is given out by the cell of its first common hash and by no other.
+Every set brings along its first hashes that other sets have too (31 bits of each, in order, and one that says whether
+two such hashes have these 31 in common), so a task counts what two sets share of them before it gives out the pair; 31 bits can only count
+too much, so the test drops no link.  A pair is given out by the cell of its first common hash that its 31 bits tell from all others, and by cells of hashes that they don't.
 
 A large group of near copies must not be spelled out pair by pair.  So the trees are
 traversed twice: first each set keeps only its most promising partner (in cells of more than ``small`` members one before it, by the bound alone); the confirmed links
@@ -51,6 +51,7 @@ BATCH = 256
 LEAF = 16
 FAN = 8
 FLAT = 64
+SHIFT = 33
 
 
 def least_common(n: int, percent: int) -> int:
@@ -218,7 +219,7 @@ def numbered(lists, place):
 def shared_hashes(first, second, p, q, most: int = 1 << 20):
     """How many hashes of the sets ``p`` of ``first`` those ``q`` of ``second`` have too, and the least of them (none: the largest number), pair by pair.
 
-    Hashes of a set with equal upper halves all count: never too few.
+    Hashes of a set with equal bits all count: never too few.  The least is one of the even hashes: only these are told from all others.
     """
     import numpy as np
 
@@ -234,6 +235,7 @@ def shared_hashes(first, second, p, q, most: int = 1 << 20):
         hit = others[np.minimum(np.searchsorted(others, want), len(others) - 1)] == want
         pair, h = pair[hit], h[hit]
         count[lo:hi] = np.bincount(pair - lo, minlength=hi - lo)
+        pair, h = pair[h % 2 == 0], h[h % 2 == 0]
         head = np.flatnonzero(np.diff(pair, prepend=-1))
         least[pair[head]] = h[head]
         lo = hi
@@ -270,7 +272,7 @@ def flat_pairs(members, sizes, h, percent: int, chunk: int = 1 << 15):
             lo = hi
             least = shared_first(n[p], n[q], percent)
             ok = (100 * n[p] >= percent * n[q]) & (comp[p] != comp[q]) & (np.minimum(held[p], held[q]) >= least)
-            ok &= (head[p] != head[q]) | (head[p] == h[cell[p]])  # another cell has a lesser hash of both
+            ok &= (head[p] != head[q]) | (head[p] == h[cell[p]]) | ((head[p] | h[cell[p]]) % 2 == 1)  # another cell has a lesser hash of both
             p, q, least = p[ok], q[ok], least[ok]
             need = -(-percent * (n[p] + n[q]) // (100 + percent))
             common = np.bitwise_count(bits[p] & bits[q]).sum(1).astype(np.int64)
@@ -278,7 +280,7 @@ def flat_pairs(members, sizes, h, percent: int, chunk: int = 1 << 15):
             p, q, least = p[ok], q[ok], least[ok]
             turn = held[p] > held[q]
             count, met = shared_hashes(first, first, np.where(turn, q, p), np.where(turn, p, q))
-            ok = (count >= least) & (met == h[cell[p]])
+            ok = (count >= least) & ((met == h[cell[p]]) | (h[cell[p]] % 2 == 1))
             p, q = p[ok], q[ok]
             if len(p):
                 yield cell[p], p, q, count[ok] / (n[p] + n[q])
@@ -295,7 +297,7 @@ def most_promising(p, q, likeness):
 
 
 def cell_pairs(cells: DataFrame, percent: int, spanning: bool, counted: bool = True) -> DataFrame:
-    """Candidate pairs (a, b) of cells: rows with the cell's hash ``token`` and ``left`` and ``right`` arrays of members; ``right`` null: a self join.
+    """Candidate pairs (a, b) of cells: rows with the cell's hash ``token``, its short form ``h`` and ``left`` and ``right`` arrays of members; ``right`` null: a self join.
 
     ``counted``: only pairs that share enough of their first hashes, in the cell of the least common one.  ``spanning``: of each set's pairs
     only the most promising; without ``counted`` the one before it.  Where both leave pairs out, a row of nulls and the cell's ``token`` says so.
@@ -325,7 +327,7 @@ def cell_pairs(cells: DataFrame, percent: int, spanning: bool, counted: bool = T
                     if counted:
                         n, m = a.levels[0][1][p], b.levels[0][1][q]
                         count, least = shared_hashes(first, second, p, q)
-                        ok = (count >= shared_first(n, m, percent)) & (least == h)
+                        ok = (count >= shared_first(n, m, percent)) & ((least == h) | (h % 2 == 1))
                         p, q, bound = p[ok], q[ok], (count / (n + m))[ok]
                     if len(p):
                         yield np.zeros(len(p), np.int64), p, q, bound
@@ -336,7 +338,7 @@ def cell_pairs(cells: DataFrame, percent: int, spanning: bool, counted: bool = T
             """(tokens, ids of p, ids of q, pairs, whether all are of one list) of all cells of up to FLAT members, then of every other one."""
             left, right = batch.column("left"), batch.column("right")
             tokens = np.asarray(batch.column("token"), np.int64)
-            h = (tokens >> 32) + (1 << 31)
+            h = np.asarray(batch.column("h"), np.int64) + (1 << 31)
             flat = counted & np.asarray(right.is_null()) & (np.asarray(left.value_lengths()) <= FLAT)
             if flat.any():
                 few = left.filter(pa.array(flat))
@@ -435,28 +437,31 @@ def _near_components(docs: DataFrame, key: str, text: str, size: int, percent: i
     member, made = known.select("id", "n", "rep"), known.filter("own and id is not null")
     rows = made.select("id", "n", F.explode("prefix").alias("token"))
     shared = hold.keep(rows.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1"), "tokens")
-    met = hold.keep(rows.join(shared, "token"), "met")
+    # The short form of a hash: its upper bits in order, and a last one where another hash has the same.
+    part = F.shiftright("token", SHIFT)
+    twice = shared.groupBy(part.alias("part")).agg(F.count("*").alias("k")).filter("k > 1").select("part", F.lit(1).alias("twin"))
+    named = shared.withColumn("part", part).join(twice, "part", "left").select("token", "m", (F.shiftleft("part", 1) + F.coalesce("twin", F.lit(0))).cast("int").alias("h"))
+    met = hold.keep(rows.join(hold.keep(named, "named"), "token"), "met")
     # Cells with the same members are one cell, named by the least of their hashes.
     mark = F.xxhash64("id")
     name = met.groupBy("token", "m").agg(F.bit_xor(mark).alias("x"), F.sum(mark.bitwiseAND(F.lit((1 << 31) - 1))).alias("s"), F.min("id").alias("lo"))
     cells = name.groupBy("m", "x", "s", "lo").agg(F.min("token").alias("token")).select("token")
     inside = hold.keep(met.join(cells, "token"), "inside")
-    short = F.shiftright("token", 32).cast("int")  # the upper half: the order of the hashes
-    first = met.groupBy("id").agg(F.count_if(F.col("m") > small).alias("hot"), F.collect_list(short).alias("first"))
+    first = met.groupBy("id").agg(F.count_if(F.col("m") > small).alias("hot"), F.collect_list("h").alias("first"))
     marks = hold.keep(made.select("id", "bits").join(first.select("id", "hot", "first"), "id"), "marks")
-    hold.drop("tokens", "met")
+    hold.drop("tokens", "named", "met")
 
     def paired(rows: DataFrame, spanning: bool, counted: bool = True) -> DataFrame:
-        """``rows``: token, m, id, n, comp."""
-        full = rows.join(marks, "id").select("token", "m", "id", "n", "comp", "hot", "bits", *(["first"] if counted else [])).withColumn("blocks", F.ceil(F.col("m") / cell_rows).cast("int"))
+        """``rows``: token, h, m, id, n, comp."""
+        full = rows.join(marks, "id").select("token", "h", "m", "id", "n", "comp", "hot", "bits", *(["first"] if counted else [])).withColumn("blocks", F.ceil(F.col("m") / cell_rows).cast("int"))
         one = F.struct("id", "n", "comp", "hot", "bits", *(["first"] if counted else []))
         spot = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-        alone = full.filter("blocks = 1").groupBy("token").agg(F.collect_list(one).alias("left"))
-        alone = alone.select("token", "left", F.when(F.lit(False), F.col("left")).alias("right"))
-        placed = full.filter("blocks > 1").withColumn("own", spot).select("token", "own", one.alias("member"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        alone = full.filter("blocks = 1").groupBy("token", "h").agg(F.collect_list(one).alias("left"))
+        alone = alone.select("token", "h", "left", F.when(F.lit(False), F.col("left")).alias("right"))
+        placed = full.filter("blocks > 1").withColumn("own", spot).select("token", "h", "own", one.alias("member"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         placed = placed.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-        large = placed.groupBy("token", "lo", "hi").agg(F.collect_list(F.when(F.col("own") == F.col("lo"), F.col("member"))).alias("left"), F.collect_list(F.when((F.col("own") == F.col("hi")) & (F.col("lo") < F.col("hi")), F.col("member"))).alias("right"))
-        large = large.filter(F.size("left") > 0).select("token", "left", F.when(F.col("lo") < F.col("hi"), F.col("right")).alias("right")).filter("right is null or size(right) > 0")
+        large = placed.groupBy("token", "h", "lo", "hi").agg(F.collect_list(F.when(F.col("own") == F.col("lo"), F.col("member"))).alias("left"), F.collect_list(F.when((F.col("own") == F.col("hi")) & (F.col("lo") < F.col("hi")), F.col("member"))).alias("right"))
+        large = large.filter(F.size("left") > 0).select("token", "h", "left", F.when(F.col("lo") < F.col("hi"), F.col("right")).alias("right")).filter("right is null or size(right) > 0")
         return cell_pairs(alone.unionByName(large), percent, spanning, counted)
 
     # Every set its own component, and each keeps its most promising partner.
@@ -467,7 +472,7 @@ def _near_components(docs: DataFrame, key: str, text: str, size: int, percent: i
     known = components(links, hold, "cc1")
     # Small cells that have given out all their pairs are done.
     more = inside.filter(F.col("m") <= small).join(given.select("token").filter("token is not null"), "token", "left_semi")
-    labelled = hold.keep(inside.filter(F.col("m") > small).unionByName(more.select(*inside.columns)).join(known.select(F.col("v").alias("id"), F.col("c")), "id", "left").select("token", "m", "id", "n", F.coalesce("c", "id").alias("comp")), "labelled")
+    labelled = hold.keep(inside.filter(F.col("m") > small).unionByName(more.select(*inside.columns)).join(known.select(F.col("v").alias("id"), F.col("c")), "id", "left").select("token", "h", "m", "id", "n", F.coalesce("c", "id").alias("comp")), "labelled")
     mixed = labelled.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("token")
     # Written between: Spark would push the anti join below the distinct, to every cell's own mention of a pair.
     met = hold.keep(paired(labelled.join(mixed, "token", "left_semi"), False).select("a", "b").distinct(), "remaining")

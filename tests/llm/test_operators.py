@@ -313,19 +313,19 @@ def test_small_cells_at_once_equal_cells_one_by_one(monkeypatch):
 
     rng, cells, expected = random.Random(3), [], set()
     for c in range(40):
-        h, base = rng.randrange(-100, -60), rng.sample(range(-80, 100), 12)
+        h, base = rng.randrange(-200, -120, 2), rng.sample(range(-160, 200, 2), 12)
         left = []
         for k in range(rng.randrange(2, 12)):
-            first = sorted({h} | {x for x in base if rng.random() < 0.9} | {rng.randrange(-100, 100)})
+            first = sorted({h} | {x for x in base if rng.random() < 0.9} | {rng.randrange(-200, 200)})
             left.append({"id": 100 * c + k, "n": 60 + rng.randrange(6), "comp": 100 * c + k, "hot": 0, "bits": b"\xff" * 128, "first": first})
-        cells.append({"token": (h << 32) + c, "left": left, "right": None})
+        cells.append({"token": c, "h": h, "left": left, "right": None})
         for a in left:
             for b in left:
                 both = set(a["first"]) & set(b["first"])
-                if a["id"] < b["id"] and min(both) == h and len(both) >= jaccard_join.shared_first(a["n"], b["n"], 85):
+                if a["id"] < b["id"] and min(x for x in both if x % 2 == 0) == h and len(both) >= jaccard_join.shared_first(a["n"], b["n"], 85):
                     expected.add((a["id"], b["id"]))
     kind = pa.struct([("id", pa.int64()), ("n", pa.int64()), ("comp", pa.int64()), ("hot", pa.int64()), ("bits", pa.binary()), ("first", pa.list_(pa.int32()))])
-    batch = pa.RecordBatch.from_pylist(cells, schema=pa.schema([("token", pa.int64()), ("left", pa.list_(kind)), ("right", pa.list_(kind))]))
+    batch = pa.RecordBatch.from_pylist(cells, schema=pa.schema([("token", pa.int64()), ("h", pa.int32()), ("left", pa.list_(kind)), ("right", pa.list_(kind))]))
     found = {}
     for spanning in (False, True):
         for flat in (64, 0):
@@ -335,16 +335,32 @@ def test_small_cells_at_once_equal_cells_one_by_one(monkeypatch):
     assert found[False, 64] == found[False, 0] == (expected, set()) and len(expected) > 20
     assert found[True, 64] == found[True, 0]
     some, more = found[True, 64]
-    assert some < expected and {a // 100 for a, _ in expected - some} == {t % (1 << 32) for t in more}
+    assert some < expected and {a // 100 for a, _ in expected - some} == more
+
+
+def test_links_are_kept_where_short_hashes_are_equal(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(jaccard_join, "SHIFT", 57)  # 128 short hashes for all
+    rng, sets, rows = random.Random(5), {}, []
+    for g in range(40):
+        base = [f"g{g}w{j}" for j in range(60)]
+        for k in range(3):
+            words = [w if rng.random() > 0.02 else f"x{g}y{k}" for w in base]
+            rows.append((3 * g + k, " ".join(words)))
+            sets[3 * g + k] = {tuple(words[j : j + 4]) for j in range(57)}
+    got = {r.doc_id: r.component_id for r in jaccard_join.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    expected = components(sets, 85)
+    assert got == expected and len(set(expected.values())) < 110
 
 
 def test_shared_hashes_with_equal_upper_halves_all_count():
     import numpy as np
     import pyarrow as pa
 
-    held = jaccard_join.numbered(pa.array([[5, 5, 9], [-3], [9, 5, 5]], pa.list_(pa.int32())), np.array([2, 0, 1]))
+    held = jaccard_join.numbered(pa.array([[3, 6, 6, 8], [-4], [8, 6, 6, 3]], pa.list_(pa.int32())), np.array([2, 0, 1]))
     count, least = jaccard_join.shared_hashes(held, held, np.array([2, 1, 0]), np.array([1, 2, 1]))
-    assert count.tolist() == [3, 3, 0] and (least[:2] == 5 + (1 << 31)).all()
+    assert count.tolist() == [4, 4, 0] and (least[:2] == 6 + (1 << 31)).all()
 
 
 @pytest.mark.parametrize("cell_rows", [1024, 4])
