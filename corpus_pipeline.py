@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm import decontam, jaccard_join, packing, pii, toxicity
-from folioflow.llm.common import Scratch, table
+from folioflow.llm.common import Scratch, arrow_rows, table
 from folioflow.llm.registry import PII_KEY
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled examples call toxic (score of 0.5 or more) go."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    bad = Scratch(spark, "toxic").keep(toxicity.score(docs, model).filter("score >= 0.5").select("doc_id"), "ids")
+    with arrow_rows(spark, packing.BATCH):  # all Python work is written to tables in there
+        model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+        bad = Scratch(spark, "toxic").keep(toxicity.score(docs, model).filter("score >= 0.5").select("doc_id"), "ids")
     return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -52,6 +52,11 @@ def tidy(keep_encoder: bool = False) -> None:
         pass
 
 
+def one_by_one(column):
+    """The values of an Arrow column as Python objects, one at a time: a batch's texts are not held twice."""
+    return (x.as_py() for x in column)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share.  Where none is named one is made, but only for a local master."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -10,8 +10,8 @@ and their items dealt into fewer, mixed blocks, so that blocks don't each leave
 That goes on until one block is left, no block is saved, or ``rounds`` are over; the last round keeps
 all its bins, however full, so every item is placed.
 
-Bounded memory: a task holds one block's sizes and a few chromosomes, whatever the corpus.  The tokenizer reads an Arrow
-batch in parts of about four million characters; one longer text is a part by itself (below the 2 GB of an Arrow string).
+Bounded memory: a task holds one block's sizes and a few chromosomes, whatever the corpus.  The tokenizer reads Arrow
+batches of ``BATCH`` texts in parts of about a million characters; one longer text is a part by itself (below the 2 GB of an Arrow string).
 
 Defined cases: a null or empty text is one piece holding only the end id; repeated rows are separate
 items; items larger than the capacity are an error of the caller (``token_pieces`` makes none); an
@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import Scratch, tidy
+from .common import Scratch, arrow_rows, tidy
 
+BATCH = 256
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -145,7 +146,8 @@ def pack(items: DataFrame, size: str = "length", capacity: int = 4096, block_ite
     hold = Scratch(spark, "pack")
     names = items.columns
     item = F.struct(F.col(size).cast("int").alias("_size"), F.struct(*names).alias("_row"))
-    todo = hold.keep(items.select(item.alias("i")), "items0")
+    with arrow_rows(spark, BATCH):  # the tokenizer runs in here
+        todo = hold.keep(items.select(item.alias("i")), "items0")
     done: list[DataFrame] = []
 
     def epoch(number: int):

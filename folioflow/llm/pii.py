@@ -38,7 +38,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, tidy
+from .common import Scratch, one_by_one, tidy
 
 #: Common first names by gender and script, for recognition and replacement.
 NAMES = {
@@ -218,7 +218,7 @@ def entities(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
         for batch in batches:
             rows = []
-            for k, t in zip(batch.column("k").to_pylist(), batch.column("t").to_pylist()):
+            for k, t in zip(batch.column("k").to_pylist(), one_by_one(batch.column("t"))):
                 found = Counter((kind, canonical(kind, t[a:b]), t[a:b]) for a, b, kind in mentions(t))
                 rows += [(k, *name, n) for name, n in found.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()))], names=["doc_id", "kind", "canonical", "mention", "n"])
@@ -302,7 +302,7 @@ def pseudonymised(docs: DataFrame, secret_key: bytes, key: str = "doc_id", text:
         keyed, known = Keyed(secret_key), {}
         for batch in batches:
             texts, count, distinct = [], [], []
-            for t, own in zip(batch.column(text).to_pylist(), batch.column("_walked").to_pylist()):
+            for t, own in zip(one_by_one(batch.column(text)), one_by_one(batch.column("_walked"))):
                 found = mentions(t)
                 own = {(w["kind"], w["mention"]): w["turn"] for w in own or ()}
                 parts, at = [], 0

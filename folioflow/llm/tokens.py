@@ -3,7 +3,7 @@
 The pre-tokenizer of ``word_bpe_49k.json`` never matches across white space, NFC never
 composes across an ASCII blank and lower-casing looks at one code point at a time.  So
 the ids of a text are the ids of its blank-separated chunks in order.  Each distinct chunk
-of a part of about four million characters is split once; a chunk of Latin-1 letters and ASCII marks is two units,
+of a part of about a million characters is split once; a chunk of Latin-1 letters and ASCII marks is two units,
 its letters in lower case and its marks, which the pre-tokenizer separates as well.  Arrow does the splitting, so that
 Python looks up each distinct unit of a part once.
 """
@@ -28,7 +28,7 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """Batches of texts to ids; one object per worker process and vocabulary (see :func:`encoder`)."""
 
-    def __init__(self, vocabulary: str = VOCABULARY, cache_chunks: int = 250_000):
+    def __init__(self, vocabulary: str = VOCABULARY, cache_chunks: int = 120_000):
         import public_tokenizers
         from tokenizers import Tokenizer
 
@@ -108,7 +108,7 @@ def encoder(vocabulary: str = VOCABULARY) -> Encoder:
     return kept[vocabulary]
 
 
-def pieces_of(batch, text: str, chars: int = 4_000_000):
+def pieces_of(batch, text: str, chars: int = 1_000_000):
     """Cut an Arrow batch into parts of about ``chars`` characters (one long text may exceed it)."""
     import numpy as np
     import pyarrow.compute as pc

@@ -32,7 +32,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, tidy
+from .common import Scratch, one_by_one, tidy
 
 WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 128
@@ -143,11 +143,13 @@ class Model:
         order = np.lexsort((ids, lead))
         place = np.empty(len(ids), np.int64)
         place[order] = np.arange(len(ids))
-        self.rows, self.terms, self.weights = place[rows], terms, w
+        self.rows, self.terms, self.weights = place[rows].astype(np.int32), np.asarray(terms, np.int32), w
         self.labels, self.ids = labels[order].astype(np.float64), ids[order]
 
     def open(self):
-        """Index and word table, built once for each task."""
+        """Index and word table, built once for each worker process: its tasks share the broadcast model."""
+        if hasattr(self, "index"):
+            return self
         self.index = BlockMaxIndex(len(self.ids), len(self.words), self.rows, self.terms, self.weights)
         self.known = {w: j for j, w in enumerate(self.words)}
         return self
@@ -226,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     def counted(batches):
         for batch in batches:
-            found = [features(t) for t in batch.column("t").to_pylist()]
+            found = [features(t) for t in one_by_one(batch.column("t"))]
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("y"), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], names=["k", "y", "w", "c"])
         tidy()
 
@@ -277,7 +279,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         learned = len(m.ids) > 0
         for batch in batches:
             out = []
-            for t in batch.column("t").to_pylist():
+            for t in one_by_one(batch.column("t")):
                 vote, at, cos = m.vote(features(t), k, smooth)
                 out.append((m.calibrated(vote) if learned else 0.0, [int(m.ids[i]) for i in at[:3]], [float(c) for c in cos[:3]]))
             yield pa.RecordBatch.from_arrays(
